@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from frameloom.llm import langid, matroska, packing, quality, secrets, simhash, spotsigs, toxicity, url_filter
+from frameloom.llm import langid, matroska, packing, quality, secrets, sentencepiece, simhash, spotsigs, toxicity, url_filter
 from frameloom.llm.common import documents
 
 
@@ -43,6 +43,10 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(documents(spark, sf_dir), documents(spark, sf_dir, "labels"))
 
 
+def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece.round_trip(documents(spark, sf_dir))
+
+
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.secrets(documents(spark, sf_dir))
     joined = secrets.joined(F.col("spans"))
@@ -59,6 +63,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_packing": op6_packing,
     "op7_matroska": op7_matroska,
     "op8_quality": op8_quality,
+    "op9_sentencepiece": op9_sentencepiece,
     "op10_secrets": op10_secrets,
 }
 
