@@ -120,7 +120,7 @@ def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules
     """(page_id, host, path, rule, verdict) for each row of pages.
 
     A rule fits its host and all subdomains if the path starts with the rule's; of several the longest
-    wins. Without a rule: rule null, and the default verdict. Null, empty and malformed urls have an
+    wins, of equally long ones that of the longer host. Without a rule: rule null, and the default verdict. Null, empty and malformed urls have an
     empty host and path. Repeated rows stay. Other columns are not read.
     """
     name = publish(pages.sparkSession, rules)
@@ -134,7 +134,7 @@ def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules
         hits = array.probe([c.encode("utf-8", "surrogatepass") for s in sets for c in s]).tolist()
         found, verdicts, at = [], [], 0
         for s in sets:
-            best = max((i for i in hits[at : at + len(s)] if i >= 0), key=lambda i: len(array.rule(i)), default=None)
+            best = max((i for i in hits[at : at + len(s)] if i >= 0), key=lambda i: (len(array.rule(i)), array.rule(i).index(b"/")), default=None)
             at += len(s)
             found.append(None if best is None else array.rule(best).decode())
             verdicts.append(default if best is None else "block" if array.blocked[best] else "allow")
