@@ -53,15 +53,17 @@ def split(df: DataFrame, fraction: float = 0.05, seed: int = 42, domain: str = "
     smallest hash, and only hashes near that bound, whose share is known beforehand, are ranked.
     """
     hashed = df.withColumn("_h", F.conv(F.substring(F.sha1(F.concat_ws("|", F.col(key).cast("string"), F.lit(str(seed)))), 1, 13), 16, 10).cast("long"))
-    counts = df.groupBy(domain).agg(F.count("*").alias("_n")).withColumn("_want", F.when(F.col("_n") >= least, F.greatest(F.lit(1), F.bround(F.col("_n") * fraction).cast("int"))).otherwise(0))
+    want = F.when(F.col("_n") >= least, F.greatest(F.lit(1), F.bround(F.col("_n") * fraction).cast("int"))).otherwise(0)
     # about _want rows have a hash below this bound; a slack of many standard deviations keeps them all in the candidates
     share = (F.col("_want") + 12 * F.sqrt("_want") + 40) / F.col("_n")
-    sized = counts.withColumn("_bound", F.when(F.col("_want") == 0, F.lit(-1.0)).otherwise(share * float(1 << 52)))
-    candidates = hashed.join(sized, F.col(domain).eqNullSafe(sized[domain])).drop(sized[domain]).where(F.col("_h") <= F.col("_bound"))
-    rank = F.row_number().over(Window.partitionBy(domain).orderBy("_h", F.col(key).cast("string")))
-    chosen = candidates.select(domain, "_h", F.col(key).cast("string").alias("_key"), "_want", rank.alias("_rank")).where("_rank <= _want")
-    last = chosen.groupBy(domain).agg(F.max(F.struct("_h", "_key")).alias("_last"))
-    marked = hashed.join(last, F.col(domain).eqNullSafe(last[domain]), "left").drop(last[domain])
+    bound = F.when(F.col("_want") == 0, F.lit(-1.0)).otherwise(share * float(1 << 52))
+    sizes = df.groupBy(F.col(domain).alias("_domain")).agg(F.count("*").alias("_n")).withColumn("_want", want).withColumn("_bound", bound)
+    rows = hashed.select(F.col(domain).alias("_of"), "_h", F.col(key).cast("string").alias("_key"))
+    candidates = rows.join(sizes, F.col("_of").eqNullSafe(F.col("_domain"))).where(F.col("_h") <= F.col("_bound"))
+    rank = F.row_number().over(Window.partitionBy("_domain").orderBy("_h", "_key"))
+    chosen = candidates.withColumn("_rank", rank).where("_rank <= _want")
+    last = chosen.groupBy("_domain").agg(F.max(F.struct("_h", "_key")).alias("_last"))
+    marked = hashed.join(last, F.col(domain).eqNullSafe(F.col("_domain")), "left").drop("_domain")
     place = F.struct(F.col("_h").alias("_h"), F.col(key).cast("string").alias("_key"))
     return marked.withColumn("split", F.when(F.col("_last").isNotNull() & (place <= F.col("_last")), "eval").otherwise("train")).drop("_h", "_last")
 

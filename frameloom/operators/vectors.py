@@ -23,7 +23,7 @@ def norm(v: Column) -> Column:
 
 
 def max_abs_error(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: F.abs(x.cast("double") - y.cast("double"))), F.lit(0.0), F.greatest)
+    return F.aggregate(F.zip_with(a, b, lambda x, y: F.abs(x.cast("double") - y.cast("double"))), F.lit(0.0), lambda most, x: F.greatest(most, x))
 
 
 def check(found: Column, wanted: Column, typical_norm: Column, most_error: float = 0.05, least_norm: float = 0.15, most_ratio: float = 3.0) -> Column:

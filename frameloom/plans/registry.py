@@ -5,7 +5,377 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from frameloom.functions import text
+from frameloom.operators import bridge, dataset, labels, lookups, replay, results, validate, vectors, wire
+from frameloom.plans.frames_from_tables import CONVERSATION_FRAMES_SQL, EVENT_FRAMES_SQL, VIOLATIONS_SQL, conversation_frames, event_arrays, event_frames, event_tasks, table
+
+Query = Callable[[SparkSession, str], DataFrame]
 FLAGSHIP = "q_conv_violations"
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(fn: Query) -> Query:
+        QUERIES[f"q_{fn.__name__}"] = fn
+        if sql is not None:
+            ORACLE_SQL[f"q_{fn.__name__}"] = sql
+        return fn
+
+    return add
+
+
+_BY_RULE = "SELECT rule, count(DISTINCT id) AS n_trajectories, count(*) AS n_violations FROM v GROUP BY rule"
+
+
+def _by_rule(found: DataFrame) -> DataFrame:
+    return found.groupBy("rule").agg(F.count_distinct("id").alias("n_trajectories"), F.count("*").alias("n_violations"))
+
+
+@query(f"WITH {CONVERSATION_FRAMES_SQL}, {VIOLATIONS_SQL} {_BY_RULE}")
+def conv_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _by_rule(validate.violations_of_rows(conversation_frames(spark, sf_dir)))
+
+
+@query(f"WITH {EVENT_FRAMES_SQL}, {VIOLATIONS_SQL} SELECT id, rule, frame_index::INTEGER AS frame_index FROM v")
+def event_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return validate.violations_of_rows(event_frames(spark, sf_dir))
+
+
+@query(f"WITH {EVENT_FRAMES_SQL}, {VIOLATIONS_SQL} {_BY_RULE}")
+def event_violations_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = event_arrays(spark, sf_dir).select("id", F.explode(validate.violations(F.col("frames"))).alias("v"))
+    return _by_rule(found.select("id", "v.rule"))
+
+
+@query(f"WITH {EVENT_FRAMES_SQL}, {VIOLATIONS_SQL}, n AS (SELECT id, count(*) AS n FROM v GROUP BY id) SELECT id, n AS n_violations FROM n")
+def violation_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counted = event_arrays(spark, sf_dir).select("id", F.size(validate.violations(F.col("frames"))).cast("long").alias("n_violations"))
+    return counted.where("n_violations > 0")
+
+
+@query(
+    f"WITH {EVENT_FRAMES_SQL}, {VIOLATIONS_SQL}, m AS (SELECT 'validation: [' || rule || '] frame ' || frame_index AS mode, count(*) AS n, min(id * 1000000 + frame_index) AS first FROM v WHERE rule IN ('orphan_result', 'misplaced_end') GROUP BY ALL)"
+    " SELECT mode, n FROM m ORDER BY n DESC, mode LIMIT 10"
+)
+def failure_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    wanted = lambda v: v["rule"].isin("orphan_result", "misplaced_end")
+    tasks = event_arrays(spark, sf_dir).select(
+        F.col("id").alias("task_id"), F.lit(None).cast("string").alias("parse_error"), F.transform(F.filter(validate.violations(F.col("frames")), wanted), validate.shown).alias("errors")
+    )
+    everything = results.failure_modes(tasks, limit=1_000_000)
+    return everything.orderBy(F.desc("n"), "mode").limit(10)
+
+
+_NORMAL = r"trim(regexp_replace(lower(text), '[\s\x1c-\x1f]+', ' ', 'g'))"
+
+
+@query(f"SELECT doc_id, sha1({_NORMAL}) AS key FROM (SELECT *, row_number() OVER (PARTITION BY {_NORMAL} ORDER BY doc_id) AS rn FROM documents) WHERE rn = 1")
+def doc_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return dataset.deduplicate(docs, F.col("text"), "doc_id").select("doc_id", text.dedup_key(F.col("text")).alias("key"))
+
+
+_WANT = "CASE WHEN count(*) OVER (PARTITION BY source) >= 10 THEN greatest(1, round_even(count(*) OVER (PARTITION BY source) * 0.05::DOUBLE, 0)) ELSE 0 END"
+
+
+@query(
+    f"SELECT doc_id, CASE WHEN rn <= want THEN 'eval' ELSE 'train' END AS split FROM (SELECT doc_id, {_WANT} AS want,"
+    " row_number() OVER (PARTITION BY source ORDER BY substr(sha1(doc_id || '|42'), 1, 13), doc_id::VARCHAR) AS rn FROM documents)"
+)
+def split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source")
+    return dataset.split(docs, domain="source", key="doc_id").select("doc_id", "split")
+
+
+@query(f"SELECT source, count(*) AS n, count(*) FILTER (rn <= want) AS n_eval FROM (SELECT source, {_WANT} AS want, row_number() OVER (PARTITION BY source) AS rn FROM documents) GROUP BY source")
+def split_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source")
+    return dataset.split(docs, domain="source", key="doc_id").groupBy("source").agg(F.count("*").alias("n"), F.count_if(F.col("split") == "eval").alias("n_eval"))
+
+
+@query("SELECT doc_id FROM documents ORDER BY sha1(doc_id || '|7'), doc_id::VARCHAR LIMIT 50")
+def sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dataset.sample(table(spark, sf_dir, "documents").select("doc_id"), 50, 7, "doc_id")
+
+
+@query("SELECT lang, count(*) AS n FROM documents WHERE lang IS NOT NULL GROUP BY lang")
+def domain_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dataset.histogram(table(spark, sf_dir, "documents"), "lang")
+
+
+@query(
+    f"WITH {EVENT_FRAMES_SQL}, {VIOLATIONS_SQL}, bad AS (SELECT DISTINCT id FROM v), c AS (SELECT DISTINCT t.id FROM t)"
+    " SELECT CASE WHEN bad.id IS NULL THEN 'kept' ELSE 'rejected' END AS verdict, count(*) AS n FROM c LEFT JOIN bad ON c.id = bad.id GROUP BY 1"
+)
+def reject_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    marked = dataset.checked(event_arrays(spark, sf_dir).withColumn("error", F.lit(None).cast("string")))
+    return marked.groupBy(F.when(F.col("reason").isNull(), "kept").otherwise("rejected").alias("verdict")).agg(F.count("*").alias("n"))
+
+
+_TASKS_SQL = """k AS (SELECT event_id AS task_id, user_id::VARCHAR AS run_id, user_id % 5 AS domain, CASE event_type WHEN 'purchase' THEN true WHEN 'error' THEN false END AS success,
+  event_id % 97 AS prompt_tokens, event_id % 31 AS generated_tokens, CASE WHEN event_id % 3 = 0 THEN 0 ELSE event_id % 89 END AS recorded, floor(value * 100) / 64 AS total_sec,
+  floor(value * 100) / 128 AS inference_sec, event_id % 7 / 8 AS tool_sec, value > 10 AS parsed_ok, value > 10 AND event_type <> 'error' AS valid FROM events),
+f AS (SELECT *, CASE WHEN recorded = 0 THEN prompt_tokens + generated_tokens ELSE recorded END AS total_tokens FROM k)"""
+
+
+@query(
+    f"""WITH {_TASKS_SQL} SELECT count(*) AS n, round(avg(total_tokens), 6) AS avg_total_tokens, round(avg(generated_tokens), 6) AS avg_generated_tokens, round(avg(total_sec), 6) AS avg_wall_sec,
+  round(avg(inference_sec), 6) AS avg_inference_sec, round(avg(total_tokens) FILTER (success), 6) AS tokens_per_success, round(avg(total_sec) FILTER (success), 6) AS sec_per_success,
+  count(*) FILTER (success) AS n_success, round(avg(success::INT), 6) AS success_rate FROM f"""
+)
+def efficiency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tasks = event_tasks(spark, sf_dir).withColumn("total_tokens", results.total_tokens(F.col("prompt_tokens"), F.col("generated_tokens"), F.col("recorded")))
+    out = results.efficiency(tasks)
+    return out.select(*(F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in out.dtypes))
+
+
+@query(
+    f"""WITH {_TASKS_SQL} SELECT domain, grouping(domain) = 1 AS whole, count(*) AS n, count(*) FILTER (parsed_ok) AS parsed, count(*) FILTER (valid) AS valid,
+  round(count(*) FILTER (parsed_ok) / count(*), 6) AS parse_rate, round(count(*) FILTER (valid) / count(*), 6) AS valid_rate FROM f GROUP BY GROUPING SETS ((), (domain))"""
+)
+def format_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = results.format_rates(event_tasks(spark, sf_dir))
+    return out.withColumn("parse_rate", F.round("parse_rate", 6)).withColumn("valid_rate", F.round("valid_rate", 6))
+
+
+@query(f"WITH {_TASKS_SQL} SELECT run_id, count(*) AS steps, sum(prompt_tokens)::BIGINT AS prompt_tokens, sum(generated_tokens)::BIGINT AS generated_tokens, round(sum(inference_sec), 5) AS inference_sec, round(sum(tool_sec), 5) AS tool_sec FROM f GROUP BY run_id")
+def accumulate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = results.accumulate(event_tasks(spark, sf_dir))
+    return out.withColumn("inference_sec", F.round("inference_sec", 5)).withColumn("tool_sec", F.round("tool_sec", 5))
+
+
+@query(f"WITH {_TASKS_SQL} SELECT task_id, round(CASE WHEN recorded <= 0 THEN 1000.0 / count(*) OVER () ELSE recorded END, 6)::DOUBLE AS load_sec FROM f")
+def share_load_time(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tasks = event_tasks(spark, sf_dir).select("task_id", F.col("recorded").cast("double").alias("load_sec"))
+    return results.share_load_time(tasks, 1000.0).withColumn("load_sec", F.round("load_sec", 6))
+
+
+@query("SELECT round(sum(a * n) / sum(n), 6) AS \"primary\" FROM (SELECT c_nationkey, avg(CASE WHEN c_acctbal > 0 THEN 1.0 ELSE 0.0 END) AS a, count(*) AS n FROM customer GROUP BY c_nationkey)")
+def weighted_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    by_nation = table(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.avg((F.col("c_acctbal") > 0).cast("int")).alias("accuracy"), F.count("*").alias("n"))
+    return results.weighted_accuracy(by_nation).select(F.round("primary", 6).alias("primary"))
+
+
+@query(
+    """SELECT s.n_name AS suite, f.o AS format FROM nation s CROSS JOIN (SELECT DISTINCT c_mktsegment AS o FROM customer) f
+  WHERE NOT EXISTS (SELECT 1 FROM customer c WHERE c.c_nationkey = s.n_nationkey AND c.c_mktsegment = f.o AND c.c_acctbal > 9000)"""
+)
+def matrix_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nations, customers = table(spark, sf_dir, "nation"), table(spark, sf_dir, "customer")
+    formats = sorted(r[0] for r in customers.select("c_mktsegment").distinct().collect())
+    suites = [r[0] for r in nations.orderBy("n_nationkey").select("n_name").collect()]
+    there = customers.where("c_acctbal > 9000").join(nations, F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("n_name").alias("suite"), F.col("c_mktsegment").alias("format"))
+    return lookups.missing_cells(lookups.cells(spark, suites, formats, dict.fromkeys(formats, "m")), there).select("suite", "format")
+
+
+@query(
+    f"WITH {EVENT_FRAMES_SQL} SELECT event_id, CASE WHEN coalesce(last_value(CASE WHEN t IN ('goal', 'result', 'feedback') THEN 0 WHEN t IN ('belief', 'action', 'taction', 'end') THEN 1 END IGNORE NULLS)"
+    " OVER (PARTITION BY id ORDER BY i), 0) = 1 THEN t ELSE '-100' END AS label FROM t"
+)
+def label_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = event_frames(spark, sf_dir).withColumn("token", F.when(F.col("terminal"), "taction").otherwise(F.col("type")))
+    return labels.mask_rows(rows, "id", "i", "token", ["belief", "action", "taction", "end"], ["goal", "result", "feedback"]).select("event_id", "label")
+
+
+_TOKEN_SQL = "CASE t WHEN 'goal' THEN 128002 WHEN 'belief' THEN 128011 WHEN 'action' THEN 128014 WHEN 'taction' THEN 128014 WHEN 'end' THEN 128015 WHEN 'result' THEN 128016 ELSE 128017 END"
+
+
+@query(
+    f"WITH {EVENT_FRAMES_SQL}, o AS (SELECT id, {_TOKEN_SQL} AS tok, last_value(CASE WHEN t IN ('goal', 'result', 'feedback') THEN 0 ELSE 1 END IGNORE NULLS) OVER (PARTITION BY id ORDER BY i) AS on_ FROM t)"
+    " SELECT id, count(*) AS n, count(*) FILTER (on_ = 1) AS supervised, sum(CASE WHEN on_ = 1 THEN tok ELSE -100 END)::BIGINT AS total FROM o GROUP BY id"
+)
+def label_mask_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from frameloom.functions.schema import TOKEN, lookup
+
+    ids = event_arrays(spark, sf_dir).select("id", F.transform("frames", lambda f: lookup(TOKEN, f["type"])).alias("ids"))
+    masked = ids.withColumn("labels", labels.mask_runtime(F.col("ids")))
+    kept = F.size(F.filter("labels", lambda x: x != labels.IGNORED)).cast("long")
+    return masked.select("id", F.size("ids").cast("long").alias("n"), kept.alias("supervised"), F.aggregate("labels", F.lit(0).cast("long"), lambda a, x: a + x).alias("total"))
+
+
+@query(
+    "WITH s AS (SELECT user_id, event_id, ts, event_id % 8 AS batch FROM events), l AS (SELECT user_id, batch, count(*) AS n FROM s GROUP BY ALL), m AS (SELECT batch, max(n) AS most FROM l GROUP BY batch)"
+    " SELECT user_id, l.batch, most AS padded, n AS attended FROM l JOIN m ON l.batch = m.batch"
+)
+def collate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "events").groupBy("user_id", (F.col("event_id") % 8).alias("batch")).agg(F.collect_list(F.col("event_id").cast("int")).alias("input_ids"))
+    rows = rows.withColumn("labels", F.col("input_ids")).withColumn("attention_mask", F.transform("input_ids", lambda _: F.lit(1)))
+    out = labels.collate(rows, "batch")
+    return out.select("user_id", "batch", F.size("input_ids").cast("long").alias("padded"), F.aggregate("attention_mask", F.lit(0), lambda a, x: a + x).cast("long").alias("attended"))
+
+
+@query(
+    """WITH c AS (SELECT event_id, user_id, ts, CASE WHEN event_type = 'view' THEN '' ELSE event_type END AS cmd FROM events),
+b AS (SELECT *, last_value(nullif(cmd, '') IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM c),
+g AS (SELECT *, sum(CASE WHEN cmd <> '' AND cmd IS DISTINCT FROM before THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS island FROM b),
+s AS (SELECT event_id, CASE WHEN cmd = '' THEN 0 ELSE count(*) FILTER (cmd <> '') OVER (PARTITION BY user_id, island ORDER BY ts, event_id) END AS streak FROM g)
+SELECT event_id, streak::BIGINT AS streak, streak >= 3 AS repeated FROM s"""
+)
+def repeat_streak(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "events").select("event_id", "user_id", F.struct("ts", "event_id").alias("at"), F.when(F.col("event_type") == "view", "").otherwise(F.col("event_type")).alias("command"))
+    return results.repeats(rows, "user_id", "at", "command").select("event_id", F.col("streak").cast("long").alias("streak"), "repeated")
+
+
+@query(
+    """WITH c AS (SELECT event_id, user_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS step, event_type AS cmd FROM events),
+b AS (SELECT *, lag(cmd) OVER (PARTITION BY user_id ORDER BY step) AS p1, lag(cmd, 2) OVER (PARTITION BY user_id ORDER BY step) AS p2 FROM c WHERE step < 250),
+y AS (SELECT user_id, step, CASE WHEN cmd = p1 AND p1 = p2 THEN 'repeated_command' WHEN event_id % 101 = 0 THEN 'submitted' END AS why FROM b),
+e AS (SELECT user_id, min(step) FILTER (why IS NOT NULL) AS s, arg_min(why, step) FILTER (why IS NOT NULL) AS w, max(step) AS last FROM y GROUP BY user_id)
+SELECT user_id AS run_id, coalesce(w, 'max_iterations') AS stopped_on, coalesce(s, last) + 1 AS iterations FROM e"""
+)
+def command_stops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    frames = event_frames(spark, sf_dir).join(table(spark, sf_dir, "events").select("event_id", "event_type"), "event_id")
+    steps = frames.select(F.col("id").alias("run_id"), F.col("i").alias("step"), F.col("event_type").alias("command"), F.lit(None).cast("string").alias("problem"), F.lit(1).alias("n_calls"), (F.col("event_id") % 101 == 0).alias("submitted"), F.lit(False).alias("max_tokens"))
+    return replay.command_stops(steps).select("run_id", "stopped_on", F.col("iterations").cast("long").alias("iterations"))
+
+
+@query("SELECT conv_id, count(*) FILTER (turn < first) AS prompt, count(*) AS n FROM (SELECT *, coalesce(min(turn) FILTER (role = 'assistant') OVER (PARTITION BY conv_id), 1e9) AS first FROM conversations) GROUP BY conv_id HAVING count(*) FILTER (role = 'assistant') > 0")
+def eval_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role"))).alias("messages"))
+    good = turns.where(dataset.evaluable_messages(F.col("messages")))
+    return good.select("conv_id", F.size(dataset.prompt_messages(F.col("messages"))).cast("long").alias("prompt"), F.size("messages").cast("long").alias("n"))
+
+
+@query(f"WITH {EVENT_FRAMES_SQL}, c AS (SELECT id, min(i) FILTER (t IN ('belief', 'action', 'taction')) AS first, count(*) AS n FROM t GROUP BY id) SELECT id, coalesce(first, n) AS cut FROM c")
+def cut_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return event_arrays(spark, sf_dir).select("id", validate.cut_index(F.col("frames")).cast("long").alias("cut"))
+
+
+@query("SELECT doc_id AS id, NOT coalesce(bool_or(quality = 0), false) AS valid FROM documents LEFT JOIN labels USING (doc_id) GROUP BY doc_id")
+def entry_validity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scores = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), (F.col("quality") == 1).alias("valid"))
+    return results.entry_validity(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id")), scores)
+
+
+@query("SELECT doc_id, source FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1)")
+def wanted_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookups.wanted(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").where("toxic = 1"), "doc_id").select("doc_id", "source")
+
+
+@query(
+    """WITH k AS (SELECT n_name AS key FROM nation UNION ALL SELECT r_name FROM region UNION ALL SELECT p_size::VARCHAR FROM part WHERE p_partkey < 100 UNION ALL SELECT 'none')
+SELECT key, coalesce((SELECT max(n_nationkey) FROM nation WHERE n_name = key AND n_nationkey % 2 = 0), (SELECT max(r_regionkey) FROM region WHERE r_name = key),
+  CASE WHEN regexp_full_match(key, '[0-9]+') AND TRY_CAST(key AS BIGINT) < 25 THEN TRY_CAST(key AS BIGINT) END)::BIGINT AS index FROM k"""
+)
+def fallback_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nation, region, part = (table(spark, sf_dir, t) for t in ("nation", "region", "part"))
+    keys = nation.select(F.col("n_name").alias("key")).union(region.select("r_name")).union(part.where("p_partkey < 100").select(F.col("p_size").cast("string"))).union(spark.createDataFrame([("none",)], "key string"))
+    return lookups.resolve(keys, nation.where("n_nationkey % 2 = 0").select(F.col("n_name").alias("key"), F.col("n_nationkey").alias("index")), region.select(F.col("r_name").alias("key"), F.col("r_regionkey").alias("index")), 25)
+
+
+_FUNCTIONS = ["ring", "big widget", "widget", "small ring", "gear"]
+
+
+@query("SELECT p_partkey, (SELECT arg_min(f, i) FROM (VALUES (0, 'ring'), (1, 'big widget'), (2, 'widget'), (3, 'small ring'), (4, 'gear')) v(i, f) WHERE ends_with(f, regexp_extract(p_name, '[a-z]+$'))) AS found FROM part")
+def suffix_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    functions = F.array(*map(F.lit, _FUNCTIONS))
+    return table(spark, sf_dir, "part").select("p_partkey", lookups.by_suffix(F.regexp_extract("p_name", "[a-z]+$", 0), functions).alias("found"))
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN round(o_totalprice * 2, 2) ELSE o_totalprice END AS o_totalprice, CASE WHEN o_orderkey % 7 = 0 THEN 'new' ELSE o_orderstatus END AS o_orderstatus FROM orders")
+def upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    old = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", "o_orderstatus", F.lit(0).alias("pos"))
+    new = old.where("o_orderkey % 7 = 0").select("o_orderkey", F.round(F.col("o_totalprice") * 2, 2).alias("o_totalprice"), F.lit("new").alias("o_orderstatus"), "pos")
+    return results.upsert(old, new, "o_orderkey", "pos").drop("pos")
+
+
+@query("SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS rn FROM events) WHERE rn = 1")
+def latest_result(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return results.latest(table(spark, sf_dir, "events").select("user_id", "event_id", "event_type"), "user_id", "event_id")
+
+
+@query("SELECT user_id::VARCHAR AS instance_id, 'm' AS model_name_or_path, CASE WHEN event_type = 'view' THEN '' ELSE event_type END AS model_patch FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS rn FROM events) WHERE rn = 1")
+def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("instance_id"), F.when(F.col("event_type") != "view", F.col("event_type")).alias("model_patch"), F.col("event_id").alias("pos"))
+    return results.predictions(rows, "m")
+
+
+@query("SELECT label, i AS dim, round(avg(embedding[i]::DOUBLE), 5) AS mean FROM (SELECT label, embedding, unnest(generate_series(1, len(embedding))) AS i FROM embeddings) GROUP BY label, i")
+def meanpool(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pooled = vectors.mean_pool(table(spark, sf_dir, "embeddings"), "label", "embedding")
+    return pooled.select("label", F.posexplode("mean").alias("i", "x")).select("label", (F.col("i") + 1).cast("long").alias("dim"), F.round("x", 5).alias("mean"))
+
+
+@query("SELECT vec_id, round(sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))), 5) AS norm, round(list_max(list_transform(embedding, lambda x: abs(x::DOUBLE - 0.1::DOUBLE))), 5) AS error FROM embeddings")
+def vector_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = F.col("embedding")
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.round(vectors.norm(v), 5).alias("norm"), F.round(vectors.max_abs_error(v, F.transform(v, lambda _: F.lit(0.1))), 5).alias("error"))
+
+
+@query(
+    """SELECT doc_id, sha256(CASE WHEN len(text) > 1024 THEN left(text, 1024) || '...' ELSE text END) AS cut, sha256(CASE WHEN len(line) > 300 THEN left(line, 300) || '...' ELSE line END) AS preview,
+  sha256('<returncode>' || doc_id % 3 || '</returncode>' || chr(10) || CASE WHEN len(text) < 10000 THEN '<output>' || chr(10) || text || '</output>' ELSE
+    '<warning>The output of your last command was too long. Try a more selective command.</warning>' || chr(10) || '<output_head>' || chr(10) || left(text, 5000) || '</output_head>' || chr(10)
+    || '<elided_chars>' || (len(text) - 10000) || ' characters elided</elided_chars>' || chr(10) || '<output_tail>' || chr(10) || right(text, 5000) || '</output_tail>' END) AS output
+FROM (SELECT doc_id, text, replace(text, chr(10), '\\n') AS line FROM documents)"""
+)
+def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = F.col("text")
+    docs = table(spark, sf_dir, "documents")
+    return docs.select("doc_id", F.sha2(text.cut(t), 256).alias("cut"), F.sha2(text.preview(t), 256).alias("preview"), F.sha2(text.command_output(t, F.col("doc_id") % 3), 256).alias("output"))
+
+
+@query(f"WITH {EVENT_FRAMES_SQL} SELECT CASE t WHEN 'taction' THEN 'action' ELSE t END AS type, count(*) AS n, count(DISTINCT id) AS n_trajectories FROM t GROUP BY 1")
+def wire_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    wired = event_arrays(spark, sf_dir).select("id", wire.render(F.col("frames")).alias("w"))
+    back = wire.parse(wired, "w").where("parse_error is null").select("id", F.explode("frames").alias("f")).where("f.error is null")
+    return back.groupBy(F.col("f.type").alias("type")).agg(F.count("*").alias("n"), F.count_distinct("id").alias("n_trajectories"))
+
+
+@query(
+    f"""WITH {EVENT_FRAMES_SQL}, g AS (SELECT id, bool_or(t = 'goal') AS goal FROM t GROUP BY id)
+SELECT role, n FROM (SELECT CASE t WHEN 'action' THEN 'assistant' WHEN 'taction' THEN 'assistant' WHEN 'result' THEN 'tool' ELSE 'user' END AS role, count(*) AS n FROM t WHERE t IN ('action', 'taction', 'result', 'feedback') GROUP BY 1
+UNION ALL SELECT 'system', count(*) FROM g WHERE goal HAVING count(*) > 0)"""
+)
+def messages_by_role(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = event_arrays(spark, sf_dir).select(F.explode(bridge.frames_to_messages(F.col("frames"))).alias("m"))
+    return said.groupBy(F.col("m.role").alias("role")).agg(F.count("*").alias("n"))
+
+
+@query(
+    """WITH s AS (SELECT user_id, event_id % 5 AS turn, count(*) AS n FROM events GROUP BY ALL)
+SELECT round(avg(c), 6) AS avg_retry_count, sum(c)::DOUBLE AS total_retry_count FROM (SELECT user_id, CASE WHEN user_id % 2 = 0 THEN sum(n - 1) ELSE 0 END AS c FROM s GROUP BY user_id)"""
+)
+def retry_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    steps = table(spark, sf_dir, "events").select(F.concat(F.when(F.col("user_id") % 2 == 0, "multi_turn_").otherwise("simple_"), F.col("user_id").cast("string")).alias("id"), (F.col("event_id") % 5).alias("turn"), F.col("event_id").alias("step"), F.col("event_type").alias("result"))
+    out = results.retry_metrics(replay.nested_results(steps))
+    return out.withColumn("avg_retry_count", F.round("avg_retry_count", 6))
+
+
+@query(
+    """SELECT p_partkey, sha256('{"api_name": "' || p_type || '", "category": "' || p_brand || '", "tool_input": "{\\"k\\": ' || p_size || '}", "tool_name": "' || p_name || '"}') AS key FROM part"""
+)
+def cache_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tool_input = F.concat(F.lit('{"k": '), F.col("p_size").cast("string"), F.lit("}"))
+    return table(spark, sf_dir, "part").select("p_partkey", lookups.cache_key(F.col("p_brand"), F.col("p_name"), F.col("p_type"), tool_input).alias("key"))
+
+
+@query(
+    r"""SELECT p_partkey, CASE WHEN regexp_matches(n, '^[0-9]') THEN 'get_' || n ELSE n END AS name, replace('a/' || p_brand, '/', '_') AS folder, regexp_replace('k_' || p_type || '_' || p_size, '_[^_]*$', '') AS category
+FROM (SELECT *, regexp_replace(lower(regexp_replace(regexp_replace(p_size || ' ' || p_name || '-' || p_brand || '!', '[^a-zA-Z0-9_^]', '_', 'g'), '_+', '_', 'g')), '^_+|_+$', '', 'g') AS n FROM part)"""
+)
+def names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = F.concat(F.col("p_size").cast("string"), F.lit(" "), "p_name", F.lit("-"), "p_brand", F.lit("!"))
+    return table(spark, sf_dir, "part").select(
+        "p_partkey", text.identifier(raw).alias("name"), text.directory_name(F.concat(F.lit("a/"), "p_brand")).alias("folder"), results.category(F.concat_ws("_", F.lit("k"), "p_type", F.col("p_size").cast("string"))).alias("category")
+    )
+
+
+@query("SELECT event_id, TRY_CAST(regexp_extract(props, '[0-9]+') AS DOUBLE) AS reward, round(100.0 * (event_id % 10) / nullif(event_id % 4, 0), 6)::DOUBLE AS percent FROM events")
+def numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = F.concat((F.col("event_id") % 10).cast("string"), F.lit("/"), (F.col("event_id") % 4).cast("string"))
+    return table(spark, sf_dir, "events").select("event_id", text.to_float(F.concat(F.lit(" "), F.regexp_extract("props", "[0-9]+", 0), F.lit("\n"))).alias("reward"), F.round(text.fraction(part), 6).alias("percent"))
+
+
+@query(
+    """WITH r AS (SELECT user_id AS id, list(DISTINCT event_type) AS called, bool_or(event_type = 'purchase') AS finished, CASE WHEN user_id % 3 = 0 THEN '' WHEN user_id % 7 = 0 THEN 'give_up_and_restart' ELSE 'x' END AS answer FROM events GROUP BY user_id)
+SELECT id, CASE WHEN NOT finished THEN 'no finish' WHEN answer IN ('', 'give_up_and_restart') THEN 'empty final answer' WHEN list_contains(called, 'error') AND id % 2 = 0 THEN 'hallucination' ELSE 'structural pass' END AS reason FROM r"""
+)
+def structural_pass(spark: SparkSession, sf_dir: str) -> DataFrame:
+    runs = table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("id")).agg(F.collect_set("event_type").alias("called"), F.bool_or(F.col("event_type") == "purchase").alias("finished"))
+    answer = F.when(F.col("id") % 3 == 0, "").when(F.col("id") % 7 == 0, "give_up_and_restart").otherwise("x")
+    offered = F.when(F.col("id") % 2 == 0, F.array(*map(F.lit, ("click", "view", "purchase", "signup")))).otherwise(F.col("called"))
+    return runs.select("id", results.structural_pass(F.col("called"), offered, answer, F.col("finished"))["reason"].alias("reason"))

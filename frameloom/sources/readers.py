@@ -12,7 +12,7 @@ from frameloom.functions.pyjson import arrow_udf, ingest_frames, ingest_messages
 from frameloom.operators import bridge
 
 #: Python breaks lines at these too; a text file read by Spark does not.
-LINE_BREAKS = "[\\x0b\\x0c\\x1c-\\x1e\\x85  ]"
+LINE_BREAKS = r"[\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
