@@ -128,4 +128,4 @@ def called_tool(call: Column) -> Column:
 def fraction(text: Column) -> Column:
     """a/b as percent; null if it is no such fraction or b is 0."""
     part = F.split(text, "/")
-    return F.lit(100.0) * part[0].try_cast("double") / F.nullif(part[1].try_cast("double"), F.lit(0.0))
+    return F.lit(100.0) * part[0].try_cast("double") / F.nullif(F.get(part, F.lit(1)).try_cast("double"), F.lit(0.0))

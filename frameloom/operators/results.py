@@ -32,12 +32,11 @@ def efficiency(tasks: DataFrame) -> DataFrame:
 
 def format_rates(tasks: DataFrame) -> DataFrame:
     """(domain, n, parsed, valid, parse_rate, valid_rate): a row for each domain and one, of domain null and whole true, for all. tasks(domain, parsed_ok, valid)."""
-    return (
-        tasks.groupingSets([[], ["domain"]], "domain")
-        .agg(F.grouping("domain").cast("boolean").alias("whole"), F.count("*").alias("n"), F.count_if(F.col("parsed_ok")).alias("parsed"), F.count_if(F.col("valid")).alias("valid"))
-        .withColumn("parse_rate", F.when(F.col("n") > 0, F.col("parsed") / F.col("n")).otherwise(0.0))
-        .withColumn("valid_rate", F.when(F.col("n") > 0, F.col("valid") / F.col("n")).otherwise(0.0))
-    )
+    by = tasks.groupBy("domain").agg(F.count("*").alias("n"), F.count_if(F.col("parsed_ok")).alias("parsed"), F.count_if(F.col("valid")).alias("valid"))
+    # the whole comes from the domains' counts: a row even where there are none
+    whole = by.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n", "parsed", "valid"))).select(F.lit(None).cast(tasks.schema["domain"].dataType).alias("domain"), F.lit(True).alias("whole"), "n", "parsed", "valid")
+    rate = lambda c: F.when(F.col("n") > 0, F.col(c) / F.col("n")).otherwise(0.0)
+    return by.select("domain", F.lit(False).alias("whole"), "n", "parsed", "valid").union(whole).withColumn("parse_rate", rate("parsed")).withColumn("valid_rate", rate("valid"))
 
 
 def failure_modes(tasks: DataFrame, order: str = "task_id", limit: int = 10) -> DataFrame:

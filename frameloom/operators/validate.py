@@ -136,7 +136,7 @@ def violations_of_rows(rows: DataFrame, by: str = "id", order: str = "i", kind:
 
     What is pending after a row is a running sum that never falls below zero: S - min(0, least S so far).
     """
-    w = Window.partitionBy(by).orderBy(order)
+    w = Window.partitionBy(by).orderBy("i")
     upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     before = w.rowsBetween(Window.unboundedPreceding, -1)
     t = F.when(F.col(terminal) & (F.col(kind) == "action"), "taction").otherwise(F.col(kind))
