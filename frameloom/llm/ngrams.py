@@ -36,10 +36,9 @@ def word_hashes(text: str | None) -> np.ndarray:
     return np.fromiter(map(_hashes.__getitem__, found), np.uint32, len(found))
 
 
-def word_parts(word: str) -> np.ndarray:
-    """32-bit hashes of a word and of its beginnings, which inflected forms share."""
-    parts = [word, *(f"{word[:k]}_" for k in PART_CHARS if len(word) >= k)]
-    return np.array([xxhash.xxh32_intdigest(x.encode("utf-8", "surrogatepass")) for x in parts], np.uint32)
+def word_parts(word: str) -> list[str]:
+    """A word and its beginnings, which inflected forms share; a beginning is marked by a blank."""
+    return [word, *[word[:k] + " " for k in PART_CHARS if len(word) >= k]]
 
 
 def words(text: str | None) -> list[str]:

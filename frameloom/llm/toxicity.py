@@ -1,6 +1,6 @@
 """Toxicity from confirmed toxic texts and unlabelled ones: non-negative positive-unlabelled learning.
 
-A linear classifier over counts of hashed words and word beginnings (inflected forms share them) is
+A linear classifier over counts of words and word beginnings (inflected forms share them) is
 trained in numpy. Its risk is
 prior * R+(positives as 1) + max(0, R-(unlabelled as 0) - prior * R-(positives as 0)): the unlabelled
 texts stand for the negatives once the positives among them, whose share the class prior gives, are
@@ -36,16 +36,15 @@ class Counts(dict):
 
     bound = 200_000
 
-    def __init__(self, known: np.ndarray):
+    def __init__(self, known: list[str]):
         super().__init__()
-        self.known = known
+        self.number = {part: i for i, part in enumerate(known)}
 
     def __missing__(self, word: str) -> bytes:
         if len(self) >= self.bound:
             self.clear()
-        parts = word_parts(word)
-        at = np.minimum(np.searchsorted(self.known, parts), max(0, len(self.known) - 1))
-        found = self[word] = at[self.known[at] == parts].astype(np.int32).tobytes() if len(self.known) else b""
+        number = self.number
+        found = self[word] = b"".join([number[p].to_bytes(4, "little") for p in word_parts(word) if p in number])
         return found
 
     def of(self, text: str | None) -> tuple[bytes, int]:
@@ -86,8 +85,8 @@ def fit(xp: np.ndarray, xu: np.ndarray, prior: float) -> tuple[np.ndarray, float
     return w, float(b)
 
 
-def telling_parts(sample: DataFrame, n: int = PARTS) -> np.ndarray:
-    """Sorted hashes of the n parts whose share of texts differs most between sample(positive, text)'s two kinds, in standard errors.
+def telling_parts(sample: DataFrame, n: int = PARTS) -> list[str]:
+    """The n parts, sorted, whose share of texts differs most between sample(positive, text)'s two kinds, in standard errors.
 
     Texts are counted in each batch before the counts are shuffled; only n rows reach the driver.
     """
@@ -95,20 +94,19 @@ def telling_parts(sample: DataFrame, n: int = PARTS) -> np.ndarray:
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         n_pos, n_unl = Counter(), Counter()
         for positive, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            seen = set().union(*(word_parts(w).tolist() for w in set(words(text))))
-            (n_pos if positive else n_unl).update(seen)
+            (n_pos if positive else n_unl).update({p for w in set(words(text)) for p in word_parts(w)})
         parts = [*{**n_pos, **n_unl}]
-        return pa.RecordBatch.from_pydict({"part": pa.array(parts, pa.int64()), "p": pa.array([n_pos[x] for x in parts], pa.int64()), "u": pa.array([n_unl[x] for x in parts], pa.int64())})
+        return pa.RecordBatch.from_pydict({"part": pa.array(parts, pa.string()), "p": pa.array([n_pos[x] for x in parts], pa.int64()), "u": pa.array([n_unl[x] for x in parts], pa.int64())})
 
     sizes = sample.agg(F.count_if("positive").alias("p"), F.count_if(~F.col("positive")).alias("u")).first()
     n_p, n_u = max(1, sizes["p"]), max(1, sizes["u"])
-    counts = map_batches(sample.select("positive", "text"), run, "part long, p long, u long").groupBy("part").agg((F.sum("p") / n_p).alias("p"), (F.sum("u") / n_u).alias("u"))
+    counts = map_batches(sample.select("positive", "text"), run, "part string, p long, u long").groupBy("part").agg((F.sum("p") / n_p).alias("p"), (F.sum("u") / n_u).alias("u"))
     error = F.sqrt(F.greatest(F.col("u") * (1 - F.col("u")), F.lit(1 / n_u)) * (1 / n_p + 1 / n_u))
     best = counts.where("p > u").orderBy(((F.col("p") - F.col("u")) / error).desc(), "part").limit(n)
-    return np.sort(np.array([r["part"] for r in best.select("part").collect()], np.uint32))
+    return sorted(r["part"] for r in best.select("part").collect())
 
 
-Model = tuple[np.ndarray, np.ndarray, float]
+Model = tuple[list[str], np.ndarray, float]
 
 
 def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic") -> Model:
