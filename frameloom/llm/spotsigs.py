@@ -15,10 +15,11 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from frameloom.llm.common import bounded_batches, materialize
+from frameloom.llm.common import bounded_batches, map_batches, materialize
+from frameloom.llm.graph import components
 
 #: Common words of four languages, in lower case.
 ANCHORS = frozenset(
@@ -162,8 +163,9 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return done.where("edge is null").select(*columns).union(ends.mapInArrow(join_ends, f"doc_id {kind}, {_KINDS}"))
 
 
-#: Sets are compared within a class of lengths and with the next one: a class's bounds are at this ratio.
 LEAST_LIKENESS = 0.8
+#: Sets that stand side by side in a list of a signature; longer lists are dealt out.
+LIST_ROWS = 1000
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = LEAST_LIKENESS) -> DataFrame:
@@ -171,64 +173,66 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     group_id is the smallest doc_id of the group. Equal sets are one; each distinct set is compared once.
     Sets are partitioned by length, in classes whose bounds grow by 1 / least, so that a link joins sets of
-    one class or of two neighbours. Within them, two sets of that likeness share one of their rarest
-    signatures: of n, the first n - ceil(least * n) + 1 in order of their frequency. The sets that meet in a
-    signature, in order of their lengths, are compared with those after it while the length allows; a
-    signature that very many sets share is cut into blocks of sets, and each two blocks are a task's row.
-    Null, empty and blank texts share the empty set. Null ids are never the smallest.
+    one class or of two neighbours. Two sets of that likeness share one of their rarest signatures: of n,
+    the first n - ceil(least * n) + 1 in order of their frequency. Candidates are the sets that meet there.
+
+    They are compared in two steps, so that a large group of near copies does not meet pair by pair. First each
+    set with the one after it in each of its signatures' lists, in an order of each list's own: that
+    connects what is alike at large. Then, exactly, those that meet and are not connected: in each list the
+    sets outside its largest group with all others. Null, empty and blank texts share the empty set. Null ids
+    are never the smallest.
     """
+    marked = materialize(marked_sets(docs, id_col, text_col), "marked")
+    heads = marked.groupBy("fingerprint").agg(F.min("doc_id").alias("head"))
+    # equal fingerprints are equal sets: one of them stands for all
+    sets = materialize(marked.where(F.size("sigs") > 0).groupBy("fingerprint").agg(F.first("sigs").alias("sigs")).select(F.xxhash64("fingerprint").alias("fp"), "sigs"), "sets")
+    probes = materialize(_probes(sets, least), "probes")
+    salt = F.pmod(F.xxhash64("fp", "sig"), F.ceil(F.col("often") / LIST_ROWS).cast("long"))
+    beside = Window.partitionBy("sig", "class", "_salt").orderBy(F.xxhash64("sig", "fp"))
+    first = probes.withColumn("_salt", salt).select(F.col("fp").alias("a"), F.lead("fp").over(beside).alias("b")).where("b is not null")
+    links = materialize(_alike(first, sets, least), "links")
+    roots = components(links)
+    grouped = materialize(probes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "n", "sig", "class", F.coalesce("root", "fp").alias("root")), "grouped")
+    sizes = grouped.groupBy("sig", "root").agg(F.count("*").alias("k"))
+    lists = sizes.groupBy("sig").agg(F.max_by("root", F.struct("k", "root")).alias("largest"), F.count("*").alias("groups")).where("groups > 1")
+    open_lists = grouped.join(lists, "sig")
+    x = open_lists.where("root <> largest").select("sig", F.explode(F.array(*(F.col("class") + k for k in (-1, 0, 1)))).alias("class"), F.col("fp").alias("a"), F.col("n").alias("n_a"), F.col("root").alias("root_a"))
+    y = open_lists.select("sig", "class", F.col("fp").alias("b"), F.col("n").alias("n_b"), F.col("root").alias("root_b"))
+    near = (F.col("root_a") != F.col("root_b")) & (F.least("n_a", "n_b") >= least * F.greatest("n_a", "n_b") - 1e-9)
+    rest = _alike(x.join(y, ["sig", "class"]).where(near).select("a", "b"), sets, least)
+    final = components(links.union(rest))
+    named = heads.withColumn("fp", F.xxhash64("fingerprint")).join(final.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    groups = named.join(named.groupBy("root").agg(F.min("head").alias("group_id")), "root").select("fingerprint", "group_id")
+    return marked.select("doc_id", "fingerprint", F.size("sigs").alias("n_signatures")).join(groups, "fingerprint").select("doc_id", "fingerprint", "n_signatures", "group_id")
+
+
+def marked_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, fingerprint, sigs) for each row of docs."""
     named = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    kind = named.schema["doc_id"].dataType.simpleString()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [signatures(t) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(map(fingerprint, sets), pa.string()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["doc_id", "fingerprint", "sigs"]
-            )
-
-    bounded_batches(docs.sparkSession)
-    marked = materialize(named.mapInArrow(run, f"doc_id {kind}, fingerprint string, sigs array<long>"), "marked")
-    # equal fingerprints are equal sets: the first of them stands for all
-    heads = marked.groupBy("fingerprint").agg(F.min("doc_id").alias("head"), F.count("*").alias("n_docs"))
-    sets = materialize(marked.groupBy("fingerprint").agg(F.first("sigs").alias("sigs")).where(F.size("sigs") > 0).withColumn("fp", F.xxhash64("fingerprint", F.lit(1))), "sets")
-    flat = sets.select("fp", F.size("sigs").alias("n"), F.explode("sigs").alias("sig"))
-    often = flat.groupBy("sig").agg(F.count("*").alias("often"))
-    ranked = flat.join(often.where("often > 1"), "sig")
-    # a signature of one set alone links nothing, but keeps its place among the rarest
-    order = F.array_sort(F.collect_list(F.struct("often", "sig")))
-    common = ranked.groupBy("fp", "n").agg(order.alias("shared"))
-    prefix = F.greatest(F.lit(0), F.size("shared") - F.col("n") + (F.col("n") - F.ceil(F.col("n") * least) + 1)).cast("int")
-    probes = common.select("fp", "n", F.explode(F.slice("shared", F.lit(1), prefix)).alias("s")).select("fp", "n", F.col("s.sig").alias("sig"))
-    size_class = F.floor(F.log(F.col("n")) / F.log(F.lit(1 / least))).cast("int")
-    pairs = _pairs(materialize(probes.withColumn("class", size_class), "probes"), least)
-    a, b = (sets.select(F.col("fp").alias(x), F.col("sigs").alias(f"sigs_{x}")) for x in ("a", "b"))
-    both = pairs.join(a, "a").join(b, "b").withColumn("both", F.size(F.array_intersect("sigs_a", "sigs_b")))
-    alike = both.where(F.col("both") >= least * (F.size("sigs_a") + F.size("sigs_b") - F.col("both")) - 1e-9)
-    from frameloom.llm.graph import components
-
-    roots = components(alike.select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")))
-    named_heads = heads.withColumn("fp", F.xxhash64("fingerprint", F.lit(1))).join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least_ids = named_heads.groupBy("root").agg(F.min("head").alias("group_id"))
-    groups = named_heads.join(least_ids, "root").select("fingerprint", "group_id")
-    return marked.select("doc_id", "fingerprint", F.size("sigs").alias("n_signatures")).join(groups, "fingerprint").select("doc_id", "fingerprint", "n_signatures", "group_id")
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        sets = [signatures(t) for t in batch.column(1).to_pylist()]
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(fingerprint, sets), pa.string()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["doc_id", "fingerprint", "sigs"])
 
+    return map_batches(named, run, f"doc_id {named.schema['doc_id'].dataType.simpleString()}, fingerprint string, sigs array<long>")
 
-#: Sets in a block of a signature's list.
-BLOCK = 64
 
+def _probes(sets: DataFrame, least: float) -> DataFrame:
+    """(fp, n, sig, often, class): each set's rarest signatures; those of one set alone link nothing, but count among the rarest."""
+    flat = sets.select("fp", F.size("sigs").alias("n"), F.explode("sigs").alias("sig"))
+    shared = flat.join(flat.groupBy("sig").agg(F.count("*").alias("often")).where("often > 1"), "sig")
+    ordered = shared.groupBy("fp", "n").agg(F.array_sort(F.collect_list(F.struct("often", "sig"))).alias("shared"))
+    alone = F.col("n") - F.size("shared")
+    take = F.greatest(F.lit(0), F.col("n") - F.ceil(F.col("n") * least - 1e-9) + 1 - alone).cast("int")
+    size_class = F.floor(F.log(F.col("n")) / F.log(F.lit(1 / least))).cast("int")
+    return ordered.select("fp", "n", F.explode(F.slice("shared", F.lit(1), take)).alias("s"), size_class.alias("class")).select("fp", "n", "s.sig", "s.often", "class")
 
-def _pairs(probes: DataFrame, least: float) -> DataFrame:
-    """probes(fp, n, sig, class) -> distinct (a, b) that share a probe and whose lengths allow the likeness."""
-    from pyspark.sql import Window
 
-    place = F.row_number().over(Window.partitionBy("sig", "class").orderBy("n", "fp")) - 1
-    blocks = probes.withColumn("block", F.floor(place / BLOCK)).groupBy("sig", "class", "block").agg(F.collect_list(F.struct("n", "fp")).alias("sets"), F.min("n").alias("low"), F.max("n").alias("high"))
-    blocks = materialize(blocks, "blocks")
-    left = blocks.select("sig", F.col("class").alias("class_a"), F.col("block").alias("block_a"), F.col("sets").alias("x"), F.col("high").alias("high_a"), F.col("low").alias("low_a"))
-    right = blocks.select("sig", F.col("class").alias("class_b"), F.col("block").alias("block_b"), F.col("sets").alias("y"), F.col("low").alias("low_b"), F.col("high").alias("high_b"))
-    near = ((F.col("class_a") == F.col("class_b")) & (F.col("block_a") <= F.col("block_b"))) | (F.col("class_a") + 1 == F.col("class_b"))
-    met = left.join(right, "sig").where(near & (F.col("high_a") >= least * F.col("low_b") - 1e-9) & (F.col("high_b") >= least * F.col("low_a") - 1e-9))
-    one = met.select(F.explode("x").alias("p"), "y").select("p", F.explode("y").alias("q"))
-    kept = one.where("p.fp <> q.fp").where((F.least("p.n", "q.n") >= least * F.greatest("p.n", "q.n") - 1e-9))
-    return kept.select(F.least("p.fp", "q.fp").alias("a"), F.greatest("p.fp", "q.fp").alias("b")).distinct()
+def _alike(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """(hi, lo) of pairs(a, b) whose Jaccard reaches least; pairs whose sizes alone rule it out are not intersected."""
+    pairs = pairs.select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).where("hi <> lo").distinct()
+    x, y = (sets.select(F.col("fp").alias(c), F.col("sigs").alias(f"sigs_{c}")) for c in ("hi", "lo"))
+    met = pairs.join(x, "hi").join(y, "lo").withColumn("n", F.size("sigs_hi") + F.size("sigs_lo"))
+    sized = met.where(F.least(F.size("sigs_hi"), F.size("sigs_lo")) >= least * F.greatest(F.size("sigs_hi"), F.size("sigs_lo")) - 1e-9)
+    common = F.size(F.array_intersect("sigs_hi", "sigs_lo"))
+    return sized.where(common >= least * (F.col("n") - common) - 1e-9).select("hi", "lo")
