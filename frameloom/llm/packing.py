@@ -29,8 +29,9 @@ WINDOW = 1024
 END_ID = 0
 #: Steps of the least-squares solver; it stops when no count would change by TOLERANCE.
 STEPS, TOLERANCE = 400, 0.02
-#: Pieces of one length are numbered in groups of about so many.
-GROUP_ROWS = 20_000
+#: Pieces of one length are numbered in groups of about so many, or of the root of all pieces' number if that is more:
+#: groups stay small beside a task, and their counts few beside the pieces.
+GROUP_ROWS = 500
 TOKENIZER = "byte_bpe_50k.json"
 
 
@@ -204,12 +205,13 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folder
     empty table gives no rows. Texts are tokenized once; the pieces' table is written before packing.
     """
     cut = materialize(pieces(docs, id_col, text_col, folder, window), "pieces")
-    groups = max(1, -(-cut.count() // GROUP_ROWS))
-    cut = cut.withColumn("_group", F.pmod(F.xxhash64("doc_id", "start"), F.lit(groups)))
-    counts = materialize(cut.groupBy("length", "_group").agg(F.count("*").alias("n")), "counts")
     hist = np.zeros(window + 1, np.int64)
-    for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect():
+    for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect():
         hist[r["length"]] = r["n"]
+    group_rows = max(GROUP_ROWS, int(np.sqrt(hist.sum())))
+    groups = F.get(F.array(*(F.lit(int(max(1, -(-n // group_rows)))) for n in hist)), F.col("length").cast("int"))
+    cut = cut.withColumn("_group", F.pmod(F.xxhash64("doc_id", "start"), groups))
+    counts = materialize(cut.groupBy("length", "_group").agg(F.count("*").alias("n")), "counts")
     plan = docs.sparkSession.sparkContext.broadcast(Plan(hist, window))
     before = Window.partitionBy("length").orderBy("_group").rowsBetween(Window.unboundedPreceding, -1)
     bases = counts.select("length", "_group", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_base"))
