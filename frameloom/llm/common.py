@@ -42,6 +42,18 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(at)
 
 
+def write_shared(spark: SparkSession, name: str, content: bytes) -> str:
+    """Writes a file to the shared folder, whatever store it is in; returns its path. It goes when the driver process ends."""
+    at = f"{shared_dir(spark)}/{name}"
+    sc = spark.sparkContext
+    path = sc._jvm.org.apache.hadoop.fs.Path(at)
+    out = path.getFileSystem(sc._jsc.hadoopConfiguration()).create(path)
+    out.write(bytearray(content))
+    out.close()
+    atexit.register(_remove, spark, at)
+    return at
+
+
 def _remove(spark: SparkSession, at: str) -> None:
     sc = spark.sparkContext
     if sc._jsc is None or sc._jsc.sc().isStopped():

@@ -91,6 +91,24 @@ def secrets(versions: DataFrame, path_col: str = "doc_id", text_col: str = "text
     return paths.join(hits, "blob_id", "left").select("path", "blob_id", F.coalesce("spans", none).alias("spans"))
 
 
+LEDGER = "blob_id string, rule_version string, spans array<struct<start:int,kind_no:int,kind:string,end:int>>"
+
+
+def scan_versions(versions: DataFrame, ledger_path: str, path_col: str = "doc_id", text_col: str = "text", rule_version: str = RULE_VERSION) -> DataFrame:
+    """secrets() with a ledger kept at ledger_path: what it lacks is scanned and appended, a folder for each rule version.
+
+    A run that is broken off has appended all of its blobs or none. Two runs at once may scan a blob twice; its spans are the same.
+    """
+    spark = versions.sparkSession
+    sc = spark.sparkContext
+    at = sc._jvm.org.apache.hadoop.fs.Path(ledger_path)
+    there = at.getFileSystem(sc._jsc.hadoopConfiguration()).exists(at)
+    ledger = spark.read.schema(LEDGER).parquet(ledger_path) if there else spark.createDataFrame([], LEDGER)
+    added, _ = update_ledger(versions, path_col, text_col, ledger, rule_version)
+    added.write.mode("append").partitionBy("rule_version").parquet(ledger_path)
+    return secrets(versions, path_col, text_col, spark.read.schema(LEDGER).parquet(ledger_path), rule_version)
+
+
 def joined(spans: Column) -> Column:
     """kind:start:end, comma-joined; no spans: the empty string."""
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")

@@ -7,8 +7,9 @@ finds the digests, and the rule's full string, stored beside them, confirms that
 
 from __future__ import annotations
 
+import io
 import shutil
-import tempfile
+import tarfile
 import uuid
 from functools import cache
 from pathlib import Path
@@ -17,10 +18,10 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import SparkFiles
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from frameloom.llm.common import map_batches
+from frameloom.llm.common import map_batches, write_shared
 
 #: (verdict, host/path prefix)
 RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
@@ -38,8 +39,8 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
-def write_array(rules: list[tuple[str, str]], folder: Path) -> None:
-    """Files of a digest array: sorted keys, and in their order the ends of the rule strings, the strings, the verdicts.
+def digest_array(rules: list[tuple[str, str]]) -> dict[str, np.ndarray]:
+    """The parts of a digest array: sorted keys, and in their order the ends of the rule strings, the strings, the verdicts; the lengths that rules' paths have.
 
     A rule given twice must have one verdict. A host is everything before the first /.
     """
@@ -51,20 +52,21 @@ def write_array(rules: list[tuple[str, str]], folder: Path) -> None:
     keys = np.array([xxhash.xxh64_intdigest(r.encode()) for r in names], np.uint64)
     order = np.argsort(keys, kind="stable")
     names = [names[i] for i in order]
-    folder.mkdir(parents=True, exist_ok=True)
-    np.save(folder / "keys.npy", keys[order])
-    np.save(folder / "ends.npy", np.cumsum([len(r.encode()) for r in names], dtype=np.int64))
-    np.save(folder / "blocked.npy", np.array([given[r] == "block" for r in names], bool))
-    np.save(folder / "lengths.npy", np.unique([len(r) - r.index("/") for r in names]).astype(np.int64))
-    (folder / "strings.bin").write_bytes("".join(names).encode())
+    return {
+        "keys": keys[order],
+        "ends": np.cumsum([len(r.encode()) for r in names], dtype=np.int64),
+        "strings": np.frombuffer("".join(names).encode(), np.uint8),
+        "blocked": np.array([given[r] == "block" for r in names], bool),
+        "lengths": np.unique([len(r) - r.index("/") for r in names]).astype(np.int64),
+    }
 
 
 class DigestArray:
-    """The files of write_array(), memory-mapped."""
+    """A digest array's parts, as arrays or as the files of a folder, memory-mapped."""
 
-    def __init__(self, folder: Path):
-        self.keys, self.ends, self.blocked, self.lengths = (np.load(folder / f"{n}.npy", mmap_mode="r") for n in ("keys", "ends", "blocked", "lengths"))
-        self.strings = np.memmap(folder / "strings.bin", np.uint8, "r") if len(self.keys) else np.zeros(0, np.uint8)
+    def __init__(self, at: Path | dict[str, np.ndarray]):
+        part = at if isinstance(at, dict) else {n: np.load(at / f"{n}.npy", mmap_mode="r") for n in ("keys", "ends", "strings", "blocked", "lengths")}
+        self.keys, self.ends, self.strings, self.blocked, self.lengths = (part[n] for n in ("keys", "ends", "strings", "blocked", "lengths"))
 
     def rule(self, i: int) -> bytes:
         return self.strings[self.ends[i - 1] if i else 0 : self.ends[i]].tobytes()
@@ -100,13 +102,20 @@ def _opened(name: str) -> DigestArray:
     return DigestArray(unpacked)
 
 
-def publish(spark, rules: list[tuple[str, str]]) -> str:
-    """Builds the array on the driver and hands it to every executor, which maps its own copy; returns its name."""
-    at = Path(tempfile.mkdtemp(prefix="digests-"))
-    write_array(rules, at / "array")
-    name = f"digests-{uuid.uuid4().hex}"
-    spark.sparkContext.addFile(shutil.make_archive(str(at / name), "tar", at / "array"))
-    return f"{name}.tar"
+def publish(spark: SparkSession, rules: list[tuple[str, str]]) -> str:
+    """Builds the array on the driver, writes it to the shared folder and has every executor fetch a copy, which it maps; returns its name."""
+    packed = io.BytesIO()
+    with tarfile.open(fileobj=packed, mode="w") as tar:
+        for name, part in digest_array(rules).items():
+            body = io.BytesIO()
+            np.save(body, part)
+            entry = tarfile.TarInfo(f"{name}.npy")
+            entry.size = body.tell()
+            body.seek(0)
+            tar.addfile(entry, body)
+    name = f"digests-{uuid.uuid4().hex}.tar"
+    spark.sparkContext.addFile(write_shared(spark, name, packed.getvalue()))
+    return name
 
 
 def candidates(host: str, path: str, lengths: list[int]) -> list[str]:

@@ -50,6 +50,17 @@ def test_a_ledger_without_findings_is_believed(spark, make_docs):
     assert secrets.secrets(make_docs(["token=abcdefgh1"]), ledger=blank).first()["spans"] == []
 
 
+def test_a_kept_ledger(spark, make_docs, tmp_path):
+    at = str(tmp_path / "ledger")
+    one = make_docs(["token=abcdefgh1", None], [1, 2])
+    assert {r["path"]: len(r["spans"]) for r in secrets.scan_versions(one, at).collect()} == {1: 1, 2: 0}
+    two = one.union(make_docs(["secret: 12345678"], [5]))
+    assert {r["path"]: len(r["spans"]) for r in secrets.scan_versions(two, at).collect()} == {1: 1, 2: 0, 5: 1}
+    assert spark.read.parquet(at).count() == 3
+    secrets.scan_versions(two, at, rule_version="next")
+    assert {r["rule_version"]: r["count"] for r in spark.read.parquet(at).groupBy("rule_version").count().collect()} == {secrets.RULE_VERSION: 3, "next": 3}
+
+
 def test_repeated_rows_null_paths_and_empty_table(make_docs):
     rows = secrets.secrets(make_docs(["token=abcdefgh1", "token=abcdefgh1", "x"], [7, 7, None])).collect()
     assert sorted((r["path"] or -1, len(r["spans"])) for r in rows) == [(-1, 0), (7, 1), (7, 1)]

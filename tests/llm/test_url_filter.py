@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+import pytest
 import xxhash
 
 from frameloom.llm import url_filter
@@ -45,9 +47,19 @@ def test_many_rules(spark):
     assert judged(spark, urls, rules) == {i: brute(u, rules) for i, u in enumerate(urls)}
 
 
-def test_collisions_are_told_apart_by_the_strings(tmp_path, monkeypatch):
+@pytest.mark.parametrize("mapped", [False, True])
+def test_collisions_are_told_apart_by_the_strings(tmp_path, monkeypatch, mapped):
     monkeypatch.setattr(xxhash, "xxh64_intdigest", lambda s: len(s) % 2)
-    url_filter.write_array([("block", "aa/x"), ("allow", "bb/x"), ("block", "c/")], tmp_path)
-    array = url_filter.DigestArray(tmp_path)
+    parts = url_filter.digest_array([("block", "aa/x"), ("allow", "bb/x"), ("block", "c/")])
+    for name, part in parts.items():
+        np.save(tmp_path / f"{name}.npy", part)
+    array = url_filter.DigestArray(tmp_path if mapped else parts)
+    assert isinstance(array.keys, np.memmap) == mapped
     found = array.probe([b"bb/x", b"zz/x", b"aa/x", b"c/", b"q/"])
     assert [array.rule(i) if i >= 0 else None for i in found] == [b"bb/x", None, b"aa/x", b"c/", None]
+
+
+def test_rules_that_contradict_are_refused():
+    for rules in ([("allow", "a/"), ("block", "a/")], [("maybe", "a/")], [("allow", "a")]):
+        with pytest.raises(ValueError):
+            url_filter.digest_array(rules)
