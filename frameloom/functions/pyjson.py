@@ -161,6 +161,15 @@ def dumps(text: str | None):
         return None
 
 
+@arrow_udf("string")
+def dumps_utf8(text: str | None):
+    """JSON text as json.dumps writes it, not ASCII-escaped; null where it is no JSON."""
+    try:
+        return None if text is None else json.dumps(json.loads(text), ensure_ascii=False)
+    except ValueError:
+        return None
+
+
 @arrow_udf("string")
 def dumps_sorted(text: str | None):
     """JSON text with sorted keys; null where it is no JSON."""

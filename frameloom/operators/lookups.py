@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from frameloom.functions import text
 from frameloom.functions.pyjson import dumps
 
 
@@ -63,6 +64,20 @@ def by_suffix(name: Column, functions: Column) -> Column:
     return F.get(F.filter(functions, lambda f: F.endswith(f, name)), F.lit(0))
 
 
+def tool_step(action: Column, found: Column, error: Column, response: Column, limit: int = 1024) -> Column:
+    """struct<observation, code> of a tool call: found is the function that it fits (by_suffix), null if none does.
+
+    The observation is the JSON of the error and the response, cut at limit; the code follows from the error's
+    text. No function: an error that says so, and code 1. Finish is not looked up: its code is 3 for an answer,
+    4 otherwise, by the response.
+    """
+    said = dumps(F.to_json(F.struct(F.coalesce(error, F.lit("")).alias("error"), F.coalesce(response, F.lit("")).alias("response"))))
+    unknown = dumps(F.to_json(F.struct(F.concat(F.lit("No such function name: "), action).alias("error"), F.lit("").alias("response"))))
+    finish = F.struct(F.coalesce(response, F.lit("")).alias("observation"), F.when(F.coalesce(response, F.lit("")) != "", 3).otherwise(4).alias("code"))
+    hit = F.struct(text.cut(said, limit).alias("observation"), text.status_code(F.coalesce(error, F.lit(""))).alias("code"))
+    return F.when(action == "Finish", finish).when(found.isNull(), F.struct(unknown.alias("observation"), F.lit(1).alias("code"))).otherwise(hit)
+
+
 def all_listed(candidates: Column, table: Column) -> Column:
     """The candidates' records of a map, or null if one is missing."""
     return F.when(F.forall(candidates, lambda c: F.map_contains_key(table, c)), F.transform(candidates, lambda c: table[c]))

@@ -73,6 +73,7 @@ def run_frames(steps: list[tuple[str, int]], registry: ToolRegistry, max_iterati
     return {"stopped_on": "max_iterations", "iterations": max_iterations if len(steps) >= max_iterations else len(steps), "answer": None, "frames": frames}
 
 
+#: Fixed patterns of a chat model's tokens: a tagged call, and the text up to the first stop.
 _TOOL = re.compile(r"<\|python_tag\|>(.+?)<\|(?:eom_id|eot_id)\|>", re.DOTALL)
 _TEXT = re.compile(r"(?:<\|start_header_id\|>assistant<\|end_header_id\|>)?\s*(.*?)<\|(?:eot_id|eom_id)\|>", re.DOTALL)
 

@@ -39,6 +39,17 @@ def format_rates(tasks: DataFrame) -> DataFrame:
     return by.select("domain", F.lit(False).alias("whole"), "n", "parsed", "valid").union(whole).withColumn("parse_rate", rate("parsed")).withColumn("valid_rate", rate("valid"))
 
 
+def summary_lines(rates: DataFrame) -> list[str]:
+    """The rates of format_rates as lines of text: the whole, then the domains by name."""
+    found = rates.collect()
+    whole = next(r for r in found if r["whole"])
+    if not whole["n"]:
+        return ["no examples evaluated."]
+    share = lambda r, k: f"{r[k] / r['n']:.1%}"
+    lines = [f"examples evaluated: {whole['n']}", f"parse rate: {share(whole, 'parsed')}", f"structural valid: {share(whole, 'valid')}"]
+    return lines + [f"{r['domain']}: n={r['n']} parsed={share(r, 'parsed')} valid={share(r, 'valid')}" for r in sorted((r for r in found if not r["whole"]), key=lambda r: str(r["domain"]))]
+
+
 def failure_modes(tasks: DataFrame, order: str = "task_id", limit: int = 10) -> DataFrame:
     """(mode, n) of the most frequent failures, ties by first appearance. tasks(parse_error string, errors array<string>): a mode is the text before the first colon."""
     head = lambda e: F.substring(F.split(e, ":", 2)[0], 1, 50)

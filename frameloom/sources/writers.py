@@ -5,15 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from frameloom.functions.pyjson import dumps_utf8
+from frameloom.operators import trajectory
 from frameloom.operators.results import upsert
 from frameloom.sources.readers import count_lines
 
 
 def records(df: DataFrame) -> DataFrame:
     """(id, domain, frames, messages, num_frames, split) with frames and messages as JSON text."""
-    content = lambda f: F.struct(f["type"].alias("type"), f["json_utf8"].alias("content"))
-    frames = F.concat(F.lit("["), F.array_join(F.transform("frames", lambda f: F.concat(F.lit('{"type": "'), content(f)["type"], F.lit('", "content": '), content(f)["content"], F.lit("}"))), ", "), F.lit("]"))
-    return df.select("id", "domain", frames.alias("frames"), F.to_json("messages").alias("messages"), F.size("frames").alias("num_frames"), "split")
+    return df.select("id", "domain", trajectory.to_json(F.col("frames")).alias("frames"), dumps_utf8(F.to_json("messages")).alias("messages"), F.size("frames").alias("num_frames"), "split")
 
 
 def dataset(df: DataFrame, path: str) -> None:

@@ -34,6 +34,7 @@ def test_rates_and_failures(spark):
     got = {r["domain"] if not r["whole"] else "all": (r["n"], r["parsed"], r["valid"]) for r in results.format_rates(tasks).collect()}
     assert got == {"all": (3, 2, 1), "x": (1, 1, 1), "y": (2, 1, 0)}
     assert [tuple(r) for r in results.failure_modes(tasks).collect()] == [("validation: [a] frame 1", 2), ("parse: parse failure", 1), ("validation: [a] frame 2", 1)]
+    assert results.summary_lines(results.format_rates(tasks)) == ["examples evaluated: 3", "parse rate: 66.7%", "structural valid: 33.3%", "x: n=1 parsed=100.0% valid=100.0%", "y: n=2 parsed=50.0% valid=0.0%"]
     empty = results.format_rates(table(spark, [], TASKS)).collect()
     assert [(r["n"], r["parse_rate"]) for r in empty] == [(0, 0.0)]
 
@@ -136,6 +137,14 @@ def test_cache(spark):
     assert [(r["api"], r["error"], r["response"]) for r in hit.collect()] == [("a", "", "ok")] and [r["api"] for r in miss.collect()] == ["b"]
 
 
+def test_tool_steps(spark):
+    rows = [("get", "a_get", None, "ok"), ("get", "a_get", "Message error...", "x" * 2000), ("zz", None, None, None), ("Finish", None, None, "done"), ("Finish", None, None, "")]
+    df = table(spark, [(i, *r) for i, r in enumerate(rows)], "i int, action string, found string, error string, response string").orderBy("i")
+    got = [tuple(r["s"]) for r in df.select(lookups.tool_step(*(F.col(c) for c in ("action", "found", "error", "response"))).alias("s")).collect()]
+    assert got[0] == ('{"error": "", "response": "ok"}', 0) and len(got[1][0]) == 1027 and got[1][1] == 11
+    assert got[2:] == [('{"error": "No such function name: zz", "response": ""}', 1), ("done", 3), ("", 4)]
+
+
 def test_matrix(spark, tmp_path):
     cells = lookups.cells(spark, list(matrix.SUITES), ["frames", "chat"], {"frames": "o/f", "chat": "o/c"})
     assert cells.count() == 8

@@ -54,3 +54,17 @@ def test_frame_types(spark):
     assert schema.frame_types(spark).count() == 11 and schema.reserved(3) == "<|reserved_special_token_3|>"
     f = spark.range(1).select(schema.frame("goal", F.lit('a"b\n')).alias("f")).first()["f"]
     assert json.loads(f["json"]) == 'a"b\n' and f["truthy"]
+
+
+def test_trajectories_as_arrays(spark):
+    from frameloom.operators import trajectory as t
+
+    df = frame_table(spark, {"a": frames_of("gmkt")})
+    f = F.col("frames")
+    r = df.select(
+        t.types(t.extend(f, t.part(f, -1), F.lit(None).cast(df.schema["frames"].dataType))).alias("x"), t.types(t.append(f, schema.frame("end"))).alias("y"), *(t.types(t.part(f, *p)).alias(n) for n, p in {"p": (1, 3), "q": (-2,), "r": (3, 1), "s": (0, -1), "u": (9,)}.items()),
+        t.owners(f).alias("o"), t.same(f, t.part(f)).alias("same"), t.same(f, t.part(f, 1)).alias("other"), t.to_json(f).alias("j"),
+    ).first()
+    all_types = ["goal", "mission", "think", "action"]
+    assert r["x"] == [*all_types, "action"] and r["y"] == [*all_types, "end"] and (r["p"], r["q"], r["r"], r["s"], r["u"]) == (all_types[1:3], all_types[2:], [], all_types[:-1], [])
+    assert r["o"] == ["runtime", "runtime", "model", "model"] and r["same"] is True and r["other"] is False and json.loads(r["j"]) == frames_of("gmkt")
