@@ -37,12 +37,12 @@ def histogram(df: DataFrame, column: str, order: str | None = None, limit: int |
 def deduplicate(df: DataFrame, text_column: Column, order: str) -> DataFrame:
     """The first row, in order, of each normalised text; rows whose text is null all stay.
 
-    Rows without a text are kept apart, so that they don't meet in one window.
+    Rows without a text are kept apart, so that they don't meet in one window. The planner takes the
+    first of each key before the shuffle already, so that a key may have any number of rows.
     """
-    keyed = df.withColumn("_key", text.dedup_key(text_column))
     rank = F.row_number().over(Window.partitionBy("_key").orderBy(order))
-    first = keyed.where("_key is not null").withColumn("_rank", rank).where("_rank = 1").drop("_rank")
-    return first.unionByName(keyed.where("_key is null")).drop("_key")
+    first = df.where(text_column.isNotNull()).withColumn("_key", text.dedup_key(text_column)).withColumn("_rank", rank).where("_rank = 1").drop("_rank", "_key")
+    return first.unionByName(df.where(text_column.isNull()))
 
 
 def split(df: DataFrame, fraction: float = 0.05, seed: int = 42, domain: str = "domain", key: str = "id", least: int = 10) -> DataFrame:
