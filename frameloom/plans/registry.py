@@ -379,3 +379,76 @@ def structural_pass(spark: SparkSession, sf_dir: str) -> DataFrame:
     answer = F.when(F.col("id") % 3 == 0, "").when(F.col("id") % 7 == 0, "give_up_and_restart").otherwise("x")
     offered = F.when(F.col("id") % 2 == 0, F.array(*map(F.lit, ("click", "view", "purchase", "signup")))).otherwise(F.col("called"))
     return runs.select("id", results.structural_pass(F.col("called"), offered, answer, F.col("finished"))["reason"].alias("reason"))
+
+
+@query(
+    """WITH f(i, f) AS (VALUES (0, 'ring'), (1, 'big widget'), (2, 'widget'), (3, 'small ring'), (4, 'gear')),
+c AS (SELECT p_partkey, regexp_extract(p_name, '[a-z]+$') AS action, CASE p_size % 3 WHEN 0 THEN 'Message error...' ELSE '' END AS error, p_type || p_brand AS response FROM part),
+k AS (SELECT *, (SELECT arg_min(f, i) FROM f WHERE ends_with(f, action)) AS found FROM c)
+SELECT p_partkey, CASE WHEN found IS NULL THEN '{"error": "No such function name: ' || action || '", "response": ""}' ELSE '{"error": "' || error || '", "response": "' || response || '"}' END AS observation,
+  CASE WHEN found IS NULL THEN 1 WHEN error = '' THEN 0 ELSE 11 END AS code FROM k"""
+)
+def tool_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    action = F.regexp_extract("p_name", "[a-z]+$", 0)
+    found = lookups.by_suffix(action, F.array(*map(F.lit, _FUNCTIONS)))
+    error = F.when(F.col("p_size") % 3 == 0, "Message error...").otherwise("")
+    step = lookups.tool_step(action, found, error, F.concat("p_type", "p_brand"))
+    return table(spark, sf_dir, "part").select("p_partkey", step.alias("s")).select("p_partkey", "s.observation", "s.code")
+
+
+@query(
+    """SELECT 'simple_' || o_orderkey AS task_id, 'simple' AS domain, CASE o_orderstatus WHEN 'F' THEN true WHEN 'O' THEN false END AS success, '0' AS retry_steps,
+  (o_orderkey % 50 + o_custkey % 9)::BIGINT AS total_tokens, o_orderkey % 8 / 8 AS total_sec FROM orders"""
+)
+def task_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from frameloom.operators import suites
+
+    orders = table(spark, sf_dir, "orders").withColumn("id", F.concat(F.lit("simple_"), F.col("o_orderkey").cast("string")))
+    rows = orders.select("id", F.col("o_orderpriority").alias("result"), F.lit(None).cast("array<array<string>>").alias("turns"), (F.col("o_orderkey") % 50).alias("input_token_count"), (F.col("o_custkey") % 9).alias("output_token_count"), (F.col("o_orderkey") % 8 / 8).alias("latency"))
+    verdicts = orders.where(F.col("o_orderstatus").isin("F", "O")).select("id", (F.col("o_orderstatus") == "F").alias("valid"))
+    tasks = suites.function_calls(rows, verdicts)
+    return tasks.select("task_id", "domain", "success", F.col("metrics")["retry_steps"].alias("retry_steps"), "tokens.total_tokens", "timing.total_sec")
+
+
+@query(
+    """WITH s AS (SELECT n_nationkey AS k, CASE n_nationkey % 3 WHEN 0 THEN 'swe' WHEN 1 THEN 'bfcl' ELSE 'mine' END AS suite, n_name AS format FROM nation)
+SELECT suite, format, CASE WHEN suite = 'swe' AND k % 2 = 0 THEN 0.0 WHEN suite = 'swe' THEN 0.5 WHEN suite = 'bfcl' THEN k / 32 ELSE 2.0 END::DOUBLE AS "primary",
+  CASE suite WHEN 'swe' THEN 'resolved_rate' WHEN 'bfcl' THEN 'accuracy' ELSE suite END AS primary_label, CASE WHEN suite = 'bfcl' THEN 1.5 END::DOUBLE AS secondary, CASE WHEN k % 4 = 0 THEN 42 ELSE k END::INTEGER AS sample_seed, (k + 1)::INTEGER AS num_run FROM s"""
+)
+def matrix_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from frameloom.plans import matrix
+
+    k = F.col("n_nationkey")
+    suite = F.when(k % 3 == 0, "swe").when(k % 3 == 1, "bfcl").otherwise("mine")
+    metrics = F.when(k % 3 == 1, F.create_map(F.lit("accuracy"), (k / 32).cast("string"), F.lit("avg_retry_count"), F.lit("1.5"), F.lit("n"), (k + 1).cast("string")))
+    metrics = metrics.when(k % 3 == 2, F.create_map(F.lit("mine_primary"), F.lit("2"), F.lit("n"), (k + 1).cast("string"))).when(k % 2 == 0, F.create_map(F.lit("n"), (k + 1).cast("string")))
+    metrics = metrics.otherwise(F.create_map(F.lit("resolved_rate"), F.lit("0.5"), F.lit("n"), (k + 1).cast("string")))
+    meta = F.create_map(F.lit("model"), F.lit("m"), F.lit("sample_seed"), F.when(k % 4 == 0, 0).otherwise(k).cast("string"))
+    runs = table(spark, sf_dir, "nation").select(suite.alias("suite"), F.col("n_name").alias("format"), meta.alias("meta"), metrics.alias("metrics"), F.lit("").alias("path"))
+    return matrix.rows(runs).select("suite", "format", "primary", "primary_label", "secondary", "sample_seed", "num_run")
+
+
+@query("SELECT n_name, n_regionkey FROM nation WHERE n_nationkey % 5 = 0")
+def pinned_subset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nation = table(spark, sf_dir, "nation")
+    ids = [r[0] for r in nation.where("n_nationkey % 5 = 0").orderBy(F.desc("n_nationkey")).select("n_name").collect()]
+    return lookups.subset(nation, lookups.pinned(spark, ids, "n_name"), "n_name").select("n_name", "n_regionkey")
+
+
+@query(f"WITH {EVENT_FRAMES_SQL}, n AS (SELECT id, count(*) AS n FROM t GROUP BY id) SELECT t.id, count(*) FILTER (i >= n - 3) AS last_frames, count(*) FILTER (t IN ('belief', 'action', 'taction', 'end')) AS of_model, 2 * count(*) AS doubled FROM t JOIN n ON t.id = n.id GROUP BY t.id")
+def trajectory_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from frameloom.operators import trajectory
+
+    f = F.col("frames")
+    of_model = F.size(F.filter(trajectory.owners(f), lambda o: o == "model"))
+    return event_arrays(spark, sf_dir).select("id", *(c.cast("long").alias(n) for n, c in (("last_frames", F.size(trajectory.part(f, -3))), ("of_model", of_model), ("doubled", F.size(trajectory.extend(f, f))))))
+
+
+@query("SELECT key, error, response FROM (SELECT p_partkey::VARCHAR AS key, '' AS error, p_type AS response FROM part) WHERE key::BIGINT % 2 = 0")
+def cache_misses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = table(spark, sf_dir, "part")
+    calls = part.select(F.col("p_partkey").cast("string").alias("category"), F.lit("t").alias("tool"), F.lit("a").alias("api"), F.lit("").alias("tool_input"), "p_type")
+    key = lookups.cache_key(*(F.col(c) for c in ("category", "tool", "api", "tool_input")))
+    known = calls.where("category % 2 = 1").select(key.alias("key"), F.lit("").alias("error"), F.lit("r").alias("response"))
+    _, missing = lookups.cached(calls, known)
+    return missing.select(F.col("category").alias("key"), F.lit("").alias("error"), F.col("p_type").alias("response"))
