@@ -68,6 +68,12 @@ def bounded_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BATCH_BYTES))
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """name, or the first of name_1, name_2 ... that no column of df has, in whatever case."""
+    taken = {c.lower() for c in df.columns}
+    return next(n for n in (name, *(f"{name}_{i}" for i in range(1, len(taken) + 2))) if n.lower() not in taken)
+
+
 def with_fields(df: DataFrame, **kinds: str) -> StructType:
     """df's schema and further columns."""
     return StructType([*df.schema.fields, *(StructField(name, _parse_datatype_string(kind)) for name, kind in kinds.items())])

@@ -98,14 +98,14 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", key_c
     return langs, protos
 
 
-def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], text_col: str = "text", prefix: str = "") -> DataFrame:
-    """docs' columns plus lang_pred and score (the cosine, 0 at least).
+def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], text_col: str = "text", names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """docs' columns plus, under these names, the language and its score (the cosine, 0 at least).
 
     Null, empty and letterless texts, and all texts if no language was learnt: `und` with score 0. Ties go to the first language by name.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text_col)
-    pred, score = f"{prefix}lang_pred", f"{prefix}score"
+    pred, score = names
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         langs, protos = shared.value
@@ -121,7 +121,12 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], text_col: str
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", modulus: int = 5) -> DataFrame:
-    """(doc_id, held_out, lang_pred, score) for each row; rows of fold 0 of the modulus are held out of the training."""
+    """(doc_id, held_out, lang_pred, score) for each row; rows of fold 0 of the modulus are held out of the training.
+
+    Null, empty and letterless texts are `und` with score 0. Null languages teach nothing. A null id counts
+    as the empty text for its fold. Texts of any length are profiled whole. Repeated rows stay. Other columns
+    are not read. An empty table gives no rows.
+    """
     named = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     model = train(named.where(fold("doc_id", modulus) != 0))
     ids = named.select("doc_id", (fold("doc_id", modulus) == 0).alias("held_out"), "text")

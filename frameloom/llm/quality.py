@@ -92,7 +92,12 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], text_col: str = "tex
 
 
 def classify(docs: DataFrame, labels: DataFrame, modulus: int = 4, held: int = 2, threshold: float = THRESHOLD) -> DataFrame:
-    """(doc_id, held_out, score, predicted) for each row of docs; labels of the held-out fold are not learnt from."""
+    """(doc_id, held_out, score, predicted) for each row of docs; labels of the held-out fold are not learnt from.
+
+    Null and empty texts have the intercept's score. Without labels every score is 0.5. Null ids count as the
+    empty text for their fold and have no label. Texts are scored whole. Repeated rows stay. Other columns are
+    not read. An empty table gives no rows.
+    """
     named = docs.select("doc_id", "text")
     out = fold("doc_id", modulus) == held
     model = train(named.where(~out), labels)

@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from frameloom.llm.common import map_batches, materialize
+from frameloom.llm.common import free_name, map_batches, materialize
 from frameloom.llm.graph import components
 
 SHINGLE_WORDS = 3
@@ -86,7 +86,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     fingerprint: 16 lower-case hex digits. component_id: the smallest doc_id reachable over links of
     at most two differing bits, itself included; null ids are never the smallest, a component of
     null ids alone has a null component_id. Null, empty and blank texts share fingerprint zero and
-    are linked like any other. Equal rows stay and share a component. An empty table gives no rows.
+    are linked like any other. Texts of any length are hashed whole. Equal rows stay and share a component.
+    Other columns are not read. An empty table gives no rows.
     """
     fps = materialize(fingerprints(docs, id_col, text_col, k), "fps")
     firsts = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("first")), "firsts")
@@ -103,8 +104,9 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     Of rows that repeat that id one stays. A component of null ids alone keeps one row a null text or text.
     """
     found = near_duplicates(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")))
-    stays = materialize(found.where("doc_id <=> component_id").groupBy(F.col("doc_id").alias("_kept_id")).agg(F.count("*").alias("_kept_n")), "stays")
-    kept = docs.join(stays, docs[id_col].eqNullSafe(F.col("_kept_id")), "left_semi")
-    if stays.where("_kept_n > 1").isEmpty():
+    key = free_name(docs, "_kept")
+    stays = materialize(found.where("doc_id <=> component_id").groupBy(F.col("doc_id").alias(key)).agg(F.count("*").alias("n")), "stays")
+    kept = docs.join(stays.select(key), docs[id_col].eqNullSafe(F.col(key)), "left_semi")
+    if stays.where("n > 1").isEmpty():
         return kept
-    return kept.dropDuplicates([id_col, text_col]) if stays.where("_kept_id is null").count() else kept.dropDuplicates([id_col])
+    return kept.dropDuplicates([id_col, text_col]) if stays.where(F.col(key).isNull()).count() else kept.dropDuplicates([id_col])

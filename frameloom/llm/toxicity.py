@@ -156,7 +156,8 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 def classify(docs: DataFrame, labels: DataFrame, modulus: int = 5, held: int = 0) -> DataFrame:
     """(doc_id, held_out, score, predicted) for each row of docs(doc_id, text, ...); the held-out fold is not learnt from.
 
-    Null and empty texts are scored like texts without known words. Repeated rows stay. An empty table gives no rows.
+    Null and empty texts have the intercept's score. Null ids count as the empty text for their fold and have no
+    label. Texts are scored whole. Repeated rows stay. Other columns are not read. An empty table gives no rows.
     """
     named = docs.select("doc_id", "text")
     out = fold("doc_id", modulus) == held

@@ -71,6 +71,20 @@ def test_run_is_the_stages_in_turn(spark, sf_dir):
     assert sorted(map(tuple, docs.collect())) == sorted(map(tuple, corpus_pipeline.run(spark, at).collect()))
 
 
+def test_columns_with_clashing_names_pass_through(spark, sf_dir):
+    at, _ = sf_dir
+    docs = common.documents(spark, at)
+    for name in ("_lang", "_SCORE", "_kept", "_blob", "_spans", "score", "spans", "fp", "n", "blob_id", "rank"):
+        docs = docs.withColumn(name, F.concat(F.lit(name), F.col("doc_id").cast("string")))
+    plain = common.documents(spark, at)
+    for name, stage in corpus_pipeline.STAGES:
+        before = docs.columns
+        docs, plain = (common.materialize(stage(spark, d, at), "test") for d in (docs, plain))
+        if name != "packing":
+            assert docs.columns == before
+        assert sorted(map(tuple, docs.select(*plain.columns).collect())) == sorted(map(tuple, plain.collect()))
+
+
 def test_empty_documents(spark, tmp_path, make_docs):
     make_docs(["a"]).where("doc_id < 0").write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
