@@ -49,23 +49,27 @@ def split(df: DataFrame, fraction: float = 0.05, seed: int = 42, domain: str = "
     """df with split: of each domain of least rows or more, round-half-even(n * fraction) rows, one at least, are eval, the rest train.
 
     Which, a hash of key and seed decides, so that it depends neither on the order nor on the
-    partitions. A domain's rows are not ranked in one place: eval rows are those up to the domain's n-th
-    smallest hash, and only hashes near that bound, whose share is known beforehand, are ranked.
+    partitions: eval rows are those of a domain's smallest hashes. A domain's rows are not ranked in one
+    place. How many of its hashes lie below a bound is known but for a few standard deviations; those that
+    surely are eval are counted, and only the band around the bound is ranked.
     """
     hashed = df.withColumn("_h", F.conv(F.substring(F.sha1(F.concat_ws("|", F.col(key).cast("string"), F.lit(str(seed)))), 1, 13), 16, 10).cast("long"))
-    want = F.when(F.col("_n") >= least, F.greatest(F.lit(1), F.bround(F.col("_n") * fraction).cast("int"))).otherwise(0)
-    # about _want rows have a hash below this bound; a slack of many standard deviations keeps them all in the candidates
-    share = (F.col("_want") + 12 * F.sqrt("_want") + 40) / F.col("_n")
-    bound = F.when(F.col("_want") == 0, F.lit(-1.0)).otherwise(share * float(1 << 52))
-    sizes = df.groupBy(F.col(domain).alias("_domain")).agg(F.count("*").alias("_n")).withColumn("_want", want).withColumn("_bound", bound)
+    want = F.when(F.col("_n") >= least, F.greatest(F.lit(1), F.bround(F.col("_n") * fraction).cast("long"))).otherwise(0)
+    slack = 12 * F.sqrt("_want") + 40
+    bound = lambda share: F.when(F.col("_want") == 0, F.lit(-1.0)).otherwise(share / F.col("_n") * float(1 << 52))
+    sizes = df.groupBy(F.col(domain).alias("_domain")).agg(F.count("*").alias("_n")).withColumn("_want", want)
+    sizes = sizes.withColumn("_low", bound(F.col("_want") - slack)).withColumn("_high", bound(F.col("_want") + slack))
     rows = hashed.select(F.col(domain).alias("_of"), "_h", F.col(key).cast("string").alias("_key"))
-    candidates = rows.join(sizes, F.col("_of").eqNullSafe(F.col("_domain"))).where(F.col("_h") <= F.col("_bound"))
-    rank = F.row_number().over(Window.partitionBy("_domain").orderBy("_h", "_key"))
-    chosen = candidates.withColumn("_rank", rank).where("_rank <= _want")
-    last = chosen.groupBy("_domain").agg(F.max(F.struct("_h", "_key")).alias("_last"))
-    marked = hashed.join(last, F.col(domain).eqNullSafe(F.col("_domain")), "left").drop("_domain")
+    near = rows.join(sizes, F.col("_of").eqNullSafe(F.col("_domain"))).where(F.col("_h") <= F.col("_high"))
+    sure = near.groupBy(F.col("_domain").alias("_with")).agg(F.count_if(F.col("_h") <= F.col("_low")).alias("_sure"))
+    band = near.where(F.col("_h") > F.col("_low")).withColumn("_rank", F.row_number().over(Window.partitionBy("_domain").orderBy("_h", "_key")))
+    chosen = band.join(sure, F.col("_domain").eqNullSafe(F.col("_with"))).where(F.col("_rank") <= F.col("_want") - F.col("_sure"))
+    last = chosen.groupBy(F.col("_domain").alias("_with")).agg(F.max(F.struct("_h", "_key")).alias("_last"))
+    bounds = sizes.select("_domain", "_low").join(last, F.col("_domain").eqNullSafe(F.col("_with")), "left").drop("_with")
+    marked = hashed.join(bounds, F.col(domain).eqNullSafe(F.col("_domain")))
     place = F.struct(F.col("_h").alias("_h"), F.col(key).cast("string").alias("_key"))
-    return marked.withColumn("split", F.when(F.col("_last").isNotNull() & (place <= F.col("_last")), "eval").otherwise("train")).drop("_h", "_last")
+    chosen_row = (F.col("_h") <= F.col("_low")) | F.coalesce(place <= F.col("_last"), F.lit(False))
+    return marked.withColumn("split", F.when(chosen_row, "eval").otherwise("train")).drop("_h", "_last", "_low", "_domain")
 
 
 def sample(df: DataFrame, k: int | None, seed: int = 42, key: str = "id") -> DataFrame:

@@ -66,7 +66,12 @@ def test_split_sizes(spark, sizes):
 
 def test_split_of_a_large_domain(spark):
     df = spark.range(30_000).select(F.col("id").cast("string").alias("id"), F.lit("one").alias("domain"))
-    assert dataset.split(df).where("split = 'eval'").count() == 1500
+    got = dataset.split(df)
+    assert got.where("split = 'eval'").count() == 1500 and got.count() == 30_000
+    import hashlib
+
+    smallest = sorted(range(30_000), key=lambda i: (hashlib.sha1(f"{i}|42".encode()).hexdigest()[:13], str(i)))[:1500]
+    assert {int(r["id"]) for r in got.where("split = 'eval'").collect()} == set(smallest)
 
 
 def test_sample(spark):
