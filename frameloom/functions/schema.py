@@ -73,8 +73,6 @@ def frame(kind: str | Column, text: Column | str | None = None) -> Column:
 
 
 def quote(text: Column) -> Column:
-    """text as a JSON string, not ASCII-escaped."""
-    out = F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
-    for raw, escaped in (("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
-        out = F.replace(out, F.lit(raw), F.lit(escaped))
-    return F.concat(F.lit('"'), out, F.lit('"'))
+    """text as a JSON string, not ASCII-escaped; null stays null."""
+    listed = F.to_json(F.array(text))
+    return F.when(text.isNotNull(), F.substring(listed, F.lit(2), F.length(listed) - 2))

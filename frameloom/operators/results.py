@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from frameloom.functions.schema import TERMINAL_TOOLS
+from frameloom.functions.schema import TERMINAL_TOOLS, quote
 
 
 def _rate(flag: Column) -> Column:
@@ -180,7 +180,7 @@ def check_chat(raw: Column, call: Column, stop: Column) -> Column:
 def encode_actions(actions: Column) -> Column:
     """JSON of the calls among action frames: terminal and nameless ones dropped; none: [], one: an object, more: a list."""
     calls = F.filter(actions, lambda a: (F.coalesce(a["tool"], F.lit("")) != "") & ~F.coalesce(a["tool"].isin(TERMINAL_TOOLS), F.lit(False)))
-    texts = F.transform(calls, lambda a: F.concat(F.lit('{"name": '), F.to_json(F.array(a["tool"])).substr(F.lit(2), F.length(F.to_json(F.array(a["tool"]))) - 2), F.lit(', "parameters": '), a["args"], F.lit("}")))
+    texts = F.transform(calls, lambda a: F.concat(F.lit('{"name": '), quote(a["tool"]), F.lit(', "parameters": '), a["args"], F.lit("}")))
     return F.when(F.size(texts) == 0, "[]").when(F.size(texts) == 1, texts[0]).otherwise(F.concat(F.lit("["), F.array_join(texts, ", "), F.lit("]")))
 
 

@@ -54,6 +54,10 @@ def test_frame_types(spark):
     assert schema.frame_types(spark).count() == 11 and schema.reserved(3) == "<|reserved_special_token_3|>"
     f = spark.range(1).select(schema.frame("goal", F.lit('a"b\n')).alias("f")).first()["f"]
     assert json.loads(f["json"]) == 'a"b\n' and f["truthy"]
+    odd = [chr(i) for i in range(1, 0x180)] + ["\\", "日本", "😀", "\u2028"]
+    df = spark.createDataFrame([(x,) for x in odd], "t string")
+    assert all(json.loads(r["q"]) == r["t"] for r in df.select("t", schema.quote(F.col("t")).alias("q")).collect())
+    assert spark.range(1).select(schema.quote(F.lit(None).cast("string")).alias("q")).first()["q"] is None
 
 
 def test_trajectories_as_arrays(spark):
