@@ -252,6 +252,17 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
     return map_batches(docs, run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, ids array<int>")
 
 
+def decode_rows(df: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", path: str | None = None) -> DataFrame:
+    """(doc_id, text) of ids arrays, as encode() gives them or any other segmentation. Null and empty arrays: the empty text. Repeated rows stay."""
+    path = path or public_tokenizers.path(MODEL)
+    df = df.select(F.col(id_col).alias("doc_id"), F.col(ids_col).alias("ids"))
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array([decode(np.array(x or [], np.int64), path) for x in batch.column(1).to_pylist()], pa.string())], ["doc_id", "text"])
+
+    return map_batches(df, run, f"doc_id {df.schema['doc_id'].dataType.simpleString()}, text string")
+
+
 def row_keys(ids: list, seed: int) -> list[int]:
     return [xxhash.xxh64_intdigest(str(i).encode(), seed) for i in ids]
 

@@ -62,6 +62,8 @@ def test_rows_keep_their_samples_however_they_are_dealt(make_docs):
     a = {r["doc_id"]: r["ids"] for r in s.encode(docs).collect()}
     b = {r["doc_id"]: r["ids"] for r in s.encode(docs.repartition(7)).collect()}
     assert a == b and a[0] == a[1] == [] and len(a) == len(texts)
+    back = {r["doc_id"]: r["text"] for r in s.decode_rows(s.encode(docs)).collect()}
+    assert back == {i: (t or "").replace("▁", " ") for i, t in enumerate(texts)}
     c = {r["doc_id"]: r["ids"] for r in s.encode(docs, seed=1).collect()}
     assert sum(a[i] != c[i] for i in a) > 30
     rows = s.round_trip(docs).collect()
