@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType, _parse_datatype_string
 
 #: Upper bound of the bytes that one Arrow batch hands to Python, so that very long texts don't pile up.
-ARROW_BATCH_BYTES = 16 << 20
+ARROW_BATCH_BYTES = 4 << 20
 ARROW_BATCH_ROWS = 2000
 
 

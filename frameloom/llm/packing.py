@@ -11,6 +11,7 @@ among the pieces of its length.
 from __future__ import annotations
 
 import base64
+import json
 import os
 import zlib
 from collections.abc import Callable
@@ -22,6 +23,7 @@ import pyarrow as pa
 import tiktoken
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from frameloom.llm.common import map_batches, materialize
 
@@ -43,15 +45,11 @@ def encoder(folder: str) -> Callable[[str], np.ndarray]:
     texts with the special token's string, and those whose white space its pattern engine gives up on,
     go to tokenizers itself.
     """
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
-
-    slow = Tokenizer.from_file(os.path.join(folder, TOKENIZER))
+    with open(os.path.join(folder, TOKENIZER), encoding="utf-8") as file:
+        special = [token["content"] for token in json.load(file)["added_tokens"]]
     with open(os.path.join(folder, TOKENIZER.replace(".json", ".tiktoken")), "rb") as lines:
         ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
     fast = tiktoken.Encoding("byte_bpe_50k", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    special = list(slow.get_added_tokens_decoder().values())
-    special = [str(t.content) for t in special]
 
     def encode(text: str) -> np.ndarray:
         if not any(s in text for s in special):
@@ -59,11 +57,18 @@ def encoder(folder: str) -> Callable[[str], np.ndarray]:
                 return fast.encode_to_numpy(text).astype("<u4")
             except ValueError:
                 pass
-        return np.array(slow.encode(text, add_special_tokens=False).ids, "<u4")
+        return np.array(_slow(folder).encode(text, add_special_tokens=False).ids, "<u4")
 
     return encode
 
 
+@cache
+def _slow(folder: str) -> Tokenizer:
+    """Loaded by the first text that needs it."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    return Tokenizer.from_file(os.path.join(folder, TOKENIZER))
+
+
 def tokenizer_folder() -> str:
     return os.path.dirname(public_tokenizers.path(TOKENIZER))
 
