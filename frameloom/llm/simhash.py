@@ -9,6 +9,8 @@ member is linked to the least one after a check of the distance.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -98,12 +100,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return fps.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", near: Callable[[DataFrame], DataFrame] = near_duplicates) -> DataFrame:
     """docs without the near duplicates: of each component, one row of the smallest id stays, with all its columns.
 
-    Of rows that repeat that id one stays. A component of null ids alone keeps one row a null text or text.
+    near gives the components of (doc_id, text). Of rows that repeat that id one stays. A component of null ids alone keeps one row a null text or text.
     """
-    found = near_duplicates(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")))
+    found = near(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")))
     key = free_name(docs, "_kept")
     stays = materialize(found.where("doc_id <=> component_id").groupBy(F.col("doc_id").alias(key)).agg(F.count("*").alias("n")), "stays")
     kept = docs.join(stays.select(key), docs[id_col].eqNullSafe(F.col(key)), "left_semi")
