@@ -101,14 +101,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", near: Callable[[DataFrame], DataFrame] = near_duplicates) -> DataFrame:
-    """docs without the near duplicates: of each component, one row of the smallest id stays, with all its columns.
+    """docs without the near duplicates: of each component, the row of the smallest id, then of the smallest hash of its text, stays with all its columns.
 
-    near gives the components of (doc_id, text). Of rows that repeat that id one stays. A component of null ids alone keeps one row a null text or text.
+    near gives the components of (doc_id, text). Ids need not be unique: rows of one id and unlike texts are in
+    components of their own. Of rows that repeat id and text one stays. Null ids are never the smallest.
     """
-    found = near(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")))
-    key = free_name(docs, "_kept")
-    stays = materialize(found.where("doc_id <=> component_id").groupBy(F.col("doc_id").alias(key)).agg(F.count("*").alias("n")), "stays")
-    kept = docs.join(stays.select(key), docs[id_col].eqNullSafe(F.col(key)), "left_semi")
-    if stays.where("n > 1").isEmpty():
-        return kept
-    return kept.dropDuplicates([id_col, text_col]) if stays.where(F.col(key).isNull()).count() else kept.dropDuplicates([id_col])
+    row = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("hash"))
+    found = near(docs.select(row.alias("doc_id"), F.col(text_col).alias("text")))
+    key, hashed = free_name(docs, "_kept"), free_name(docs, "_hash")
+    heads = found.where("doc_id <=> component_id").groupBy(F.col("doc_id.id").alias(key), F.col("doc_id.hash").alias(hashed))
+    stays = materialize(heads.agg(F.count("*").alias("n")), "stays")
+    kept = docs.join(stays.select(key, hashed), docs[id_col].eqNullSafe(F.col(key)) & (F.xxhash64(docs[text_col]) == F.col(hashed)), "left_semi")
+    return kept if stays.where("n > 1").isEmpty() else kept.dropDuplicates([id_col, text_col])
