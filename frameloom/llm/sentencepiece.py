@@ -32,11 +32,10 @@ SPACE = "▁"
 ALPHA, RANK_OFFSET = 1.0, 100.0
 #: Weight of a character that the model has no piece for; it becomes its bytes' pieces.
 OTHER_WEIGHT = 1e-4
-#: For each character, weights are multiplied by it. No share depends on it; it keeps sums within a double's range.
-SCALE = 50.0
 SEED = 9
 #: Longer stretches without a break are cut, so that a lattice stays small; a cut is a piece boundary.
-MAX_WORD = 64  # fits the place of a character in a byte
+#: Blanks before a word are not cut, so that a word may be of any length.
+MAX_WORD = 64
 #: Distinct words of which a worker keeps the lattice.
 KEPT_WORDS = 300_000
 #: Words that are sampled together.
@@ -98,7 +97,7 @@ class Lattices:
         arcs = []
         at, state = np.arange(len(chars)), self.roots[chars].astype(np.int64)
         lone = np.flatnonzero((state == 0) | (self.piece_at[state] < 0))  # characters without a piece stand for their bytes
-        arcs.append((lone, np.ones(len(lone), np.int8), self.size + chars[lone], np.full(len(lone), OTHER_WEIGHT * SCALE)))
+        arcs.append((lone, np.ones(len(lone), np.int8), self.size + chars[lone], np.full(len(lone), OTHER_WEIGHT)))
         met, length = state > 0, 0
         while at.size:
             if length:
@@ -109,22 +108,23 @@ class Lattices:
             length += 1
             at, state = at[met], state[met]
             found = self.piece_at[state] >= 0
-            arcs.append((at[found], np.full(found.sum(), length, np.int8), self.piece_at[state[found]], self.weight_at[state[found]] * SCALE**length))
+            arcs.append((at[found], np.full(found.sum(), length, np.int8), self.piece_at[state[found]], self.weight_at[state[found]]))
             more = at + length < stop[at]
             at, state = at[more], state[more]
         start, back, piece, weight = (np.concatenate(x) for x in zip(*arcs, strict=True))
         place = start - (stop - sizes[word])[start]
-        order = np.argsort(place.astype(np.uint8), kind="stable")
+        order = np.argsort(place.astype(np.min_scalar_type(int(place.max(initial=0)))), kind="stable")
         bounds = np.searchsorted(place[order], np.arange(sizes.max(initial=0) + 1))
-        alpha = np.zeros(len(chars) + len(words))
-        alpha[(stops - sizes) + np.arange(len(words))] = 1.0
+        weight = np.log(weight)  # sums of long words leave a double's range
+        alpha = np.full(len(chars) + len(words), -np.inf)
+        alpha[(stops - sizes) + np.arange(len(words))] = 0.0
         from_, to = node[start], node[start] + back
         for k in range(len(bounds) - 1):  # arcs that start at the same place of their words end at different nodes
             i = order[bounds[k] : bounds[k + 1]]
-            alpha[to[i]] += alpha[from_[i]] * weight[i]
+            alpha[to[i]] = np.logaddexp(alpha[to[i]], alpha[from_[i]] + weight[i])
         order = np.argsort(to, kind="stable")
         to, from_, weight, piece, back = to[order], from_[order], weight[order], piece[order], back[order]
-        share = np.cumsum(alpha[from_] * weight / alpha[to])
+        share = np.cumsum(np.exp(alpha[from_] + weight - alpha[to]))
         begins = np.flatnonzero(np.append(True, to[1:] != to[:-1]))
         before = np.repeat(np.append(0.0, share[begins[1:] - 1]), np.diff(np.append(begins, len(to))))
         cum = to + np.minimum(share - before, 1.0)

@@ -80,3 +80,17 @@ def test_the_kept_words_may_be_dropped(monkeypatch):
     assert all((a == b).all() for a, b in zip(s.sample(texts, keys, PATH), want, strict=True))
     s.lattices(PATH).clear()
     assert isinstance(want[0], np.ndarray)
+
+
+def test_long_runs_of_blanks_leave_all_samples_as_they_are_alone():
+    texts = [prose(1, 80), " " * 300 + "nation", "a" + " " * 100_000 + "nation", *(prose(i, 80) for i in range(2, 20))]
+    keys = s.row_keys(list(range(len(texts))), 4)
+    s.lattices(PATH).clear()
+    together = s.sample(texts, keys, PATH)
+    assert np.isfinite(s.lattices(PATH).cum[: s.lattices(PATH).arcs]).all()
+    for text, key, ids in zip(texts, keys, together, strict=True):
+        s.lattices(PATH).clear()
+        assert (s.sample([text], [key], PATH)[0] == ids).all() and s.decode(ids, PATH) == text
+    ends = {tuple(ids[-2:].tolist()) for ids in s.sample([" " * 300 + "nation"] * 50, s.row_keys(list(range(50)), 4), PATH)}
+    assert len(ends) > 1
+    s.lattices(PATH).clear()
