@@ -6,8 +6,10 @@ import atexit
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
+from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType, _parse_datatype_string
@@ -22,50 +24,98 @@ def documents(spark: SparkSession, sf_dir: str, name: str = "documents") -> Data
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; only where that is unset (tests) a temporary one."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Only in local mode, where one machine is all, a temporary one stands in if it is unset."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         at = f"file://{tempfile.mkdtemp(prefix='frameloom-')}"
         spark.sparkContext.setCheckpointDir(at)
     return at.rstrip("/")
 
 
+def new_path(spark: SparkSession, tag: str) -> str:
+    """A path of its own in the shared folder; what is there goes with release(), clear() or the driver process."""
+    at = f"{shared_dir(spark)}/frameloom-{tag}-{uuid.uuid4().hex}"
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
+    # the file system outlives the session, so that a session that is stopped first leaves nothing behind
+    _written[at] = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
+    return at
+
+
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Cuts the lineage: writes df as Parquet to the shared folder and reads it again.
 
-    The files go when the driver process ends. Lost executors don't lose them.
+    Lost executors don't lose the table. What was shuffled for it is dropped once it is written.
+    The table goes with release(), clear(), or when the driver process ends.
     """
     spark = df.sparkSession
-    at = f"{shared_dir(spark)}/frameloom-{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(at)
-    atexit.register(_remove, spark, at)
-    return spark.read.schema(df.schema).parquet(at)
+    at = new_path(spark, tag)
+    with _setting(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):
+        df.write.parquet(at)
+    out = spark.read.schema(df.schema).parquet(at)
+    out._frameloom_path = at
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Deletes tables that materialize() wrote; no later plan may read them."""
+    for df in tables:
+        _remove(df._frameloom_path)
+
+
+def clear() -> None:
+    """Deletes all that is left of what this process wrote to the shared folder. Results that still read it must be written before."""
+    for at in list(_written):
+        _remove(at)
 
 
 def write_shared(spark: SparkSession, name: str, content: bytes) -> str:
-    """Writes a file to the shared folder, whatever store it is in; returns its path. It goes when the driver process ends."""
-    at = f"{shared_dir(spark)}/{name}"
-    sc = spark.sparkContext
-    path = sc._jvm.org.apache.hadoop.fs.Path(at)
-    out = path.getFileSystem(sc._jsc.hadoopConfiguration()).create(path)
+    """Writes a file to the shared folder, whatever store it is in; returns its path, whose last part is name's."""
+    at = f"{new_path(spark, 'file')}/{name}"
+    fs, path = _written[at.rpartition("/")[0]]
+    out = fs.create(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at))
     out.write(bytearray(content))
     out.close()
-    atexit.register(_remove, spark, at)
     return at
 
 
-def _remove(spark: SparkSession, at: str) -> None:
-    sc = spark.sparkContext
-    if sc._jsc is None or sc._jsc.sc().isStopped():
-        return
-    path = sc._jvm.org.apache.hadoop.fs.Path(at)
-    path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+_written: dict[str, tuple] = {}
+
+
+def _remove(at: str) -> None:
+    fs, path = _written.pop(at, (None, None))
+    if fs is not None:
+        fs.delete(path, True)
+
+
+@atexit.register
+def _at_exit() -> None:
+    try:
+        clear()
+    except (Py4JError, OSError):  # the JVM ended first
+        _written.clear()
+
+
+@contextmanager
+def _setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Caps rows and bytes of the Arrow batches that go to Python workers."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_BATCH_ROWS))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BATCH_BYTES))
+    """Lowers the session's caps on rows and bytes of the Arrow batches that go to Python workers, where they are higher.
+
+    Plans are lazy and read these settings when they run, so that the caps stay after the call.
+    """
+    for key, most in (("maxRecordsPerBatch", ARROW_BATCH_ROWS), ("maxBytesPerBatch", ARROW_BATCH_BYTES)):
+        given = spark.conf.get(f"spark.sql.execution.arrow.{key}").rstrip("bB")
+        if not given.isdigit() or not 0 < int(given) <= most:
+            spark.conf.set(f"spark.sql.execution.arrow.{key}", str(most))
 
 
 def free_name(df: DataFrame, name: str) -> str:

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from frameloom.llm.common import materialize
+from frameloom.llm.common import materialize, release
 
 
-def _state(edges: DataFrame) -> tuple:
-    row = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("hi", "lo").cast("decimal(20,0)")).alias("h")).first()
-    return row["n"], row["h"]
+def _round(edges: DataFrame) -> tuple[DataFrame, tuple]:
+    """(the edges as a written table, (their number, a hash of them)): both in one job."""
+    seen = Observation()
+    written = materialize(edges.observe(seen, F.count("*").alias("n"), F.sum(F.xxhash64("hi", "lo").cast("decimal(20,0)")).alias("h")), "edges")
+    return written, (seen.get["n"], seen.get["h"])
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -18,11 +20,10 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
     No neighbourhood is ever gathered: each step takes a minimum per node (combined before the
     shuffle) and joins it back, so that a hub with any number of neighbours only skews a join,
-    which adaptive execution splits. Each round is written to the shared folder.
+    which adaptive execution splits. Each round is written to the shared folder, and the one before it deleted.
     Null ends and self loops are ignored; an empty input gives an empty result.
     """
-    e = materialize(edges.where("hi <> lo").select(F.greatest("hi", "lo").alias("hi"), F.least("hi", "lo").alias("lo")).distinct(), "edges")
-    state = _state(e)
+    e, state = _round(edges.where("hi <> lo").select(F.greatest("hi", "lo").alias("hi"), F.least("hi", "lo").alias("lo")).distinct())
     for _ in range(max_rounds):
         if not state[0]:
             break
@@ -31,8 +32,9 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).where("hi <> lo").distinct()
         own = large.groupBy("hi").agg(F.min("lo").alias("m"))
         small = large.join(own, "hi").select(F.col("lo").alias("hi"), F.col("m").alias("lo")).where("hi <> lo")
-        e = materialize(small.union(own.select("hi", F.col("m").alias("lo"))).distinct(), "edges")
-        before, state = state, _state(e)
+        old, before = e, state
+        e, state = _round(small.union(own.select("hi", F.col("m").alias("lo"))).distinct())
+        release(old)
         if state == before:
             break
     else:
