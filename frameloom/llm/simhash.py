@@ -64,7 +64,9 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def links(distinct_fps: DataFrame) -> DataFrame:
     """fp -> edges (hi, lo) that connect all fingerprints within the radius: at most 65 a fingerprint."""
-    flips = distinct_fps.select("fp", F.explode(F.sequence(F.lit(-1), F.lit(63))).alias("bit"))
+    # a row becomes 65: dealt out by what it becomes, not by what it is
+    dealt = distinct_fps.repartition(int(distinct_fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
+    flips = dealt.select("fp", F.explode(F.sequence(F.lit(-1), F.lit(63))).alias("bit"))
     bit = F.when(F.col("bit") < 0, F.lit(0).cast("long")).otherwise(F.expr("shiftleft(1L, bit)"))
     met = (
         flips.select(F.col("fp").bitwiseXOR(bit).alias("variant"), bit.alias("flip"), F.when(F.col("bit") < 0, 1).otherwise(0).cast("byte").alias("own"))
