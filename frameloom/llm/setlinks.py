@@ -1,39 +1,40 @@
-"""Near duplicates by the Jaccard of their sets of word shingles; no pair of the asked likeness is lost.
+"""Links between alike sets that texts are made into; no pair of the asked Jaccard is lost.
 
-Prefix filtering: of a set's n shingles, in one order that holds for all sets, the first
+Prefix filtering: of a set's n members, in one order that holds for all sets, the first
 n - ceil(least * n) + 1 are its probes, and two sets of that likeness share a probe. The order puts
-shingles that a sample of the texts finds common last; whatever the sample holds, the result is the same.
-Sets that meet in a probe are compared by their sizes, then by the parity of their shingles in each of
-one to two times as many places (sets differ in at least as many shingles as parities), and at last shingle by shingle.
+members that a sample of the texts finds common last; whatever the sample holds, the result is the same.
+Sets are partitioned by length, in classes whose bounds grow by 1 / least, so that a link joins sets of one
+class or of two neighbours. Sets that meet in a probe are compared by their sizes, by where they meet, then by the
+parity of their members in each of one to two times as many places (sets differ in at least as many members as
+parities), and at last member by member.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Collection
+
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from frameloom.llm.common import map_batches, materialize, sample_share
+from frameloom.llm.common import map_batches, materialize, release, sample_share
 from frameloom.llm.graph import components
-from frameloom.llm.simhash import shingle_hashes
-from frameloom.llm.spotsigs import _alike
 
-SHINGLE_WORDS = 5
 LEAST_LIKENESS = 0.8
 SEED = 5
-#: Texts that are asked for common shingles, about, and how many of the commonest are told to the workers.
+#: Texts that are asked for common members, about, and how many of the commonest are told to the workers.
 SAMPLE, COMMON = 8000, 1 << 18
 #: Sets that stand side by side in a probe's list; lists that are longer by the sample are dealt out.
 LIST_ROWS = 1000
-#: Places of the bit map that says which texts' shingles are wanted again.
+#: Lists of more sets are the ones in which pairs are told apart at once.
+MANY = 64
+#: Places of the bit map that says which texts' members are wanted again.
 WANTED = 1 << 24
 
-
-def shingle_set(text: bytes | None, k: int = SHINGLE_WORDS) -> np.ndarray:
-    """Sorted hashes of the text's k-word shingles, each once; words as in simhash.shingle_hashes()."""
-    return np.unique(np.array(shingle_hashes(text or b"", k), "<u8"))
+#: A text's UTF-8 (None for null) to its set: sorted distinct 64-bit numbers.
+MakeSet = Callable[[bytes | None], np.ndarray]
 
 
 def n_probes(n: int, least: float) -> int:
@@ -46,19 +47,26 @@ def parities(sigs: np.ndarray) -> np.ndarray:
     return np.packbits(np.bincount((sigs % np.uint64(places)).astype(np.int64), minlength=places) & 1).view("<i8")
 
 
-def _fp(sigs: np.ndarray) -> int:
-    return int(np.uint64(xxhash.xxh64_intdigest(sigs.tobytes(), SEED)).view(np.int64))
+def digest(sigs: np.ndarray) -> tuple[int, int]:
+    """A set's 128-bit digest, in two signed halves."""
+    return tuple(np.array(divmod(xxhash.xxh3_128_intdigest(sigs.tobytes()), 1 << 64), np.uint64).view(np.int64).tolist())
+
+
+def _name(sigs: np.ndarray, clashes: Collection[int]) -> tuple[int, int]:
+    """(what a set goes by, the rest of its digest): half of its digest, or where unlike sets share that, a hash of all of it."""
+    check, fp = digest(sigs)
+    return (int(np.int64(np.uint64(xxhash.xxh64_intdigest(sigs.tobytes(), SEED)))) if fp in clashes else fp), check
 
 
 def _texts(batch: pa.RecordBatch) -> list[bytes | None]:
     return [t.as_buffer().to_pybytes() if t.is_valid else None for t in batch.column("text")]
 
 
-def _common(named: DataFrame, share: float, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(shingles, sorted; in how many texts of the sample each is) of those in two or more."""
+def _common(named: DataFrame, share: float, make: MakeSet) -> tuple[np.ndarray, np.ndarray]:
+    """(members, sorted; in how many texts of the sample each is) of those in two or more."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([shingle_set(t, k).view(np.int64) for t in _texts(batch)], pa.list_(pa.int64()))], ["sigs"])
+        return pa.RecordBatch.from_arrays([pa.array([make(t).view(np.int64) for t in _texts(batch)], pa.list_(pa.int64()))], ["sigs"])
 
     some = map_batches(sample_share(named.select("key", "text"), "key", share, SEED).dropDuplicates(["key"]), run, "sigs array<long>")
     often = some.select(F.explode("sigs").alias("sig")).groupBy("sig").agg(F.count("*").alias("n")).where("n > 1").orderBy(F.desc("n"), "sig").limit(COMMON).toArrow()
@@ -67,47 +75,62 @@ def _common(named: DataFrame, share: float, k: int) -> tuple[np.ndarray, np.ndar
     return sigs.view(np.uint64)[order], counts[order]
 
 
-def _marked(named: DataFrame, k: int, least: float) -> DataFrame:
-    """(doc_id, key, fp, n, bits, probes, lots) for each row; lot: which part of a long list a set is in, -1 if the list is whole."""
+def _marked(named: DataFrame, make: MakeSet, least: float, clashes: Collection[int]) -> DataFrame:
+    """(doc_id, key, fp, check, n, bits, probes, lots) for each row; lot: which part of a long list a set is in, -1 if the list is whole."""
     total = named.count()
     share = min(1.0, SAMPLE / max(total, 1))
-    shared = named.sparkSession.sparkContext.broadcast((*_common(named, share, k), LIST_ROWS * share))
+    shared = named.sparkSession.sparkContext.broadcast((*_common(named, share, make), LIST_ROWS * share, clashes))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        common, often, part = shared.value
+        common, often, part, clashes = shared.value
         rows = []
         for text in _texts(batch):
-            sigs = shingle_set(text, k)
-            fp, times = _fp(sigs), np.zeros(len(sigs), np.int64)
+            sigs = make(text)
+            (fp, check), times = _name(sigs, clashes), np.zeros(len(sigs), np.int64)
             if len(common) and len(sigs):
                 at = np.minimum(np.searchsorted(common, sigs), len(common) - 1)
                 times = np.where(common[at] == sigs, often[at], 0)
             order = np.lexsort((sigs, times))[: n_probes(len(sigs), least)]
             parts = np.ceil(times[order] / part).astype(np.int64)
-            rows.append((fp, len(sigs), parities(sigs), sigs[order].view(np.int64), np.where(parts > 1, fp % np.maximum(parts, 1), -1).astype(np.int32)))
-        kinds = {"fp": pa.int64(), "n": pa.int32(), "bits": pa.list_(pa.int64()), "probes": pa.list_(pa.int64()), "lots": pa.list_(pa.int32())}
+            rows.append((fp, check, len(sigs), parities(sigs), sigs[order].view(np.int64), np.where(parts > 1, fp % np.maximum(parts, 1), -1).astype(np.int32)))
+        kinds = {"fp": pa.int64(), "check": pa.int64(), "n": pa.int32(), "bits": pa.list_(pa.int64()), "probes": pa.list_(pa.int64()), "lots": pa.list_(pa.int32())}
         cells = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds.values())]
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), *cells], ["doc_id", "key", *kinds])
 
     kind = named.schema["doc_id"].dataType.simpleString()
-    return map_batches(named, run, f"doc_id {kind}, key long, fp long, n int, bits array<long>, probes array<long>, lots array<int>")
+    return map_batches(named, run, f"doc_id {kind}, key long, fp long, check long, n int, bits array<long>, probes array<long>, lots array<int>")
 
 
 def _sizes_fit(n: str, m: str, least: float) -> Column:
     return F.least(n, m) >= least * F.greatest(n, m) - 1e-9
 
 
+def _room(n: str, m: str, at: str, other_at: str, least: float) -> Column:
+    """Whether sets that first meet at these places of their order still have so many shingles in common: from there on, at most the shorter rest."""
+    rest = F.least(F.col(n) - F.col(at), F.col(m) - F.col(other_at))
+    return rest >= (F.col(n) + F.col(m)) * (least / (1 + least)) - 1e-9
+
+
+def _apart(a: str, b: str) -> Column:
+    """In how many shingles, at least, two sets differ, by their parities."""
+    words = f"least(size({a}), size({b}))"
+    one, other = (f"aggregate(sequence(i, size({c}) - 1, {words}), 0L, (w, j) -> w ^ {c}[j])" for c in (a, b))
+    return F.expr(f"aggregate(sequence(0, {words} - 1), 0, (d, i) -> d + bit_count({one} ^ {other}))")
+
+
+def _most(n: str, m: str, least: float) -> Column:
+    """In how many shingles two sets of that likeness differ at most."""
+    return (F.col(n) + F.col(m)) * ((1 - least) / (1 + least)) + 1e-9
+
+
 def _close(pairs: DataFrame, heads: DataFrame, least: float) -> DataFrame:
-    """(hi, lo, dist) of distinct pairs(hi, lo) whose sizes and parities do not rule the likeness out."""
+    """Those of distinct pairs(hi, lo) whose sizes and parities do not rule the likeness out."""
     x, y = (heads.select(F.col("fp").alias(c), F.col("n").alias(f"n_{c}"), F.col("bits").alias(f"bits_{c}")) for c in ("hi", "lo"))
-    words = "least(size(bits_hi), size(bits_lo))"
-    hi, lo = (f"aggregate(sequence(i, size({c}) - 1, {words}), 0L, (w, j) -> w ^ {c}[j])" for c in ("bits_hi", "bits_lo"))
-    dist = F.expr(f"aggregate(sequence(0, {words} - 1), 0, (d, i) -> d + bit_count({hi} ^ {lo}))")
-    met = pairs.distinct().join(x, "hi").join(y, "lo").where(_sizes_fit("n_hi", "n_lo", least)).withColumn("dist", dist)
-    return met.where(F.col("dist") <= (F.col("n_hi") + F.col("n_lo")) * ((1 - least) / (1 + least)) + 1e-9).select("hi", "lo", "dist")
+    met = pairs.distinct().join(x, "hi").join(y, "lo").where(_sizes_fit("n_hi", "n_lo", least))
+    return met.where(_apart("bits_hi", "bits_lo") <= _most("n_hi", "n_lo", least)).select("hi", "lo")
 
 
-def _sets(named: DataFrame, heads: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
+def _sets(named: DataFrame, heads: DataFrame, pairs: DataFrame, make: MakeSet, clashes: Collection[int]) -> DataFrame:
     """(fp, sigs) of all sets in pairs, read from the texts again; a bit map keeps most of the others' from being hashed and dealt out."""
     ends = pairs.select(F.explode(F.array("hi", "lo")).alias("fp")).distinct()
     wanted = heads.join(ends, "fp", "left_semi").select(F.pmod("key", F.lit(WANTED)).alias("at"))
@@ -119,53 +142,78 @@ def _sets(named: DataFrame, heads: DataFrame, pairs: DataFrame, k: int) -> DataF
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         found = shared.value
         batch = batch.filter(pa.array(found[batch.column("key").to_numpy() % WANTED] if found is not None else np.zeros(batch.num_rows, bool)))
-        sets = [shingle_set(t, k) for t in _texts(batch)]
-        return pa.RecordBatch.from_arrays([pa.array(map(_fp, sets), pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["fp", "sigs"])
+        sets = [make(t) for t in _texts(batch)]
+        return pa.RecordBatch.from_arrays([pa.array([_name(s, clashes)[0] for s in sets], pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["fp", "sigs"])
 
     sets = map_batches(named.select("key", "text"), run, "fp long, sigs array<long>")
     return sets.join(ends, "fp", "left_semi").groupBy("fp").agg(F.first("sigs").alias("sigs"))
 
 
-def rooted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE_WORDS, least: float = LEAST_LIKENESS) -> DataFrame:
-    """(doc_id, key, root) for each row of docs: key is XXH64 of the text, root is shared by all rows reachable over links of a likeness of least or more.
+def rooted(docs: DataFrame, make: MakeSet, id_col: str = "doc_id", text_col: str = "text", least: float = LEAST_LIKENESS) -> DataFrame:
+    """(doc_id, key, fp, check, n, root) for each row of docs: key is XXH64 of the text, (fp, check) names its set of n members, root is shared by all rows reachable over links of a likeness of least or more.
 
     Equal sets are one. Links are sought in two steps, so that a large group of near copies does not meet
-    pair by pair: first each set with one of those before it in its probes' lists, which connects what is
-    alike at large; then, exactly, those that meet and are not connected: in each list the sets outside
-    its largest group with all others. Null, empty and blank texts share the empty set.
+    pair by pair: first each set with the first of each of its probes' lists and with the one before it, in an
+    order of each list's own, which connects what is alike at large; then, exactly, those that meet and are not
+    connected: in each list the sets outside its largest group with all others of like length. In lists of many sets,
+    pairs are told apart by their parities where they meet, and taken in the first list that they share alone.
+    Null, empty and blank texts share the empty set. Repeated rows stay; other columns are not read; an empty table gives no rows.
     """
     named = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text"), F.xxhash64(F.col(text_col)).alias("key"))
-    marked = materialize(_marked(named, k, least), "marked")
-    filled = marked.where("n > 0").groupBy("fp")
-    heads = materialize(filled.agg(F.first("key").alias("key"), F.first("n").alias("n"), F.first("bits").alias("bits")), "heads")
+    clashes: set[int] = set()
+    while True:
+        marked = materialize(_marked(named, make, least, clashes), "marked")
+        filled = marked.where("n > 0").groupBy("fp")
+        heads = materialize(filled.agg(F.first("key").alias("key"), F.first("n").alias("n"), F.first("bits").alias("bits"), (F.min("check") != F.max("check")).alias("clash")), "heads")
+        # of n sets about n * n / 2 ** 65
+        found = {r["fp"] for r in heads.where("clash").select("fp").collect()}
+        if not found:
+            break
+        clashes |= found
+        release(marked, heads)
     probes = filled.agg(F.first("n").alias("n"), F.first(F.arrays_zip(F.col("probes").alias("sig"), F.col("lots").alias("lot"))).alias("probes"))
-    beside = Window.partitionBy("sig", "lot").orderBy("fp")
-    lists = probes.select("fp", "n", F.inline("probes").alias("sig", "lot")).withColumn("before", F.lag(F.struct("fp", "n")).over(beside)).withColumn("after", F.lead("fp").over(beside))
+    beside = Window.partitionBy("sig", "lot").orderBy(F.xxhash64("sig", "fp"), "fp")
+    one = F.struct("fp", "n", "at")
+    lists = probes.select("fp", "n", F.posexplode("probes").alias("at", "p")).select("fp", "n", "at", "p.sig", "p.lot")
+    lists = lists.select("*", F.lag(one).over(beside).alias("before"), F.first(one).over(beside).alias("head"), F.lead("fp").over(beside).alias("after"))
     met = materialize(lists.where("before is not null or after is not null or lot >= 0").drop("after"), "met")
 
-    first = met.where("before is not null").select(F.col("fp").alias("hi"), F.col("before.fp").alias("lo"), "n", F.col("before.n").alias("m")).where(_sizes_fit("n", "m", least))
-    nearest = _close(first.select("hi", "lo"), heads, least).groupBy("hi").agg(F.min_by("lo", F.struct("dist", "lo")).alias("lo"))
-    links = _links(materialize(nearest, "nearest"), named, heads, k, least)
-    grouped = met.join(components(links), F.col("fp") == F.col("node"), "left").select("fp", "n", "sig", F.coalesce("root", "fp").alias("root"))
-    grouped = materialize(grouped, "grouped")
+    first = met.where("before is not null").select("fp", "n", "at", F.explode(F.array("before", "head")).alias("to")).select("fp", "n", "at", F.col("to.fp").alias("to"), F.col("to.n").alias("m"), F.col("to.at").alias("other_at"))
+    first = first.where(_sizes_fit("n", "m", least) & _room("n", "m", "at", "other_at", least)).select(F.greatest("fp", "to").alias("hi"), F.least("fp", "to").alias("lo"))
+    links = _links(materialize(_close(first, heads, least), "beside"), named, heads, make, least, clashes)
+    size_class = F.floor(F.log(F.col("n")) / F.log(F.lit(1 / least)) + 1e-9).cast("int").alias("class")
+    grouped = materialize(met.join(components(links), F.col("fp") == F.col("node"), "left").select("fp", "n", "at", "sig", size_class, F.coalesce("root", "fp").alias("root")), "grouped")
 
     sizes = grouped.groupBy("sig", "root").agg(F.count("*").alias("size"))
-    largest = sizes.groupBy("sig").agg(F.max_by("root", F.struct("size", "root")).alias("largest"), F.count("*").alias("groups")).where("groups > 1")
+    largest = sizes.groupBy("sig").agg(F.max_by("root", F.struct("size", "root")).alias("largest"), F.count("*").alias("groups"), F.sum("size").alias("sets")).where("groups > 1").drop("groups")
     apart = grouped.join(largest, "sig")
-    x = apart.where("root <> largest").select("sig", F.col("fp").alias("a"), F.col("n").alias("n_a"), F.col("root").alias("root_a"))
-    y = apart.select("sig", F.col("fp").alias("b"), F.col("n").alias("n_b"), F.col("root").alias("root_b"))
-    cross = x.join(y, "sig").where((F.col("root_a") != F.col("root_b")) & _sizes_fit("n_a", "n_b", least))
-    rest = _close(cross.select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")), heads, least).select("hi", "lo")
-    links = links.union(_links(materialize(rest, "rest"), named, heads, k, least))
-    return marked.join(components(links), F.col("fp") == F.col("node"), "left").select("doc_id", "key", F.coalesce("root", "fp").alias("root"))
-
-
-def _links(pairs: DataFrame, named: DataFrame, heads: DataFrame, k: int, least: float) -> DataFrame:
-    sets = materialize(_sets(named, heads, pairs, k), "sets")
-    return materialize(_alike(pairs.select(F.col("hi").alias("a"), F.col("lo").alias("b")), sets, least), "links")
-
-
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE_WORDS, least: float = LEAST_LIKENESS) -> DataFrame:
-    """(doc_id, component_id) for each row of docs; component_id: the smallest doc_id of all rows with its root. Null ids are never the smallest."""
-    rows = materialize(rooted(docs, id_col, text_col, k, least), "rooted")
-    return rows.join(rows.groupBy("root").agg(F.min("doc_id").alias("component_id")), "root").select("doc_id", "component_id")
+    many = apart.where(F.col("sets") > MANY)
+    told = marked.join(many.select("fp").distinct(), "fp", "left_semi").groupBy("fp").agg(F.first("bits").alias("bits"), F.first("probes").alias("probes"))
+    few = apart.where(F.col("sets") <= MANY).withColumn("bits", F.lit(None).cast("array<long>")).withColumn("probes", F.col("bits"))
+    apart = few.unionByName(many.join(told, "fp"))
+    x, y = (apart.select("sig", "class", *(F.col(c).alias(f"{c}_{side}") for c in ("fp", "n", "at", "root", "largest", "bits", "probes"))) for side in "ab")
+    x = x.where("root_a <> largest_a").withColumn("class", F.explode(F.array(*(F.col("class") + k for k in (-1, 0, 1)))))
+    # of two sets that are both outside the largest group, the pair is taken once
+    once = (F.col("root_b") == F.col("largest_b")) | (F.col("fp_a") < F.col("fp_b"))
+    fits = (F.col("root_a") != F.col("root_b")) & once & _sizes_fit("n_a", "n_b", least) & _room("n_a", "n_b", "at_a", "at_b", least)
+    near = F.col("bits_a").isNull() | (_apart("bits_a", "bits_b") <= _most("n_a", "n_b", least))
+    here = F.col("probes_a").isNull() | (F.get(F.array_intersect("probes_a", "probes_b"), F.lit(0)) == x["sig"])
+    cross = x.join(y, (x["sig"] == y["sig"]) & (x["class"] == y["class"]) & fits & F.when(near, here).otherwise(False))
+    rest = _close(cross.select(F.greatest("fp_a", "fp_b").alias("hi"), F.least("fp_a", "fp_b").alias("lo")), heads, least)
+    links = links.union(_links(materialize(rest, "rest"), named, heads, make, least, clashes))
+    return marked.join(components(links), F.col("fp") == F.col("node"), "left").select("doc_id", "key", "fp", "check", "n", F.coalesce("root", "fp").alias("root"))
+
+
+def _links(pairs: DataFrame, named: DataFrame, heads: DataFrame, make: MakeSet, least: float, clashes: Collection[int]) -> DataFrame:
+    sets = materialize(_sets(named, heads, pairs, make, clashes), "sets")
+    found = materialize(_alike(pairs, sets, least), "links")
+    release(pairs, sets)
+    return found
+
+
+def _alike(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """Those of distinct pairs(hi, lo) whose Jaccard reaches least."""
+    x, y = (sets.select(F.col("fp").alias(c), F.col("sigs").alias(f"sigs_{c}")) for c in ("hi", "lo"))
+    common = F.size(F.array_intersect("sigs_hi", "sigs_lo"))
+    met = pairs.join(x, "hi").join(y, "lo").select("hi", "lo", common.alias("common"), (F.size("sigs_hi") + F.size("sigs_lo")).alias("n"))
+    return met.where(F.col("common") >= least * (F.col("n") - F.col("common")) - 1e-9).select("hi", "lo")

@@ -15,11 +15,11 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from frameloom.llm.common import bounded_batches, map_batches, materialize
-from frameloom.llm.graph import components
+from frameloom.llm import setlinks
+from frameloom.llm.common import bounded_batches, materialize
 
 #: Common words of four languages, in lower case.
 ANCHORS = frozenset(
@@ -108,16 +108,17 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """Each document's fingerprint, that of its edited text, and its likeness to the edited text and to the next document.
 
     The next document has the next smaller id; the last one's is the first. Null ids come last, equal
-    ids in order of their texts; null text counts as empty; repeated rows stay. A table of one row is its
-    own next. An empty table gives no rows.
+    ids in order of a hash of their texts, then of the texts; null text counts as empty; repeated rows stay. A table
+    of one row is its own next. Other columns are not read. An empty table gives no rows.
 
-    Documents are dealt out by ranges of ids and sorted there, each text once. Within a range each row
+    Documents are dealt out by ranges of ids and hashes and sorted there, each text once. Within a range each row
     meets its successor; only a range's first and last text are kept to join the ranges' ends.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
     order = F.col("doc_id").desc_nulls_last()
-    ranges = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).repartitionByRange(order)
+    tie = F.xxhash64("text")
+    ranges = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).repartitionByRange(order, tie)
     names = ["doc_id", *_OUT, "edge", "range", "text"]
     kind = docs.schema[id_col].dataType.simpleString()
 
@@ -147,7 +148,7 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         if last is not None:
             yield emit([last[0]], [(*[None] * 6, "last", part, last[1])])
 
-    walked = ranges.sortWithinPartitions(order, "text").mapInArrow(walk, f"doc_id {kind}, {_KINDS}, edge string, range long, text string")
+    walked = ranges.sortWithinPartitions(order, tie, "text").mapInArrow(walk, f"doc_id {kind}, {_KINDS}, edge string, range long, text string")
     done = materialize(walked, "spots")
     parts = sorted(r["range"] for r in done.where("edge = 'first'").select("range").collect())
     following = spark.createDataFrame(list(zip(parts, [*parts[1:], *parts[:1]], strict=True)), "range long, next_range long")
@@ -163,76 +164,34 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return done.where("edge is null").select(*columns).union(ends.mapInArrow(join_ends, f"doc_id {kind}, {_KINDS}"))
 
 
-LEAST_LIKENESS = 0.8
-#: Sets that stand side by side in a list of a signature; longer lists are dealt out.
-LIST_ROWS = 1000
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = setlinks.LEAST_LIKENESS) -> DataFrame:
+    """(doc_id, fingerprint, n_signatures, group_id) for each row of docs: groups over links of a likeness of least or more.
 
+    group_id is the smallest doc_id of the group; null ids are never the smallest. Sets of signatures are partitioned
+    by length and compared by pruned Jaccard, as in setlinks; no link is lost. Null, empty and blank texts share the
+    empty set. Repeated rows stay, in one group. Other columns are not read. An empty table gives no rows.
+    """
+    rows = materialize(_rooted(docs, id_col, text_col, least), "rooted")
+    groups = rows.groupBy("root").agg(F.min("doc_id").alias("group_id"))
+    return rows.join(groups, "root").select("doc_id", "fingerprint", F.col("n").alias("n_signatures"), "group_id")
+
+
+def _rooted(docs: DataFrame, id_col: str, text_col: str, least: float) -> DataFrame:
+    """(doc_id, fingerprint, n, root) for each row of docs."""
+    found = setlinks.rooted(docs, lambda text: signatures(text.decode("utf-8", "replace") if text else None), id_col, text_col, least)
+    half = lambda c: F.lower(F.lpad(F.hex(c), 16, "0"))
+    name = F.concat(F.col("n").cast("string"), F.lit("-"), F.when(F.col("n") > 0, F.concat(half("check"), half("digest"))).otherwise("0" * 32))
+    return found.withColumn("digest", F.col("fp")).select("doc_id", name.alias("fingerprint"), "n", "root")
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = LEAST_LIKENESS) -> DataFrame:
-    """(doc_id, fingerprint, n_signatures, group_id) for each row of docs: groups over links of a likeness of least or more.
 
-    group_id is the smallest doc_id of the group. Equal sets are one; each distinct set is compared once.
-    Sets are partitioned by length, in classes whose bounds grow by 1 / least, so that a link joins sets of
-    one class or of two neighbours. Two sets of that likeness share one of their rarest signatures: of n,
-    the first n - ceil(least * n) + 1 in order of their frequency. Candidates are the sets that meet there.
+def grouped_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = setlinks.LEAST_LIKENESS) -> DataFrame:
+    """edited_fingerprints() with group_fingerprint: the least fingerprint of all documents reachable over links of a likeness of least or more, the document's own included.
 
-    They are compared in two steps, so that a large group of near copies does not meet pair by pair. First each
-    set with the one after it in each of its signatures' lists, in an order of each list's own: that
-    connects what is alike at large. Then, exactly, those that meet and are not connected: in each list the
-    sets outside its largest group with all others. Null, empty and blank texts share the empty set. Null ids
-    are never the smallest.
+    Nulls, ties, repeated rows, other columns and the empty table: as in edited_fingerprints().
     """
-    marked = materialize(marked_sets(docs, id_col, text_col), "marked")
-    heads = marked.groupBy("fingerprint").agg(F.min("doc_id").alias("head"))
-    # equal fingerprints are equal sets: one of them stands for all
-    sets = materialize(marked.where(F.size("sigs") > 0).groupBy("fingerprint").agg(F.first("sigs").alias("sigs")).select(F.xxhash64("fingerprint").alias("fp"), "sigs"), "sets")
-    probes = materialize(_probes(sets, least), "probes")
-    salt = F.pmod(F.xxhash64("fp", "sig"), F.ceil(F.col("often") / LIST_ROWS).cast("long"))
-    beside = Window.partitionBy("sig", "class", "_salt").orderBy(F.xxhash64("sig", "fp"))
-    first = probes.withColumn("_salt", salt).select(F.col("fp").alias("a"), F.lead("fp").over(beside).alias("b")).where("b is not null")
-    links = materialize(_alike(first, sets, least), "links")
-    roots = components(links)
-    grouped = materialize(probes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "n", "sig", "class", F.coalesce("root", "fp").alias("root")), "grouped")
-    sizes = grouped.groupBy("sig", "root").agg(F.count("*").alias("k"))
-    lists = sizes.groupBy("sig").agg(F.max_by("root", F.struct("k", "root")).alias("largest"), F.count("*").alias("groups")).where("groups > 1")
-    open_lists = grouped.join(lists, "sig")
-    x = open_lists.where("root <> largest").select("sig", F.explode(F.array(*(F.col("class") + k for k in (-1, 0, 1)))).alias("class"), F.col("fp").alias("a"), F.col("n").alias("n_a"), F.col("root").alias("root_a"))
-    y = open_lists.select("sig", "class", F.col("fp").alias("b"), F.col("n").alias("n_b"), F.col("root").alias("root_b"))
-    near = (F.col("root_a") != F.col("root_b")) & (F.least("n_a", "n_b") >= least * F.greatest("n_a", "n_b") - 1e-9)
-    rest = _alike(x.join(y, ["sig", "class"]).where(near).select("a", "b"), sets, least)
-    final = components(links.union(rest))
-    named = heads.withColumn("fp", F.xxhash64("fingerprint")).join(final.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    groups = named.join(named.groupBy("root").agg(F.min("head").alias("group_id")), "root").select("fingerprint", "group_id")
-    return marked.select("doc_id", "fingerprint", F.size("sigs").alias("n_signatures")).join(groups, "fingerprint").select("doc_id", "fingerprint", "n_signatures", "group_id")
-
-
-def marked_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fingerprint, sigs) for each row of docs."""
-    named = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        sets = [signatures(t) for t in batch.column(1).to_pylist()]
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(fingerprint, sets), pa.string()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["doc_id", "fingerprint", "sigs"])
-
-    return map_batches(named, run, f"doc_id {named.schema['doc_id'].dataType.simpleString()}, fingerprint string, sigs array<long>")
-
-
-def _probes(sets: DataFrame, least: float) -> DataFrame:
-    """(fp, n, sig, often, class): each set's rarest signatures; those of one set alone link nothing, but count among the rarest."""
-    flat = sets.select("fp", F.size("sigs").alias("n"), F.explode("sigs").alias("sig"))
-    shared = flat.join(flat.groupBy("sig").agg(F.count("*").alias("often")).where("often > 1"), "sig")
-    ordered = shared.groupBy("fp", "n").agg(F.array_sort(F.collect_list(F.struct("often", "sig"))).alias("shared"))
-    alone = F.col("n") - F.size("shared")
-    take = F.greatest(F.lit(0), F.col("n") - F.ceil(F.col("n") * least - 1e-9) + 1 - alone).cast("int")
-    size_class = F.floor(F.log(F.col("n")) / F.log(F.lit(1 / least))).cast("int")
-    return ordered.select("fp", "n", F.explode(F.slice("shared", F.lit(1), take)).alias("s"), size_class.alias("class")).select("fp", "n", "s.sig", "s.often", "class")
-
-
-def _alike(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """(hi, lo) of pairs(a, b) whose Jaccard reaches least; pairs whose sizes alone rule it out are not intersected."""
-    pairs = pairs.select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).where("hi <> lo").distinct()
-    x, y = (sets.select(F.col("fp").alias(c), F.col("sigs").alias(f"sigs_{c}")) for c in ("hi", "lo"))
-    met = pairs.join(x, "hi").join(y, "lo").withColumn("n", F.size("sigs_hi") + F.size("sigs_lo"))
-    sized = met.where(F.least(F.size("sigs_hi"), F.size("sigs_lo")) >= least * F.greatest(F.size("sigs_hi"), F.size("sigs_lo")) - 1e-9)
-    common = F.size(F.array_intersect("sigs_hi", "sigs_lo"))
-    return sized.where(common >= least * (F.col("n") - common) - 1e-9).select("hi", "lo")
+    rows = edited_fingerprints(docs, id_col, text_col)
+    sets = materialize(_rooted(docs, id_col, text_col, least).groupBy("fingerprint", "root").agg(F.count("*").alias("_n")), "groups")
+    least_of = sets.groupBy("root").agg(F.min("fingerprint").alias("group_fingerprint"), F.count("*").alias("_sets")).where("_sets > 1")
+    named = sets.join(least_of, "root").select(F.col("fingerprint").alias("_own"), "group_fingerprint")
+    out = rows.join(named, F.col("fingerprint") == F.col("_own"), "left")
+    return out.select(*rows.columns, F.coalesce("group_fingerprint", "fingerprint").alias("group_fingerprint"))

@@ -4,7 +4,7 @@ import random
 from conftest_llm import odd_texts, prose
 
 import corpus_pipeline
-from frameloom.llm import shingles
+from frameloom.llm import setlinks, shingles
 
 
 def brute_set(text, k=5):
@@ -52,9 +52,10 @@ def test_matches_brute_force(make_docs, monkeypatch):
     texts = corpus()
     ids = random.Random(0).sample(range(1000), len(texts))
     want = brute(list(zip(ids, texts, strict=True)))
-    for sample, rows in ((8000, 1000), (20, 2)):
-        monkeypatch.setattr(shingles, "SAMPLE", sample)
-        monkeypatch.setattr(shingles, "LIST_ROWS", rows)
+    for sample, rows, many in ((8000, 1000, 64), (20, 2, 1), (8000, 1000, 3)):
+        monkeypatch.setattr(setlinks, "SAMPLE", sample)
+        monkeypatch.setattr(setlinks, "LIST_ROWS", rows)
+        monkeypatch.setattr(setlinks, "MANY", many)
         assert dict(shingles.near_duplicates(make_docs(texts, ids, extra=True)).collect()) == want
     sets = [brute_set(t) for t in texts]
     assert sum(0.8 <= jaccard(a, b) < 0.95 for a, b in itertools.combinations(sets, 2)) > 10
@@ -70,3 +71,20 @@ def test_the_stage_drops_near_copies_of_a_likeness_of_four_fifths(spark, make_do
 def test_empty_table_and_null_ids(make_docs):
     assert shingles.near_duplicates(make_docs(["a"]).where("doc_id < 0")).count() == 0
     assert {r["component_id"] for r in shingles.near_duplicates(make_docs(["same text here"] * 3, [None, 4, 6])).collect()} == {4}
+
+
+def test_unlike_sets_that_share_half_a_digest_are_told_apart(make_docs, monkeypatch):
+    texts = [prose(i, 30) for i in range(6)] + [prose(0, 30)]
+    digest = setlinks.digest
+    monkeypatch.setattr(setlinks, "digest", lambda sigs: (digest(sigs)[1], 7 if len(sigs) else 0))
+    named = setlinks._name(shingles.shingle_set(texts[0].encode()), ())
+    assert named[0] == 7 and setlinks._name(shingles.shingle_set(texts[0].encode()), {7})[0] != 7
+
+
+def test_repeated_rows_and_a_chain_of_near_copies(make_docs):
+    words = prose(5, 400).split()
+    texts = [" ".join([*(f"new{j}" for j in range(4 * i)), *words[4 * i :]]) for i in range(16)]  # each near the next, the ends far apart
+    want = brute(list(enumerate(texts)))
+    assert jaccard(brute_set(texts[0]), brute_set(texts[15])) < 0.8 and set(want.values()) == {0}
+    rows = shingles.near_duplicates(make_docs([*texts, *texts], [*range(16), *range(16)])).collect()
+    assert len(rows) == 32 and {r["component_id"] for r in rows} == {0}

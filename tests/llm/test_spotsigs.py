@@ -84,3 +84,29 @@ def test_near_duplicates_lose_no_link(make_docs):
     assert got == brute_groups(texts, 0.8)
     assert len(set(got.values())) < len(got) - 20
     assert spotsigs.near_duplicates(make_docs(["a"]).where("doc_id < 0")).count() == 0
+
+
+def test_repeated_rows_and_null_ids_of_near_duplicates(make_docs):
+    texts = [prose(1, 60), prose(1, 60), prose(2, 60), None, ""]
+    rows = spotsigs.near_duplicates(make_docs(texts, [4, 4, None, 9, None])).collect()
+    assert sorted(((r["doc_id"], r["group_id"]) for r in rows), key=str) == sorted([(4, 4), (4, 4), (None, None), (9, 9), (None, 9)], key=str)
+
+
+def test_groups_stand_beside_the_fingerprints(make_docs):
+    base = [prose(i, 80) for i in range(6)]
+    texts = base + [t + " end" for t in base] + [base[0], None, ""]
+    rows = {r["doc_id"]: r for r in spotsigs.grouped_fingerprints(make_docs(texts, extra=True)).collect()}
+    want = brute_groups(texts, 0.8)
+    of = {i: r["group_fingerprint"] for i, r in rows.items()}
+    assert len(rows) == len(texts) and all((of[a] == of[b]) == (want[a] == want[b]) for a in of for b in of)
+    assert all(of[i] == min(rows[j]["fingerprint"] for j in of if want[j] == want[i]) for i in of)
+    plain = {r["doc_id"]: r for r in spotsigs.edited_fingerprints(make_docs(texts)).collect()}
+    assert all(plain[i].asDict() == {k: v for k, v in rows[i].asDict().items() if k != "group_fingerprint"} for i in rows)
+    assert all(rows[i]["fingerprint"] == spotsigs.fingerprint(spotsigs.signatures(t)) for i, t in enumerate(texts))
+    assert spotsigs.grouped_fingerprints(make_docs(["a"]).where("doc_id < 0")).count() == 0
+
+
+def test_equal_ids_are_dealt_out_by_their_texts(make_docs):
+    texts = [prose(i, 20) for i in range(50)]
+    rows = spotsigs.edited_fingerprints(make_docs(texts, [7] * 50)).collect()
+    assert len(rows) == 50 and sorted(r["n_chars"] for r in rows) == sorted(map(len, texts))
