@@ -40,7 +40,7 @@ def path_of(url: Column) -> Column:
 
 
 def digest_array(rules: list[tuple[str, str]]) -> dict[str, np.ndarray]:
-    """The parts of a digest array: sorted keys, and in their order the ends of the rule strings, the strings, the verdicts; the lengths that rules' paths have.
+    """The parts of a digest array: sorted keys, and in their order the ends of the rule strings, the strings, the verdicts; the lengths that rules' paths have, and the numbers of labels that their hosts have.
 
     A rule given twice must have one verdict. A host is everything before the first /.
     """
@@ -58,15 +58,19 @@ def digest_array(rules: list[tuple[str, str]]) -> dict[str, np.ndarray]:
         "strings": np.frombuffer("".join(names).encode(), np.uint8),
         "blocked": np.array([given[r] == "block" for r in names], bool),
         "lengths": np.unique([len(r) - r.index("/") for r in names]).astype(np.int64),
+        "labels": np.unique([r[: r.index("/")].count(".") + 1 for r in names]).astype(np.int64),
     }
 
 
+_PARTS = ("keys", "ends", "strings", "blocked", "lengths", "labels")
+
+
 class DigestArray:
     """A digest array's parts, as arrays or as the files of a folder, memory-mapped."""
 
     def __init__(self, at: Path | dict[str, np.ndarray]):
-        part = at if isinstance(at, dict) else {n: np.load(at / f"{n}.npy", mmap_mode="r") for n in ("keys", "ends", "strings", "blocked", "lengths")}
-        self.keys, self.ends, self.strings, self.blocked, self.lengths = (part[n] for n in ("keys", "ends", "strings", "blocked", "lengths"))
+        part = at if isinstance(at, dict) else {n: np.load(at / f"{n}.npy", mmap_mode="r") for n in _PARTS}
+        self.keys, self.ends, self.strings, self.blocked, self.lengths, self.labels = (part[n] for n in _PARTS)
 
     def rule(self, i: int) -> bytes:
         return self.strings[self.ends[i - 1] if i else 0 : self.ends[i]].tobytes()
@@ -118,10 +122,10 @@ def publish(spark: SparkSession, rules: list[tuple[str, str]]) -> str:
     return name
 
 
-def candidates(host: str, path: str, lengths: list[int]) -> list[str]:
-    """Each parent domain of the host, itself included, with the path's beginning of each rule length."""
-    labels = host.split(".")
-    hosts = [".".join(labels[i:]) for i in range(len(labels))]
+def candidates(host: str, path: str, lengths: list[int], labels: list[int]) -> list[str]:
+    """The host's parent domains, itself included, of these numbers of labels, each with the path's beginning of each of these lengths: rules of others can't fit."""
+    parts = host.rsplit(".", max(labels, default=0))
+    hosts = [".".join(parts[len(parts) - n :]) for n in labels if n <= len(parts)] if labels else []
     return [f"{h}{path[:n]}" for n in lengths if n <= len(path) for h in hosts]
 
 
@@ -130,7 +134,8 @@ def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules
 
     A rule fits its host and all subdomains if the path starts with the rule's; of several the longest
     wins, of equally long ones that of the longer host. Without a rule: rule null, and the default verdict. Null, empty and malformed urls have an
-    empty host and path. Repeated rows stay. Other columns are not read.
+    empty host and path. Hosts and paths may be of any length. Repeated rows stay. Other columns are not read. An empty
+    table gives no rows.
     """
     name = publish(pages.sparkSession, rules)
     url = F.col(url_col)
@@ -138,8 +143,8 @@ def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         array = _opened(name)
-        lengths = array.lengths.tolist()
-        sets = [candidates(h, p, lengths) for h, p in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+        lengths, labels = array.lengths.tolist(), array.labels.tolist()
+        sets = [candidates(h, p, lengths, labels) for h, p in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
         hits = array.probe([c.encode("utf-8", "surrogatepass") for s in sets for c in s]).tolist()
         found, verdicts, at = [], [], 0
         for s in sets:

@@ -63,3 +63,12 @@ def test_rules_that_contradict_are_refused():
     for rules in ([("allow", "a/"), ("block", "a/")], [("maybe", "a/")], [("allow", "a")]):
         with pytest.raises(ValueError):
             url_filter.digest_array(rules)
+
+
+def test_a_host_of_many_labels_has_few_candidates(spark):
+    array = url_filter.digest_array(url_filter.RULES)
+    host = ".".join(["a"] * 100_000) + ".example.org"
+    found = url_filter.candidates(host, "/es/x", array["lengths"].tolist(), array["labels"].tolist())
+    assert len(found) <= len(array["lengths"]) * len(array["labels"]) and max(map(len, found)) < 20
+    urls = [f"http://{host}/es/x", f"http://{'x.' * 50_000}com/de/"]
+    assert [judged(spark, urls, url_filter.RULES)[i][2:] for i in (0, 1)] == [("example.org/es/", "block"), ("com/de/", "block")]
