@@ -3,9 +3,11 @@
 A document is cut into whole windows and one tail. All that packing needs of the tails is how many
 there are of each length: combinations of up to three lengths that fill a window exactly are
 enumerated, their repeat counts solved for against that histogram, and rounded down; what is left
-of the histogram is packed greedily, combination by combination. The driver works on numbers whose
-count the window bounds, whatever the number of documents; each piece finds its place by its rank
-among the pieces of its length.
+of the histogram is packed greedily, combination by combination. Tails that would leave a window with a
+hole are cut, first at a half of the window, then at a quarter and an eighth: such heads fill windows among
+themselves, and what is left of the tails is packed in the same way again.
+The driver works on numbers whose count the window bounds, whatever the number of documents; each piece
+finds its place by its rank among the pieces of its length.
 """
 
 from __future__ import annotations
@@ -34,6 +36,12 @@ STEPS, TOLERANCE = 400, 0.02
 #: Pieces of one length are numbered in groups of about so many, or of the root of all pieces' number if that is more:
 #: groups stay small beside a task, and their counts few beside the pieces.
 GROUP_ROWS = 500
+#: Lengths of the heads that tails are cut into, if at all. The last divides the others; the CRC-32 up to each of its
+#: multiples is kept, so that a cut needs no ids.
+HEADS = (512, 256, 128)
+GRID = HEADS[-1]
+#: A window that is filled less far is not left so, but its tails are cut.
+FILLED = 0.995
 TOKENIZER = "byte_bpe_50k.json"
 
 
@@ -74,27 +82,45 @@ def tokenizer_folder() -> str:
 
 
 def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folder: str | None = None, window: int = WINDOW) -> DataFrame:
-    """(doc_id, start, length, ids_crc32, doc_tokens): each document's ids and END_ID, cut into whole windows and a tail. Null text: empty."""
+    """(doc_id, start, length, ids_crc32, doc_tokens, marks): each document's ids and END_ID, cut into whole windows and a tail.
+
+    marks: of a tail, the CRC-32 of its first GRID, 2 * GRID ... ids, little-endian. Null text: empty. Repeated rows are
+    cut each. Other columns are not read. An empty table gives no rows.
+    """
     folder = folder or tokenizer_folder()
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "marks"]
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         encode = encoder(folder)
-        row, start, length, crc, total = [], [], [], [], []
+        row, start, length, crcs, total, marks = [], [], [], [], [], []
         for i, text in enumerate(batch.column(1).to_pylist()):
             ids = np.append(encode(text or ""), np.uint32(END_ID)).astype("<u4").tobytes()
             n = len(ids) // 4
             for at in range(0, n, window):
-                part = ids[4 * at : 4 * (at + window)]
+                end, crc, upto = min(n, at + window), 0, []
+                grid = range(at + GRID, end, GRID) if end - at < window else ()
+                last = at
+                for stop in grid:
+                    crc = zlib.crc32(ids[4 * last : 4 * stop], crc)
+                    upto.append(crc)
+                    last = stop
                 row.append(i)
                 start.append(at)
-                length.append(len(part) // 4)
-                crc.append(zlib.crc32(part))
+                length.append(end - at)
+                crcs.append(zlib.crc32(ids[4 * last : 4 * end], crc))
                 total.append(n)
-        cells = [pa.array(x, pa.int64()) for x in (start, length, crc, total)]
-        return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row, pa.int64())), *cells], ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+                marks.append(np.array(upto, "<u4").tobytes())
+        cells = [*(pa.array(x, pa.int64()) for x in (start, length, crcs, total)), pa.array(marks, pa.binary())]
+        return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row, pa.int64())), *cells], names)
+
+    return map_batches(docs, run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, start long, length long, ids_crc32 long, doc_tokens long, marks binary")
+
 
-    return map_batches(docs, run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, start long, length long, ids_crc32 long, doc_tokens long")
+def crc_of_rest(whole: int, head: int, n_bytes: int) -> int:
+    """CRC-32 of the last n_bytes of something, from that of all of it and of what comes before them: CRCs are linear."""
+    zeros = bytes(n_bytes)
+    return whole ^ zlib.crc32(zeros, head) ^ zlib.crc32(zeros)
 
 
 def combinations(lengths: np.ndarray, window: int) -> np.ndarray:
@@ -162,28 +188,41 @@ def greedy(hist: np.ndarray, window: int) -> list[tuple[list[int], int]]:
     return out
 
 
-class Plan:
-    """Where the pieces of each length go: arrays sorted by (length, first rank)."""
+class _Level:
+    """A histogram's pieces: those with the first ranks of their length fill windows, the others are cut and left to the next level."""
 
-    def __init__(self, hist: np.ndarray, window: int = WINDOW):
-        """hist[n]: how many pieces of n ids there are."""
+    def __init__(self, hist: np.ndarray, window: int, head: int, first_sequence: int):
+        """head: length of the heads that are cut off; 0: nothing is cut, and all pieces get a place."""
         left = hist.astype(np.int64).copy()
         chosen: list[tuple[list[int], int]] = []
-        if len(ls := np.flatnonzero(left)):
-            combos = combinations(ls, window)
-            x = np.floor(solve(combos, left) + 1e-9).astype(np.int64) if len(combos) else np.zeros(0, np.int64)
-            for i in np.argsort(-x, kind="stable"):
-                if x[i] <= 0:
-                    break
-                combo = [int(n) for n in combos[i] if n]
-                need = {n: combo.count(n) for n in combo}
-                times = min(int(x[i]), *(int(left[n]) // k for n, k in need.items()))
-                if times > 0:
-                    for n, k in need.items():
-                        left[n] -= k * times
-                    chosen.append((combo, times))
-            chosen += greedy(left, window)
-        rows, sequence, ranks = [], 0, np.zeros(len(hist), np.int64)
+        ls = np.flatnonzero(left)
+        combos = combinations(ls, window) if len(ls) else np.zeros((0, 3), np.int64)
+        x = np.floor(solve(combos, left) + 1e-9).astype(np.int64) if len(combos) else np.zeros(0, np.int64)
+        for i in np.argsort(-x, kind="stable"):
+            if x[i] <= 0:
+                break
+            combo = [int(n) for n in combos[i] if n]
+            need = {n: combo.count(n) for n in combo}
+            times = min(int(x[i]), *(int(left[n]) // k for n, k in need.items()))
+            if times > 0:
+                for n, k in need.items():
+                    left[n] -= k * times
+                chosen.append((combo, times))
+        for combo, times in greedy(left, window):
+            if not head or sum(combo) >= FILLED * window:
+                chosen.append((combo, times))
+                for n in combo:
+                    left[n] -= times
+        self.head, self.cut_from = head, hist.astype(np.int64) - left
+        #: the next level's pieces, and the ranks that the first cut piece of each length has there, as a head and as a rest
+        self.next = np.zeros(len(hist), np.int64)
+        self.head_rank, self.rest_rank = np.zeros(len(hist), np.int64), np.zeros(len(hist), np.int64)
+        for n in np.flatnonzero(left):
+            for part, rank in ((min(n, head), self.head_rank), (n - head, self.rest_rank)):
+                if part > 0:
+                    rank[n] = self.next[part]
+                    self.next[part] += left[n]
+        rows, sequence, ranks = [], first_sequence, np.zeros(len(hist), np.int64)
         for combo, times in chosen:
             offset = 0
             for n in combo:
@@ -193,7 +232,7 @@ class Plan:
             sequence += times
         rows.sort()
         self.length, self.first, self.sequence, self.offset = np.array(rows, np.int64).reshape(-1, 4).T.copy()
-        self.window, self.sequences, self.ids = window, sequence, int((np.arange(len(hist)) * hist).sum())
+        self.sequences = sequence
 
     def place(self, length: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(sequence, offset) of the pieces with these ranks among those of their length."""
@@ -202,12 +241,45 @@ class Plan:
         return self.sequence[at] + rank - self.first[at], self.offset[at]
 
 
+class Plan:
+    """Where the pieces of each length go, and how they are cut."""
+
+    def __init__(self, hist: np.ndarray, window: int = WINDOW):
+        """hist[n]: how many pieces of n ids there are."""
+        self.window, self.ids = window, int((np.arange(len(hist)) * hist).sum())
+        self.levels: list[_Level] = []
+        for head in (*HEADS, 0):
+            self.levels.append(_Level(hist, window, head, self.levels[-1].sequences if self.levels else 0))
+            hist = self.levels[-1].next
+        self.sequences = self.levels[-1].sequences
+
+    def place(self, length: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Of the pieces with these ranks among those of their length, a row for each part: (number of the piece, where the part begins in it, its length, sequence, offset), sorted by piece and beginning."""
+        of, at, out = np.arange(len(length)), np.zeros(len(length), np.int64), []
+        for level in self.levels:
+            stays = rank < level.cut_from[length]
+            out.append((of[stays], at[stays], length[stays], *level.place(length[stays], rank[stays])))
+            of, at, length, rank = of[~stays], at[~stays], length[~stays], rank[~stays] - level.cut_from[length[~stays]]
+            rest = length > level.head
+            parts = ((of, of[rest]), (at, at[rest] + level.head), (np.minimum(length, level.head), length[rest] - level.head), (level.head_rank[length] + rank, level.rest_rank[length[rest]] + rank[rest]))
+            of, at, length, rank = map(np.concatenate, parts)
+        cells = [np.concatenate(x) for x in zip(*out, strict=True)]
+        order = np.lexsort((cells[1], cells[0]))
+        return tuple(c[order] for c in cells)
+
+
+def crc_of_part(whole: int, length: int, marks: np.ndarray, start: int, size: int) -> int:
+    """CRC-32 of a part of a piece of length ids, from that of the piece and its marks."""
+    upto = lambda n: 0 if not n else whole if n == length else int(marks[n // GRID - 1])
+    return crc_of_rest(upto(start + size), upto(start), 4 * size) if start else upto(size)
+
+
 def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folder: str | None = None, window: int = WINDOW) -> DataFrame:
     """A row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     Every id of every row of docs lies in exactly one piece; a sequence's pieces lie gapless from
-    offset 0. Null and empty texts are one piece of END_ID alone. Repeated rows are packed each. An
-    empty table gives no rows. Texts are tokenized once; the pieces' table is written before packing.
+    offset 0. Null and empty texts are one piece of END_ID alone. Repeated rows are packed each. Other columns are
+    not read. An empty table gives no rows. Texts are tokenized once; the pieces' table is written before packing.
     """
     cut = materialize(pieces(docs, id_col, text_col, folder, window), "pieces")
     hist = np.zeros(window + 1, np.int64)
@@ -215,7 +287,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folder
         hist[r["length"]] = r["n"]
     group_rows = max(GROUP_ROWS, int(np.sqrt(hist.sum())))
     groups = F.get(F.array(*(F.lit(int(max(1, -(-n // group_rows)))) for n in hist)), F.col("length").cast("int"))
-    cut = cut.withColumn("_group", F.pmod(F.xxhash64("doc_id", "start"), groups))
+    cut = cut.withColumn("_group", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), groups))
     counts = materialize(cut.groupBy("length", "_group").agg(F.count("*").alias("n")), "counts")
     plan = docs.sparkSession.sparkContext.broadcast(Plan(hist, window))
     before = Window.partitionBy("length").orderBy("_group").rowsBetween(Window.unboundedPreceding, -1)
@@ -223,11 +295,16 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folder
     within = F.row_number().over(Window.partitionBy("length", "_group").orderBy("doc_id", "start", "ids_crc32"))
     ranked = cut.withColumn("_within", within).join(bases, ["length", "_group"])
     columns = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
-    ranked = ranked.select(*columns, (F.col("_base") + F.col("_within") - 1).alias("rank"))
+    ranked = ranked.select(*columns, "marks", (F.col("_base") + F.col("_within") - 1).alias("rank"))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        sequence, offset = plan.value.place(batch.column(2).to_numpy(), batch.column(5).to_numpy())
-        return pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(sequence, pa.int64()), pa.array(offset, pa.int64())], [*columns, "sequence_id", "offset"])
+        start, length, crc, total = (batch.column(i).to_numpy() for i in range(1, 5))
+        of, at, size, sequence, offset = plan.value.place(length, batch.column(6).to_numpy())
+        crc = crc[of].copy()
+        for i in np.flatnonzero(size < length[of]):
+            crc[i] = crc_of_part(int(crc[i]), int(length[of[i]]), np.frombuffer(batch.column(5)[int(of[i])].as_py(), "<u4"), int(at[i]), int(size[i]))
+        cells = [pa.array(x, pa.int64()) for x in (start[of] + at, size, crc, total[of], sequence, offset)]
+        return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(of, pa.int64())), *cells], [*columns, "sequence_id", "offset"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     return map_batches(ranked, run, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
