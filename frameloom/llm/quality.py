@@ -4,14 +4,17 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from frameloom.llm.common import fold, map_batches, sample_share, with_fields
+from frameloom.llm.common import fold, map_batches, materialize, release, sample_share, with_fields
 from frameloom.llm.ngrams import BITS, features
 
 #: At most about so many labelled texts are fitted to; which, a hash of their ids decides.
 TRAIN_ROWS = 8000
+#: And at most so many bytes of their vectors: texts come in order of the hash until it is reached.
+TRAIN_BYTES = 256 << 20
 EPOCHS = 3
 ALPHA, BETA, L1, L2 = 0.3, 1.0, 0.02, 0.05
 #: Of a feature's share of the text; such a multiple is its value.
@@ -52,11 +55,13 @@ def fit(vectors: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, epochs
     return w.astype(np.float32), bias
 
 
-def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", rows: int = TRAIN_ROWS) -> tuple[np.ndarray, float]:
+def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", rows: int = TRAIN_ROWS, most_bytes: int = TRAIN_BYTES) -> tuple[np.ndarray, float]:
     """Fits to the labelled rows of docs, a bounded sample of them where they are more than rows.
 
-    Null labels don't count; of several labels of a document the larger does. The sampled ids are
-    limited to 1.2 * rows before they are broadcast; only the samples' sparse vectors reach the driver.
+    Null labels don't count; of several labels of a document the larger does. Null texts have no n-grams. Of rows that
+    share an id, the one whose text has the least hash counts. The sampled ids are limited to 1.2 * rows before they are
+    broadcast; only the samples' sparse vectors, of most_bytes at most, reach the driver. Other columns are not read.
+    Without labels, or on an empty table, the model is the empty one.
     """
     given = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).cast("int").alias("_y"))
     known = docs.select(F.col(id_col).alias("_id")).distinct().join(given, "_id")
@@ -65,17 +70,26 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         vs = [vector(t) for t in batch.column(1).to_pylist()]
-        return pa.RecordBatch.from_arrays(
-            [batch.column(0).cast(pa.string()), batch.column(2), pa.array([i.tobytes() for i, _ in vs], pa.binary()), pa.array([x.tobytes() for _, x in vs], pa.binary())], ["id", "y", "idx", "x"]
-        )
-
-    got = sorted(map_batches(texts, run, "id string, y int, idx binary, x binary").collect(), key=lambda r: (r["id"], bytes(r["idx"])))
-    vectors = [(np.frombuffer(r["idx"], np.int32), np.frombuffer(r["x"], np.float32)) for r in got]
-    return fit(vectors, np.array([r["y"] for r in got], float))
+        hashed = [xxhash.xxh64_intdigest(t or "", SEED) >> 1 for t in batch.column(1).to_pylist()]
+        cells = [pa.array([x.tobytes() for x in part], pa.binary()) for part in zip(*vs, strict=True)]
+        return pa.RecordBatch.from_arrays([batch.column(0).cast(pa.string()), batch.column(2), pa.array(hashed, pa.int64()), *cells], ["id", "y", "hash", "idx", "x"])
+
+    vectors = materialize(map_batches(texts, run, "id string, y int, hash long, idx binary, x binary"), "vectors")
+    first = vectors.groupBy("id").agg(F.min_by(F.struct((F.length("idx") + F.length("x")).alias("n"), "hash"), "hash").alias("first"))
+    order = sorted(first.select("id", "first.hash", "first.n").collect(), key=lambda r: (r["hash"], r["id"]))
+    fits = int(np.searchsorted(np.cumsum([r["n"] for r in order]), most_bytes, "right"))
+    last = order[min(fits, len(order)) - 1] if fits else None
+    got = {}
+    if last is not None:
+        within = vectors.where(F.struct("hash", "id") <= F.struct(F.lit(last["hash"]).alias("hash"), F.lit(last["id"]).alias("id"))).dropDuplicates(["id", "hash"])
+        got = {(r["hash"], r["id"]): r for r in within.collect()}
+    release(vectors)
+    got = [got[r["hash"], r["id"]] for r in order[:fits]]
+    return fit([(np.frombuffer(r["idx"], np.int32), np.frombuffer(r["x"], np.float32)) for r in got], np.array([r["y"] for r in got], float))
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, float], text_col: str = "text", name: str = "score") -> DataFrame:
-    """docs' columns plus the probability of label 1; a text without words has the intercept's."""
+    """docs' columns plus, as name, the probability of label 1; a null text, and one without words, has the intercept's. Repeated rows stay; an empty table gives no rows."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text_col)
 
