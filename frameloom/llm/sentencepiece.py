@@ -33,14 +33,12 @@ ALPHA, RANK_OFFSET = 1.0, 100.0
 #: Weight of a character that the model has no piece for; it becomes its bytes' pieces.
 OTHER_WEIGHT = 1e-4
 SEED = 9
-#: Longer stretches without a break are cut, so that a lattice stays small; a cut is a piece boundary.
-#: Blanks before a word are not cut, so that a word may be of any length.
-MAX_WORD = 64
-#: Distinct words of which a worker keeps the lattice.
-KEPT_WORDS = 300_000
-#: Words that are sampled together.
-_AT_ONCE = 1 << 18
-_WORD = re.compile(f"{SPACE}*[^{SPACE}]{{1,{MAX_WORD}}}|{SPACE}+")
+#: A worker keeps the lattices of the words it has met until there are so many words, or arcs.
+KEPT_WORDS, KEPT_ARCS = 300_000, 1 << 23
+#: Words that are sampled together, and characters of new words that are filtered together (one word at least).
+_AT_ONCE, _CHARS_AT_ONCE = 1 << 18, 1 << 18
+#: Blanks and what follows them up to the next blank; of any length.
+_WORD = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
 
 class Lattices:
@@ -194,10 +192,17 @@ def sample(texts: list[str], keys: list[int], path: str) -> list[np.ndarray]:
 
 def _flush(lat: Lattices, group: list[tuple[int, int, int]], ends: list[list[str]], keys: list[int], out: list[list[np.ndarray]]) -> None:
     """Backward sampling of all words of the group, a piece of each at every step."""
-    if len(lat.end) > KEPT_WORDS:
+    if len(lat.end) > KEPT_WORDS or lat.arcs > KEPT_ARCS:
         lat.clear()
     words = [w for t, a, b in group for w in ends[t][a:b]]
-    if new := list({w: None for w in words if w not in lat.end}):
+    new, size = [], 0
+    for w in {w: None for w in words if w not in lat.end}:
+        if new and size + len(w) > _CHARS_AT_ONCE:
+            lat.add(new)
+            new, size = [], 0
+        new.append(w)
+        size += len(w)
+    if new:
         lat.add(new)
     node = np.fromiter(map(lat.end.__getitem__, words), np.int64, len(words))
     cum, piece, back, first = lat.cum[: lat.arcs], lat.piece, lat.back, lat.first
@@ -241,7 +246,11 @@ def decode(ids: np.ndarray, path: str) -> str:
 
 
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, seed: int = SEED) -> DataFrame:
-    """(doc_id, ids) of docs: array<int> of a sampled segmentation. Null and empty texts: no ids. Equal ids of rows give equal samples of equal texts."""
+    """(doc_id, ids) of docs: array<int> of a sampled segmentation.
+
+    Null and empty texts: no ids. Equal ids of rows give equal samples of equal texts; a null id counts as one of its
+    own. Repeated rows stay. Texts and words may be of any length. Other columns are not read. An empty table gives no rows.
+    """
     path = path or public_tokenizers.path(MODEL)
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
 
@@ -253,7 +262,10 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
 
 
 def decode_rows(df: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", path: str | None = None) -> DataFrame:
-    """(doc_id, text) of ids arrays, as encode() gives them or any other segmentation. Null and empty arrays: the empty text. Repeated rows stay."""
+    """(doc_id, text) of ids arrays, as encode() gives them or any other segmentation.
+
+    Null and empty arrays: the empty text. Repeated rows stay. Other columns are not read. An empty table gives no rows.
+    """
     path = path or public_tokenizers.path(MODEL)
     df = df.select(F.col(id_col).alias("doc_id"), F.col(ids_col).alias("ids"))
 
@@ -272,7 +284,7 @@ def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     lossless: decoding gives the text again. Texts that hold U+2581 itself can't tell it from a blank;
     there, the two are the same to the model, and lossless compares texts with each U+2581 as a blank.
-    Null text counts as empty and has no ids. Repeated rows stay.
+    Null text counts as empty and has no ids. Repeated rows stay. Other columns are not read. An empty table gives no rows.
     """
     path = path or public_tokenizers.path(MODEL)
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))

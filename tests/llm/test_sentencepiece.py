@@ -94,3 +94,44 @@ def test_long_runs_of_blanks_leave_all_samples_as_they_are_alone():
     ends = {tuple(ids[-2:].tolist()) for ids in s.sample([" " * 300 + "nation"] * 50, s.row_keys(list(range(50)), 4), PATH)}
     assert len(ends) > 1
     s.lattices(PATH).clear()
+
+
+def test_a_long_word_without_blanks_is_one_lattice():
+    """Shares of the arcs at each place against sums over all segmentations, by a plain loop in logarithms."""
+    import random
+
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=PATH)
+    normal = [i for i in range(sp.vocab_size()) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i))]
+    weight = {sp.id_to_piece(i): math.log((n + s.RANK_OFFSET) ** -s.ALPHA) for n, i in enumerate(normal)}
+    longest = max(map(len, weight))
+    rng = random.Random(6)
+    word = "▁" + "".join(rng.choice(["the", "ation", "q", "é", "ing", "日", "x"]) for _ in range(3500))
+    assert len(word) > 5000
+    alpha = [0.0]
+    shares = []
+    for stop in range(1, len(word) + 1):
+        ways = [(alpha[at] + weight.get(word[at:stop], math.log(s.OTHER_WEIGHT) if stop - at == 1 else -math.inf), stop - at) for at in range(max(0, stop - longest), stop)]
+        top = max(w for w, _ in ways)
+        alpha.append(top + math.log(sum(math.exp(w - top) for w, _ in ways)))
+        shares.append({back: math.exp(w - alpha[-1]) for w, back in ways if w > -math.inf})
+    lat = s.lattices(PATH)
+    lat.clear()
+    (ids,) = s.sample([word[1:]], [3], PATH)
+    assert s.decode(ids, PATH) == word[1:]
+    end = lat.end[word]
+    for stop in (1, 2, 63, 64, 65, 129, 1000, len(word)):
+        node = end - len(word) + stop
+        at, got, before = lat.begin[node], {}, float(node)
+        while True:
+            got[int(lat.back[at])] = lat.cum[at] - before
+            before = lat.cum[at]
+            if before >= node + 1.0:
+                break
+            at += 1
+        want = shares[stop - 1]
+        assert set(got) == set(want) and all(abs(got[b] - want[b]) < 1e-6 for b in got)
+    alone = ids.tolist()
+    lat.clear()
+    assert s.sample(["other words", word[1:], prose(4, 30)], [1, 3, 2], PATH)[1].tolist() == alone
