@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from frameloom.llm import langid, matroska, packing, quality, secrets, sentencepiece, simhash, spotsigs, toxicity, url_filter
-from frameloom.llm.common import documents
+from frameloom.llm.common import documents, new_path
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,7 +16,7 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spotsigs.edited_fingerprints(documents(spark, sf_dir))
+    return spotsigs.grouped_fingerprints(documents(spark, sf_dir))
 
 
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,7 +48,8 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = secrets.secrets(documents(spark, sf_dir))
+    """The spans of all documents, by way of a ledger that begins empty and is kept for the session."""
+    found = secrets.scan_versions(documents(spark, sf_dir), new_path(spark, "secrets"))
     joined = secrets.joined(F.col("spans"))
     counts = [secrets.count_kind(F.col("spans"), k).alias(f"n_{k}") for k in secrets.RULES]
     return found.select(F.col("path").alias("doc_id"), *counts, F.sha2(joined, 256).alias("base_sha256"), joined.alias("spans"))

@@ -10,10 +10,10 @@ regexp_extract_all() the matches; running sums of both lengths are the spans, in
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from frameloom.llm.common import materialize
+from frameloom.llm.common import materialize, release
 
 #: kind: (pattern, group whose length counts, least length). The order is the order of kinds at equal starts.
 #: A run of hex digits or an access key matches whole, so that the least length can stand in the pattern; a short
@@ -26,31 +26,45 @@ RULES: dict[str, tuple[str, int, int]] = {
 RULE_VERSION = "base-1"
 
 
-def _spans(text: Column, kind: str) -> Column:
-    """array<struct<start, kind_no, kind, end>> of a kind's matches, code points, end exclusive."""
-    pattern, group, least = RULES[kind]
-    order = list(RULES).index(kind)
-    lit = F.lit(pattern)
-    none = F.array().cast("array<struct<start:int,kind_no:int,kind:string,end:int>>")
-    whole = F.regexp_extract_all(text, lit, F.lit(0))
-    part = F.regexp_extract_all(text, lit, F.lit(group))
-    gaps = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(whole))
-    rows = F.arrays_zip(gaps.alias("gap"), whole.alias("whole"), part.alias("part"))
-    zero = F.struct(F.lit(0).alias("at"), none.alias("found"))
+SPANS = "array<struct<start:int,kind_no:int,kind:string,end:int>>"
+_LENGTHS = "array<struct<kind_no:int,place:int,gap:int,whole:int,part:int>>"
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["gap"])
-        end = start + F.length(x["whole"])
-        one = F.array(F.struct(start.alias("start"), F.lit(order).alias("kind_no"), F.lit(kind).alias("kind"), end.alias("end")))
-        return F.struct(end.alias("at"), F.when(F.length(x["part"]) >= least, F.concat(acc["found"], one)).otherwise(acc["found"]).alias("found"))
 
-    return F.when(F.regexp_like(text, lit), F.aggregate(rows, zero, step, lambda a: a["found"])).otherwise(none)
+def _lengths(text: Column, kind: str) -> Column:
+    """Of each match of a kind: its number, how far it is from the last, how long it is, and its measured group."""
+    pattern, group, _ = RULES[kind]
+    lit = F.lit(pattern)
+    sizes = lambda found: F.transform(found, F.length)
+    whole, part = (sizes(F.regexp_extract_all(text, lit, F.lit(g))) for g in (0, group))
+    gaps = sizes(F.split(text, pattern, -1))
+    rows = F.transform(
+        F.arrays_zip(whole.alias("whole"), part.alias("part"), gaps.alias("gap")),
+        lambda x, i: F.struct(F.lit(list(RULES).index(kind)).alias("kind_no"), i.alias("place"), x["gap"].alias("gap"), x["whole"].alias("whole"), x["part"].alias("part")),
+    )
+    matches = F.filter(rows, lambda x: x["whole"].isNotNull())  # the text after the last match has a length, but no match
+    return F.when(F.regexp_like(text, lit), matches.cast(_LENGTHS)).otherwise(F.array().cast(_LENGTHS))
+
+
+def lengths(text: Column) -> Column:
+    """All matches of a text by their lengths. Null or empty text: an empty array."""
+    text = F.coalesce(text, F.lit(""))
+    return F.concat(*(_lengths(text, k) for k in RULES))
 
 
-def scan(text: Column) -> Column:
-    """All spans of a text, sorted by start, then kind as listed. Null or empty text: an empty array."""
-    text = F.coalesce(text, F.lit(""))
-    return F.array_sort(F.concat(*(_spans(text, k) for k in RULES)))
+def placed(scanned: DataFrame, key: str) -> DataFrame:
+    """(key, spans) of scanned(key, lengths), key distinct: running sums of the lengths are the places.
+
+    One row a match, summed in windows: the work grows with the matches, however many a text has. Spans are sorted
+    by start, then kind as listed; a key without a span has an empty array.
+    """
+    upto = Window.partitionBy(key, "kind_no").orderBy("place")
+    matches = scanned.select(key, F.inline("lengths"))
+    ends = matches.withColumn("end", F.sum(F.col("gap") + F.col("whole")).over(upto).cast("int"))
+    least = F.element_at(F.array(*(F.lit(least) for _, _, least in RULES.values())), F.col("kind_no") + 1)
+    kind = F.element_at(F.array(*map(F.lit, RULES)), F.col("kind_no") + 1)
+    span = F.struct((F.col("end") - F.col("whole")).alias("start"), "kind_no", kind.alias("kind"), "end")
+    spans = ends.where(F.col("part") >= least).groupBy(key).agg(F.array_sort(F.collect_list(span)).cast(SPANS).alias("spans"))
+    return scanned.select(key).join(spans, key, "left").select(key, F.coalesce("spans", F.array().cast(SPANS)).alias("spans"))
 
 
 def blob_id(text: Column) -> Column:
@@ -73,40 +87,46 @@ def update_ledger(versions: DataFrame, path_col: str, text_col: str, ledger: Dat
         unseen = unseen.join(known, "blob_id", "left_anti")
     unseen = unseen.withColumnRenamed("path", "first_path").withColumnRenamed("blob_id", "first_blob")
     texts = named.join(unseen, F.col("path").eqNullSafe(F.col("first_path")) & (blob_id(F.col("text")) == F.col("first_blob")))
-    scanned = texts.select(F.col("first_blob").alias("blob_id"), F.lit(rule_version).alias("rule_version"), scan(F.col("text")).alias("spans"))
     # a path may hold a blob more than once (repeated rows, or null paths)
-    added = materialize(scanned.groupBy("blob_id", "rule_version").agg(F.first("spans").alias("spans")), "ledger")
+    scanned = materialize(texts.select(F.col("first_blob").alias("blob_id"), lengths(F.col("text")).alias("lengths")).groupBy("blob_id").agg(F.first("lengths").alias("lengths")), "scanned")
+    added = materialize(placed(scanned, "blob_id").select("blob_id", F.lit(rule_version).alias("rule_version"), "spans"), "ledger")
+    release(scanned)
     return added, paths
 
 
+def _report(paths: DataFrame, known: DataFrame) -> DataFrame:
+    hits = known.where(F.size("spans") > 0).select("blob_id", "spans").dropDuplicates(["blob_id"])
+    return paths.join(hits, "blob_id", "left").select("path", "blob_id", F.coalesce("spans", F.array().cast(SPANS)).alias("spans"))
+
+
 def secrets(versions: DataFrame, path_col: str = "doc_id", text_col: str = "text", ledger: DataFrame | None = None, rule_version: str = RULE_VERSION) -> DataFrame:
     """(path, blob_id, spans): for each row of versions, the spans of its text, from the ledger and this run.
 
-    Null text is scanned as empty. Rows that repeat stay. Null paths are reported like others. An empty table gives no rows.
+    Null text is scanned as empty. Rows that repeat stay. Null paths are reported like others. Texts are scanned whole,
+    in time that grows with their length. Other columns are not read. An empty table gives no rows.
     """
     added, paths = update_ledger(versions, path_col, text_col, ledger, rule_version)
-    known = added if ledger is None else ledger.where(F.col("rule_version") == rule_version).select(*added.columns).union(added)
-    hits = known.where(F.size("spans") > 0).select("blob_id", "spans").dropDuplicates(["blob_id"])
-    none = F.array().cast(hits.schema["spans"].dataType)
-    return paths.join(hits, "blob_id", "left").select("path", "blob_id", F.coalesce("spans", none).alias("spans"))
+    return _report(paths, added if ledger is None else ledger.where(F.col("rule_version") == rule_version).select(*added.columns).union(added))
 
 
-LEDGER = "blob_id string, rule_version string, spans array<struct<start:int,kind_no:int,kind:string,end:int>>"
+LEDGER = f"blob_id string, rule_version string, spans {SPANS}"
 
 
 def scan_versions(versions: DataFrame, ledger_path: str, path_col: str = "doc_id", text_col: str = "text", rule_version: str = RULE_VERSION) -> DataFrame:
     """secrets() with a ledger kept at ledger_path: what it lacks is scanned and appended, a folder for each rule version.
 
-    A run that is broken off has appended all of its blobs or none. Two runs at once may scan a blob twice; its spans are the same.
+    A run that is broken off has appended all of its blobs or none. Two runs at once may scan a blob twice; its spans are
+    the same. Nulls, repeated rows, other columns and the empty table: as in secrets().
     """
     spark = versions.sparkSession
     sc = spark.sparkContext
     at = sc._jvm.org.apache.hadoop.fs.Path(ledger_path)
     there = at.getFileSystem(sc._jsc.hadoopConfiguration()).exists(at)
     ledger = spark.read.schema(LEDGER).parquet(ledger_path) if there else spark.createDataFrame([], LEDGER)
-    added, _ = update_ledger(versions, path_col, text_col, ledger, rule_version)
+    added, paths = update_ledger(versions, path_col, text_col, ledger, rule_version)
     added.write.mode("append").partitionBy("rule_version").parquet(ledger_path)
-    return secrets(versions, path_col, text_col, spark.read.schema(LEDGER).parquet(ledger_path), rule_version)
+    release(added)
+    return _report(paths, spark.read.schema(LEDGER).parquet(ledger_path).where(F.col("rule_version") == rule_version))
 
 
 def joined(spans: Column) -> Column:
@@ -118,14 +138,33 @@ def count_kind(spans: Column, kind: str) -> Column:
     return F.size(F.filter(spans, lambda x: x["kind"] == kind)).cast("long")
 
 
-def redact(text: Column, spans: Column, mask: str = "[SECRET]") -> Column:
-    """text with each run of overlapping spans replaced by mask; null stays null."""
-    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+#: A text is cut into blocks of so many characters once, so that what lies between two spans is found without walking the text from its beginning.
+_BLOCK = 1024
+
+
+def merged(df: DataFrame, key: str, spans: str = "spans") -> DataFrame:
+    """(key, runs) of df(key, spans), key distinct: runs of overlapping spans as one, (start, end), sorted. Keys without spans are left out."""
+    flat = df.select(key, F.inline(spans))
+    before = Window.partitionBy(key).orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
+    begins = flat.withColumn("reached", F.max("end").over(before)).withColumn("begins", F.when(F.col("reached") > F.col("start"), 0).otherwise(1))
+    numbered = begins.withColumn("run", F.sum("begins").over(before.rowsBetween(Window.unboundedPreceding, 0)))
+    runs = numbered.groupBy(key, "run").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    return runs.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("runs"))
+
+
+def redact(text: Column, runs: Column, mask: str = "[SECRET]") -> Column:
+    """text with each of runs (start, end; sorted, apart) replaced by mask. Null text, and text without runs (null or empty), stays as it is."""
+    blocks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{_BLOCK}}}"), F.lit(0))
+
+    def between(block: Column, start: Column, end: Column) -> Column:
+        first = F.floor(start / _BLOCK).cast("int")
+        some = F.array_join(F.slice(block, first + 1, F.floor(end / _BLOCK).cast("int") - first + 1), "")
+        return F.substring(some, start - first * _BLOCK + 1, end - start)
 
-    def step(acc: Column, x: Column) -> Column:
-        gap = F.substring(text, acc["at"] + 1, x["start"] - acc["at"])
-        out = F.when(x["start"] >= acc["at"], F.concat(acc["out"], gap, F.lit(mask))).otherwise(acc["out"])
-        return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), out.alias("out"))
+    def cut(block: Column) -> Column:
+        stop = lambda i: F.when(i > 0, F.get(runs, i - 1)["end"]).otherwise(0)
+        head = F.transform(runs, lambda r, i: F.concat(between(block, stop(i), r["start"]), F.lit(mask)))
+        return F.concat(F.array_join(head, ""), between(block, F.element_at(runs, -1)["end"], F.length(text)))
 
-    done = F.aggregate(spans, zero, step, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))))
-    return F.when(F.size(spans) > 0, done).otherwise(text)
+    # the blocks are an element of an array, so that they are cut once, not for each run
+    return F.when(F.coalesce(F.size(runs), F.lit(0)) > 0, F.get(F.transform(F.array(blocks), cut), F.lit(0))).otherwise(text)
