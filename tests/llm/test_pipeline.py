@@ -5,7 +5,7 @@ import pytest
 from conftest_llm import odd_texts, prose
 from pyspark.sql import functions as F
 from test_secrets import brute as brute_spans
-from test_simhash import brute as brute_components
+from test_shingles import brute as brute_components
 
 import corpus_pipeline
 from frameloom.llm import common, langid, quality, queries, secrets
@@ -40,8 +40,11 @@ def test_stages_one_by_one(spark, sf_dir):
         given = {r["doc_id"]: r for r in before.collect()}
         if name == "language":
             model = langid.train(before)
-            cos = {i: (float((model[1] @ v).max()) if (v := langid.profile(r["text"])) is not None else -1) for i, r in given.items()}
-            assert set(kept[name]) == {i for i, c in cos.items() if c >= corpus_pipeline.LEAST_COSINE}
+            least = langid.least_likeness(before, model)
+            sizes = {i: langid.n_grams(r["text"]) for i, r in given.items()}
+            asked = {m: spark.range(1).select(least(F.lit(m)).alias("x")).first()["x"] for m in set(sizes.values()) if m}
+            cos = {i: float((model[1] @ v).max()) if (v := langid.profile(r["text"])) is not None else -1 for i, r in given.items()}
+            assert set(kept[name]) == {i for i, c in cos.items() if c >= asked.get(sizes[i], 2)}
             assert not any(kept[name].get(i) for i, t in enumerate(texts) if not any(c.isalpha() for c in t or ""))
         elif name == "quality":
             w, b = quality.train(before, common.documents(spark, at, "labels"))
@@ -49,7 +52,7 @@ def test_stages_one_by_one(spark, sf_dir):
             assert set(kept[name]) == {i for i, s in score.items() if s >= 0} or all(abs(s) < 1e-4 for i, s in score.items() if (s >= 0) != (i in kept[name]))
         elif name == "near duplicates":
             want = brute_components([(i, r["text"]) for i, r in given.items()])
-            assert set(kept[name]) == {c for _, c in want.values()} and len(kept[name]) < len(given)
+            assert set(kept[name]) == set(want.values()) and len(kept[name]) < len(given)
             assert all(kept[name][i] == given[i] for i in kept[name])
         elif name == "secrets":
             assert set(kept[name]) == set(given)
