@@ -10,13 +10,15 @@ from contextlib import contextmanager
 
 import pyarrow as pa
 from py4j.protocol import Py4JError
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType, _parse_datatype_string
 
 #: Upper bound of the bytes that one Arrow batch hands to Python, so that very long texts don't pile up.
 ARROW_BATCH_BYTES = 4 << 20
 ARROW_BATCH_ROWS = 2000
+#: Tables whose size is bounded beforehand are written in files of so many rows, and in LEAST_FILES at least.
+ROWS_PER_FILE, LEAST_FILES = 50_000, 6
 
 
 def documents(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
@@ -43,21 +45,30 @@ def new_path(spark: SparkSession, tag: str) -> str:
     return at
 
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
+def materialize(df: DataFrame, tag: str, most_rows: int | None = None) -> DataFrame:
     """Cuts the lineage: writes df as Parquet to the shared folder and reads it again.
 
-    Lost executors don't lose the table. What was shuffled for it is dropped once it is written.
+    Lost executors don't lose the table. What was shuffled for it is dropped once it is written. Where df is known to
+    have most_rows at most, it is written in as few files as so many rows ask for.
     The table goes with release(), clear(), or when the driver process ends.
     """
     spark = df.sparkSession
     at = new_path(spark, tag)
+    if most_rows is not None and (files := max(LEAST_FILES, -(-most_rows // ROWS_PER_FILE))) < int(spark.conf.get("spark.sql.shuffle.partitions")):
+        df = df.coalesce(files)
+    seen = Observation()
     with _setting(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):
-        df.write.parquet(at)
+        df.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(at)
     out = spark.read.schema(df.schema).parquet(at)
-    out._frameloom_path = at
+    out._frameloom_path, out._frameloom_rows = at, seen.get["n"]
     return out
 
 
+def rows_of(df: DataFrame) -> int:
+    """How many rows a table has that materialize() wrote."""
+    return df._frameloom_rows
+
+
 def release(*tables: DataFrame) -> None:
     """Deletes tables that materialize() wrote; no later plan may read them."""
     for df in tables:

@@ -5,25 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from frameloom.llm.common import materialize, release
+from frameloom.llm.common import materialize, release, rows_of
 
 
-def _round(edges: DataFrame) -> tuple[DataFrame, tuple]:
+def _round(edges: DataFrame, most_rows: int | None) -> tuple[DataFrame, tuple]:
     """(the edges as a written table, (their number, a hash of them)): both in one job."""
     seen = Observation()
-    written = materialize(edges.observe(seen, F.count("*").alias("n"), F.sum(F.xxhash64("hi", "lo").cast("decimal(20,0)")).alias("h")), "edges")
-    return written, (seen.get["n"], seen.get["h"])
+    written = materialize(edges.observe(seen, F.sum(F.xxhash64("hi", "lo").cast("decimal(20,0)")).alias("h")), "edges", most_rows)
+    return written, (rows_of(written), seen.get["h"])
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, most_rows: int | None = None, max_rounds: int = 60) -> DataFrame:
     """edges(hi, lo), hi > lo -> (node, root): each node that has an edge, but for the roots, with the least node it reaches.
 
     No neighbourhood is ever gathered: each step takes a minimum per node (combined before the
     shuffle) and joins it back, so that a hub with any number of neighbours only skews a join,
     which adaptive execution splits. Each round is written to the shared folder, and the one before it deleted.
-    Null ends and self loops are ignored; an empty input gives an empty result.
+    most_rows: the number of edges, or more, where it is known. Null ends and self loops are ignored; an empty input gives an empty result.
     """
-    e, state = _round(edges.where("hi <> lo").select(F.greatest("hi", "lo").alias("hi"), F.least("hi", "lo").alias("lo")).distinct())
+    e, state = _round(edges.where("hi <> lo").select(F.greatest("hi", "lo").alias("hi"), F.least("hi", "lo").alias("lo")).distinct(), most_rows)
     for _ in range(max_rounds):
         if not state[0]:
             break
@@ -33,7 +33,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         own = large.groupBy("hi").agg(F.min("lo").alias("m"))
         small = large.join(own, "hi").select(F.col("lo").alias("hi"), F.col("m").alias("lo")).where("hi <> lo")
         old, before = e, state
-        e, state = _round(small.union(own.select("hi", F.col("m").alias("lo"))).distinct())
+        e, state = _round(small.union(own.select("hi", F.col("m").alias("lo"))).distinct(), state[0])
         release(old)
         if state == before:
             break

@@ -11,7 +11,7 @@ parities), and at last member by member.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Collection
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from frameloom.llm.common import map_batches, materialize, release, sample_share
+from frameloom.llm.common import map_batches, materialize, release, rows_of, sample_share
 from frameloom.llm.graph import components
 
 LEAST_LIKENESS = 0.8
@@ -52,10 +52,10 @@ def digest(sigs: np.ndarray) -> tuple[int, int]:
     return tuple(np.array(divmod(xxhash.xxh3_128_intdigest(sigs.tobytes()), 1 << 64), np.uint64).view(np.int64).tolist())
 
 
-def _name(sigs: np.ndarray, clashes: Collection[int]) -> tuple[int, int]:
+def _name(sigs: np.ndarray, clashes: frozenset[int]) -> tuple[int, int]:
     """(what a set goes by, the rest of its digest): half of its digest, or where unlike sets share that, a hash of all of it."""
     check, fp = digest(sigs)
-    return (int(np.int64(np.uint64(xxhash.xxh64_intdigest(sigs.tobytes(), SEED)))) if fp in clashes else fp), check
+    return (int(np.uint64(xxhash.xxh64_intdigest(sigs.tobytes(), SEED)).view(np.int64)) if fp in clashes else fp), check
 
 
 def _texts(batch: pa.RecordBatch) -> list[bytes | None]:
@@ -75,30 +75,45 @@ def _common(named: DataFrame, share: float, make: MakeSet) -> tuple[np.ndarray,
     return sigs.view(np.uint64)[order], counts[order]
 
 
-def _marked(named: DataFrame, make: MakeSet, least: float, clashes: Collection[int]) -> DataFrame:
-    """(doc_id, key, fp, check, n, bits, probes, lots) for each row; lot: which part of a long list a set is in, -1 if the list is whole."""
-    total = named.count()
-    share = min(1.0, SAMPLE / max(total, 1))
-    shared = named.sparkSession.sparkContext.broadcast((*_common(named, share, make), LIST_ROWS * share, clashes))
+class Marker:
+    """Marks sets for the search of links: names them, and chooses their probes by what a sample of the texts finds common."""
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        common, often, part, clashes = shared.value
-        rows = []
-        for text in _texts(batch):
-            sigs = make(text)
+    kinds = {"fp": pa.int64(), "check": pa.int64(), "n": pa.int32(), "bits": pa.list_(pa.int64()), "probes": pa.list_(pa.int64()), "lots": pa.list_(pa.int32())}
+    ddl = "fp long, check long, n int, bits array<long>, probes array<long>, lots array<int>"
+
+    def __init__(self, docs: DataFrame, make: MakeSet, id_col: str = "doc_id", text_col: str = "text", least: float = LEAST_LIKENESS):
+        self.named = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text"), F.xxhash64(F.col(text_col)).alias("key"))
+        self.make, self.least = make, least
+        share = min(1.0, SAMPLE / max(self.named.count(), 1))
+        self.common = docs.sparkSession.sparkContext.broadcast((*_common(self.named, share, make), LIST_ROWS * share))
+        self.clashes: frozenset[int] = frozenset()
+
+    def mark(self) -> Callable[[np.ndarray], tuple]:
+        """set -> (fp, check, n, bits, probes, lots), to be called on the workers; lot: which part of a long list a set is in, -1 if the list is whole."""
+        common_, least, clashes = self.common, self.least, self.clashes
+
+        def of(sigs: np.ndarray) -> tuple:
+            common, often, part = common_.value
             (fp, check), times = _name(sigs, clashes), np.zeros(len(sigs), np.int64)
             if len(common) and len(sigs):
                 at = np.minimum(np.searchsorted(common, sigs), len(common) - 1)
                 times = np.where(common[at] == sigs, often[at], 0)
             order = np.lexsort((sigs, times))[: n_probes(len(sigs), least)]
             parts = np.ceil(times[order] / part).astype(np.int64)
-            rows.append((fp, check, len(sigs), parities(sigs), sigs[order].view(np.int64), np.where(parts > 1, fp % np.maximum(parts, 1), -1).astype(np.int32)))
-        kinds = {"fp": pa.int64(), "check": pa.int64(), "n": pa.int32(), "bits": pa.list_(pa.int64()), "probes": pa.list_(pa.int64()), "lots": pa.list_(pa.int32())}
-        cells = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds.values())]
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), *cells], ["doc_id", "key", *kinds])
+            return fp, check, len(sigs), parities(sigs), sigs[order].view(np.int64), np.where(parts > 1, fp % np.maximum(parts, 1), -1).astype(np.int32)
+
+        return of
 
-    kind = named.schema["doc_id"].dataType.simpleString()
-    return map_batches(named, run, f"doc_id {kind}, key long, fp long, check long, n int, bits array<long>, probes array<long>, lots array<int>")
+    def marked(self) -> DataFrame:
+        """(doc_id, key, fp, check, n, bits, probes, lots) for each row."""
+        mark, make, kinds = self.mark(), self.make, self.kinds
+
+        def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+            rows = [mark(make(text)) for text in _texts(batch)]
+            cells = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds.values())]
+            return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), *cells], ["doc_id", "key", *kinds])
+
+        return map_batches(self.named, run, f"doc_id {self.named.schema['doc_id'].dataType.simpleString()}, key long, {self.ddl}")
 
 
 def _sizes_fit(n: str, m: str, least: float) -> Column:
@@ -130,9 +145,10 @@ def _close(pairs: DataFrame, heads: DataFrame, least: float) -> DataFrame:
     return met.where(_apart("bits_hi", "bits_lo") <= _most("n_hi", "n_lo", least)).select("hi", "lo")
 
 
-def _sets(named: DataFrame, heads: DataFrame, pairs: DataFrame, make: MakeSet, clashes: Collection[int]) -> DataFrame:
+def _sets(marker: Marker, heads: DataFrame, pairs: DataFrame) -> DataFrame:
     """(fp, sigs) of all sets in pairs, read from the texts again; a bit map keeps most of the others' from being hashed and dealt out."""
-    ends = pairs.select(F.explode(F.array("hi", "lo")).alias("fp")).distinct()
+    named, make, clashes = marker.named, marker.make, marker.clashes
+    ends = pairs.select(F.col("hi").alias("fp")).distinct().union(pairs.select("lo").distinct()).distinct()
     wanted = heads.join(ends, "fp", "left_semi").select(F.pmod("key", F.lit(WANTED)).alias("at"))
     words = wanted.groupBy(F.expr("at div 64").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(at % 64 as int)))").alias("bits")).toArrow()
     bitmap = np.zeros(WANTED // 64, np.int64)
@@ -159,18 +175,22 @@ def rooted(docs: DataFrame, make: MakeSet, id_col: str = "doc_id", text_col: str
     pairs are told apart by their parities where they meet, and taken in the first list that they share alone.
     Null, empty and blank texts share the empty set. Repeated rows stay; other columns are not read; an empty table gives no rows.
     """
-    named = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text"), F.xxhash64(F.col(text_col)).alias("key"))
-    clashes: set[int] = set()
+    marker = Marker(docs, make, id_col, text_col, least)
+    return linked(marker, materialize(marker.marked(), "marked"))
+
+
+def linked(marker: Marker, marked: DataFrame) -> DataFrame:
+    """rooted() of rows(doc_id, key, fp, check, n, bits, probes, lots) that the marker has marked; marked is a table that can be read again and again."""
+    least = marker.least
     while True:
-        marked = materialize(_marked(named, make, least, clashes), "marked")
         filled = marked.where("n > 0").groupBy("fp")
         heads = materialize(filled.agg(F.first("key").alias("key"), F.first("n").alias("n"), F.first("bits").alias("bits"), (F.min("check") != F.max("check")).alias("clash")), "heads")
         # of n sets about n * n / 2 ** 65
         found = {r["fp"] for r in heads.where("clash").select("fp").collect()}
         if not found:
             break
-        clashes |= found
-        release(marked, heads)
+        marker.clashes |= found
+        marked = materialize(marker.marked(), "marked")
     probes = filled.agg(F.first("n").alias("n"), F.first(F.arrays_zip(F.col("probes").alias("sig"), F.col("lots").alias("lot"))).alias("probes"))
     beside = Window.partitionBy("sig", "lot").orderBy(F.xxhash64("sig", "fp"), "fp")
     one = F.struct("fp", "n", "at")
@@ -180,9 +200,9 @@ def rooted(docs: DataFrame, make: MakeSet, id_col: str = "doc_id", text_col: str
 
     first = met.where("before is not null").select("fp", "n", "at", F.explode(F.array("before", "head")).alias("to")).select("fp", "n", "at", F.col("to.fp").alias("to"), F.col("to.n").alias("m"), F.col("to.at").alias("other_at"))
     first = first.where(_sizes_fit("n", "m", least) & _room("n", "m", "at", "other_at", least)).select(F.greatest("fp", "to").alias("hi"), F.least("fp", "to").alias("lo"))
-    links = _links(materialize(_close(first, heads, least), "beside"), named, heads, make, least, clashes)
+    links = _links(materialize(_close(first, heads, least), "beside", 2 * rows_of(met)), marker, heads)
     size_class = F.floor(F.log(F.col("n")) / F.log(F.lit(1 / least)) + 1e-9).cast("int").alias("class")
-    grouped = materialize(met.join(components(links), F.col("fp") == F.col("node"), "left").select("fp", "n", "at", "sig", size_class, F.coalesce("root", "fp").alias("root")), "grouped")
+    grouped = materialize(met.join(components(links, rows_of(links)), F.col("fp") == F.col("node"), "left").select("fp", "n", "at", "sig", size_class, F.coalesce("root", "fp").alias("root")), "grouped")
 
     sizes = grouped.groupBy("sig", "root").agg(F.count("*").alias("size"))
     largest = sizes.groupBy("sig").agg(F.max_by("root", F.struct("size", "root")).alias("largest"), F.count("*").alias("groups"), F.sum("size").alias("sets")).where("groups > 1").drop("groups")
@@ -200,13 +220,14 @@ def rooted(docs: DataFrame, make: MakeSet, id_col: str = "doc_id", text_col: str
     here = F.col("probes_a").isNull() | (F.get(F.array_intersect("probes_a", "probes_b"), F.lit(0)) == x["sig"])
     cross = x.join(y, (x["sig"] == y["sig"]) & (x["class"] == y["class"]) & fits & F.when(near, here).otherwise(False))
     rest = _close(cross.select(F.greatest("fp_a", "fp_b").alias("hi"), F.least("fp_a", "fp_b").alias("lo")), heads, least)
-    links = links.union(_links(materialize(rest, "rest"), named, heads, make, least, clashes))
-    return marked.join(components(links), F.col("fp") == F.col("node"), "left").select("doc_id", "key", "fp", "check", "n", F.coalesce("root", "fp").alias("root"))
+    more = _links(materialize(rest, "rest"), marker, heads)
+    roots = components(links.union(more), rows_of(links) + rows_of(more))
+    return marked.join(roots, F.col("fp") == F.col("node"), "left").select("doc_id", "key", "fp", "check", "n", F.coalesce("root", "fp").alias("root"))
 
 
-def _links(pairs: DataFrame, named: DataFrame, heads: DataFrame, make: MakeSet, least: float, clashes: Collection[int]) -> DataFrame:
-    sets = materialize(_sets(named, heads, pairs, make, clashes), "sets")
-    found = materialize(_alike(pairs, sets, least), "links")
+def _links(pairs: DataFrame, marker: Marker, heads: DataFrame) -> DataFrame:
+    sets = materialize(_sets(marker, heads, pairs), "sets", 2 * rows_of(pairs))
+    found = materialize(_alike(pairs, sets, marker.least), "links", rows_of(pairs))
     release(pairs, sets)
     return found
 

@@ -114,54 +114,64 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     Documents are dealt out by ranges of ids and hashes and sorted there, each text once. Within a range each row
     meets its successor; only a range's first and last text are kept to join the ranges' ends.
     """
+    return _walked(docs, id_col, text_col, None).select("doc_id", *_OUT)
+
+
+def _walked(docs: DataFrame, id_col: str, text_col: str, marker: setlinks.Marker | None) -> DataFrame:
+    """(doc_id, key, edited_fingerprints()' columns and, with a marker, its marks of the text's own set), as written tables."""
     spark = docs.sparkSession
     bounded_batches(spark)
-    order = F.col("doc_id").desc_nulls_last()
-    tie = F.xxhash64("text")
-    ranges = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).repartitionByRange(order, tie)
-    names = ["doc_id", *_OUT, "edge", "range", "text"]
+    kinds = _OUT | (marker.kinds if marker else {})
+    ddl = _KINDS + (f", {marker.ddl}" if marker else "")
+    mark = marker.mark() if marker else lambda _: ()
+    blank = (None,) * len(kinds)
+    order, tie = F.col("doc_id").desc_nulls_last(), F.col("key")
+    ranges = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col)).alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).repartitionByRange(order, tie)
     kind = docs.schema[id_col].dataType.simpleString()
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
-        last = None  # (id as an Arrow scalar, text, signatures)
+        last = None  # (id, key, text, signatures)
         id_type = None
 
-        def emit(ids: list, cells: list[tuple]) -> pa.RecordBatch:
-            kinds = [*_OUT.values(), pa.string(), pa.int64(), pa.string()]
-            return pa.RecordBatch.from_arrays([pa.array(ids, id_type), *(pa.array([c[i] for c in cells], t) for i, t in enumerate(kinds))], names)
+        def emit(rows: list[tuple]) -> pa.RecordBatch:
+            types = {"doc_id": id_type, "key": pa.int64(), **kinds, "edge": pa.string(), "range": pa.int64(), "text": pa.string()}
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types.values())], list(types))
 
         for batch in batches:
             id_type = batch.column(0).type
-            ids, cells = [], []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            rows = []
+            for doc_id, key, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 sigs = signatures(text)
                 if last is None:
-                    ids.append(doc_id)
-                    cells.append((*[None] * 6, "first", part, text))
+                    rows.append((doc_id, key, *blank, "first", part, text))
                 else:
-                    ids.append(last[0])
-                    cells.append((*_row(last[1], last[2], text, sigs), None, part, None))
-                last = doc_id, text, sigs
-            if ids:
-                yield emit(ids, cells)
+                    rows.append((*last[:2], *_row(*last[2:], text, sigs), *mark(last[3]), None, part, None))
+                last = doc_id, key, text, sigs
+            if rows:
+                yield emit(rows)
         if last is not None:
-            yield emit([last[0]], [(*[None] * 6, "last", part, last[1])])
+            yield emit([(*last[:2], *blank, "last", part, last[2])])
 
-    walked = ranges.sortWithinPartitions(order, tie, "text").mapInArrow(walk, f"doc_id {kind}, {_KINDS}, edge string, range long, text string")
+    walked = ranges.sortWithinPartitions(order, tie, "text").mapInArrow(walk, f"doc_id {kind}, key long, {ddl}, edge string, range long, text string")
     done = materialize(walked, "spots")
+    # one number for each range
     parts = sorted(r["range"] for r in done.where("edge = 'first'").select("range").collect())
     following = spark.createDataFrame(list(zip(parts, [*parts[1:], *parts[:1]], strict=True)), "range long, next_range long")
     firsts = done.where("edge = 'first'").select(F.col("range").alias("next_range"), F.col("text").alias("next_text"))
-    ends = done.where("edge = 'last'").select("doc_id", "text", "range").join(following, "range").join(firsts, "next_range").select("doc_id", "text", "next_text")
+    ends = done.where("edge = 'last'").select("doc_id", "key", "text", "range").join(following, "range").join(firsts, "next_range").select("doc_id", "key", "text", "next_text")
+    columns = ["doc_id", "key", *kinds]
 
     def join_ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cells = [_row(a, signatures(a), b, signatures(b)) for a, b in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([c[i] for c in cells], t) for i, t in enumerate(_OUT.values()))], ["doc_id", *_OUT])
+            rows = []
+            for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                own = signatures(a)
+                rows.append((*_row(a, own, b, signatures(b)), *mark(own)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds.values()))], columns)
 
-    columns = ["doc_id", *_OUT]
-    return done.where("edge is null").select(*columns).union(ends.mapInArrow(join_ends, f"doc_id {kind}, {_KINDS}"))
+    joined = materialize(ends.mapInArrow(join_ends, f"doc_id {kind}, key long, {ddl}"), "ends", len(parts))
+    return done.where("edge is null").select(*columns).union(joined)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = setlinks.LEAST_LIKENESS) -> DataFrame:
@@ -171,27 +181,34 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     by length and compared by pruned Jaccard, as in setlinks; no link is lost. Null, empty and blank texts share the
     empty set. Repeated rows stay, in one group. Other columns are not read. An empty table gives no rows.
     """
-    rows = materialize(_rooted(docs, id_col, text_col, least), "rooted")
+    marker = _marker(docs, id_col, text_col, least)
+    rows = materialize(_named(setlinks.linked(marker, materialize(marker.marked(), "marked"))), "rooted")
     groups = rows.groupBy("root").agg(F.min("doc_id").alias("group_id"))
     return rows.join(groups, "root").select("doc_id", "fingerprint", F.col("n").alias("n_signatures"), "group_id")
 
 
-def _rooted(docs: DataFrame, id_col: str, text_col: str, least: float) -> DataFrame:
-    """(doc_id, fingerprint, n, root) for each row of docs."""
-    found = setlinks.rooted(docs, lambda text: signatures(text.decode("utf-8", "replace") if text else None), id_col, text_col, least)
+def _marker(docs: DataFrame, id_col: str, text_col: str, least: float) -> setlinks.Marker:
+    return setlinks.Marker(docs, lambda text: signatures(text.decode("utf-8", "replace") if text else None), id_col, text_col, least)
+
+
+def _named(rooted: DataFrame) -> DataFrame:
+    """(doc_id, fingerprint, n, root) of rows that setlinks has linked."""
     half = lambda c: F.lower(F.lpad(F.hex(c), 16, "0"))
-    name = F.concat(F.col("n").cast("string"), F.lit("-"), F.when(F.col("n") > 0, F.concat(half("check"), half("digest"))).otherwise("0" * 32))
-    return found.withColumn("digest", F.col("fp")).select("doc_id", name.alias("fingerprint"), "n", "root")
+    name = F.concat(F.col("n").cast("string"), F.lit("-"), F.when(F.col("n") > 0, F.concat(half("check"), half("fp"))).otherwise("0" * 32))
+    return rooted.select("doc_id", name.alias("fingerprint"), "n", "root")
 
 
 def grouped_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = setlinks.LEAST_LIKENESS) -> DataFrame:
     """edited_fingerprints() with group_fingerprint: the least fingerprint of all documents reachable over links of a likeness of least or more, the document's own included.
 
-    Nulls, ties, repeated rows, other columns and the empty table: as in edited_fingerprints().
+    Each text's signatures are made once, for both. Nulls, ties, repeated rows, other columns and the empty table: as in edited_fingerprints().
     """
-    rows = edited_fingerprints(docs, id_col, text_col)
-    sets = materialize(_rooted(docs, id_col, text_col, least).groupBy("fingerprint", "root").agg(F.count("*").alias("_n")), "groups")
-    least_of = sets.groupBy("root").agg(F.min("fingerprint").alias("group_fingerprint"), F.count("*").alias("_sets")).where("_sets > 1")
-    named = sets.join(least_of, "root").select(F.col("fingerprint").alias("_own"), "group_fingerprint")
-    out = rows.join(named, F.col("fingerprint") == F.col("_own"), "left")
-    return out.select(*rows.columns, F.coalesce("group_fingerprint", "fingerprint").alias("group_fingerprint"))
+    marker = _marker(docs, id_col, text_col, least)
+    rows = _walked(docs, id_col, text_col, marker)
+    linked = setlinks.linked(marker, rows.select("doc_id", "key", *marker.kinds))
+    sets = materialize(linked.groupBy("fp", "check", "n", "root").agg(F.count("*").alias("_rows")), "groups")
+    named = _named(sets.withColumn("doc_id", F.lit(None).cast("long")))
+    least_of = named.groupBy("root").agg(F.min("fingerprint").alias("group_fingerprint"), F.count("*").alias("_sets")).where("_sets > 1")
+    others = named.join(least_of, "root").select(F.col("fingerprint").alias("_own"), "group_fingerprint")
+    out = rows.join(others, F.col("fingerprint") == F.col("_own"), "left")
+    return out.select("doc_id", *_OUT, F.coalesce("group_fingerprint", "fingerprint").alias("group_fingerprint"))
