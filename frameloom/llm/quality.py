@@ -79,13 +79,18 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col
     order = sorted(first.select("id", "first.hash", "first.n").collect(), key=lambda r: (r["hash"], r["id"]))
     fits = int(np.searchsorted(np.cumsum([r["n"] for r in order]), most_bytes, "right"))
     last = order[min(fits, len(order)) - 1] if fits else None
-    got = {}
-    if last is not None:
-        within = vectors.where(F.struct("hash", "id") <= F.struct(F.lit(last["hash"]).alias("hash"), F.lit(last["id"]).alias("id"))).dropDuplicates(["id", "hash"])
-        got = {(r["hash"], r["id"]): r for r in within.collect()}
+    taken = [(r["hash"], r["id"]) for r in order[:fits]]
+    idx, x, y = [], [], []
+    if taken:
+        hash_, id_ = taken[-1]
+        within = vectors.where(F.struct("hash", "id") <= F.struct(F.lit(hash_).alias("hash"), F.lit(id_).alias("id"))).dropDuplicates(["id", "hash"])
+        got = within.toArrow().combine_chunks()  # the vectors stay in its buffers
+        place = {(h, i): n for n, (h, i) in enumerate(zip(got["hash"].to_pylist(), got["id"].to_pylist(), strict=True))}
+        rows = [place[key] for key in taken]
+        idx, x = ([np.frombuffer(got[c].chunk(0)[n].as_buffer(), kind) for n in rows] for c, kind in (("idx", np.int32), ("x", np.float32)))
+        y = got["y"].to_numpy()[rows]
     release(vectors)
-    got = [got[r["hash"], r["id"]] for r in order[:fits]]
-    return fit([(np.frombuffer(r["idx"], np.int32), np.frombuffer(r["x"], np.float32)) for r in got], np.array([r["y"] for r in got], float))
+    return fit(list(zip(idx, x, strict=True)), np.array(y, float))
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, float], text_col: str = "text", name: str = "score") -> DataFrame:

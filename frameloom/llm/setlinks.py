@@ -29,7 +29,7 @@ SAMPLE, COMMON = 8000, 1 << 18
 #: Sets that stand side by side in a probe's list; lists that are longer by the sample are dealt out.
 LIST_ROWS = 1000
 #: Lists of more sets are the ones in which pairs are told apart at once.
-MANY = 64
+MANY = 16
 #: Places of the bit map that says which texts' members are wanted again.
 WANTED = 1 << 24
 
