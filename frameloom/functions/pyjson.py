@@ -31,6 +31,24 @@ def arrow_udf(kind: str) -> Callable[[Callable], Callable[..., Column]]:
     return wrap
 
 
+#: What JSON that can't be read, or is nested too deep to be walked, raises.
+UNREADABLE = (ValueError, TypeError, KeyError, AttributeError, RecursionError)
+
+
+def sound(value: Any) -> Any:
+    """value with each half of a surrogate pair that stands alone as U+FFFD: no column can hold one."""
+    if isinstance(value, str):
+        return value if value.isascii() else value.encode("utf-16-le", "surrogatepass").decode("utf-16-le", "replace")
+    if isinstance(value, dict):
+        return {sound(k): sound(v) for k, v in value.items()}
+    return [sound(v) for v in value] if isinstance(value, list) else value
+
+
+def loads(text: str) -> Any:
+    """json.loads, without lone surrogates."""
+    return sound(json.loads(text))
+
+
 _NOTHING = dict.fromkeys(("tool", "args", "answer", "raw", "error"))
 
 
@@ -62,9 +80,11 @@ def payload(kind: str, body: str) -> tuple[Any, str | None]:
         if not text:
             return None, "empty json payload"
         try:
-            return json.loads(text), None
+            return loads(text), None
         except json.JSONDecodeError as e:
             return None, f"invalid json: {e.msg} at pos {e.pos}"
+        except RecursionError:
+            return None, "invalid json: nested too deep"
     if kind == "reward":
         if not text:
             return None, "empty reward payload"
@@ -79,7 +99,7 @@ def payload(kind: str, body: str) -> tuple[Any, str | None]:
 def ingest_frames(text: str | None):
     """JSON text of a list of {type, content} -> typed frames; what can't be read gives an error and no frames."""
     try:
-        items = json.loads(text) if text else None
+        items = loads(text) if text else None
         if not isinstance(items, list):
             return {"frames": None, "error": "frames: not a list"}
         out = []
@@ -89,7 +109,7 @@ def ingest_frames(text: str | None):
                 return {"frames": None, "error": f"construct: unknown frame type {x['type']!r}"}
             out.append({"type": kind, **content_fields(x.get("content"))})
         return {"frames": out, "error": None}
-    except (ValueError, TypeError, KeyError) as e:
+    except UNREADABLE as e:
         return {"frames": None, "error": f"{type(e).__name__}: {e}"}
 
 
@@ -117,15 +137,15 @@ def _message(m: dict[str, Any]) -> dict[str, Any]:
     for c in m.get("tool_calls") or []:
         fn = c.get("function") or {}
         raw = fn.get("arguments", "{}")
-        args = json.loads(raw) if isinstance(raw, str) else dict(raw or {})
+        args = loads(raw) if isinstance(raw, str) else dict(raw or {})
         whole = {"tool": fn.get("name"), **args}
         calls.append({"id": c.get("id"), "name": fn.get("name"), "arguments": raw if isinstance(raw, str) else json.dumps(raw), "frame": {"type": "action", **content_fields(whole)}})
     raw = content or "{}"
     kind, value = "as_is", None
     try:
-        value = json.loads(raw) if isinstance(raw, str) else dict(raw)
+        value = loads(raw) if isinstance(raw, str) else dict(raw)
         kind = "bad" if value is None or isinstance(value, (int, float)) else "as_is" if "tool" in value else "wrap"
-    except (ValueError, TypeError):
+    except (ValueError, TypeError, RecursionError):
         kind, value = "raw", str(raw)
     text = "" if not content else str(content)
     return {
@@ -138,26 +158,26 @@ def _message(m: dict[str, Any]) -> dict[str, Any]:
 def ingest_messages(text: str | None):
     """JSON text of a list of chat messages -> typed messages, tool arguments and results decoded; what can't be read gives an error."""
     try:
-        items = json.loads(text) if text else None
+        items = loads(text) if text else None
         if not isinstance(items, list):
             return {"messages": None, "error": "messages: not a list"}
         return {"messages": [_message(m) for m in items if isinstance(m, dict) and "role" in m], "error": None}
-    except (ValueError, TypeError, AttributeError) as e:
+    except UNREADABLE as e:
         return {"messages": None, "error": f"{type(e).__name__}: {e}"}
 
 
 @arrow_udf(f"array<{FRAME}>")
 def fill_contents(pairs):
     """[(type, JSON text of the content)] -> frames."""
-    return None if pairs is None else [{"type": p["type"], **content_fields(json.loads(p["json"]))} for p in pairs]
+    return None if pairs is None else [{"type": p["type"], **content_fields(loads(p["json"]))} for p in pairs]
 
 
 @arrow_udf("string")
 def dumps(text: str | None):
     """JSON text as json.dumps writes it: ASCII-escaped; null where it is no JSON."""
     try:
-        return None if text is None else json.dumps(json.loads(text))
-    except ValueError:
+        return None if text is None else json.dumps(loads(text))
+    except (ValueError, RecursionError):
         return None
 
 
@@ -165,8 +185,8 @@ def dumps(text: str | None):
 def dumps_utf8(text: str | None):
     """JSON text as json.dumps writes it, not ASCII-escaped; null where it is no JSON."""
     try:
-        return None if text is None else json.dumps(json.loads(text), ensure_ascii=False)
-    except ValueError:
+        return None if text is None else json.dumps(loads(text), ensure_ascii=False)
+    except (ValueError, RecursionError):
         return None
 
 
@@ -174,8 +194,8 @@ def dumps_utf8(text: str | None):
 def dumps_sorted(text: str | None):
     """JSON text with sorted keys; null where it is no JSON."""
     try:
-        return None if text is None else json.dumps(json.loads(text), sort_keys=True)
-    except ValueError:
+        return None if text is None else json.dumps(loads(text), sort_keys=True)
+    except (ValueError, RecursionError):
         return None
 
 
@@ -184,5 +204,5 @@ def is_json(text: str | None):
     try:
         json.loads(text)
         return True
-    except (ValueError, TypeError):
+    except (ValueError, TypeError, RecursionError):
         return False

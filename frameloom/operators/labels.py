@@ -16,15 +16,23 @@ MODEL_IDS = [TOKEN[t] for t in MODEL_TYPES]
 RUNTIME_IDS = [TOKEN[t] for t in RUNTIME_TYPES]
 
 
-def mask_runtime(ids: Column, model: Sequence[int] = MODEL_IDS, runtime: Sequence[int] = RUNTIME_IDS) -> Column:
-    """Labels of an ids array: an id after a model's marker, the marker too, keeps itself; after a runtime's marker, or before any, it is IGNORED. An id in both sets is a runtime's."""
-    zero = F.struct(F.lit(False).alias("on"), F.array().cast("array<int>").alias("out"))
+def _flags(runs: Column) -> Column:
+    """array<struct<on, n>> -> on, n times each, one array."""
+    return F.flatten(F.transform(runs, lambda r: F.array_repeat(r["on"], r["n"])))
+
+
+def _labelled(ids: Column, flags: Column) -> Column:
+    return F.zip_with(ids, flags, lambda i, on: F.when(on, i).otherwise(IGNORED))
 
-    def step(s: Column, i: Column) -> Column:
-        on = F.when(i.isin(list(runtime)), False).when(i.isin(list(model)), True).otherwise(s["on"])
-        return F.struct(on.alias("on"), F.concat(s["out"], F.array(F.when(on, i).otherwise(IGNORED))).alias("out"))
 
-    return F.aggregate(ids, zero, step, lambda s: s["out"])
+def mask_runtime(ids: Column, model: Sequence[int] = MODEL_IDS, runtime: Sequence[int] = RUNTIME_IDS) -> Column:
+    """Labels of an ids array: an id after a model's marker, the marker too, keeps itself; after a runtime's marker, or before any, it is IGNORED. An id in both sets is a runtime's.
+
+    The markers are written as a text of one letter an id, which is cut before each marker: the work grows with the ids.
+    """
+    letters = F.transform(ids, lambda i: F.when(i.isin(list(runtime)), "r").when(i.isin(list(model)), "m").otherwise("-"))
+    runs = F.regexp_extract_all(F.array_join(letters, ""), F.lit("[rm]?-*"), F.lit(0))
+    return _labelled(ids, _flags(F.transform(runs, lambda r: F.struct(r.startswith("m").alias("on"), F.length(r).alias("n")))))
 
 
 def mask_rows(rows: DataFrame, by: str, order: str, token: str, model: Sequence, runtime: Sequence) -> DataFrame:
@@ -35,26 +43,31 @@ def mask_rows(rows: DataFrame, by: str, order: str, token: str, model: Sequence,
     return rows.withColumn("label", F.when(on, F.col(token)).otherwise(F.lit(IGNORED).cast(rows.schema[token].dataType)))
 
 
-def _find(ids: list[int], part: list[int], start: int) -> int:
-    return next((i for i in range(start, len(ids) - len(part) + 1) if ids[i : i + len(part)] == part), -1) if part else -1
-
-
-def assistant_labels(ids: list[int], start: list[int], end: list[int], turn_end: list[int], role: list[int]) -> list[int]:
-    """Labels that keep what follows an assistant's header, its closing token too; an unclosed turn goes to the end."""
-    out, at = [IGNORED] * len(ids), 0
-    while (head := _find(ids, start, at)) >= 0 and (close := _find(ids, end, head + len(start))) >= 0:
-        body = close + len(end)
-        stop = _find(ids, turn_end, body)
-        stop = len(ids) if stop < 0 else stop
-        at = stop + len(turn_end)
-        if ids[head + len(start) : close] == role:
-            out[body:at] = ids[body:at]
-    return out
-
-
 def mask_assistant(ids: Column, start: list[int], end: list[int], turn_end: list[int], role: list[int]) -> Column:
-    fn = arrow_udf("array<int>")(lambda x: None if x is None else assistant_labels(list(x), start, end, turn_end, role))
-    return fn(ids)
+    """Labels that keep what follows an assistant's header (start, role, end), its closing token too; an unclosed turn goes to the end. Null stays null.
+
+    The ids are written as a text, each with a comma; a pattern finds the turns, and the commas between them are counted.
+    """
+    spelt = lambda part: "".join(f"{i}," for i in part)
+    if not start or not end:  # no header can be found
+        return F.transform(ids, lambda _: F.lit(IGNORED))
+    some = r"([-\d,]*?)"
+    closed = rf"((?<=,){spelt(turn_end)}|\z)" if turn_end else r"(\z)"
+    pattern = rf"(?<![-\d]){spelt(start)}{some}(?<=,){spelt(end)}{some}{closed}"
+    text = F.concat(F.array_join(F.transform(ids, lambda i: i.cast("string")), ","), F.when(F.size(ids) > 0, ",").otherwise(""))
+    count = lambda s: F.length(s) - F.length(F.replace(s, F.lit(","), F.lit("")))
+    header, body, close = (F.regexp_extract_all(text, F.lit(pattern), F.lit(g)) for g in (1, 2, 3))
+    gaps = F.split(text, pattern, -1)
+    turns = F.arrays_zip(header.alias("header"), body.alias("body"), close.alias("close"), F.slice(gaps, F.lit(1), F.size(header)).alias("gap"))
+    ignored = lambda n: F.struct(F.lit(False).alias("on"), n.alias("n"))
+    runs = F.flatten(
+        F.transform(
+            turns,
+            lambda t: F.array(ignored(count(t["gap"]) + count(t["header"]) + (len(start) + len(end))), F.struct((t["header"] == spelt(role)).alias("on"), (count(t["body"]) + count(t["close"])).alias("n"))),
+        )
+    )
+    rest = F.array(ignored(F.greatest(F.lit(0), F.size(ids) - F.aggregate(runs, F.lit(0), lambda a, r: a + r["n"]))))
+    return F.when(ids.isNotNull(), _labelled(ids, _flags(F.concat(runs, rest))))
 
 
 def tokenize(df: DataFrame, encode: Callable[[str], list[int]], frames: str = "frames", max_length: int = 2048) -> DataFrame:

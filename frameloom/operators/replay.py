@@ -13,10 +13,10 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from frameloom.functions.pyjson import arrow_udf, payload
+from frameloom.functions.pyjson import arrow_udf, loads, payload, sound
 from frameloom.functions.schema import RUNTIME_TYPES, SLOT, TERMINAL_TOOLS, TYPES, marker, reserved
 from frameloom.functions.tools import bare
-from frameloom.operators.registry import ToolError, ToolRegistry
+from frameloom.operators.registry import ToolRegistry
 from frameloom.operators.results import repeats
 
 END = reserved(SLOT["end"])
@@ -44,10 +44,14 @@ def read_wire(text: str, strict: bool) -> list[dict[str, Any]]:
 
 
 def _execute(registry: ToolRegistry, name: Any, args: dict[str, Any]) -> Any:
+    """A call's value, or the reason that there is none; a value that JSON can't hold is its text."""
+    out = registry.attempt(str(name), args)
+    if out.reason is not None:
+        return out.reason
     try:
-        return registry.call(str(name), args)
-    except ToolError as e:
-        return str(e)
+        return loads(json.dumps(out.value))
+    except (ValueError, TypeError, RecursionError):
+        return sound(str(out.value))
 
 
 def run_frames(steps: list[tuple[str, int]], registry: ToolRegistry, max_iterations: int, max_new_tokens: int, strict: bool) -> dict[str, Any]:
@@ -63,6 +67,8 @@ def run_frames(steps: list[tuple[str, int]], registry: ToolRegistry, max_iterati
         if not actions:
             return {"stopped_on": "no_action", "iterations": n, "answer": None, "frames": frames}
         for content in actions:
+            if not isinstance(content, dict):
+                return {"stopped_on": "parse_error: action is no object", "iterations": n, "answer": None, "frames": frames}
             tool = content.get("tool")
             if tool in TERMINAL_TOOLS:
                 frames.append({"type": "result", "content": {"tool": tool, "value": None}})
@@ -82,17 +88,19 @@ def read_chat(text: str) -> tuple[dict[str, Any] | None, str, str]:
     """(call, text, stop) of one generation of a chat model; the same rules as parse_generation over columns."""
     if found := _TOOL.search(text):
         try:
-            call = json.loads(found[1])
+            call = loads(found[1])
         except json.JSONDecodeError as e:
             return None, "", f"parse_error: {e.msg}"
+        except RecursionError:
+            return None, "", "parse_error: nested too deep"
         return (call, "", "tool_call") if isinstance(call, dict) else (None, "", "parse_error: not object")
     plain = bare(text)
     if plain.startswith("{"):
         try:
-            call = json.loads(plain)
+            call = loads(plain)
             if isinstance(call, dict) and (call.get("name") or call.get("tool")):
                 return call, "", "tool_call"
-        except json.JSONDecodeError:
+        except (ValueError, RecursionError):
             pass
     found = _TEXT.search(text)
     said = (found[1] if found else text).strip()
@@ -113,7 +121,10 @@ def run_chat(steps: list[tuple[str, int]], registry: ToolRegistry, max_iteration
         if not name:
             return done | {"stopped_on": "parse_error: tool call missing name"}
         raw = call.get("arguments", call.get("parameters", {}))
-        args = json.loads(raw) if isinstance(raw, str) else dict(raw or {})
+        try:
+            args = dict(loads(raw) if isinstance(raw, str) else raw or {})
+        except (ValueError, TypeError, RecursionError):
+            return done | {"stopped_on": "parse_error: arguments are no object"}
         if name in TERMINAL_TOOLS:
             answer = str(args.get("text") or args.get("reason") or "")
             messages.append({"role": "assistant", "content": answer})
@@ -132,12 +143,13 @@ _RUN = "struct<stopped_on:string,iterations:int,answer:string,frames:string>"
 def replay(steps: DataFrame, registry: ToolRegistry, kind: str = "frames", max_iterations: int = 10, max_new_tokens: int = 512, strict: bool = True) -> DataFrame:
     """(run_id, stopped_on, iterations, answer, frames) of recorded steps(run_id, step, raw_text, n_gen).
 
-    frames is the JSON of what the run appended: frames, or messages for kind chat. step counts from 0.
+    frames is the JSON of what the run appended: frames, or messages for kind chat. step counts from 0. What a model wrote
+    that can't be read, or called with what is no object, is its run's stop reason and ends no other run.
     The registry's tools run on the executors, and must be picklable.
     """
 
     def run(recorded) -> dict[str, Any]:
-        given = [(s["raw_text"] or "", s["n_gen"] or 0) for s in recorded]
+        given = [(sound(s["raw_text"] or ""), s["n_gen"] or 0) for s in recorded]
         out = run_frames(given, registry, max_iterations, max_new_tokens, strict) if kind == "frames" else run_chat(given, registry, max_iterations, max_new_tokens)
         answer = out["answer"]
         return out | {"frames": json.dumps(out["frames"]), "answer": answer if answer is None else str(answer)}

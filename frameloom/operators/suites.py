@@ -105,9 +105,15 @@ def prelude(goal: Column, mission: Column) -> Column:
 
 
 def instance_mission(template: str, problem: Column) -> Column:
-    """The template with the stripped problem in place of {task}; a blank problem raises."""
+    """The template with the stripped problem in place of {task}; null for a blank problem."""
     stripped = text.strip(F.coalesce(problem, F.lit("")))
-    return F.when(stripped != "", F.replace(F.lit(template), F.lit("{task}"), stripped)).otherwise(F.raise_error(F.lit("instance without a problem statement")).cast("string"))
+    return F.when(stripped != "", F.replace(F.lit(template), F.lit("{task}"), stripped))
+
+
+def instances(rows: DataFrame, template: str, problem: str = "problem_statement") -> tuple[DataFrame, DataFrame]:
+    """(rows with a mission, rows without a problem and why): a blank problem is set aside and ends no other row."""
+    known = rows.withColumn("mission", instance_mission(template, F.col(problem)))
+    return known.where("mission is not null"), known.where("mission is null").drop("mission").withColumn("reason", F.lit("instance without a problem statement"))
 
 
 def action_contents(frames: Column) -> Column:

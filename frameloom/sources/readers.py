@@ -6,9 +6,10 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import _parse_datatype_string
 
 from frameloom.functions import text
-from frameloom.functions.pyjson import arrow_udf, ingest_frames, ingest_messages, is_json
+from frameloom.functions.pyjson import arrow_udf, ingest_frames, ingest_messages, is_json, loads
 from frameloom.operators import bridge
 
 #: Python breaks lines at these too; a text file read by Spark does not.
@@ -30,14 +31,14 @@ def _record(line: str):
 
     none = dict.fromkeys(("id", "domain", "frames", "messages"))
     try:
-        r = json.loads(line)
+        r = loads(line)
         if not isinstance(r, dict):
             return none | {"error": "not an object"}
         if lacking := [k for k in ("frames", "id", "domain") if k not in r]:
             return none | {"error": f"no {', '.join(lacking)}"}
         given = r.get("messages")
         return {"id": str(r["id"]), "domain": str(r["domain"] or "unknown"), "frames": json.dumps(r["frames"]), "messages": json.dumps(given) if given else None, "error": None}
-    except ValueError as e:
+    except (ValueError, RecursionError) as e:
         return none | {"error": f"json: {e}"}
 
 
@@ -62,12 +63,17 @@ def trajectory_lines(generated: DataFrame, column: str) -> DataFrame:
     return cut.where(F.col("line").startswith("{")).where(is_json(F.col("line")))
 
 
-def count_lines(spark: SparkSession, path: str) -> int:
-    """Lines that are not blank; 0 for a file that isn't there."""
+def _there(spark: SparkSession, path: str) -> bool:
+    """Whether a path or pattern has a file."""
     sc = spark.sparkContext
     at = sc._jvm.org.apache.hadoop.fs.Path(path)
     found = at.getFileSystem(sc._jsc.hadoopConfiguration()).globStatus(at)
-    return lines(spark, path).where(text.strip(F.col("line")) != "").count() if found else 0
+    return bool(found) and len(found) > 0
+
+
+def count_lines(spark: SparkSession, path: str) -> int:
+    """Lines that are not blank; 0 for a file that isn't there."""
+    return lines(spark, path).where(text.strip(F.col("line")) != "").count() if _there(spark, path) else 0
 
 
 def dataset(spark: SparkSession, path: str, split: str | None = None) -> DataFrame:
@@ -78,9 +84,7 @@ def dataset(spark: SparkSession, path: str, split: str | None = None) -> DataFra
 
 def result_files(spark: SparkSession, paths: Sequence[str], schema: str, key: str = "id", multi_line: bool = True) -> DataFrame:
     """Rows of result files in JSON, one file a row or a line a row; a row without its key has the file's name. Paths that aren't there are left out."""
-    sc = spark.sparkContext
-    conf = sc._jsc.hadoopConfiguration()
-    there = [p for p in paths if (at := sc._jvm.org.apache.hadoop.fs.Path(p)).getFileSystem(conf).globStatus(at)]
+    there = [p for p in paths if _there(spark, p)]
     if not there:
         return spark.createDataFrame([], schema)
     df = spark.read.schema(schema).option("multiLine", multi_line).json(there)
@@ -96,14 +100,27 @@ def bfcl_paths(root: str, model: str, categories: Sequence[str], groups: dict[st
 
 
 def summaries(spark: SparkSession, root: str) -> DataFrame:
-    """(suite, format, meta, metrics, path) of <root>/<suite>/<format>/summary.json; files that are no JSON are left out."""
-    raw = spark.read.text(f"{root}/*/*/summary.json", wholetext=True).select("value", F.col("_metadata.file_path").alias("path"))
+    """(suite, format, meta, metrics, path) of <root>/<suite>/<format>/summary.json, as writers.benchmark writes them; files that are no JSON are left out, and without files there are no rows."""
+    at = f"{root}/*/*/summary.json"
+    if not _there(spark, at):
+        return spark.createDataFrame([], "suite string, format string, meta map<string,string>, metrics map<string,string>, path string")
+    raw = spark.read.text(at, wholetext=True).select("value", F.col("_metadata.file_path").alias("path"))
     part = F.split("path", "/")
     read = raw.where(is_json(F.col("value")))
     fields = lambda k: F.from_json(F.get_json_object("value", f"$.{k}"), "map<string,string>")
     return read.select(F.element_at(part, -3).alias("suite"), F.element_at(part, -2).alias("format"), fields("meta").alias("meta"), fields("metrics").alias("metrics"), "path")
 
 
+def summary_tasks(spark: SparkSession, root: str, schema: str) -> DataFrame:
+    """(suite, format, task's columns) of the tasks that the summaries list."""
+    at = f"{root}/*/*/summary.json"
+    if not _there(spark, at):
+        return spark.createDataFrame([], f"suite string, format string, {schema}")
+    raw = spark.read.text(at, wholetext=True).select("value", F.split(F.col("_metadata.file_path"), "/").alias("_p"))
+    tasks = F.from_json(F.get_json_object("value", "$.tasks"), f"array<struct<{', '.join(f'{c.name}:{c.dataType.simpleString()}' for c in _parse_datatype_string(schema).fields)}>>")
+    return raw.select(F.element_at("_p", -3).alias("suite"), F.element_at("_p", -2).alias("format"), F.inline(tasks))
+
+
 def tool_files(spark: SparkSession, root: str) -> DataFrame:
     """(standard_tool_name, tool_name, description) of <root>/<category>/<tool>.json; of tools with one standard name the last by path."""
     raw = spark.read.schema("tool_name string, tool_description string").option("multiLine", True).json(f"{root}/*/*.json").withColumn("_p", F.col("_metadata.file_path"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,11 +32,26 @@ def append_lines(df: DataFrame, path: str, column: str = "line", target: int | N
     return 0 if target is None else max(0, target - count_lines(df.sparkSession, path))
 
 
-def benchmark(meta: dict[str, str], metrics: DataFrame, tasks: DataFrame, path: str) -> None:
-    """summary (meta and the one row of metrics) and details (a line for each task), as JSON."""
-    said = F.to_json(F.struct(F.lit(None).cast("string"))) if not meta else F.to_json(F.create_map(*(F.lit(str(x)) for kv in meta.items() for x in kv)))
-    metrics.select(F.from_json(said, "map<string,string>").alias("meta"), F.struct("*").alias("metrics")).coalesce(1).write.mode("overwrite").json(f"{path}/summary")
-    tasks.write.mode("overwrite").json(f"{path}/details")
+def benchmark(meta: dict[str, object], metrics: DataFrame, tasks: DataFrame, path: str) -> None:
+    """summary.json (meta, the one row of metrics, all tasks) and details.jsonl, a folder of a line for each task.
+
+    Tasks pass the driver one partition at a time on their way into summary.json.
+    """
+    spark = tasks.sparkSession
+    line = F.to_json(F.struct(*tasks.columns), {"ignoreNullFields": "false"}).alias("j")
+    tasks.select(line).write.mode("overwrite").text(f"{path}/details.jsonl")
+    measured = metrics.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("j")).first()
+    sc = spark.sparkContext
+    at = sc._jvm.org.apache.hadoop.fs.Path(f"{path}/summary.json")
+    out = at.getFileSystem(sc._jsc.hadoopConfiguration()).create(at, True)
+    try:
+        say = lambda s: out.write(bytearray(s.encode()))
+        say(f'{{\n  "meta": {json.dumps(meta, ensure_ascii=False)},\n  "metrics": {measured["j"] if measured else "{}"},\n  "tasks": [')
+        for n, row in enumerate(spark.read.text(f"{path}/details.jsonl").toLocalIterator()):
+            say(f"{',' if n else ''}\n    {row['value']}")
+        say("\n  ]\n}\n")
+    finally:
+        out.close()
 
 
 def merge(old: DataFrame, new: DataFrame, path: str, key: str = "id", order: str = "pos", partition: str | None = None) -> None:

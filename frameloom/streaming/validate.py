@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from typing import Any
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -14,69 +15,83 @@ from frameloom.functions.schema import TURN_CLOSERS
 from frameloom.functions.text import dedup_key
 from frameloom.operators.validate import PRELUDE, REASONING
 
-_STATE = "pending int, since int, acted boolean, turn boolean, after_terminal boolean, closed boolean, n int, previous string"
+_STATE = "n int, open int, least int, opened int, turn int, acted boolean, closed boolean, previous string, previous_not_end string"
 _OUT = "id string, rule string, frame_index int"
+#: Of a trajectory without frames: how many frames, the running sum of actions and results, its least, where the pending actions began, whose turn (-1: nobody's yet).
+START = (0, 0, 0, -1, -1, False, False, None, None)
+_ENDS_TURN = ["end", "result", "feedback", "reward"]
+
+
+def _filled(values: np.ndarray, there: np.ndarray, before: Any) -> np.ndarray:
+    """values[there], carried on to the places after; before is what comes first."""
+    at = np.maximum.accumulate(np.where(there, np.arange(1, len(values) + 1), 0))
+    return np.concatenate(([before], values))[at]
 
 
 def walk(state: tuple, kinds: list[tuple[str, bool]]) -> tuple[tuple, list[tuple[str, int]]]:
-    """The rules' walk over further frames of a trajectory: (state after, [(rule, index)])."""
-    pending, since, acted, turn, after_terminal, closed, n, previous = state
-    found = []
-    for kind, terminal in kinds:
-        at = since or n
-        if n == 0 and kind != "goal":
-            found.append(("missing_goal", 0))
-        closed = closed or kind in TURN_CLOSERS
-        if not closed and kind not in PRELUDE:
-            found.append(("opening_prelude", n))
-        if kind == "end" and (n == 0 or previous not in TURN_CLOSERS):
-            found.append(("misplaced_end", n))
-        if kind == "action":
-            if pending > 0 and not turn:
-                found.append(("orphan_action", at))
-            acted = turn = True
-            if not terminal:
-                since = n if pending == 0 else since
-                pending += 1
-        elif kind in REASONING:
-            turn = True
-            if pending > 0:
-                found.append(("unresolved_action", at))
-        elif kind == "result":
-            turn = False
-            if pending > 0:
-                pending -= 1
-                since = since if pending else None
-            elif not after_terminal:
-                found.append(("orphan_result", n))
-        elif kind in ("feedback", "reward"):
-            turn = False
-            if not acted:
-                found.append(("premature_runtime_frame", n))
-        elif kind == "end":
-            turn = False
-        after_terminal = after_terminal if kind == "end" else kind == "action" and terminal
-        n, previous = n + 1, kind
-    return (pending, since, acted, turn, after_terminal, closed, n, previous), found
-
-
-START = (0, None, False, False, False, False, 0, None)
-
-
-def violations(frames: DataFrame, by: str = "id", order: str = "ts") -> DataFrame:
+    """The rules over further frames of a trajectory: (state after, [(rule, index)]).
+
+    The running sums of violations_of_rows(), as vectors: what is pending after a frame is the sum of actions and results
+    less its least value so far, which the state carries from batch to batch.
+    """
+    if not kinds:
+        return state, []
+    n, total, least, opened, turn, acted, closed, previous, previous_not_end = state
+    kind = np.array([k for k, _ in kinds], object)
+    terminal = np.array([k == "action" and t for k, t in kinds])
+    action, result = (kind == "action") & ~terminal, kind == "result"
+    model, ends = np.isin(kind, TURN_CLOSERS), np.isin(kind, _ENDS_TURN)
+    i = n + np.arange(len(kind))
+    sums = total + np.cumsum(action.astype(int) - result)
+    lows = np.minimum.accumulate(np.minimum(sums, least))
+    pending = sums - lows
+    shifted = lambda x, first: np.concatenate(([first], x[:-1]))
+    was_pending = shifted(pending, total - least)
+    began = _filled(i, action & (was_pending == 0), opened)
+    since, since_before = np.where(pending > 0, began, -1), shifted(np.where(pending > 0, began, -1), opened if total > least else -1)
+    own = lambda x: np.where(x > 0, x, i)  # noqa: E731  the first place counts as none
+    turns = _filled(model.astype(int), model | ends, turn)
+    turn_before = shifted(turns, turn) == 1
+    acted_before = shifted(acted | np.maximum.accumulate(kind == "action"), acted)
+    closed_now = closed | np.maximum.accumulate(model)
+    before, not_end = shifted(kind, previous), _filled(np.where(terminal, "terminal", kind), kind != "end", previous_not_end)
+    after_terminal = shifted(not_end, previous_not_end) == "terminal"
+    rules = [
+        ("missing_goal", (i == 0) & (kind != "goal"), i),
+        ("opening_prelude", ~closed_now & ~np.isin(kind, PRELUDE), i),
+        ("misplaced_end", (kind == "end") & ~np.isin(before.astype(str), TURN_CLOSERS), i),
+        ("orphan_action", (kind == "action") & (was_pending > 0) & ~turn_before, own(since_before)),
+        ("unresolved_action", np.isin(kind, REASONING) & (pending > 0), own(since)),
+        ("orphan_result", result & (was_pending == 0) & ~after_terminal, i),
+        ("premature_runtime_frame", np.isin(kind, ["feedback", "reward"]) & ~acted_before, i),
+    ]
+    found = sorted((int(at), k, rule, int(index[at])) for k, (rule, wrong, index) in enumerate(rules) for at in np.flatnonzero(wrong))
+    done = acted_before[-1] or kind[-1] == "action"
+    after = (int(i[-1]) + 1, int(sums[-1]), int(lows[-1]), int(began[-1]), int(turns[-1]), bool(done), bool(closed_now[-1]), kind[-1], not_end[-1])
+    return after, [(rule, index) for _, _, rule, index in found]
+
+
+def violations(frames: DataFrame, by: str = "id", order: str = "ts", forget_ms: int | None = None) -> DataFrame:
     """(id, rule, frame_index) as frames(by, order, type, terminal) arrive. A trajectory's end is not known in a stream, so that nothing is said of actions still pending.
 
     Frames of one batch are put in their order; a batch is expected not to hold frames older than those of earlier ones.
+    With forget_ms, a trajectory without a frame for so long a processing time is forgotten, and what comes later begins a new
+    one: so the state stays bounded, but such a query never says that all is processed, as it always waits for timeouts.
     """
 
     def run(key: tuple[Any], parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         rows = pd.concat(list(parts)).sort_values(order, kind="stable")
         before = tuple(None if pd.isna(x) else x for x in state.get) if state.exists else START
         after, found = walk(before, list(zip(rows["type"], rows["terminal"].astype(bool), strict=True)))
         state.update(after)
+        if forget_ms is not None:
+            state.setTimeoutDuration(forget_ms)
         yield pd.DataFrame([(str(key[0]), rule, at) for rule, at in found], columns=["id", "rule", "frame_index"])
 
-    return frames.groupBy(by).applyInPandasWithState(run, _OUT, _STATE, "append", "NoTimeout")
+    return frames.groupBy(by).applyInPandasWithState(run, _OUT, _STATE, "append", "NoTimeout" if forget_ms is None else "ProcessingTimeTimeout")
 
 
 def counts(events: DataFrame, kind: str = "event_type", ts: str = "ts", window: str = "1 hour", late: str = "10 minutes") -> DataFrame:

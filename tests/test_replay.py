@@ -106,3 +106,21 @@ def test_result_files(spark, tmp_path):
         (tmp_path / "tools" / cat).mkdir(parents=True)
         (tmp_path / "tools" / cat / f"{name}.json").write_text(json.dumps({"tool_name": "My Tool", "tool_description": said}))
     assert [tuple(r) for r in readers.tool_files(spark, str(tmp_path / "tools")).collect()] == [("my_tool", "My Tool", "last")]
+
+
+def test_what_a_model_wrote_ends_its_own_run_alone(spark):
+    deep = "[" * 100_000
+    got = runs(spark, {"list": [A + "[1]"], "half": [A + '{"tool": "answer", "text": "\\ud83d"}'], "deep": [A + deep], "good": [A + '{"tool": "answer", "text": "4"}']})
+    assert got["list"][0] == "parse_error: action is no object" and got["good"][:3] == ("terminal_action", 1, "4") and got["half"][2] == "\ufffd" and got["deep"][0]
+    tag = '<|python_tag|>{"name": "double", "arguments": %s}<|eom_id|>'
+    got = runs(spark, {"bad": [tag % '"{x"'], "list": [tag % "[1]"], "deep": [tag % deep], "good": ["hi<|eot_id|>"]}, kind="chat")
+    assert got["bad"][0] == got["list"][0] == "parse_error: arguments are no object" and got["deep"][0].startswith("parse_error") and got["good"][0] == "terminal_action"
+
+
+def test_bad_lines_end_no_load(spark, tmp_path):
+    good = {"id": "1", "domain": "d", "frames": [{"type": "goal", "content": "g"}]}
+    half = json.dumps(good | {"id": "2", "frames": [{"type": "goal", "content": "\ud83d"}]})
+    (tmp_path / "x.jsonl").write_text("\n".join([json.dumps(good), half, "[" * 100_000, '{"id": 3, "domain": "d", "frames": ' + "[" * 500 + "]" * 500 + "}"]))
+    rows, bad = readers.trajectories(spark, str(tmp_path / "x.jsonl"))
+    got = {r["id"]: r for r in rows.collect()}
+    assert got["1"]["error"] is None and got["2"]["frames"][0]["text"] == "\ufffd" and got["3"]["error"] and bad.count() == 1

@@ -171,15 +171,29 @@ def test_matrix(spark, tmp_path):
 def test_envelope(spark, tmp_path):
     tasks = table(spark, [("a", "x", True, 100, 1, 1.0, 0.5, True, True, None, [])], TASKS)
     writers.benchmark({"model": "m"}, results.efficiency(tasks), tasks, str(tmp_path / "b"))
-    (line,) = [x for p in (tmp_path / "b" / "summary").glob("*.json") for x in p.read_text().splitlines()]
-    assert json.loads(line)["meta"] == {"model": "m"} and json.loads(line)["metrics"]["n"] == 1 and spark.read.json(str(tmp_path / "b" / "details")).count() == 1
+    at = tmp_path / "b"
+    said = json.loads((at / "summary.json").read_text())
+    assert said["meta"] == {"model": "m"} and said["metrics"]["n"] == 1 and [t["task_id"] for t in said["tasks"]] == ["a"]
+    assert spark.read.json(str(at / "details.jsonl")).count() == 1
+
+
+def test_what_is_written_can_be_read(spark, tmp_path):
+    tasks = table(spark, [("a", "x", True, 100, 1, 1.0, 0.5, True, True, None, []), ("b", "x", False, 50, 1, 1.0, 0.5, True, True, None, [])], TASKS)
+    writers.benchmark({"model": "m", "num_run": 2}, results.efficiency(tasks), tasks, str(tmp_path / "bfcl" / "chat"))
+    writers.benchmark({}, results.efficiency(tasks.limit(0)), tasks.limit(0), str(tmp_path / "swe" / "chat"))
+    got = {r["suite"]: r for r in readers.summaries(spark, str(tmp_path)).collect()}
+    assert got["bfcl"]["meta"]["model"] == "m" and got["bfcl"]["metrics"]["success_rate"] == "0.5" and got["swe"]["metrics"]["n"] == "0"
+    back = readers.summary_tasks(spark, str(tmp_path), "task_id string, success boolean").collect()
+    assert sorted((r["suite"], r["task_id"], r["success"]) for r in back) == [("bfcl", "a", True), ("bfcl", "b", False)]
+    assert readers.summaries(spark, str(tmp_path / "none")).count() == 0
 
 
 def test_labels(spark):
     df = table(spark, [([10, 1, 2, 20, 3],), ([1, 20, 10],), ([],)], "ids array<int>")
     got = [r["x"] for r in df.select(labels.mask_runtime(F.col("ids"), [10, 20], [10]).alias("x")).collect()]
     assert got == [[-100, -100, -100, 20, 3], [-100, 20, -100], []]
-    assert labels.assistant_labels([1, 7, 2, 5, 6, 3, 1, 8, 2, 9, 3, 1, 7, 2, 4], [1], [2], [3], [7]) == [-100, -100, -100, 5, 6, 3, -100, -100, -100, -100, -100, -100, -100, -100, 4]
+    turns = df.limit(1).select(F.array(*map(F.lit, [1, 7, 2, 5, 6, 3, 1, 8, 2, 9, 3, 1, 7, 2, 4])).alias("ids"))
+    assert turns.select(labels.mask_assistant(F.col("ids"), [1], [2], [3], [7]).alias("x")).first()["x"] == [-100, -100, -100, 5, 6, 3, -100, -100, -100, -100, -100, -100, -100, -100, 4]
     assert df.limit(1).select(labels.mask_assistant(F.col("ids"), [10], [1], [20], []).alias("x")).first()["x"] == [-100, -100, 2, 20, -100]
 
 

@@ -63,8 +63,9 @@ def test_preludes(spark):
     df = spark.createDataFrame([(" fix {task} ",)], "p string")
     r = df.select(suites.prelude(F.lit("be good"), suites.instance_mission("do: {task}.", F.col("p"))).alias("f")).first()["f"]
     assert [(f["type"], f["text"]) for f in r] == [("goal", "be good"), ("mission", "do: fix {task}.")]
-    with pytest.raises(Exception, match="without a problem"):
-        spark.createDataFrame([("  ",)], "p string").select(suites.instance_mission("{task}", F.col("p"))).collect()
+    good, blank = suites.instances(spark.createDataFrame([(1, " x "), (2, "  "), (3, None)], "id int, p string"), "do {task}", "p")
+    assert [(r["id"], r["mission"]) for r in good.collect()] == [(1, "do x")]
+    assert sorted((r["id"], r["reason"]) for r in blank.collect()) == [(2, "instance without a problem statement"), (3, "instance without a problem statement")]
     assert frame_table(spark, {"a": [*frames_of("at"), {"type": "action", "content": 5}]}).select(F.size(suites.action_contents(F.col("frames"))).alias("n")).first()["n"] == 2
 
 
