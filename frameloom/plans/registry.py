@@ -57,14 +57,12 @@ def violation_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"WITH {EVENT_FRAMES_SQL}, {VIOLATIONS_SQL}, m AS (SELECT 'validation: [' || rule || '] frame ' || frame_index AS mode, count(*) AS n, min(id * 1000000 + frame_index) AS first FROM v WHERE rule IN ('orphan_result', 'misplaced_end') GROUP BY ALL)"
+    f"WITH {EVENT_FRAMES_SQL}, {VIOLATIONS_SQL}, m AS (SELECT 'validation: [' || rule || '] frame ' || frame_index AS mode, count(*) AS n, min(id * 1000000 + frame_index) AS first FROM v GROUP BY ALL)"
     " SELECT mode, n FROM m ORDER BY n DESC, mode LIMIT 10"
 )
 def failure_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    wanted = lambda v: v["rule"].isin("orphan_result", "misplaced_end")
-    tasks = event_arrays(spark, sf_dir).select(
-        F.col("id").alias("task_id"), F.lit(None).cast("string").alias("parse_error"), F.transform(F.filter(validate.violations(F.col("frames")), wanted), validate.shown).alias("errors")
-    )
+    shown = F.transform(validate.violations(F.col("frames")), validate.shown)
+    tasks = event_arrays(spark, sf_dir).select(F.col("id").alias("task_id"), F.lit(None).cast("string").alias("parse_error"), shown.alias("errors"))
     everything = results.failure_modes(tasks, limit=1_000_000)
     return everything.orderBy(F.desc("n"), "mode").limit(10)
 
@@ -256,13 +254,13 @@ def wanted_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH k AS (SELECT n_name AS key FROM nation UNION ALL SELECT r_name FROM region UNION ALL SELECT p_size::VARCHAR FROM part WHERE p_partkey < 100 UNION ALL SELECT 'none')
+    """WITH k AS (SELECT n_name AS key FROM nation UNION ALL SELECT r_name FROM region UNION ALL SELECT p_size::VARCHAR FROM part UNION ALL SELECT 'none')
 SELECT key, coalesce((SELECT max(n_nationkey) FROM nation WHERE n_name = key AND n_nationkey % 2 = 0), (SELECT max(r_regionkey) FROM region WHERE r_name = key),
   CASE WHEN regexp_full_match(key, '[0-9]+') AND TRY_CAST(key AS BIGINT) < 25 THEN TRY_CAST(key AS BIGINT) END)::BIGINT AS index FROM k"""
 )
 def fallback_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     nation, region, part = (table(spark, sf_dir, t) for t in ("nation", "region", "part"))
-    keys = nation.select(F.col("n_name").alias("key")).union(region.select("r_name")).union(part.where("p_partkey < 100").select(F.col("p_size").cast("string"))).union(spark.createDataFrame([("none",)], "key string"))
+    keys = nation.select(F.col("n_name").alias("key")).union(region.select("r_name")).union(part.select(F.col("p_size").cast("string"))).union(spark.createDataFrame([("none",)], "key string"))
     return lookups.resolve(keys, nation.where("n_nationkey % 2 = 0").select(F.col("n_name").alias("key"), F.col("n_nationkey").alias("index")), region.select(F.col("r_name").alias("key"), F.col("r_regionkey").alias("index")), 25)
 
 
@@ -452,3 +450,206 @@ def cache_misses(spark: SparkSession, sf_dir: str) -> DataFrame:
     known = calls.where("category % 2 = 1").select(key.alias("key"), F.lit("").alias("error"), F.lit("r").alias("response"))
     _, missing = lookups.cached(calls, known)
     return missing.select(F.col("category").alias("key"), F.lit("").alias("error"), F.col("p_type").alias("response"))
+
+
+def _conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(conv_id, j): each conversation as JSON of chat messages."""
+    turns = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", F.col("text").alias("content")))).alias("m"))
+    return turns.select("conv_id", F.to_json(F.transform("m", lambda x: F.struct(x["role"].alias("role"), x["content"].alias("content")))).alias("j"))
+
+
+def _chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from frameloom.functions import pyjson
+
+    return _conversations(spark, sf_dir).withColumn("m", pyjson.ingest_messages(F.col("j"))["messages"])
+
+
+#: Turns as frames x(conv_id, i, type, text): an assistant's blank text gives none; white space at the ends of an assistant's text goes.
+_CHAT_FRAMES_SQL = r"""y AS (SELECT conv_id, turn, role, text, CASE role WHEN 'assistant' THEN regexp_replace(regexp_replace(coalesce(text, ''), '^[\s\x1c-\x1f]+', ''), '[\s\x1c-\x1f]+$', '') ELSE coalesce(text, '') END AS said,
+  sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn) AS users FROM conversations),
+x AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS i, CASE role WHEN 'system' THEN 'goal' WHEN 'assistant' THEN 'action' ELSE CASE WHEN users = 1 THEN 'mission' ELSE 'feedback' END END AS type,
+  role, said AS text FROM y WHERE role IN ('system', 'user') OR said <> '')"""
+
+
+@query(f"WITH {_CHAT_FRAMES_SQL} SELECT conv_id, i, type, sha256(text) AS digest FROM x")
+def chat_to_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    frames = _chat(spark, sf_dir).select("conv_id", F.posexplode(bridge.messages_to_frames(F.col("m"))["frames"]).alias("i", "f"))
+    said = F.when(F.col("f.type") == "action", F.col("f.answer")).otherwise(F.col("f.text"))
+    return frames.select("conv_id", F.col("i").cast("long").alias("i"), F.col("f.type").alias("type"), F.sha2(said, 256).alias("digest"))
+
+
+@query(f"WITH {_CHAT_FRAMES_SQL} SELECT conv_id, i, role, sha256(text) AS digest FROM x")
+def chat_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    back = _chat(spark, sf_dir).select("conv_id", F.posexplode(bridge.frames_to_messages(bridge.messages_to_frames(F.col("m"))["frames"])).alias("i", "m"))
+    return back.select("conv_id", F.col("i").cast("long").alias("i"), F.col("m.role").alias("role"), F.sha2("m.content", 256).alias("digest"))
+
+
+@query(f"WITH {_CHAT_FRAMES_SQL}, f AS (SELECT conv_id, count(*) AS frames FROM x GROUP BY conv_id) SELECT c.conv_id, coalesce(frames, 0) AS frames, count(*) AS messages, false AS failed FROM conversations c LEFT JOIN f USING (conv_id) GROUP BY ALL")
+def coerced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = bridge.coerce(_conversations(spark, sf_dir), "j")
+    return out.select("conv_id", F.size("frames").cast("long").alias("frames"), F.size("messages").cast("long").alias("messages"), F.col("error").isNotNull().alias("failed"))
+
+
+_TOOLS = '[{"name": "look", "parameters": {}}]'
+
+
+@query(
+    f"""WITH m AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i, role, coalesce(text, '') AS said, min(CASE WHEN role = 'system' THEN turn END) OVER (PARTITION BY conv_id) AS first, turn FROM conversations),
+o AS (SELECT conv_id, CASE WHEN first IS NULL THEN i + 1 ELSE i END AS i, role, CASE WHEN turn = first THEN trim(said || chr(10) || chr(10) || 'available tools:' || chr(10) || '{_TOOLS}', ' ' || chr(10) || chr(9)) ELSE said END AS said FROM m
+  UNION ALL SELECT DISTINCT conv_id, 1, 'system', 'available tools:' || chr(10) || '{_TOOLS}' FROM m WHERE first IS NULL)
+SELECT conv_id, i::BIGINT AS i, role, sha256(said) AS digest FROM o"""
+)
+def injected_tools(spark: SparkSession, sf_dir: str) -> DataFrame:
+    plain = F.transform(F.col("m"), bridge._plain)
+    out = _chat(spark, sf_dir).select("conv_id", F.posexplode(bridge.inject_tools(plain, F.lit(_TOOLS))).alias("i", "m"))
+    return out.select("conv_id", (F.col("i") + 1).cast("long").alias("i"), F.col("m.role").alias("role"), F.sha2("m.content", 256).alias("digest"))
+
+
+@query(f"WITH {EVENT_FRAMES_SQL}, g AS (SELECT id, min(i) FILTER (t = 'goal') AS goal, count(*) AS n FROM t GROUP BY id) SELECT id, n + 1 AS n, coalesce(goal + 1, n) AS place, true AS there FROM g")
+def tool_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from frameloom.functions import tools
+
+    rendered = tools.render_tools(F.lit(_TOOLS))
+    out = event_arrays(spark, sf_dir).withColumn("r", rendered).select("id", bridge.with_tool_obs(F.col("frames"), F.col("r")).alias("f"))
+    place = F.array_position(F.transform("f", lambda x: x["type"]), "obs") - 1
+    return out.select("id", F.size("f").cast("long").alias("n"), place.cast("long").alias("place"), bridge.has_tool_obs(F.col("f")).alias("there"))
+
+
+@query(
+    """SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN '{"name": "look", "arguments": {"x": ' || p_size || '}}' WHEN 2 THEN '{"tool": "' || p_brand || '"}' END AS call, CASE p_partkey % 5 WHEN 1 THEN p_name ELSE '' END AS said,
+  CASE p_partkey % 5 WHEN 0 THEN 'tool_call' WHEN 1 THEN 'assistant_text' WHEN 2 THEN 'tool_call' ELSE 'parse_error: empty' END AS stop, p_partkey % 5 < 2 OR p_partkey % 5 = 3 AS parsed_ok,
+  CASE p_partkey % 5 WHEN 0 THEN 0 WHEN 1 THEN 0 ELSE 1 END AS n_errors FROM part WHERE p_partkey % 5 < 4
+UNION ALL SELECT p_partkey, NULL, '', 'parse_error: Expecting value', true, 1 FROM part WHERE p_partkey % 5 = 4"""
+)
+def generations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k, size = F.col("p_partkey") % 5, F.col("p_size").cast("string")
+    raw = (
+        F.when(k == 0, F.concat(F.lit('<|python_tag|>{"name": "look", "arguments": {"x": '), size, F.lit("}}<|eom_id|>"))).when(k == 1, F.concat(F.lit(" "), "p_name", F.lit("\n<|eot_id|>")))
+        .when(k == 2, F.concat(F.lit('{"tool": "'), "p_brand", F.lit('"}'))).when(k == 3, F.lit(" <|eot_id|>")).otherwise(F.lit("<|python_tag|>look<|eom_id|>"))
+    )
+    read = bridge.parse_generation(table(spark, sf_dir, "part").select("p_partkey", raw.alias("raw")), "raw")
+    check = results.check_chat(F.col("raw"), F.col("call"), F.col("stop"))
+    return read.select("p_partkey", "call", "said", "stop", check["parsed_ok"].alias("parsed_ok"), F.size(check["errors"]).alias("n_errors"))
+
+
+@query("SELECT user_id AS run_id, CASE WHEN s < 8 THEN 'terminal_action' ELSE 'max_iterations' END AS stopped_on, least(coalesce(s + 1, n), 8)::BIGINT AS iterations, CASE WHEN s < 8 THEN 'e' || e END AS answer, least(2 * coalesce(s + 1, n), 16)::BIGINT AS n_frames FROM (SELECT user_id, count(*) AS n, coalesce(min(step) FILTER (event_type = 'purchase'), NULL) AS s, arg_min(event_id, step) FILTER (event_type = 'purchase') AS e FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS step FROM events) GROUP BY user_id)")
+def replayed_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _replayed(spark, sf_dir, "frames")
+
+
+@query("SELECT user_id AS run_id, CASE WHEN s < 8 THEN 'terminal_action' ELSE 'max_iterations' END AS stopped_on, least(coalesce(s + 1, n), 8)::BIGINT AS iterations, CASE WHEN s < 8 THEN 'e' || e END AS answer, CASE WHEN s < 8 THEN 2 * s + 1 ELSE 2 * least(n, 8) END::BIGINT AS n_frames FROM (SELECT user_id, count(*) AS n, min(step) FILTER (event_type = 'purchase') AS s, arg_min(event_id, step) FILTER (event_type = 'purchase') AS e FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS step FROM events) GROUP BY user_id)")
+def replayed_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _replayed(spark, sf_dir, "chat")
+
+
+def _replayed(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
+    """Runs over recorded steps: a purchase answers, any other event calls a tool."""
+    from frameloom.operators.registry import Tool, ToolRegistry
+
+    events = event_frames(spark, sf_dir).join(table(spark, sf_dir, "events").select("event_id", "event_type"), "event_id")
+    number, buys = F.col("event_id").cast("string"), F.col("event_type") == "purchase"
+    if kind == "frames":
+        raw = F.when(buys, F.concat(F.lit('<|action|>{"tool": "answer", "text": "e'), number, F.lit('"}'))).otherwise(F.concat(F.lit('<|action|>{"tool": "double", "x": '), number, F.lit("}")))
+    else:
+        raw = F.when(buys, F.concat(F.lit("e"), number, F.lit("<|eot_id|>"))).otherwise(F.concat(F.lit('<|python_tag|>{"name": "double", "parameters": {"x": '), number, F.lit("}}<|eom_id|>")))
+    steps = events.select(F.col("id").alias("run_id"), F.col("i").alias("step"), raw.alias("raw_text"), F.lit(1).alias("n_gen"))
+    out = replay.replay(steps, ToolRegistry([Tool("double", lambda x: 2 * x)]), kind, max_iterations=8)
+    return out.select("run_id", "stopped_on", F.col("iterations").cast("long").alias("iterations"), "answer", F.json_array_length("frames").cast("long").alias("n_frames"))
+
+
+@query(f"WITH {EVENT_FRAMES_SQL} SELECT id, sum(CASE t WHEN 'action' THEN len(event_id::VARCHAR) + 30 WHEN 'taction' THEN len(event_id::VARCHAR) + 32 WHEN 'result' THEN len(event_id::VARCHAR) + 12 WHEN 'end' THEN 1 ELSE len(event_id::VARCHAR) + 2 END)::BIGINT AS n_ids,"
+    " sum(CASE t WHEN 'action' THEN len(event_id::VARCHAR) + 30 WHEN 'taction' THEN len(event_id::VARCHAR) + 32 WHEN 'end' THEN 1 WHEN 'belief' THEN len(event_id::VARCHAR) + 2 ELSE 0 END)::BIGINT AS learnt FROM t GROUP BY id"
+    " HAVING count(*) FILTER (t IN ('action', 'taction', 'belief', 'end')) > 0")
+def tokenized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = labels.tokenize(event_arrays(spark, sf_dir), _marker_ids, max_length=1 << 30)
+    kept = F.size(F.filter("labels", lambda x: x != labels.IGNORED))
+    return out.select("id", F.size("input_ids").cast("long").alias("n_ids"), kept.cast("long").alias("learnt"))
+
+
+def _marker_ids(wire: str) -> list[int]:
+    """A marker's own id for each reserved token, and a code point for all else."""
+    import re
+
+    from frameloom.functions.schema import FRAME_TYPES
+
+    ids = {slot: token for _, slot, token, *_ in FRAME_TYPES}
+    out: list[int] = []
+    for part in re.split(r"(<\|reserved_special_token_\d+\|>)", wire):
+        slot = re.fullmatch(r"<\|reserved_special_token_(\d+)\|>", part)
+        out += [ids[int(slot[1])]] if slot else map(ord, part)
+    return out
+
+
+@query("SELECT conv_id, 5 * count(*) AS n, 2 * count(*) FILTER (role = 'assistant') AS kept, coalesce(sum(len(coalesce(text, '')) + 103) FILTER (role = 'assistant'), 0)::BIGINT AS total FROM conversations GROUP BY conv_id")
+def assistant_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    size = F.length(F.coalesce("text", F.lit(""))) + 100
+    part = F.array(F.lit(1), F.when(F.col("role") == "assistant", 7).otherwise(8), F.lit(2), size, F.lit(3))
+    turns = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", part.alias("ids")))).alias("t"))
+    masked = turns.select("conv_id", labels.mask_assistant(F.flatten(F.transform("t", lambda x: x["ids"])), [1], [2], [3], [7]).alias("l"))
+    kept = F.filter("l", lambda x: x != labels.IGNORED)
+    return masked.select("conv_id", F.size("l").cast("long").alias("n"), F.size(kept).cast("long").alias("kept"), F.aggregate(kept, F.lit(0).cast("long"), lambda a, x: a + x).alias("total"))
+
+
+@query(f"WITH {EVENT_FRAMES_SQL}, {VIOLATIONS_SQL}, f AS (SELECT id, arg_min(rule, CASE rule WHEN 'missing_goal' THEN 0 WHEN 'opening_prelude' THEN 1 WHEN 'misplaced_end' THEN 2 ELSE 3 END) AS rule FROM v GROUP BY id) SELECT CASE WHEN rule IN ('missing_goal', 'opening_prelude', 'misplaced_end') THEN rule ELSE 'walk' END AS reason, count(*) AS n FROM f GROUP BY 1")
+def reject_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    marked = dataset.checked(event_arrays(spark, sf_dir).withColumn("error", F.lit(None).cast("string")))
+    rule = F.regexp_extract("reason", r"^validation: \[(\w+)", 1)
+    return dataset.histogram(marked.where("reason is not null").withColumn("reason", F.when(rule.isin("missing_goal", "opening_prelude", "misplaced_end"), rule).otherwise("walk")), "reason")
+
+
+@query(f"WITH {EVENT_FRAMES_SQL} SELECT id, CASE n WHEN 0 THEN '[]' WHEN 1 THEN calls ELSE '[' || calls || ']' END AS encoded FROM (SELECT id, count(*) FILTER (t = 'action') AS n, string_agg('{{\"name\": \"bash\", \"parameters\": {{\"text\": \"e' || event_id || '\"}}}}', ', ' ORDER BY i) FILTER (t = 'action') AS calls FROM t GROUP BY id)")
+def encoded_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    actions = F.filter("frames", lambda f: f["type"] == "action")
+    return event_arrays(spark, sf_dir).select("id", results.encode_actions(actions).alias("encoded"))
+
+
+@query("SELECT p_partkey, 'look' AS tool, nullif(CASE WHEN p_size % 2 = 0 THEN '' ELSE p_name END, '') AS value FROM part UNION ALL SELECT p_partkey, 'unknown', p_brand FROM part WHERE p_size % 3 > 0")
+def executed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    outputs = F.when(F.col("p_size") % 3 > 0, F.array(F.when(F.col("p_size") % 2 == 0, " ").otherwise(F.col("p_name")), F.col("p_brand"))).otherwise(F.array(F.when(F.col("p_size") % 2 == 0, "").otherwise(F.col("p_name"))))
+    calls = F.array(F.concat(F.lit("look(x="), F.col("p_size").cast("string"), F.lit(")")), F.lit("(y)"), F.lit("third()"))
+    return table(spark, sf_dir, "part").select("p_partkey", F.inline(results.execution_results(calls, outputs)))
+
+
+@query("SELECT count(*) AS n, avg(CASE WHEN event_type = 'purchase' THEN 1.0 ELSE 0.0 END)::DOUBLE AS structural_pass_rate, avg(CASE WHEN event_id % 3 = 0 THEN 1.0 ELSE 0.0 END)::DOUBLE AS cache_pass_rate, avg(CASE WHEN event_id % 5 > 0 THEN CASE WHEN event_id % 5 = 1 THEN 1.0 ELSE 0.0 END END)::DOUBLE AS gpt_pass_rate, avg(event_id % 7)::DOUBLE AS avg_steps, count(*) FILTER (event_type = 'purchase') AS structural_pass FROM events")
+def tool_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = F.col("event_id")
+    rows = table(spark, sf_dir, "events").select((F.col("event_type") == "purchase").alias("structural"), (e % 3 == 0).alias("cache"), F.when(e % 5 > 0, e % 5 == 1).alias("gpt"), (e % 7).alias("steps"))
+    return results.tool_scores(rows)
+
+
+@query("SELECT p_partkey, p_name || ' ' || p_size AS mission FROM part WHERE p_size % 4 > 0")
+def instance_missions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from frameloom.operators import suites
+
+    rows = table(spark, sf_dir, "part").select("p_partkey", F.when(F.col("p_size") % 4 > 0, F.concat(F.lit("\n"), F.col("p_size").cast("string"), F.lit(" "))).otherwise(" ").alias("problem_statement"), "p_name")
+    good, _ = suites.instances(rows, "{task}")
+    return good.select("p_partkey", F.concat_ws(" ", "p_name", "mission").alias("mission"))
+
+
+@query(f"WITH {EVENT_FRAMES_SQL} SELECT id, i - 1 - goals AS i, t FROM (SELECT id, i, t, 0 AS goals FROM t) WHERE false UNION ALL SELECT id, row_number() OVER (PARTITION BY id ORDER BY i) - 1 AS i, CASE t WHEN 'taction' THEN 'assistant' ELSE 'tool' END AS t FROM t WHERE t IN ('action', 'taction')")
+def first_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chain = event_arrays(spark, sf_dir).select("id", F.posexplode(replay.first_calls(bridge.frames_to_messages(F.col("frames")))).alias("i", "c"))
+    return chain.select("id", F.col("i").cast("long").alias("i"), F.col("c.role").alias("t"))
+
+
+@query("SELECT count(*) AS n, count(*) FILTER (o_orderstatus = 'F') AS passed FROM orders")
+def tally(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from frameloom.operators import suites
+
+    return suites.tally(table(spark, sf_dir, "orders").select((F.col("o_orderstatus") == "F").alias("success")))
+
+
+@query("SELECT o_orderkey AS id, o_orderkey % 3 = 0 AS resolved, (SELECT avg(CASE WHEN o_orderkey % 3 = 0 THEN 1.0 ELSE 0.0 END) FROM orders)::DOUBLE AS \"primary\" FROM orders")
+def resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"))
+    report = orders.agg(F.count("*").alias("submitted_instances"), F.count_if(F.col("id") % 3 == 0).alias("resolved_instances"), F.collect_list(F.when(F.col("id") % 3 == 0, F.col("id"))).alias("resolved_ids"))
+    return results.resolved(orders, report)
+
+
+@query("SELECT s_suppkey, row_number() OVER (ORDER BY 'k_' || s_nationkey || '_', s_suppkey) AS place FROM supplier")
+def natural_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import Window
+
+    ids = table(spark, sf_dir, "supplier").select("s_suppkey", F.concat(F.lit("k_"), F.col("s_nationkey").cast("string"), F.lit("_"), F.col("s_suppkey").cast("string")).alias("id"))
+    # a report's ids are few; they stand in one order
+    return ids.select("s_suppkey", F.row_number().over(Window.orderBy(*results.natural_order(F.col("id")))).cast("long").alias("place"))
