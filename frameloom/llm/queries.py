@@ -1,4 +1,7 @@
-"""The queries opN_<name> of this subpackage, each over its whole table, and SQL where SQL can say the same."""
+"""The queries opN_<name> of this subpackage, each over its whole table, and SQL where SQL can say the same.
+
+Nulls, ties, repeated rows, very long texts and the empty table: as the operator that a query calls says.
+"""
 
 from __future__ import annotations
 
@@ -12,38 +15,47 @@ from frameloom.llm.common import documents, new_path
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of all documents whose fingerprints link at two differing bits or fewer."""
     return simhash.near_duplicates(documents(spark, sf_dir))
 
 
 def op2_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents and their edited texts, likenesses, and groups of near duplicates."""
     return spotsigs.grouped_fingerprints(documents(spark, sf_dir))
 
 
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Host, path, rule and verdict of all pages."""
     return url_filter.judge(documents(spark, sf_dir, "pages"))
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all documents by a classifier that learns from the folds that are not held out."""
     return toxicity.classify(documents(spark, sf_dir), documents(spark, sf_dir, "labels"))
 
 
 def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages of all documents by prototypes that are learnt from the folds that are not held out."""
     return langid.identify(documents(spark, sf_dir))
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all documents and their places in sequences of 1024 ids."""
     return packing.pack(documents(spark, sf_dir))
 
 
 def op7_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What comes back from all documents' texts stored as audio."""
     return matroska.store_and_read(documents(spark, sf_dir))
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all documents by a classifier that learns from the folds that are not held out."""
     return quality.classify(documents(spark, sf_dir), documents(spark, sf_dir, "labels"))
 
 
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sampled segmentations of all documents, and whether they give the texts back."""
     return sentencepiece.round_trip(documents(spark, sf_dir))
 
 
