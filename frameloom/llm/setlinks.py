@@ -28,8 +28,9 @@ SEED = 5
 SAMPLE, COMMON = 8000, 1 << 18
 #: Sets that stand side by side in a probe's list; lists that are longer by the sample are dealt out.
 LIST_ROWS = 1000
-#: Lists of more sets are the ones in which pairs are told apart at once.
-MANY = 16
+#: In lists of more than SOME sets, pairs are told apart by their parities where they meet; in those of more than MANY,
+#: a pair is also taken in the first list that it shares alone, for which each set brings its probes along.
+SOME, MANY = 16, 64
 #: Places of the bit map that says which texts' members are wanted again.
 WANTED = 1 << 24
 
@@ -203,14 +204,17 @@ def linked(marker: Marker, marked: DataFrame) -> DataFrame:
     links = _links(materialize(_close(first, heads, least), "beside", 2 * rows_of(met)), marker, heads)
     size_class = F.floor(F.log(F.col("n")) / F.log(F.lit(1 / least)) + 1e-9).cast("int").alias("class")
     grouped = materialize(met.join(components(links, rows_of(links)), F.col("fp") == F.col("node"), "left").select("fp", "n", "at", "sig", size_class, F.coalesce("root", "fp").alias("root")), "grouped")
+    release(met)
 
     sizes = grouped.groupBy("sig", "root").agg(F.count("*").alias("size"))
     largest = sizes.groupBy("sig").agg(F.max_by("root", F.struct("size", "root")).alias("largest"), F.count("*").alias("groups"), F.sum("size").alias("sets")).where("groups > 1").drop("groups")
     apart = grouped.join(largest, "sig")
+    few = apart.where(F.col("sets") <= SOME).withColumn("bits", F.lit(None).cast("array<long>"))
+    some = apart.where(F.col("sets") > SOME).join(heads.select("fp", "bits"), "fp")
+    apart = few.unionByName(some)
     many = apart.where(F.col("sets") > MANY)
-    told = marked.join(many.select("fp").distinct(), "fp", "left_semi").groupBy("fp").agg(F.first("bits").alias("bits"), F.first("probes").alias("probes"))
-    few = apart.where(F.col("sets") <= MANY).withColumn("bits", F.lit(None).cast("array<long>")).withColumn("probes", F.col("bits"))
-    apart = few.unionByName(many.join(told, "fp"))
+    told = marked.join(many.select("fp").distinct(), "fp", "left_semi").groupBy("fp").agg(F.first("probes").alias("probes"))
+    apart = apart.where(F.col("sets") <= MANY).withColumn("probes", F.lit(None).cast("array<long>")).unionByName(many.join(told, "fp"))
     x, y = (apart.select("sig", "class", *(F.col(c).alias(f"{c}_{side}") for c in ("fp", "n", "at", "root", "largest", "bits", "probes"))) for side in "ab")
     x = x.where("root_a <> largest_a").withColumn("class", F.explode(F.array(*(F.col("class") + k for k in (-1, 0, 1)))))
     # of two sets that are both outside the largest group, the pair is taken once

@@ -56,6 +56,7 @@ def test_matches_brute_force(make_docs, monkeypatch):
         monkeypatch.setattr(setlinks, "SAMPLE", sample)
         monkeypatch.setattr(setlinks, "LIST_ROWS", rows)
         monkeypatch.setattr(setlinks, "MANY", many)
+        monkeypatch.setattr(setlinks, "SOME", min(many, 16))
         assert dict(shingles.near_duplicates(make_docs(texts, ids, extra=True)).collect()) == want
     sets = [brute_set(t) for t in texts]
     assert sum(0.8 <= jaccard(a, b) < 0.95 for a, b in itertools.combinations(sets, 2)) > 10
