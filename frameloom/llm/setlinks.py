@@ -154,11 +154,11 @@ def _sets(marker: Marker, heads: DataFrame, pairs: DataFrame) -> DataFrame:
     words = wanted.groupBy(F.expr("at div 64").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(at % 64 as int)))").alias("bits")).toArrow()
     bitmap = np.zeros(WANTED // 64, np.int64)
     bitmap[words.column("word").to_numpy()] = words.column("bits").to_numpy()
-    shared = named.sparkSession.sparkContext.broadcast(np.unpackbits(bitmap.astype("<i8").view(np.uint8), bitorder="little").view(bool) if words.num_rows else None)
+    shared = named.sparkSession.sparkContext.broadcast(bitmap)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = shared.value
-        batch = batch.filter(pa.array(found[batch.column("key").to_numpy() % WANTED] if found is not None else np.zeros(batch.num_rows, bool)))
+        at = batch.column("key").to_numpy() % WANTED
+        batch = batch.filter(pa.array((shared.value[at // 64] >> (at % 64) & 1).astype(bool)))
         sets = [make(t) for t in _texts(batch)]
         return pa.RecordBatch.from_arrays([pa.array([_name(s, clashes)[0] for s in sets], pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["fp", "sigs"])
 
