@@ -15,6 +15,8 @@ from frameloom.llm.ngrams import BITS, features
 TRAIN_ROWS = 8000
 #: And at most so many bytes of their vectors: texts come in order of the hash until it is reached.
 TRAIN_BYTES = 256 << 20
+#: In so many parts the vectors reach the driver.
+PARTS = 16
 EPOCHS = 3
 ALPHA, BETA, L1, L2 = 0.3, 1.0, 0.02, 0.05
 #: Of a feature's share of the text; such a multiple is its value.
@@ -84,11 +86,10 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col
     if taken:
         hash_, id_ = taken[-1]
         within = vectors.where(F.struct("hash", "id") <= F.struct(F.lit(hash_).alias("hash"), F.lit(id_).alias("id"))).dropDuplicates(["id", "hash"])
-        got = within.toArrow().combine_chunks()  # the vectors stay in its buffers
-        place = {(h, i): n for n, (h, i) in enumerate(zip(got["hash"].to_pylist(), got["id"].to_pylist(), strict=True))}
-        rows = [place[key] for key in taken]
-        idx, x = ([np.frombuffer(got[c].chunk(0)[n].as_buffer(), kind) for n in rows] for c, kind in (("idx", np.int32), ("x", np.float32)))
-        y = got["y"].to_numpy()[rows]
+        # part by part: the driver's JVM never holds all
+        got = {(r["hash"], r["id"]): r for r in within.coalesce(PARTS).toLocalIterator()}
+        idx, x = ([np.frombuffer(got[key][c], kind) for key in taken] for c, kind in (("idx", np.int32), ("x", np.float32)))
+        y = [got[key]["y"] for key in taken]
     release(vectors)
     return fit(list(zip(idx, x, strict=True)), np.array(y, float))
 
