@@ -58,7 +58,7 @@ def materialize(df: DataFrame, tag: str, most_rows: int | None = None) -> DataFr
         df = df.coalesce(files)
     seen = Observation()
     with _setting(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):
-        df.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(at)
+        df.observe(seen, F.count(F.lit(1)).alias("n")).write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(at)
     out = spark.read.schema(df.schema).parquet(at)
     out._frameloom_path, out._frameloom_rows = at, seen.get["n"]
     return out
