@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from frameloom.llm import langid, matroska, packing, quality, secrets, sentencepiece, simhash, spotsigs, toxicity, url_filter
+from frameloom.llm import divergence, fim, langid, matroska, packing, quality, secrets, sentencepiece, simhash, spotsigs, token_counts, toxicity, url_filter
 from frameloom.llm.common import documents, new_path
 
 
@@ -67,6 +67,21 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("path").alias("doc_id"), *counts, F.sha2(joined, 256).alias("base_sha256"), joined.alias("spans"))
 
 
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How the sources of all documents' languages differ, and their most typical terms."""
+    return divergence.audit(documents(spark, sf_dir))
+
+
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of all documents, by way of a cache that begins empty and is kept for the session."""
+    return token_counts.token_counts(documents(spark, sf_dir), new_path(spark, "tokens"))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How all documents are cut for filling in the middle, and digests of what comes out and of what that gives back."""
+    return fim.digested(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_spotsigs": op2_spotsigs,
@@ -78,6 +93,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": op8_quality,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_secrets": op10_secrets,
+    "op11_divergence": op11_divergence,
+    "op12_token_counts": op12_token_counts,
+    "op13_fill_in_middle": op13_fill_in_middle,
 }
 
 #: The texts between matches have the matches' places, as in the operator; alternatives and letter case are spelled out.
@@ -114,4 +132,44 @@ SELECT page_id, host, path, (SELECT arg_max(rule, len(rule)) FROM rules WHERE (h
 FROM parts
 """
 
-ORACLE_SQL: dict[str, str] = {"op3_url_filter": _OP3, "op10_secrets": _OP10}
+_OP11 = r"""
+WITH d AS (SELECT row_number() OVER () AS id, coalesce(text, '') AS text, coalesce(lang, '') AS lang, coalesce(source, '') AS source FROM documents),
+w AS (
+  SELECT id, lang, source, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+per_document AS (SELECT id, lang, source, term, count(*) AS n FROM w GROUP BY ALL),
+kept AS (SELECT lang, term, sum(n) AS n FROM per_document GROUP BY ALL HAVING count(*) >= 30),
+langs AS (SELECT lang, count(*) AS v, sum(n) AS total FROM kept GROUP BY ALL),
+counts AS (SELECT lang, source, term, sum(n) AS n FROM per_document SEMI JOIN kept USING (lang, term) GROUP BY ALL),
+sources AS (SELECT lang, source, coalesce(sum(n), 0) AS total FROM (SELECT DISTINCT lang, source FROM d) LEFT JOIN counts USING (lang, source) GROUP BY ALL),
+p AS (
+  SELECT s.lang, s.source, k.term, coalesce(c.n, 0) AS n,
+    1 + 1000000000::HUGEINT * (coalesce(c.n, 0) + 5)::HUGEINT // (s.total + 5 * l.v)::HUGEINT AS p,
+    1 + 1000000000::HUGEINT * (k.n + 5)::HUGEINT // (l.total + 5 * l.v)::HUGEINT AS q
+  FROM sources s JOIN langs l ON s.lang = l.lang JOIN kept k ON s.lang = k.lang LEFT JOIN counts c ON s.lang = c.lang AND s.source = c.source AND k.term = c.term),
+differ AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+items AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(x.value, 0) AS value
+  FROM sources a JOIN sources b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN differ x ON x.lang = a.lang AND x.source = a.source AND x.item = b.source
+  UNION ALL SELECT lang, source, 'term', term, p - q FROM p WHERE n > 0 AND p > q),
+ranked AS (SELECT lang, source, part, item, value::BIGINT AS value, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INTEGER AS rank FROM items)
+SELECT * FROM ranked WHERE part = 'pair' OR rank <= 50
+"""
+
+_OP13 = r"""
+WITH cut AS (
+  SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS units,
+    sha256('42:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+drawn AS (
+  SELECT doc_id, text, units, len(units) AS n, ('0x' || h[1:8])::BIGINT AS h1, ('0x' || h[9:16])::BIGINT AS h2,
+    CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR ('0x' || h[17:24])::BIGINT % 100 >= 50 THEN 'plain'
+      WHEN ('0x' || h[25:32])::BIGINT % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM cut),
+ends AS (SELECT doc_id, text, units, n, form, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b FROM drawn),
+parts AS (
+  SELECT doc_id, text, n, form, array_to_string(units[1:a], '') AS prefix, array_to_string(units[a + 1:b], '') AS middle, array_to_string(units[b + 1:n], '') AS suffix FROM ends)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN len(prefix) END AS prefix_chars, CASE WHEN form <> 'plain' THEN len(middle) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+  sha256(CASE form WHEN 'plain' THEN text ELSE prefix || middle || suffix END) AS restored_sha256
+FROM parts
+"""
+
+ORACLE_SQL: dict[str, str] = {"op3_url_filter": _OP3, "op10_secrets": _OP10, "op11_divergence": _OP11, "op13_fill_in_middle": _OP13}
