@@ -4,7 +4,7 @@ A document is cut into whole windows and one tail. All that packing needs of the
 there are of each length: combinations of up to three lengths that fill a window exactly are
 enumerated, their repeat counts solved for against that histogram, and rounded down; what is left
 of the histogram is packed greedily, combination by combination. Tails that would leave a window with a
-hole are cut, first at a half of the window, then at a quarter and an eighth: such heads fill windows among
+hole are cut, first at a half of the window, then at a quarter, and so on: such heads fill windows among
 themselves, and what is left of the tails is packed in the same way again.
 The driver works on numbers whose count the window bounds, whatever the number of documents; each piece
 finds its place by its rank among the pieces of its length.
@@ -36,9 +36,9 @@ STEPS, TOLERANCE = 400, 0.02
 #: Pieces of one length are numbered in groups of about so many, or of the root of all pieces' number if that is more:
 #: groups stay small beside a task, and their counts few beside the pieces.
 GROUP_ROWS = 500
-#: Lengths of the heads that tails are cut into, if at all. The last divides the others; the CRC-32 up to each of its
-#: multiples is kept, so that a cut needs no ids.
-HEADS = (512, 256, 128)
+#: Lengths of the heads that tails are cut into, if at all, down to those that leave no hole whatever the tails' length. The last
+#: divides the others; the CRC-32 up to each of its multiples is kept, so that a cut needs no ids.
+HEADS = (512, 256, 128, 64, 32, 16, 8)
 GRID = HEADS[-1]
 #: A window that is filled less far is not left so, but its tails are cut.
 FILLED = 0.995

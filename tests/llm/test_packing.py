@@ -97,6 +97,23 @@ def test_plan_uses_each_id_once_with_little_padding(kind):
     assert plan.ids / 1024 / plan.sequences > 0.98 or kind == "few"
 
 
+def test_padding_is_small_for_every_single_length():
+    """Under 1 %, whatever length all tails have, and whatever few lengths are mixed."""
+    kinds = [[n] for n in range(1, 1025)] + [range(a, b) for a, b in ((114, 121), (100, 128), (33, 64), (20, 31), (5, 9))]
+    for kind in kinds:
+        hist = np.zeros(1025, np.int64)
+        hist[list(kind)] = 100_000 // len(kind)
+        plan = packing.Plan(hist)
+        assert plan.ids / 1024 / plan.sequences > 0.99, list(kind)
+
+
+def test_short_tails_carry_the_checksums_of_their_ids(make_docs, tokenizer):
+    texts = [prose(i, 28 + i % 9) for i in range(400)]
+    rows = packing.pack(make_docs(texts)).collect()
+    check(rows, texts, tokenizer)
+    assert len(rows) > 400 and {r["length"] % 8 for r in rows if r["start"] == 0 and r["length"] < r["doc_tokens"]} == {0}
+
+
 def test_solution_is_that_of_non_negative_least_squares():
     """At a least squares' minimum no count can fall or rise with gain: the gradient is 0 where a count is positive, and not below 0 elsewhere."""
     rng = np.random.default_rng(3)
