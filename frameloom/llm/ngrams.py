@@ -10,20 +10,24 @@ import xxhash
 BITS = 18
 #: A pair of equal words hashes as one feature of its own, whatever the word.
 REPEAT = 1
+#: Longer words are not kept by the caches of words, which so are bounded in bytes.
+LONGEST = 64
 #: Letters in a word's beginnings.
 PART_CHARS = (3, 4, 5, 6, 7, 8)
 _TOKEN = re.compile(r"\w+|[^\w\s]+")
 
 
 class _Hashes(dict):
-    """Hash of each word, kept for later texts; emptied when it has grown to its bound."""
+    """Hash of each word, kept for later texts unless the word is longer than LONGEST; emptied when it has grown to its bound."""
 
     bound = 200_000
 
     def __missing__(self, word: str) -> int:
-        if len(self) >= self.bound:
-            self.clear()
-        h = self[word] = xxhash.xxh32_intdigest(word.encode("utf-8", "surrogatepass"))
+        h = xxhash.xxh32_intdigest(word.encode("utf-8", "surrogatepass"))
+        if len(word) <= LONGEST:
+            if len(self) >= self.bound:
+                self.clear()
+            self[word] = h
         return h
 
 

@@ -147,7 +147,7 @@ def _close(pairs: DataFrame, heads: DataFrame, least: float) -> DataFrame:
 
 
 def _sets(marker: Marker, heads: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(fp, sigs) of all sets in pairs, read from the texts again; a bit map keeps most of the others' from being hashed and dealt out."""
+    """The table of (fp, sigs) of all sets in pairs, read from the texts again; a bit map keeps most of the others' from being hashed and dealt out."""
     named, make, clashes = marker.named, marker.make, marker.clashes
     ends = pairs.select(F.col("hi").alias("fp")).distinct().union(pairs.select("lo").distinct()).distinct()
     wanted = heads.join(ends, "fp", "left_semi").select(F.pmod("key", F.lit(WANTED)).alias("at"))
@@ -163,7 +163,9 @@ def _sets(marker: Marker, heads: DataFrame, pairs: DataFrame) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array([_name(s, clashes)[0] for s in sets], pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["fp", "sigs"])
 
     sets = map_batches(named.select("key", "text"), run, "fp long, sigs array<long>")
-    return sets.join(ends, "fp", "left_semi").groupBy("fp").agg(F.first("sigs").alias("sigs"))
+    sets = materialize(sets.join(ends, "fp", "left_semi").groupBy("fp").agg(F.first("sigs").alias("sigs")), "sets", 2 * rows_of(pairs))
+    shared.destroy()
+    return sets
 
 
 def rooted(docs: DataFrame, make: MakeSet, id_col: str = "doc_id", text_col: str = "text", least: float = LEAST_LIKENESS) -> DataFrame:
@@ -192,6 +194,7 @@ def linked(marker: Marker, marked: DataFrame) -> DataFrame:
             break
         marker.clashes |= found
         marked = materialize(marker.marked(), "marked")
+    marker.common.destroy()
     probes = filled.agg(F.first("n").alias("n"), F.first(F.arrays_zip(F.col("probes").alias("sig"), F.col("lots").alias("lot"))).alias("probes"))
     beside = Window.partitionBy("sig", "lot").orderBy(F.xxhash64("sig", "fp"), "fp")
     one = F.struct("fp", "n", "at")
@@ -230,7 +233,7 @@ def linked(marker: Marker, marked: DataFrame) -> DataFrame:
 
 
 def _links(pairs: DataFrame, marker: Marker, heads: DataFrame) -> DataFrame:
-    sets = materialize(_sets(marker, heads, pairs), "sets", 2 * rows_of(pairs))
+    sets = _sets(marker, heads, pairs)
     found = materialize(_alike(pairs, sets, marker.least), "links", rows_of(pairs))
     release(pairs, sets)
     return found

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from frameloom.llm import setlinks
 from frameloom.llm.common import bounded_batches, materialize
+from frameloom.llm.ngrams import LONGEST
 
 #: Common words of four languages, in lower case.
 ANCHORS = frozenset(
@@ -33,14 +34,16 @@ _WORD = re.compile(r"[^\W_]+")
 
 
 class _Hashes(dict):
-    """64-bit hash of each word, odd for anchors; emptied when it has grown to its bound."""
+    """64-bit hash of each word, odd for anchors; words longer than LONGEST are not kept, and all are let go when it has grown to its bound."""
 
     bound = 200_000
 
     def __missing__(self, word: str) -> int:
-        if len(self) >= self.bound:
-            self.clear()
-        h = self[word] = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass")) & ~1 | (word in ANCHORS)
+        h = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass")) & ~1 | (word in ANCHORS)
+        if len(word) <= LONGEST:
+            if len(self) >= self.bound:
+                self.clear()
+            self[word] = h
         return h
 
 

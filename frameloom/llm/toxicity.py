@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from frameloom.llm.common import bounded_batches, fold, map_batches, materialize, release, sample_share
-from frameloom.llm.ngrams import word_parts, words
+from frameloom.llm.ngrams import LONGEST, word_parts, words
 
 #: Bound, about, of the confirmed toxic texts fitted to; a hash of the ids decides which. All texts are the unlabelled ones.
 POSITIVES = 4000
@@ -42,7 +42,7 @@ SEED = 4
 
 
 class Counts(dict):
-    """word -> numbers of its parts among the known ones; emptied when it has grown to its bound."""
+    """word -> numbers of its parts among the known ones; words longer than LONGEST are not kept, and all are let go when it has grown to its bound."""
 
     bound = 200_000
 
@@ -51,10 +51,12 @@ class Counts(dict):
         self.number = {part: i for i, part in enumerate(known)}
 
     def __missing__(self, word: str) -> bytes:
-        if len(self) >= self.bound:
-            self.clear()
         number = self.number
-        found = self[word] = b"".join([number[p].to_bytes(4, "little") for p in word_parts(word) if p in number])
+        found = b"".join([number[p].to_bytes(4, "little") for p in word_parts(word) if p in number])
+        if len(word) <= LONGEST:
+            if len(self) >= self.bound:
+                self.clear()
+            self[word] = found
         return found
 
     def of(self, text: str | None) -> tuple[np.ndarray, np.ndarray, int]:
@@ -171,14 +173,15 @@ def telling_parts(texts: DataFrame, n_positive: int, n_all: int, n: int = PARTS)
     """The n parts, sorted, that positives among texts(positive, text) have more than all texts, by the difference in standard errors.
 
     Candidates are parts that two positives have, or one if there are few; of these, all texts are counted.
-    Each worker counts its texts before counts are shuffled; CANDIDATES words and n rows at most reach the driver.
+    Words longer than LONGEST are no candidates, but their beginnings are. Each worker counts its texts before counts are shuffled;
+    CANDIDATES words and n rows at most reach the driver.
     """
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = Counter()
             for text in batch.column(0).to_pylist():
-                found.update({p for w in set(words(text)) for p in word_parts(w)})
+                found.update({p for w in set(words(text)) for p in word_parts(w) if len(p) <= LONGEST})
             yield pa.RecordBatch.from_pydict({"part": pa.array(found.keys(), pa.string()), "n": pa.array(found.values(), pa.int64())})
 
     bounded_batches(texts.sparkSession)
@@ -201,6 +204,7 @@ def telling_parts(texts: DataFrame, n_positive: int, n_all: int, n: int = PARTS)
     seen = np.zeros(len(given), np.int64)
     for r in texts.select("text").mapInArrow(count, "part int, n long").groupBy("part").agg(F.sum("n").alias("n")).collect():
         seen[r["part"]] = r["n"]
+    shared.destroy()
     p, u = np.array([k for _, k in given]) / n_positive, seen / n_all
     error = np.sqrt(np.maximum(u * (1 - u), 1 / n_all) * (1 / n_positive + 1 / n_all))
     best = np.argsort(-(p - u) / error, kind="stable")[:n]
