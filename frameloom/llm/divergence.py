@@ -147,7 +147,16 @@ def term_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang",
     return told.where(F.col("term").isNull() | (F.col("all") >= least_docs)).drop("all")
 
 
-def _blocks(counts: DataFrame) -> DataFrame:
+def _langs(counts: DataFrame) -> DataFrame:
+    """(lang, lang_total, terms, blocks, parts) as a written table, whose size says whether it can be sent to the entries: else all of a language's would meet in one task."""
+    kept = F.col("term").isNotNull()
+    langs = counts.groupBy("lang").agg(F.sum("n").alias("lang_total"), F.sum((kept & F.col("head")).cast("long")).alias("terms"), F.count("term").alias("entries"), F.sum((~kept).cast("long")).alias("sources"))
+    pairs = F.col("sources") * F.col("sources")
+    cells = F.greatest(F.lit(CELLS), F.least(F.lit(MOST_CELLS), pairs))
+    return materialize(langs.select("lang", "lang_total", "terms", F.greatest(F.lit(1), F.ceil(F.col("entries") / cells)).cast("int").alias("blocks"), F.ceil(pairs / PAIRS).cast("int").alias("parts")), "langs", 1)
+
+
+def _blocks(counts: DataFrame, langs: DataFrame) -> DataFrame:
     """The rows of all blocks: (lang, block, part, parts, source, term, n, lang_n, total, lang_total, terms).
 
     Each block has its language's sources, without a term, and the entries of its terms; those of more than PAIRS pairs are dealt out in parts, each of which
@@ -155,10 +164,6 @@ def _blocks(counts: DataFrame) -> DataFrame:
     """
     kept = F.col("term").isNotNull()
     sources = counts.groupBy("lang", "source").agg(F.sum("n").alias("total"))
-    langs = counts.groupBy("lang").agg(F.sum("n").alias("lang_total"), F.sum((kept & F.col("head")).cast("long")).alias("terms"), F.count("term").alias("entries"), F.sum((~kept).cast("long")).alias("sources"))
-    pairs = F.col("sources") * F.col("sources")
-    cells = F.greatest(F.lit(CELLS), F.least(F.lit(MOST_CELLS), pairs))
-    langs = langs.select("lang", "lang_total", "terms", F.greatest(F.lit(1), F.ceil(F.col("entries") / cells)).cast("int").alias("blocks"), F.ceil(pairs / PAIRS).cast("int").alias("parts"))
     none = F.lit(None).cast("string").alias("term"), F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("lang_n")
     rows = sources.join(langs, "lang").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("lang", "block", "parts", "source", *none, "total", "lang_total", "terms")
     entries = counts.where(kept).join(langs, "lang").select("lang", F.pmod(F.xxhash64("term"), "blocks").cast("int").alias("block"), "parts", "source", "term", "n", "lang_n", F.lit(None).cast("long").alias("total"), "lang_total", "terms")
@@ -240,9 +245,10 @@ def audit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sourc
     whole. Other columns are not read. An empty table gives no rows.
     """
     counts = materialize(term_counts(docs, text_col, lang_col, source_col, least_docs), "counts")
-    blocks = _blocks(counts).groupBy("lang", "block", "part")
+    langs = _langs(counts)
+    blocks = _blocks(counts, langs).groupBy("lang", "block", "part")
     found = materialize(blocks.applyInArrow(_diverge, "lang string, source string, part string, item string, value long"), "blocks")
-    release(counts)
+    release(counts, langs)
     pair = F.col("part") == "pair"
     sums = found.where(pair).groupBy("lang", "source", "item").agg(F.sum("value").alias("value"))
     both = F.explode(F.array(F.struct("source", "item"), F.struct(F.col("item").alias("source"), F.col("source").alias("item"))))
