@@ -22,11 +22,17 @@ def _made(fn: Callable, kind: str) -> Callable[..., Column]:
     return F.udf(fn, kind, useArrow=True)
 
 
+def _named_twice(c: Column | str) -> Column:
+    """c, such that what it reads is not merged into it: Spark fails to take a UDF out of an expression that has an array function within another."""
+    c = F.col(c) if isinstance(c, str) else c
+    return F.when(c.isNotNull(), c)
+
+
 def arrow_udf(kind: str) -> Callable[[Callable], Callable[..., Column]]:
     """F.udf over Arrow batches, made at its first use: a type's text can't be read before there is a session."""
 
     def wrap(fn: Callable) -> Callable[..., Column]:
-        return wraps(fn)(lambda *columns: _made(fn, kind)(*columns))
+        return wraps(fn)(lambda *columns: _made(fn, kind)(*map(_named_twice, columns)))
 
     return wrap
 
@@ -45,8 +51,13 @@ def sound(value: Any) -> Any:
 
 
 def loads(text: str) -> Any:
-    """json.loads, without lone surrogates."""
-    return sound(json.loads(text))
+    """json.loads, without lone surrogates. A number of more digits than Python reads is no JSON either."""
+    try:
+        return sound(json.loads(text))
+    except json.JSONDecodeError:
+        raise
+    except ValueError as e:
+        raise json.JSONDecodeError("number too long", text, 0) from e
 
 
 _NOTHING = dict.fromkeys(("tool", "args", "answer", "raw", "error"))

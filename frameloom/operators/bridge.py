@@ -1,13 +1,14 @@
-"""Frames to chat messages and back, as folds over array columns."""
+"""Frames to chat messages and back, over array columns; all in time that grows with the array."""
 
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from frameloom.functions import pyjson, text
+from frameloom.functions import pyjson, text, tools
 from frameloom.functions.schema import FRAME, MESSAGE, TERMINAL_TOOLS, TOOL_CALL, frame, quote
 
 _MESSAGES, _FRAMES, _STRINGS = f"array<{MESSAGE}>", f"array<{FRAME}>", "array<string>"
@@ -22,41 +23,68 @@ def message(role: str, content: Column, tool_call_id: Column | None = None, call
     ).cast(MESSAGE)
 
 
-def _push(items: Column, item: Column) -> Column:
-    return F.concat(items, F.array(item))
+def _once(value: Column, fn: Callable[[Column], Column]) -> Column:
+    """fn of a value that is worked out once, however often fn names it. A UDF may read the result as a column, but not within one expression."""
+    return F.get(F.transform(F.array(value), fn), F.lit(0))
+
+
+def _in_order(*placed: Column) -> Column:
+    """The items of arrays of (at, items), by where they stand."""
+    return F.flatten(F.transform(F.array_sort(F.concat(*placed)), lambda x: x["items"]))
 
 
 def frames_to_messages(frames: Column) -> Column:
-    """array<message>. Goals and observations become the system text at the next mission (or at the front, once all ids are given); reasoning waits for the next action."""
-    zero = F.struct(F.array().cast(_STRINGS).alias("system"), F.array().cast(_STRINGS).alias("thoughts"), F.array().cast(_MESSAGES).alias("out"))
+    """array<message>. Goals and observations become the system text at the next mission (or at the front, once all ids are given); reasoning waits for the next action.
+
+    In time that grows with the frames: what an action or a mission gathers is the slice since the one before, and an id is a message's place.
+    """
+    return _once(frames, _messages_of)
+
+
+def _messages_of(frames: Column) -> Column:
+    placed = F.transform(frames, lambda f, i: F.struct(i.alias("at"), f.alias("f")))
+    none = F.lit(None).cast("string")
 
-    def keep(s: Column, system: Column | None = None, thoughts: Column | None = None, out: Column | None = None) -> Column:
-        return F.struct(*((new if new is not None else s[name]).alias(name) for name, new in (("system", system), ("thoughts", thoughts), ("out", out))))
+    def since(others: Column, k: Column) -> Column:
+        """The place of the k-th of others; -1 before the first."""
+        return F.when(k >= 0, F.get(others, k)["at"]).otherwise(-1)
 
-    empty = F.array().cast(_STRINGS)
+    def texts(before: Column, upto: Column, *kinds: str) -> Column:
+        between = F.slice(frames, before + 2, upto - before - 1)
+        return F.transform(F.filter(between, lambda f: f["type"].isin(*kinds)), lambda f: f["text"])
 
-    def step(s: Column, f: Column) -> Column:
-        kind, content = f["type"], f["text"]
-        system_first = F.when(F.size(s["system"]) > 0, _push(s["out"], message("system", F.array_join(s["system"], "\n\n")))).otherwise(s["out"])
-        said = F.array_join(s["thoughts"], "\n")
+    def system(parts: Column) -> Column:
+        return F.when(F.size(parts) > 0, F.array(message("system", F.array_join(parts, "\n\n")))).otherwise(F.array().cast(_MESSAGES))
+
+    def acted(f: Column, said: Column) -> Column:
         final = F.when(said != "", text.strip(F.concat(said, F.lit("\n\n"), f["answer"]))).otherwise(f["answer"])
-        number = F.size(s["out"])
-        call = F.struct(F.concat(F.lit("call_"), number.cast("string")).alias("id"), F.lit("function").alias("type"), F.struct(f["tool"].alias("name"), f["args"].alias("arguments")).alias("function"))
-        action = F.when(f["tool"].isin(TERMINAL_TOOLS), message("assistant", final)).otherwise(message("assistant", said, calls=F.array(call)))
-        return (
-            F.when(kind.isin("goal", "obs"), keep(s, system=_push(s["system"], content)))
-            .when(kind == "mission", keep(s, system=empty, out=_push(system_first, message("user", content))))
-            .when(kind.isin("belief", "plan", "think"), keep(s, thoughts=_push(s["thoughts"], content)))
-            .when((kind == "action") & (f["kind"] == "object"), keep(s, thoughts=empty, out=_push(s["out"], action)))
-            .when(kind == "result", keep(s, out=_push(s["out"], message("tool", f["json"], F.concat(F.lit("call_"), (number - 1).cast("string"))))))
-            .when(kind == "feedback", keep(s, out=_push(s["out"], message("user", content))))
-            .otherwise(s)
-        )
+        call = F.struct(none.alias("id"), F.lit("function").alias("type"), F.struct(f["tool"].alias("name"), f["args"].alias("arguments")).alias("function"))
+        return F.when(f["tool"].isin(TERMINAL_TOOLS), message("assistant", final)).otherwise(message("assistant", said, calls=F.array(call)))
+
+    def at(x: Column, items: Column) -> Column:
+        return F.struct(x["at"].alias("at"), items.alias("items"))
 
-    def finish(s: Column) -> Column:
-        return F.when(F.size(s["system"]) > 0, F.concat(F.array(message("system", F.array_join(s["system"], "\n\n"))), s["out"])).otherwise(s["out"])
+    def of_actions(actions: Column) -> Column:
+        return F.transform(actions, lambda x, k: at(x, F.array(_once(F.array_join(texts(since(actions, k - 1), x["at"], "belief", "plan", "think"), "\n"), lambda said: acted(x["f"], said)))))
 
-    return F.aggregate(frames, zero, step, finish)
+    def of_missions(missions: Column) -> Column:
+        opened = lambda x, k: _once(texts(since(missions, k - 1), x["at"], "goal", "obs"), system)
+        return F.transform(missions, lambda x, k: at(x, F.concat(opened(x, k), F.array(message("user", x["f"]["text"])))))
+
+    def numbered(m: Column, i: Column) -> Column:
+        ident = F.concat(F.lit("call_"), F.when(m["role"] == "tool", i - 1).otherwise(i).cast("string"))
+        calls = F.transform(m["tool_calls"], lambda c: c.withField("id", ident))
+        return m.withField("tool_calls", calls).withField("tool_call_id", F.when(m["role"] == "tool", ident)).cast(MESSAGE)
+
+    is_action = lambda x: (x["f"]["type"] == "action") & (x["f"]["kind"] == "object")
+    others = F.transform(
+        F.filter(placed, lambda x: x["f"]["type"].isin("result", "feedback")),
+        lambda x: at(x, F.array(F.when(x["f"]["type"] == "result", message("tool", x["f"]["json"])).otherwise(message("user", x["f"]["text"])))),
+    )
+    out = F.transform(_in_order(_once(F.filter(placed, is_action), of_actions), _once(F.filter(placed, lambda x: x["f"]["type"] == "mission"), of_missions), others), numbered)
+    missions = F.filter(placed, lambda x: x["f"]["type"] == "mission")
+    left = _once(missions, lambda m: texts(since(m, F.size(m) - 1), F.size(frames), "goal", "obs"))
+    return F.concat(_once(left, system), out)
 
 
 def system_frames(content: Column) -> Column:
@@ -90,34 +118,56 @@ def messages_to_frames(messages: Column) -> Column:
     """struct<frames, error> of ingested messages.
 
     Each assistant's message sets anew which tools the next results belong to. A result that is no
-    object with a tool is wrapped with the tool's name, `unknown` where none is left.
+    object with a tool is wrapped with the tool's name, `unknown` where none is left. In time that grows with the messages:
+    they are cut at the assistants' messages, and a result takes the tool of its number in its part.
     """
-    zero = F.struct(F.array().cast(_FRAMES).alias("frames"), F.array().cast(_STRINGS).alias("tools"), F.lit(False).alias("mission"), F.lit(None).cast("string").alias("error"))
+    return _once(messages, _frames_of)
+
 
-    def step(s: Column, m: Column) -> Column:
-        role = m["role"]
-        user = frame(F.when(s["mission"], "feedback").otherwise("mission"), m["content"])
+def _wrapped(m: Column, tool: Column) -> Column:
+    """A tool message's payload beside its tool's name, as a result."""
+    none = F.lit(None).cast("string")
+    body = {k: F.concat(F.lit('{"tool": '), quote(tool), F.lit(', "value": '), m[k], F.lit("}")) for k in ("payload_json", "payload_utf8")}
+    return F.struct(
+        F.lit("result").alias("type"), F.lit("object").alias("kind"), body["payload_utf8"].alias("text"), body["payload_json"].alias("json"), body["payload_utf8"].alias("json_utf8"), F.lit(True).alias("truthy"), tool.alias("tool"),
+        F.concat(F.lit('{"value": '), m["payload_json"], F.lit("}")).alias("args"), F.lit("").alias("answer"), none.alias("raw"), none.alias("error"),
+    ).cast(FRAME)
+
+
+def _frames_of(messages: Column) -> Column:
+    placed = F.transform(messages, lambda m, i: F.struct(i.alias("at"), m.alias("m")))
+    first_user = F.array_position(F.transform(messages, lambda m: F.coalesce(m["role"], F.lit(""))), "user") - 1
+    is_tool = lambda x: F.coalesce(x["m"]["role"] == "tool", F.lit(False))
+
+    def called(m: Column) -> Column:
+        """Names of the tools that an assistant's message leaves to be answered; none before the first."""
         named = F.transform(F.filter(m["calls"], lambda c: F.coalesce(c["frame"]["tool"], F.lit("")) != ""), lambda c: c["frame"]["tool"])
         answered = F.when(~m["blank"], F.array(F.lit("answer"))).otherwise(F.array().cast(_STRINGS))
-        tools = F.when(F.size(m["calls"]) > 0, named).otherwise(answered)
-        tool = F.coalesce(F.get(s["tools"], F.lit(0)), F.lit("unknown"))
-        wrapped = [F.concat(F.lit('{"tool": '), quote(tool), F.lit(', "value": '), m[k], F.lit("}")) for k in ("payload_json", "payload_utf8")]
-        p = m["payload"]
-        none = F.lit(None).cast("string")
-        wrap = F.struct(
-            F.lit("result").alias("type"), F.lit("object").alias("kind"), wrapped[1].alias("text"), wrapped[0].alias("json"), wrapped[1].alias("json_utf8"), F.lit(True).alias("truthy"), tool.alias("tool"),
-            F.concat(F.lit('{"value": '), m["payload_json"], F.lit("}")).alias("args"), F.lit("").alias("answer"), none.alias("raw"), none.alias("error"),
-        ).cast(FRAME)
-        result = F.when(m["payload_kind"] == "as_is", p).otherwise(wrap)
-        new = F.when(role == "system", system_frames(m["content"])).when(role == "user", F.array(user)).when(role == "assistant", assistant_frames(m)).when(role == "tool", F.array(result))
-        return F.struct(
-            F.concat(s["frames"], F.coalesce(new, F.array().cast(_FRAMES))).alias("frames"),
-            F.when(role == "assistant", tools).when(role == "tool", F.slice(s["tools"], 2, F.greatest(F.size(s["tools"]), F.lit(1)))).otherwise(s["tools"]).alias("tools"),
-            (s["mission"] | (role == "user")).alias("mission"),
-            F.coalesce(s["error"], F.when((role == "tool") & (m["payload_kind"] == "bad"), F.concat(F.lit("TypeError: result without keys: "), m["payload_json"]))).alias("error"),
-        )
-
-    return F.aggregate(messages, zero, step, lambda s: F.struct(s["frames"].alias("frames"), s["error"].alias("error")))
+        return F.coalesce(F.when(F.size(m["calls"]) > 0, named).otherwise(answered), F.array().cast(_STRINGS))
+
+    def results_of(names: Column, part: Column) -> Column:
+        one = lambda x, j: F.when(x["m"]["payload_kind"] == "as_is", x["m"]["payload"]).otherwise(_wrapped(x["m"], F.coalesce(F.get(names, j), F.lit("unknown"))))
+        return F.transform(F.filter(part, is_tool), lambda x, j: F.struct(x["at"].alias("at"), F.array(one(x, j)).alias("items")))
+
+    def parts(all_: Column, heads: Column) -> Column:
+        """The results of each part: after one assistant's message, up to the next."""
+
+        def of(head: Column, k: Column) -> Column:
+            part = F.slice(all_, head + 2, F.coalesce(F.get(heads, k + 1), F.size(messages)) - head - 1)
+            return _once(F.when(head >= 0, called(F.get(messages, head))).otherwise(F.array().cast(_STRINGS)), lambda names: results_of(names, part))
+
+        return F.flatten(F.transform(heads, of))
+
+    def other(x: Column) -> Column:
+        m, role = x["m"], x["m"]["role"]
+        user = frame(F.when(x["at"] == first_user, "mission").otherwise("feedback"), m["content"])
+        made = F.when(role == "system", system_frames(m["content"])).when(role == "user", F.array(user)).when(role == "assistant", assistant_frames(m))
+        return F.struct(x["at"].alias("at"), F.coalesce(made, F.array().cast(_FRAMES)).alias("items"))
+
+    heads = F.concat(F.array(F.lit(-1)), F.transform(F.filter(placed, lambda x: x["m"]["role"] == "assistant"), lambda x: x["at"]))
+    made = _once(placed, lambda all_: _in_order(F.transform(F.filter(all_, lambda x: ~is_tool(x)), other), _once(heads, lambda h: parts(all_, h))))
+    bad = F.get(F.filter(messages, lambda m: (m["role"] == "tool") & (m["payload_kind"] == "bad")), F.lit(0))
+    return F.struct(made.alias("frames"), F.when(bad.isNotNull(), F.concat(F.lit("TypeError: result without keys: "), bad["payload_json"])).alias("error"))
 
 
 def looks_like(first_keys: Column, shape: str) -> Column:
@@ -183,13 +233,15 @@ def parse_generation(df: DataFrame, column: str) -> DataFrame:
     """
     raw = F.coalesce(F.col(column), F.lit(""))
     tagged = F.regexp_extract(raw, rf"(?s)<\|python_tag\|>(.+?){_STOP}", 1)
-    has_tag = raw.rlike(rf"(?s)<\|python_tag\|>(.+?){_STOP}")
+    stops = raw.rlike(_STOP)
+    has_tag = stops & raw.rlike(rf"(?s)<\|python_tag\|>(.+?){_STOP}")
     bare = text.strip(F.regexp_replace(text.strip(raw), r"<\|(?:eot_id|eom_id|python_tag)\|>", ""))
     body = F.when(has_tag, tagged).when(bare.startswith("{"), bare)
     out = df.withColumn("_read", read_call(body))
     call = F.when(has_tag, F.when(F.col("_read.error").isNull(), F.col("_read.call"))).when(F.col("_read.named"), F.col("_read.call"))
-    rest = rf"(?s)(?:<\|start_header_id\|>assistant<\|end_header_id\|>)?{text.SPACE.replace('(?U)', '')}*(.*?)<\|(?:eot_id|eom_id)\|>"
-    said = text.strip(F.when(raw.rlike(rest), F.regexp_extract(raw, rest, 1)).otherwise(raw))
+    # with a stop in it, the text begins where it begins: no other place need be tried
+    rest = rf"(?s)\A(?:<\|start_header_id\|>assistant<\|end_header_id\|>)?{text.SPACE.replace('(?U)', '')}*(.*?)<\|(?:eot_id|eom_id)\|>"
+    said = text.strip(F.when(stops, F.regexp_extract(raw, rest, 1)).otherwise(raw))
     text_only = ~has_tag & call.isNull()
     stop = F.when(has_tag & F.col("_read.error").isNotNull(), F.concat(F.lit("parse_error: "), F.col("_read.error"))).when(call.isNotNull(), "tool_call").when(said != "", "assistant_text").otherwise("parse_error: empty")
     return out.select(*df.columns, call.alias("call"), F.when(text_only, said).otherwise("").alias("said"), stop.alias("stop"))
@@ -200,19 +252,13 @@ def read_call(body: str | None):
     """JSON text of a call -> the call, whether it has a name or tool, that name, and its arguments (or parameters) decoded."""
     if body is None:
         return None
+    call = tools.read(body)
+    out = {"call": None, "error": call.error, "named": call.name is not None, "name": call.name, "args": None}
+    if call.error is not None:
+        return out
+    key = "arguments" if "arguments" in call.value else "parameters"
+    shown = call.value | {key: call.args} if call.name and call.args is not None and isinstance(call.value.get(key), str) else call.value
     try:
-        value = json.loads(body)
-    except json.JSONDecodeError as e:
-        return {"call": None, "error": e.msg, "named": False, "name": None, "args": None}
-    if not isinstance(value, dict):
-        return {"call": None, "error": "not object", "named": False, "name": None, "args": None}
-    name = value.get("name") or value.get("tool")
-    raw = value.get("arguments", value.get("parameters", {}))
-    try:
-        args = json.loads(raw) if isinstance(raw, str) else dict(raw or {})
-    except (ValueError, TypeError):
-        args = None
-    if name and isinstance(raw, str) and args is not None:
-        value = value | {"arguments" if "arguments" in value else "parameters": args}
-    return {"call": json.dumps(value), "error": None, "named": bool(name), "name": str(name) if name else None, "args": None if args is None else json.dumps(args)}
-
+        return out | {"call": json.dumps(shown), "args": None if call.args is None else json.dumps(call.args)}
+    except RecursionError:
+        return out | {"error": tools.TOO_DEEP, "named": False, "name": None}

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from frameloom.functions.pyjson import arrow_udf, loads, payload, sound
 from frameloom.functions.schema import RUNTIME_TYPES, SLOT, TERMINAL_TOOLS, TYPES, marker, reserved
-from frameloom.functions.tools import bare
+from frameloom.functions.tools import Call, bare, read
 from frameloom.operators.registry import ToolRegistry
 from frameloom.operators.results import repeats
 
@@ -81,35 +81,28 @@ def run_frames(steps: list[tuple[str, int]], registry: ToolRegistry, max_iterati
 
 #: Fixed patterns of a chat model's tokens: a tagged call, and the text up to the first stop.
 _TOOL = re.compile(r"<\|python_tag\|>(.+?)<\|(?:eom_id|eot_id)\|>", re.DOTALL)
-_TEXT = re.compile(r"(?:<\|start_header_id\|>assistant<\|end_header_id\|>)?\s*(.*?)<\|(?:eot_id|eom_id)\|>", re.DOTALL)
+_STOP = re.compile(r"<\|(?:eot_id|eom_id)\|>")
+_TEXT = re.compile(r"\A(?:<\|start_header_id\|>assistant<\|end_header_id\|>)?\s*(.*?)<\|(?:eot_id|eom_id)\|>", re.DOTALL)
 
 
-def read_chat(text: str) -> tuple[dict[str, Any] | None, str, str]:
+def read_chat(text: str) -> tuple[Call | None, str, str]:
     """(call, text, stop) of one generation of a chat model; the same rules as parse_generation over columns."""
-    if found := _TOOL.search(text):
-        try:
-            call = loads(found[1])
-        except json.JSONDecodeError as e:
-            return None, "", f"parse_error: {e.msg}"
-        except RecursionError:
-            return None, "", "parse_error: nested too deep"
-        return (call, "", "tool_call") if isinstance(call, dict) else (None, "", "parse_error: not object")
+    stops = _STOP.search(text)
+    if stops and (found := _TOOL.search(text)):
+        call = read(found[1])
+        return (None, "", f"parse_error: {call.error}") if call.error is not None else (call, "", "tool_call")
     plain = bare(text)
-    if plain.startswith("{"):
-        try:
-            call = loads(plain)
-            if isinstance(call, dict) and (call.get("name") or call.get("tool")):
-                return call, "", "tool_call"
-        except (ValueError, RecursionError):
-            pass
-    found = _TEXT.search(text)
+    if plain.startswith("{") and (call := read(plain)).name:
+        return call, "", "tool_call"
+    found = stops and _TEXT.search(text)  # with a stop in it, from its beginning
     said = (found[1] if found else text).strip()
     return None, said, "assistant_text" if said else "parse_error: empty"
 
 
-def run_chat(steps: list[tuple[str, int]], registry: ToolRegistry, max_iterations: int, max_new_tokens: int) -> dict[str, Any]:
+def run_chat(steps: list[tuple[str, int]], registry: ToolRegistry, max_iterations: int, before: int = 0) -> dict[str, Any]:
+    """One run of a chat model, after so many messages before: a call's id is the place of its message. A call that ends the run is a message as any other; no generation is too long."""
     messages: list[dict[str, Any]] = []
-    for n, (text, generated) in enumerate(steps[:max_iterations], 1):
+    for n, (text, _) in enumerate(steps[:max_iterations], 1):
         call, said, stop = read_chat(text)
         done = {"iterations": n, "answer": None, "frames": messages}
         if stop.startswith("parse_error"):
@@ -117,23 +110,15 @@ def run_chat(steps: list[tuple[str, int]], registry: ToolRegistry, max_iteration
         if call is None:
             messages.append({"role": "assistant", "content": said})
             return done | {"stopped_on": "terminal_action", "answer": said}
-        name = call.get("name") or call.get("tool")
-        if not name:
+        if not call.name:
             return done | {"stopped_on": "parse_error: tool call missing name"}
-        raw = call.get("arguments", call.get("parameters", {}))
-        try:
-            args = dict(loads(raw) if isinstance(raw, str) else raw or {})
-        except (ValueError, TypeError, RecursionError):
+        if not isinstance(call.args, dict):
             return done | {"stopped_on": "parse_error: arguments are no object"}
-        if name in TERMINAL_TOOLS:
-            answer = str(args.get("text") or args.get("reason") or "")
-            messages.append({"role": "assistant", "content": answer})
-            return done | {"stopped_on": "terminal_action", "answer": answer if name == "answer" else None}
-        ident = f"call_{len(messages)}"
-        messages.append({"role": "assistant", "content": said, "tool_calls": [{"id": ident, "type": "function", "function": {"name": str(name), "arguments": json.dumps(args)}}]})
-        messages.append({"role": "tool", "tool_call_id": ident, "content": json.dumps({"tool": str(name), "value": _execute(registry, name, args)})})
-        if generated >= max_new_tokens and not re.search(r"<\|(?:eot_id|eom_id)\|>$", text):
-            return done | {"stopped_on": "max_tokens"}
+        ident = f"call_{before + len(messages)}"
+        messages.append({"role": "assistant", "content": said, "tool_calls": [{"id": ident, "type": "function", "function": {"name": call.name, "arguments": json.dumps(call.args)}}]})
+        if call.name in TERMINAL_TOOLS:
+            return done | {"stopped_on": "terminal_action", "answer": (call.args.get("text") or said) if call.name == "answer" else None}
+        messages.append({"role": "tool", "tool_call_id": ident, "content": json.dumps({"tool": call.name, "value": _execute(registry, call.name, call.args)})})
     return {"stopped_on": "max_iterations", "iterations": min(len(steps), max_iterations), "answer": None, "frames": messages}
 
 
@@ -143,18 +128,19 @@ _RUN = "struct<stopped_on:string,iterations:int,answer:string,frames:string>"
 def replay(steps: DataFrame, registry: ToolRegistry, kind: str = "frames", max_iterations: int = 10, max_new_tokens: int = 512, strict: bool = True) -> DataFrame:
     """(run_id, stopped_on, iterations, answer, frames) of recorded steps(run_id, step, raw_text, n_gen).
 
-    frames is the JSON of what the run appended: frames, or messages for kind chat. step counts from 0. What a model wrote
-    that can't be read, or called with what is no object, is its run's stop reason and ends no other run.
+    frames is the JSON of what the run appended: frames, or messages for kind chat, whose calls are numbered from n_given, a column
+    of steps that may say how many messages came before. step counts from 0. What a model wrote that can't be read, or called with what is no object, is its run's stop reason and ends no other run.
     The registry's tools run on the executors, and must be picklable.
     """
 
     def run(recorded) -> dict[str, Any]:
         given = [(sound(s["raw_text"] or ""), s["n_gen"] or 0) for s in recorded]
-        out = run_frames(given, registry, max_iterations, max_new_tokens, strict) if kind == "frames" else run_chat(given, registry, max_iterations, max_new_tokens)
+        out = run_frames(given, registry, max_iterations, max_new_tokens, strict) if kind == "frames" else run_chat(given, registry, max_iterations, recorded[0]["n_given"] or 0)
         answer = out["answer"]
         return out | {"frames": json.dumps(out["frames"]), "answer": answer if answer is None else str(answer)}
 
-    gathered = steps.where(F.col("step") < max_iterations).groupBy("run_id").agg(F.array_sort(F.collect_list(F.struct("step", "raw_text", "n_gen"))).alias("_s"))
+    before = (F.col("n_given") if "n_given" in steps.columns else F.lit(0)).cast("int").alias("n_given")
+    gathered = steps.where(F.col("step") < max_iterations).groupBy("run_id").agg(F.array_sort(F.collect_list(F.struct("step", "raw_text", "n_gen", before))).alias("_s"))
     return gathered.withColumn("_r", arrow_udf(_RUN)(run)(F.col("_s"))).select("run_id", "_r.*")
 
 
@@ -188,7 +174,6 @@ def first_calls(messages: Column) -> Column:
     of an assistant's calls the first counts, with the tool message after it as response (blank for Finish)."""
     node = "struct<role:string,name:string,arguments:string,response:string,text:string>"
     none = F.lit(None).cast("string")
-    indexed = F.transform(messages, lambda m, i: F.struct(m.alias("m"), F.get(messages, i + 1).alias("next")))
 
     def one(x: Column) -> Column:
         m, following = x["m"], x["next"]
@@ -198,4 +183,9 @@ def first_calls(messages: Column) -> Column:
         said = F.struct(F.lit("assistant").alias("role"), none.alias("name"), none.alias("arguments"), none.alias("response"), F.coalesce(m["content"], F.lit("")).alias("text"))
         return F.when(F.size(m["tool_calls"]) > 0, tool).otherwise(said)
 
-    return F.transform(F.filter(indexed, lambda x: x["m"]["role"] == "assistant"), one).cast(f"array<{node}>")
+    def chain(bound: Column) -> Column:
+        followed = F.zip_with(bound, F.slice(bound, 2, F.size(bound)), lambda m, following: F.struct(m.alias("m"), following.alias("next")))
+        return F.transform(F.filter(followed, lambda x: x["m"]["role"] == "assistant"), one)
+
+    # the messages are an element of an array, so that they are made once, and each is set beside the next
+    return F.get(F.transform(F.array(messages), chain), F.lit(0)).cast(f"array<{node}>")

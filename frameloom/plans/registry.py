@@ -626,7 +626,7 @@ def instance_missions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return good.select("p_partkey", F.concat_ws(" ", "p_name", "mission").alias("mission"))
 
 
-@query(f"WITH {EVENT_FRAMES_SQL} SELECT id, i - 1 - goals AS i, t FROM (SELECT id, i, t, 0 AS goals FROM t) WHERE false UNION ALL SELECT id, row_number() OVER (PARTITION BY id ORDER BY i) - 1 AS i, CASE t WHEN 'taction' THEN 'assistant' ELSE 'tool' END AS t FROM t WHERE t IN ('action', 'taction')")
+@query(f"WITH {EVENT_FRAMES_SQL} SELECT id, row_number() OVER (PARTITION BY id ORDER BY i) - 1 AS i, CASE t WHEN 'taction' THEN 'assistant' ELSE 'tool' END AS t FROM t WHERE t IN ('action', 'taction')")
 def first_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     chain = event_arrays(spark, sf_dir).select("id", F.posexplode(replay.first_calls(bridge.frames_to_messages(F.col("frames")))).alias("i", "c"))
     return chain.select("id", F.col("i").cast("long").alias("i"), F.col("c.role").alias("t"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import _parse_datatype_string
 
 from frameloom.functions import text
-from frameloom.functions.pyjson import arrow_udf, ingest_frames, ingest_messages, is_json, loads
+from frameloom.functions.pyjson import UNREADABLE, arrow_udf, ingest_frames, ingest_messages, is_json, loads
 from frameloom.operators import bridge
 
 #: Python breaks lines at these too; a text file read by Spark does not.
@@ -38,7 +38,7 @@ def _record(line: str):
             return none | {"error": f"no {', '.join(lacking)}"}
         given = r.get("messages")
         return {"id": str(r["id"]), "domain": str(r["domain"] or "unknown"), "frames": json.dumps(r["frames"]), "messages": json.dumps(given) if given else None, "error": None}
-    except (ValueError, RecursionError) as e:
+    except UNREADABLE as e:
         return none | {"error": f"json: {e}"}
 
 
