@@ -24,10 +24,19 @@ def message(role: str, content: Column, tool_call_id: Column | None = None, call
 
 
 def _once(value: Column, fn: Callable[[Column], Column]) -> Column:
-    """fn of a value that is worked out once, however often fn names it. A UDF may read the result as a column, but not within one expression."""
+    """fn of a value that is worked out once, however often fn names it."""
     return F.get(F.transform(F.array(value), fn), F.lit(0))
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """df, as a plan whose columns later ones don't take apart: to be put between a conversion and a Python UDF that reads it.
+
+    A conversion's inner functions read what outer ones hold, and Spark fails to take a UDF out of one expression with such;
+    a filter that is always true, but is not known to be, keeps the two apart, and moves no row.
+    """
+    return df.where(F.rand() >= 0)
+
+
 def _in_order(*placed: Column) -> Column:
     """The items of arrays of (at, items), by where they stand."""
     return F.flatten(F.transform(F.array_sort(F.concat(*placed)), lambda x: x["items"]))

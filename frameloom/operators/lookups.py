@@ -59,6 +59,50 @@ def cached(calls: DataFrame, cache: DataFrame) -> tuple[DataFrame, DataFrame]:
     return keyed.join(known, "key"), keyed.join(known, "key", "left_anti")
 
 
+#: Hex digits of a key that name its bucket: 256 folders.
+BUCKET_DIGITS = 2
+
+
+def bucket(key: Column) -> Column:
+    """The folder of a cache that a key is kept in: keys are hashes, so that folders are of one size."""
+    return F.substring(key, 1, BUCKET_DIGITS)
+
+
+def keep_answers(fresh: DataFrame, path: str) -> None:
+    """Appends answers(key, error, response) to a cache at path, in a folder for each bucket; one file a bucket and run. Null keys are left out."""
+    kept = fresh.where("key is not null").select("key", "error", "response", bucket(F.col("key")).alias("bucket"))
+    kept.repartition("bucket").sortWithinPartitions("bucket", "key").write.mode("append").partitionBy("bucket").parquet(path)
+
+
+def cache_at(spark, path: str, keys: DataFrame) -> DataFrame:
+    """(key, error, response, bucket) of a cache at path, of the folders alone that keys(key) fall into; of answers with one key any counts.
+
+    At most 256 names of folders reach the driver, whatever the number of keys; the others' files are not opened.
+    """
+    there = [r["bucket"] for r in keys.where("key is not null").select(bucket(F.col("key")).alias("bucket")).distinct().collect()]
+    return spark.read.schema("key string, error string, response string, bucket string").parquet(path).where(F.col("bucket").isin(there))
+
+
+def looked_up(calls: DataFrame, path: str) -> tuple[DataFrame, DataFrame]:
+    """cached() against a cache at path, of which only the folders of the calls' keys are read. calls(category, tool, api, tool_input, ...)."""
+    keys = calls.select(cache_key(*(F.col(c) for c in ("category", "tool", "api", "tool_input"))).alias("key"))
+    return cached(calls, cache_at(calls.sparkSession, path, keys))
+
+
+def suffix_join(names: DataFrame, functions: DataFrame, name: str = "name") -> DataFrame:
+    """names' columns and found: the function of the least rank whose name ends with it; null if none does. functions(function, rank).
+
+    A function is cut at the lengths alone that names have; suffixes are brought down to their least function before they are
+    dealt out, and meet names by equality. The empty name fits the first function, a null one none. Ties of rank go to the
+    lesser function.
+    """
+    lengths = names.where(F.col(name).isNotNull()).select(F.length(name).alias("_n")).distinct()
+    whole = functions.where("function is not null").select("function", "rank", F.explode(F.sequence(F.lit(0), F.length("function"))).alias("_n"))
+    cut = whole.join(lengths, "_n").select(F.expr("right(function, _n)").alias("_suffix"), "function", "rank")
+    least = cut.groupBy("_suffix").agg(F.min(F.struct("rank", "function"))["function"].alias("found"))
+    return names.join(least, names[name] == least["_suffix"], "left").drop("_suffix")
+
+
 def by_suffix(name: Column, functions: Column) -> Column:
     """The first function whose name ends with name; null if none does. The empty name fits the first."""
     return F.get(F.filter(functions, lambda f: F.endswith(f, name)), F.lit(0))

@@ -54,7 +54,7 @@ def trajectories(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     rows = good.select(
         "_r.id", "_r.domain", F.col("_f.frames").alias("frames"), F.when(F.col("_r.messages").isNotNull(), given).otherwise(bridge.frames_to_messages(F.col("_f.frames"))).alias("messages"), F.col("_f.error").alias("error"), "pos"
     )
-    return rows, read.where("_r.error is not null").select("line", F.col("_r.error").alias("error"), "pos")
+    return bridge.settled(rows), read.where("_r.error is not null").select("line", F.col("_r.error").alias("error"), "pos")
 
 
 def trajectory_lines(generated: DataFrame, column: str) -> DataFrame:

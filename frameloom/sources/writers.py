@@ -4,18 +4,38 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from frameloom.functions.pyjson import dumps_utf8
+from frameloom.functions.schema import quote
 from frameloom.operators import trajectory
 from frameloom.operators.results import upsert
+from frameloom.sources import keyed
 from frameloom.sources.readers import count_lines
 
 
 def records(df: DataFrame) -> DataFrame:
     """(id, domain, frames, messages, num_frames, split) with frames and messages as JSON text."""
-    return df.select("id", "domain", trajectory.to_json(F.col("frames")).alias("frames"), dumps_utf8(F.to_json("messages")).alias("messages"), F.size("frames").alias("num_frames"), "split")
+    return df.select("id", "domain", trajectory.to_json(F.col("frames")).alias("frames"), messages_json(F.col("messages")).alias("messages"), F.size("frames").alias("num_frames"), "split")
+
+
+def messages_json(messages: Column) -> Column:
+    """JSON list of messages, as Python writes it, not ASCII-escaped; fields that are null are left out. Null messages give null."""
+
+    def item(*fields: tuple[str, Column]) -> Column:
+        return F.concat(F.lit("{"), F.concat_ws(", ", *(F.concat(F.lit(f'"{name}": '), said) for name, said in fields)), F.lit("}"))
+
+    def listed(items: Column) -> Column:
+        return F.concat(F.lit("["), F.array_join(items, ", "), F.lit("]"))
+
+    def call(c: Column) -> Column:
+        function = item(("name", quote(c["function"]["name"])), ("arguments", quote(c["function"]["arguments"])))
+        return item(("id", quote(c["id"])), ("type", quote(c["type"])), ("function", F.when(c["function"].isNotNull(), function)))
+
+    def one(m: Column) -> Column:
+        return item(("role", quote(m["role"])), ("content", quote(m["content"])), ("tool_call_id", quote(m["tool_call_id"])), ("tool_calls", listed(F.transform(m["tool_calls"], call))))
+
+    return listed(F.transform(messages, one))
 
 
 def dataset(df: DataFrame, path: str) -> None:
@@ -60,6 +80,56 @@ def merge(old: DataFrame, new: DataFrame, path: str, key: str = "id", order: str
     (out.partitionBy(partition) if partition else out).parquet(path)
 
 
+def _versions(spark, path: str) -> list[int]:
+    """The versions of a table that are whole, in order: Spark marks a folder when its job has been committed."""
+    sc = spark.sparkContext
+    at = sc._jvm.org.apache.hadoop.fs.Path(f"{path}/version=*/_SUCCESS")
+    found = at.getFileSystem(sc._jsc.hadoopConfiguration()).globStatus(at)
+    return sorted(int(str(f.getPath().getParent().getName()).removeprefix("version=")) for f in found or [])
+
+
+def current(spark, path: str) -> DataFrame | None:
+    """The table that merge_at() keeps at path; None before the first merge."""
+    there = _versions(spark, path)
+    return spark.read.parquet(f"{path}/version={there[-1]}") if there else None
+
+
+def merge_at(new: DataFrame, path: str, key: str = "id", order: str = "pos", keep: int = 2) -> DataFrame:
+    """Puts new's rows in place of those of the same key in the table at path, and returns the table.
+
+    The merged table is written beside the old one and counts from when it is whole; a run that is broken off at any point
+    leaves the old one, and what it has written is written over by the next. A rerun with the same rows changes nothing. The last keep versions
+    stay, for those who still read them. Of new's rows with one key the last by order counts.
+    """
+    spark = new.sparkSession
+    there, old = _versions(spark, path), current(spark, path)
+    number = there[-1] + 1 if there else 0
+    merged = upsert(old if old is not None else new.limit(0), new, key, order)
+    merged.write.mode("overwrite").option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "true").parquet(f"{path}/version={number}")
+    sc = spark.sparkContext
+    for past in there[: max(0, len(there) + 1 - keep)]:
+        at = sc._jvm.org.apache.hadoop.fs.Path(f"{path}/version={past}")
+        at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)
+    return current(spark, path)
+
+
+def result_files(rows: DataFrame, path: str, key: str = "id", json_columns: tuple[str, ...] = (), newline: bool = False) -> None:
+    """A JSON file for each row, under its id."""
+    keyed.files(rows, path, key, json_columns, newline)
+
+
+def converted(answers: DataFrame, path: str) -> None:
+    """One object, id -> answer, of answers(id, value), value being JSON."""
+    keyed.one_object(answers.select("id", "value"), path, "id", ("value",))
+
+
+def predictions(rows: DataFrame, path: str, model: str) -> None:
+    """One object, instance_id -> prediction, of rows(instance_id, model_patch); a null patch is an empty one."""
+    named = rows.select(F.col("instance_id").cast("string").alias("_id"), F.col("instance_id").cast("string").alias("instance_id"), "model_patch")
+    entry = F.struct(F.lit(model).alias("model_name_or_path"), "instance_id", F.coalesce("model_patch", F.lit("")).alias("model_patch"))
+    keyed.one_object(named.select("_id", entry.alias("value")), path, "_id", newline=True)
+
+
 def answers(df: DataFrame, path: str, key: str = "id") -> None:
     """A JSON line for each row: its key and the row."""
     df.select(F.col(key).alias("id"), F.struct(*[c for c in df.columns if c != key]).alias("value")).write.mode("overwrite").json(path)

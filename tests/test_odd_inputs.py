@@ -65,7 +65,7 @@ def test_conversions_take_time_in_proportion(spark):
         df = frame_table(spark, {"x": chat(n)}).cache()
         df.count()
         began = time.perf_counter()
-        messages = df.select(bridge.frames_to_messages(F.col("frames")).alias("m"))
+        messages = bridge.settled(df.select(bridge.frames_to_messages(F.col("frames")).alias("m")))
         got = messages.select(F.size("m").alias("n"), F.size(replay.first_calls(F.col("m"))).alias("c"), F.element_at("m", -1).alias("last")).first()
         took[n] = time.perf_counter() - began
         assert (got["n"], got["c"]) == (2 * got["c"] + 2, (len(chat(n)) - 2) // 3) and got["last"]["tool_call_id"] == f"call_{got['n'] - 2}"

@@ -6,7 +6,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from frameloom.plans import conversions, registry  # noqa: F401
+from frameloom.plans import conversions, registry, sinks  # noqa: F401
 
 DATA = Path("/root/testdata/sf0.001")
 
