@@ -96,6 +96,28 @@ def resolved(requested: DataFrame, report: DataFrame) -> DataFrame:
     return requested.select("id").join(one, "id", "left").crossJoin(F.broadcast(rate)).select("id", F.coalesce("_ok", F.lit(False)).alias("resolved"), "primary")
 
 
+def resolved_of(requested: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """(id, resolved) where the report's ids are a table, verdicts(id, ...): of any number, without being gathered into one row."""
+    known = verdicts.where("id is not null").select("id").distinct().withColumn("_ok", F.lit(True))
+    return requested.select("id").join(known, "id", "left").select("id", F.coalesce("_ok", F.lit(False)).alias("resolved"))
+
+
+def places(rows: DataFrame, order: list[Column], name: str = "place") -> DataFrame:
+    """rows with the place of each in the whole order, from 1, by range partitions: no task has all rows.
+
+    The ordered rows are written to the checkpoint folder, as their partitions' bounds come from a sample that another run would
+    draw anew; then the partitions' counts, as many as there are partitions, say where each begins. Ties stand in any order.
+    """
+    at = "_at"
+    ordered = rows.orderBy(*order).withColumn(at, F.monotonically_increasing_id()).checkpoint()
+    part, within = F.shiftrightunsigned(at, 33), F.col(at).bitwiseAND((1 << 33) - 1)
+    counts = ordered.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    begins = counts.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_begin"))
+    joined = ordered.withColumn("_part", part).join(begins, "_part")
+    return joined.select(*rows.columns, (F.col("_begin") + within + 1).alias(name))
+
+
 def latest(rows: DataFrame, key: str, order: str) -> DataFrame:
     """The last row of each key: combined before the shuffle, so that a key may have any number of rows."""
     columns = [c for c in rows.columns if c != key]

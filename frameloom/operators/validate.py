@@ -7,6 +7,7 @@ row; the windows serve rows that are stored one frame each.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -112,6 +113,30 @@ def action_walk(frames: Column, allow_unresolved: bool = False) -> Column:
     return F.aggregate(_indexed(frames), zero, step, finish)
 
 
+@dataclass(frozen=True)
+class OwnRule:
+    """A user's rule about a frame and the one before it: wrong(previous, kind, index, terminal) builds the condition that breaks it.
+
+    previous is null before the first frame; terminal says that an action ends the run. One rule serves all forms: a fold
+    (as_fold), windows (violations_of_rows) and streams (streaming.validate.violations). A null condition breaks nothing.
+    """
+
+    name: str
+    wrong: Callable[[Column, Column, Column, Column], Column]
+    message: str = ""
+
+    def breaks(self, previous: Column, kind: Column, index: Column, terminal: Column) -> Column:
+        return F.coalesce(self.wrong(previous, kind, index, terminal), F.lit(False))
+
+    def as_fold(self, frames: Column) -> Column:
+        """array<violation> of a frames column: a rule for violations(rules=...)."""
+        each = _indexed(frames)
+        before = F.concat(F.array(F.lit(None).cast("string")), F.transform(frames, lambda f: f["type"]))
+        paired = F.zip_with(each, F.slice(before, F.lit(1), F.size(frames)), lambda x, previous: F.struct(x.alias("x"), previous.alias("previous")))
+        found = F.filter(paired, lambda p: self.breaks(p["previous"], p["x"]["type"], p["x"]["i"], p["x"]["terminal"]))
+        return F.transform(found, lambda p: _violation(self.name, p["x"]["i"], self.message))
+
+
 Rule = Callable[[Column], Column]
 #: The rules that come before the walk, in the order of their violations; a caller may add to them.
 STRUCTURAL_RULES: tuple[Rule, ...] = (missing_goal, opening_prelude, misplaced_end)
@@ -131,8 +156,8 @@ def shown(violation: Column) -> Column:
     return F.concat(F.lit("["), violation["rule"], F.lit("] frame "), violation["frame_index"].cast("string"), F.lit(": "), violation["message"])
 
 
-def violations_of_rows(rows: DataFrame, by: str = "id", order: str = "i", kind: str = "type", terminal: str = "terminal", allow_unresolved: bool = False) -> DataFrame:
-    """(by, rule, frame_index) for rows that hold one frame each; order numbers the frames of a trajectory from 0.
+def violations_of_rows(rows: DataFrame, by: str = "id", order: str = "i", kind: str = "type", terminal: str = "terminal", allow_unresolved: bool = False, own: Sequence[OwnRule] = ()) -> DataFrame:
+    """(by, rule, frame_index) for rows that hold one frame each; order numbers the frames of a trajectory from 0. own: further rules.
 
     What is pending after a row is a running sum that never falls below zero: S - min(0, least S so far).
     """
@@ -162,6 +187,8 @@ def violations_of_rows(rows: DataFrame, by: str = "id", order: str = "i", kind:
         (F.lit("orphan_result"), (t == "result") & (F.col("pp") == 0) & (F.coalesce("prev_non_end", F.lit("")) != "taction"), i),
         (F.lit("premature_runtime_frame"), t.isin("feedback", "reward") & ~F.col("acted"), i),
     ]
+    plain = lambda c: F.when(c == "taction", "action").otherwise(c)
+    rules += [(F.lit(rule.name), rule.breaks(plain(F.col("prev")), plain(t), i, t == "taction"), i) for rule in own]
     if not allow_unresolved:
         rules.append((F.lit("unresolved_action"), F.col("last") & (F.col("p") > 0), at))
     found = F.array_compact(F.array(*(F.when(F.coalesce(when, F.lit(False)), F.struct(rule.alias("rule"), index.alias("frame_index"))) for rule, when, index in rules)))

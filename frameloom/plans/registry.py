@@ -642,14 +642,18 @@ def tally(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT o_orderkey AS id, o_orderkey % 3 = 0 AS resolved, (SELECT avg(CASE WHEN o_orderkey % 3 = 0 THEN 1.0 ELSE 0.0 END) FROM orders)::DOUBLE AS \"primary\" FROM orders")
 def resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"))
-    report = orders.agg(F.count("*").alias("submitted_instances"), F.count_if(F.col("id") % 3 == 0).alias("resolved_instances"), F.collect_list(F.when(F.col("id") % 3 == 0, F.col("id"))).alias("resolved_ids"))
-    return results.resolved(orders, report)
+    known = results.resolved_of(orders, orders.where("id % 3 = 0"))
+    report = orders.agg(F.count("*").alias("submitted_instances"), F.count_if(F.col("id") % 3 == 0).alias("resolved_instances"), F.array().cast("array<bigint>").alias("resolved_ids"))
+    # one row of the report's rate, beside each id
+    rate = results.resolved(orders.agg(F.min("id").alias("id")), report).select("primary")
+    return known.crossJoin(F.broadcast(rate))
 
 
 @query("SELECT s_suppkey, row_number() OVER (ORDER BY 'k_' || s_nationkey || '_', s_suppkey) AS place FROM supplier")
 def natural_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window
+    from frameloom.plans.sinks import scratch
 
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(scratch(spark, "places"))
     ids = table(spark, sf_dir, "supplier").select("s_suppkey", F.concat(F.lit("k_"), F.col("s_nationkey").cast("string"), F.lit("_"), F.col("s_suppkey").cast("string")).alias("id"))
-    # a report's ids are few; they stand in one order
-    return ids.select("s_suppkey", F.row_number().over(Window.orderBy(*results.natural_order(F.col("id")))).cast("long").alias("place"))
+    return results.places(ids, results.natural_order(F.col("id"))).select("s_suppkey", "place")

@@ -8,8 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from frameloom.operators import bridge, checks, lookups, trajectory, vectors
-from frameloom.plans.frames_from_tables import EVENT_FRAMES_SQL, event_arrays, table
+from frameloom.operators import bridge, checks, lookups, trajectory, validate, vectors
+from frameloom.plans.frames_from_tables import EVENT_FRAMES_SQL, event_arrays, event_frames, table
 from frameloom.plans.registry import query
 from frameloom.sources import readers, writers
 from frameloom.streaming import append
@@ -197,3 +197,19 @@ def written_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     back = readers.dataset(spark, at).select("id", pyjson.ingest_messages(F.col("messages"))["messages"].alias("m"))
     calls = F.aggregate("m", F.lit(0), lambda n, m: n + F.size(m["calls"]))
     return back.select("id", calls.alias("n")).groupBy(_json("k_", (F.col("id").cast("long") % 5).cast("string")).alias("tool")).agg(F.sum("n").cast("long").alias("n_calls"), F.count_distinct("id").alias("n_runs"))
+
+
+#: A user's rule, for the query below and its stream.
+TWICE = validate.OwnRule("same_twice", lambda previous, kind, index, terminal: (previous == kind) & ~terminal & (index % 2 == 1), "the same twice")
+
+
+@query(
+    f"""WITH {EVENT_FRAMES_SQL}, p AS (SELECT id, i, CASE t WHEN 'taction' THEN 'action' ELSE t END AS kind, t = 'taction' AS terminal FROM t),
+q AS (SELECT *, lag(kind) OVER (PARTITION BY id ORDER BY i) AS previous FROM p), v AS (SELECT id, i FROM q WHERE previous = kind AND NOT terminal AND i % 2 = 1)
+SELECT form, id, i::INTEGER AS frame_index FROM v, (VALUES ('fold'), ('window')) AS f(form)"""
+)
+def own_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A user's rule as a fold and over windows."""
+    fold = event_arrays(spark, sf_dir).select("id", F.inline(TWICE.as_fold(F.col("frames"))))
+    rows = validate.violations_of_rows(event_frames(spark, sf_dir), own=[TWICE]).where(F.col("rule") == TWICE.name)
+    return fold.select(F.lit("fold").alias("form"), "id", "frame_index").union(rows.select(F.lit("window"), "id", "frame_index"))

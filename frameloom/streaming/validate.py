@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from typing import Any
 
 import numpy as np
@@ -13,7 +13,7 @@ from pyspark.sql.streaming.state import GroupState
 
 from frameloom.functions.schema import TURN_CLOSERS
 from frameloom.functions.text import dedup_key
-from frameloom.operators.validate import PRELUDE, REASONING
+from frameloom.operators.validate import PRELUDE, REASONING, OwnRule
 
 _STATE = "n int, open int, least int, opened int, turn int, acted boolean, closed boolean, previous string, previous_not_end string"
 _OUT = "id string, rule string, frame_index int"
@@ -71,12 +71,13 @@ def walk(state: tuple, kinds: list[tuple[str, bool]]) -> tuple[tuple, list[tuple
     return after, [(rule, index) for _, _, rule, index in found]
 
 
-def violations(frames: DataFrame, by: str = "id", order: str = "ts", forget_ms: int | None = None) -> DataFrame:
+def violations(frames: DataFrame, by: str = "id", order: str = "ts", forget_ms: int | None = None, own: Sequence[OwnRule] = ()) -> DataFrame:
     """(id, rule, frame_index) as frames(by, order, type, terminal) arrive. A trajectory's end is not known in a stream, so that nothing is said of actions still pending.
 
     Frames of one batch are put in their order; a batch is expected not to hold frames older than those of earlier ones.
     With forget_ms, a trajectory without a frame for so long a processing time is forgotten, and what comes later begins a new
     one: so the state stays bounded, but such a query never says that all is processed, as it always waits for timeouts.
+    own: further rules, over each frame and the one before it, which may have come in an earlier batch.
     """
 
     def run(key: tuple[Any], parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -85,13 +86,21 @@ def violations(frames: DataFrame, by: str = "id", order: str = "ts", forget_ms:
             return
         rows = pd.concat(list(parts)).sort_values(order, kind="stable")
         before = tuple(None if pd.isna(x) else x for x in state.get) if state.exists else START
-        after, found = walk(before, list(zip(rows["type"], rows["terminal"].astype(bool), strict=True)))
+        kinds = list(zip(rows["type"], rows["terminal"].astype(bool), strict=True))
+        after, found = walk(before, kinds)
         state.update(after)
         if forget_ms is not None:
             state.setTimeoutDuration(forget_ms)
-        yield pd.DataFrame([(str(key[0]), rule, at) for rule, at in found], columns=["id", "rule", "frame_index"])
-
-    return frames.groupBy(by).applyInPandasWithState(run, _OUT, _STATE, "append", "NoTimeout" if forget_ms is None else "ProcessingTimeTimeout")
+        out = [(str(key[0]), rule, at, None, None, None) for rule, at in found]
+        if own:  # and each frame with the one before it, for the rules below
+            last = [before[7], *(k for k, _ in kinds)]
+            out += [(str(key[0]), None, before[0] + i, last[i], k, k == "action" and bool(t)) for i, (k, t) in enumerate(kinds)]
+        yield pd.DataFrame(out, columns=["id", "rule", "frame_index", "previous", "type", "terminal"]).astype({"previous": object, "type": object, "terminal": object})
+
+    walked = frames.groupBy(by).applyInPandasWithState(run, f"{_OUT}, previous string, type string, terminal boolean", _STATE, "append", "NoTimeout" if forget_ms is None else "ProcessingTimeTimeout")
+    broken = [F.when(rule.breaks(F.col("previous"), F.col("type"), F.col("frame_index"), F.col("terminal")), F.lit(rule.name)) for rule in own]
+    names = F.when(F.col("rule").isNotNull(), F.array("rule")).otherwise(F.array_compact(F.array(*broken)) if broken else F.array().cast("array<string>"))
+    return walked.select("id", F.explode(names).alias("rule"), "frame_index")
 
 
 def counts(events: DataFrame, kind: str = "event_type", ts: str = "ts", window: str = "1 hour", late: str = "10 minutes") -> DataFrame:

@@ -32,6 +32,24 @@ def test_violations_over_batches(spark, tmp_path):
     assert got == sorted(map(tuple, batch.collect())) and got
 
 
+def test_a_users_rule_is_the_same_in_all_forms(spark, tmp_path):
+    """Previous frames of an earlier batch count, first frames have none, and a null condition breaks nothing."""
+    twice = validate.OwnRule("twice", lambda previous, kind, index, terminal: (previous == kind) | terminal, "again")
+    first = validate.OwnRule("first", lambda previous, kind, index, terminal: previous.isNull() & (index == 0) & (kind != "goal"))
+    data = [(f"t{k}", i, c, c == "action" and i % 2 == 0) for k, kinds in enumerate(["goal goal action action result result", "result", "belief belief belief end end", "goal mission action action"]) for i, c in enumerate(kinds.split())]
+    schema = "id string, ts int, type string, terminal boolean"
+    stream = write(spark, tmp_path, [[d for d in data if d[1] < 1], [d for d in data if 1 <= d[1] < 4], [d for d in data if d[1] >= 4]], schema)
+    spark.sql("DROP VIEW IF EXISTS out")
+    got = sorted(map(tuple, drain(streaming.violations(stream, own=[twice, first]), spark, tmp_path)))
+    df = spark.createDataFrame(data, schema)
+    batch = sorted(map(tuple, validate.violations_of_rows(df, "id", "ts", allow_unresolved=True, own=[twice, first]).collect()))
+    assert got == batch and {r for _, r, _ in got} >= {"twice", "first", "missing_goal"}
+    tool = F.when(F.col("terminal"), "answer")
+    frames = df.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("ts", F.struct("type", tool.alias("tool")).alias("f")))).alias("o")).select("id", F.transform("o", lambda x: x["f"]).alias("frames"))
+    fold = frames.select("id", F.explode(validate.violations(F.col("frames"), True, [*validate.STRUCTURAL_RULES, twice.as_fold, first.as_fold])).alias("v")).select("id", "v.rule", "v.frame_index")
+    assert sorted(map(tuple, fold.collect())) == batch
+
+
 def test_windows_and_first_mentions(spark, tmp_path):
     data = [(f"2024-01-01 0{h}:{m}0:00", k, t) for h, m, k, t in [(0, 1, "a", "X y"), (0, 2, "a", "x  Y"), (1, 0, "b", "z"), (3, 0, "a", "q")]]
     df = spark.createDataFrame(data, "s string, event_type string, text string").select(F.to_timestamp("s").alias("ts"), "event_type", "text")
