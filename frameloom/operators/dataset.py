@@ -17,12 +17,9 @@ def mission(frames: Column) -> Column:
 
 def checked(df: DataFrame, frames: str = "frames", error: str = "error") -> DataFrame:
     """df with reason: null for valid rows, else why the row is rejected, 60 characters at most."""
-    found = validate.violations(F.col(frames))
-    why = (
-        F.when(F.col(error).isNotNull(), F.col(error))
-        .when(validate.crashes(F.col(frames)), "validation: crashed on an action without keys")
-        .when(F.size(found) > 0, F.concat(F.lit("validation: "), validate.shown(found[0])))
-    )
+    # the violations are an element of an array, so that they are sought once
+    first = F.get(F.transform(F.array(validate.violations(F.col(frames))), lambda v: F.concat(F.lit("validation: "), validate.shown(F.get(v, F.lit(0))))), F.lit(0))
+    why = F.when(F.col(error).isNotNull(), F.col(error)).when(validate.crashes(F.col(frames)), "validation: crashed on an action without keys").otherwise(first)
     return df.withColumn("reason", F.substring(why, 1, 60))
 
 

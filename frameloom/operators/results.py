@@ -167,8 +167,10 @@ def accumulate(steps: DataFrame, by: str = "run_id") -> DataFrame:
 
 def share_load_time(tasks: DataFrame, load_sec: float) -> DataFrame:
     """tasks whose load_sec is not above 0 get an equal share of the run's."""
-    n = tasks.count()
-    return tasks.withColumn("load_sec", F.when(F.col("load_sec") <= 0, F.lit(load_sec / max(1, n))).otherwise(F.col("load_sec")))
+    # one row, made by the same job
+    share = tasks.agg((F.lit(float(load_sec)) / F.greatest(F.count("*"), F.lit(1))).alias("_share"))
+    shared = tasks.crossJoin(F.broadcast(share))
+    return shared.withColumn("load_sec", F.when(F.col("load_sec") <= 0, F.col("_share")).otherwise(F.col("load_sec"))).select(*tasks.columns)
 
 
 def patch_success(submitted: Column, patch: Column) -> Column:

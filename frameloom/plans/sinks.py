@@ -8,10 +8,11 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from frameloom.operators import bridge, checks, lookups, trajectory, validate, vectors
+from frameloom.functions import pyjson, schema
+from frameloom.operators import bridge, checks, lookups, suites, trajectory, validate, vectors
 from frameloom.plans.frames_from_tables import EVENT_FRAMES_SQL, event_arrays, event_frames, table
 from frameloom.plans.registry import query
-from frameloom.sources import readers, writers
+from frameloom.sources import keyed, readers, writers
 from frameloom.streaming import append
 
 
@@ -192,8 +193,6 @@ def written_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = event_arrays(spark, sf_dir).select(F.col("id").cast("string").alias("id"), F.lit("d").alias("domain"), "frames", bridge.frames_to_messages(F.col("frames")).alias("messages"), F.lit("train").alias("split"))
     at = scratch(spark, "messages")
     writers.dataset(rows, at)
-    from frameloom.functions import pyjson
-
     back = readers.dataset(spark, at).select("id", pyjson.ingest_messages(F.col("messages"))["messages"].alias("m"))
     calls = F.aggregate("m", F.lit(0), lambda n, m: n + F.size(m["calls"]))
     return back.select("id", calls.alias("n")).groupBy(_json("k_", (F.col("id").cast("long") % 5).cast("string")).alias("tool")).agg(F.sum("n").cast("long").alias("n_calls"), F.count_distinct("id").alias("n_runs"))
@@ -213,3 +212,79 @@ def own_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
     fold = event_arrays(spark, sf_dir).select("id", F.inline(TWICE.as_fold(F.col("frames"))))
     rows = validate.violations_of_rows(event_frames(spark, sf_dir), own=[TWICE]).where(F.col("rule") == TWICE.name)
     return fold.select(F.lit("fold").alias("form"), "id", "frame_index").union(rows.select(F.lit("window"), "id", "frame_index"))
+
+
+@query("SELECT 's_tool_' || s_suppkey AS standard_tool_name, 'S Tool-' || s_suppkey AS tool_name, CASE WHEN s_suppkey % 2 = 0 THEN s_name END AS description FROM supplier")
+def tool_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tools' files by category; of two with one standard name the last by path counts."""
+    n = F.col("s_suppkey")
+    rows = table(spark, sf_dir, "supplier").select(n.cast("string").alias("id"), _json("S Tool-", n.cast("string")).alias("tool_name"), F.when(n % 2 == 0, F.col("s_name")).alias("tool_description"))
+    at = scratch(spark, "tools")
+    keyed.files(rows.withColumn("tool_description", F.lit("earlier")), f"{at}/a")
+    keyed.files(rows, f"{at}/b")
+    return readers.tool_files(spark, at)
+
+
+@query("SELECT p_partkey % 5 AS kind, count(*) AS n, min(p_partkey) AS first FROM part WHERE p_partkey % 5 > 1 GROUP BY 1")
+def quarantined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines that are no trajectory are set aside with their reason, and end no load."""
+    k, key = F.col("p_partkey") % 5, F.col("p_partkey").cast("string")
+    good = _json('{"id": ', key, ', "domain": "d", "frames": [{"type": "goal", "content": "g"}]}')
+    line = F.when(k == 0, good).when(k == 1, "  ").when(k == 2, _json('{"id": ', key, "}")).when(k == 3, _json("[", key, "]")).otherwise(_json('{"id": ', key, ", "))
+    at = scratch(spark, "lines")
+    writers.append_lines(table(spark, sf_dir, "part").select(line.alias("line")), at)
+    _, bad = readers.trajectories(spark, at)
+    kind = F.when(F.col("error").startswith("no frames, domain"), 2).when(F.col("error") == "not an object", 3).when(F.col("error").startswith("json: "), 4)
+    return bad.select(kind.cast("long").alias("kind"), F.regexp_extract("line", r"(\d+)", 1).cast("long").alias("key")).groupBy("kind").agg(F.count("*").alias("n"), F.min("key").alias("first"))
+
+
+@query(
+    f"""WITH {EVENT_FRAMES_SQL}, k AS (SELECT CASE t WHEN 'taction' THEN 'action' ELSE t END AS type, count(*) AS n FROM t GROUP BY 1),
+w(type, token_id, owner, marker) AS (VALUES ('goal', 128002, 'runtime', '<|goal|>'), ('belief', 128011, 'model', '<|belief|>'), ('action', 128014, 'model', '<|action|>'), ('end', 128015, 'model', '<|end|>'), ('result', 128016, 'runtime', '<|result|>'), ('feedback', 128017, 'runtime', '<|feedback|>'))
+SELECT k.type, token_id, owner, marker, n FROM k JOIN w ON k.type = w.type"""
+)
+def counted_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kinds = event_frames(spark, sf_dir).groupBy("type").agg(F.count("*").alias("n"))
+    return kinds.join(schema.frame_types(spark), "type").select("type", "token_id", "owner", "marker", "n")
+
+
+@query("SELECT p_partkey, unnest(['goal', 'mission']) AS type, unnest(['\"' || p_brand || '\"', '\"' || p_name || '\"']) AS json FROM part")
+def preludes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "part").select("p_partkey", F.explode(suites.prelude(F.col("p_brand"), F.col("p_name"))).alias("f"))
+    return rows.select("p_partkey", "f.type", "f.json")
+
+
+@query(f"WITH {EVENT_FRAMES_SQL} SELECT id, string_agg('{{\"tool\": \"' || CASE t WHEN 'taction' THEN 'answer' ELSE 'bash' END || '\", \"text\": \"e' || event_id || '\"}}', ' ' ORDER BY i) AS said FROM t WHERE t IN ('action', 'taction') GROUP BY id")
+def acted_contents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = event_arrays(spark, sf_dir).select("id", F.array_join(suites.action_contents(F.col("frames")), " ").alias("said"))
+    return said.where("said <> ''")
+
+
+@query("SELECT p_partkey, '{\"a\": [' || p_size || ', {\"x\": null, \"y\": 1.5}], \"b\": \"\\u00e9' || p_brand || '\"}' AS said FROM part")
+def sorted_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = _json('{"b":"é', F.col("p_brand"), '", "a" : [', F.col("p_size").cast("string"), ',{"y":1.50,"x":null}]}')
+    return table(spark, sf_dir, "part").select("p_partkey", pyjson.dumps_sorted(given).alias("said"))
+
+
+@query(
+    """WITH c AS (SELECT o_orderkey, o_orderkey % 3 > 0 AS good FROM orders)
+SELECT (SELECT count(*) FROM c) AS n, (SELECT count(*) FILTER (good) FROM c) AS fit, least(40, (SELECT count(*) FILTER (good) FROM c)) AS chosen, o_orderkey AS id FROM c WHERE good ORDER BY sha1(o_orderkey || '|42'), o_orderkey::VARCHAR LIMIT 40"""
+)
+def evaluation_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A sample of the rows that can be evaluated, with the counts that a report names; a sampling operator."""
+    rows, n, fit, chosen = suites.evaluation_rows(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id")), F.col("id") % 3 > 0, 40)
+    return rows.select(F.lit(n).cast("long").alias("n"), F.lit(fit).cast("long").alias("fit"), F.lit(chosen).cast("long").alias("chosen"), "id")
+
+
+@query(
+    """SELECT 'i_' || o_orderkey AS task_id, 'swe_bench_lite' AS domain, CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE o_orderkey % 2 = 1 END AS success, o_orderkey % 9 AS total_tokens, (o_orderkey % 3)::VARCHAR AS iterations, (o_orderkey % 5 > 0)::VARCHAR AS submitted FROM orders"""
+)
+def suite_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A suite's rows and their report as task results."""
+    k = F.col("o_orderkey")
+    rows = table(spark, sf_dir, "orders").select(
+        _json("i_", k.cast("string")).alias("instance_id"), F.lit("submitted").alias("stopped_on"), (k % 3).alias("iterations"), F.when(k % 5 > 0, "diff").alias("model_patch"), (k % 9).alias("prompt_tokens"), F.lit(0).alias("generated_tokens"), F.lit(1.0).alias("inference_sec")
+    )
+    report = table(spark, sf_dir, "orders").where("o_orderkey % 4 > 0").select(_json("i_", k.cast("string")).alias("id"), (k % 2 == 1).alias("resolved"))
+    tasks, _ = suites.Suite("swe", lambda _: report, suites.patches).run(rows)
+    return tasks.select("task_id", "domain", "success", "tokens.total_tokens", F.col("metrics")["iterations"].alias("iterations"), F.col("metrics")["submitted"].alias("submitted"))
