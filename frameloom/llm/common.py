@@ -49,7 +49,8 @@ def materialize(df: DataFrame, tag: str, most_rows: int | None = None) -> DataFr
     """Cuts the lineage: writes df as Parquet to the shared folder and reads it again.
 
     Lost executors don't lose the table. What was shuffled for it is dropped once it is written. Where df is known to
-    have most_rows at most, it is written in as few files as so many rows ask for.
+    have most_rows at most, it is written in as few files as so many rows ask for. A half-written table can't be read: its path is
+    new and known to no one until the job that writes it has been committed, so that no success marker is needed.
     The table goes with release(), clear(), or when the driver process ends.
     """
     spark = df.sparkSession
