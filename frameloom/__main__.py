@@ -18,13 +18,14 @@ def _arguments() -> argparse.ArgumentParser:
     parser = argparse.ArgumentParser(prog="frameloom", description=__doc__)
     commands = parser.add_subparsers(dest="command", required=True)
 
-    def command(name: str, said: str, *places: str) -> argparse.ArgumentParser:
-        out = commands.add_parser(name, help=said)
+    def command(name: str, said: str, *places: str, short: str | None = None) -> argparse.ArgumentParser:
+        out = commands.add_parser(name, help=said, aliases=[short] if short else [])
+        out.set_defaults(command=name)
         for place in places:
             out.add_argument(place)
         return out
 
-    clean = command("data-clean", "raw trajectories to a dataset", "source", "target")
+    clean = command("data-clean", "raw trajectories to a dataset", "source", "target", short="clean")
     clean.add_argument("--fraction", type=float, default=0.05)
     clean.add_argument("--seed", type=int, default=42)
     more = command("data-append", "generated text to lines of trajectories, up to a number", "source", "target")
@@ -41,7 +42,7 @@ def _arguments() -> argparse.ArgumentParser:
     every.add_argument("--format", action="append", default=[], metavar="NAME=MODEL")
     every.add_argument("--dry-run", action="store_true")
     every.add_argument("--continue-on-error", action="store_true")
-    table = command("eval-aggregate", "run summaries to the result table", "root")
+    table = command("eval-aggregate", "run summaries to the result table", "root", short="rollup")
     table.add_argument("--format", action="append", default=[], metavar="NAME=MODEL")
     table.add_argument("--markdown")
     for name, said in (("seed-rows", "vectors of targets from those of their seed words"), ("verify-rows", "whether vectors are those of their seed words")):
