@@ -65,6 +65,11 @@ def materialize(df: DataFrame, tag: str, most_rows: int | None = None) -> DataFr
     return out
 
 
+def merged(df: DataFrame) -> DataFrame:
+    """df, to be joined by sorting, however small it is: tables that grow with the input are not sent to all executors, and their copies don't gather in the driver."""
+    return df.hint("merge")
+
+
 def rows_of(df: DataFrame) -> int:
     """How many rows a table has that materialize() wrote."""
     return df._frameloom_rows

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from frameloom.llm.common import map_batches, materialize, release, rows_of, sample_share
+from frameloom.llm.common import map_batches, materialize, merged, release, rows_of, sample_share
 from frameloom.llm.graph import components
 
 LEAST_LIKENESS = 0.8
@@ -142,7 +142,7 @@ def _most(n: str, m: str, least: float) -> Column:
 def _close(pairs: DataFrame, heads: DataFrame, least: float) -> DataFrame:
     """Those of distinct pairs(hi, lo) whose sizes and parities do not rule the likeness out."""
     x, y = (heads.select(F.col("fp").alias(c), F.col("n").alias(f"n_{c}"), F.col("bits").alias(f"bits_{c}")) for c in ("hi", "lo"))
-    met = pairs.distinct().join(x, "hi").join(y, "lo").where(_sizes_fit("n_hi", "n_lo", least))
+    met = pairs.distinct().join(merged(x), "hi").join(merged(y), "lo").where(_sizes_fit("n_hi", "n_lo", least))
     return met.where(_apart("bits_hi", "bits_lo") <= _most("n_hi", "n_lo", least)).select("hi", "lo")
 
 
@@ -150,7 +150,7 @@ def _sets(marker: Marker, heads: DataFrame, pairs: DataFrame) -> DataFrame:
     """The table of (fp, sigs) of all sets in pairs, read from the texts again; a bit map keeps most of the others' from being hashed and dealt out."""
     named, make, clashes = marker.named, marker.make, marker.clashes
     ends = pairs.select(F.col("hi").alias("fp")).distinct().union(pairs.select("lo").distinct()).distinct()
-    wanted = heads.join(ends, "fp", "left_semi").select(F.pmod("key", F.lit(WANTED)).alias("at"))
+    wanted = heads.join(merged(ends), "fp", "left_semi").select(F.pmod("key", F.lit(WANTED)).alias("at"))
     words = wanted.groupBy(F.expr("at div 64").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(at % 64 as int)))").alias("bits")).toArrow()
     bitmap = np.zeros(WANTED // 64, np.int64)
     bitmap[words.column("word").to_numpy()] = words.column("bits").to_numpy()
@@ -163,7 +163,7 @@ def _sets(marker: Marker, heads: DataFrame, pairs: DataFrame) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array([_name(s, clashes)[0] for s in sets], pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["fp", "sigs"])
 
     sets = map_batches(named.select("key", "text"), run, "fp long, sigs array<long>")
-    sets = materialize(sets.join(ends, "fp", "left_semi").groupBy("fp").agg(F.first("sigs").alias("sigs")), "sets", 2 * rows_of(pairs))
+    sets = materialize(sets.join(merged(ends), "fp", "left_semi").groupBy("fp").agg(F.first("sigs").alias("sigs")), "sets", 2 * rows_of(pairs))
     shared.destroy()
     return sets
 
@@ -206,18 +206,18 @@ def linked(marker: Marker, marked: DataFrame) -> DataFrame:
     first = first.where(_sizes_fit("n", "m", least) & _room("n", "m", "at", "other_at", least)).select(F.greatest("fp", "to").alias("hi"), F.least("fp", "to").alias("lo"))
     links = _links(materialize(_close(first, heads, least), "beside", 2 * rows_of(met)), marker, heads)
     size_class = F.floor(F.log(F.col("n")) / F.log(F.lit(1 / least)) + 1e-9).cast("int").alias("class")
-    grouped = materialize(met.join(components(links, rows_of(links)), F.col("fp") == F.col("node"), "left").select("fp", "n", "at", "sig", size_class, F.coalesce("root", "fp").alias("root")), "grouped")
+    grouped = materialize(met.join(merged(components(links, rows_of(links))), F.col("fp") == F.col("node"), "left").select("fp", "n", "at", "sig", size_class, F.coalesce("root", "fp").alias("root")), "grouped")
     release(met)
 
     sizes = grouped.groupBy("sig", "root").agg(F.count("*").alias("size"))
     largest = sizes.groupBy("sig").agg(F.max_by("root", F.struct("size", "root")).alias("largest"), F.count("*").alias("groups"), F.sum("size").alias("sets")).where("groups > 1").drop("groups")
-    apart = grouped.join(largest, "sig")
+    apart = grouped.join(merged(largest), "sig")
     few = apart.where(F.col("sets") <= SOME).withColumn("bits", F.lit(None).cast("array<long>"))
-    some = apart.where(F.col("sets") > SOME).join(heads.select("fp", "bits"), "fp")
+    some = apart.where(F.col("sets") > SOME).join(merged(heads.select("fp", "bits")), "fp")
     apart = few.unionByName(some)
     many = apart.where(F.col("sets") > MANY)
-    told = marked.join(many.select("fp").distinct(), "fp", "left_semi").groupBy("fp").agg(F.first("probes").alias("probes"))
-    apart = apart.where(F.col("sets") <= MANY).withColumn("probes", F.lit(None).cast("array<long>")).unionByName(many.join(told, "fp"))
+    told = marked.join(merged(many.select("fp").distinct()), "fp", "left_semi").groupBy("fp").agg(F.first("probes").alias("probes"))
+    apart = apart.where(F.col("sets") <= MANY).withColumn("probes", F.lit(None).cast("array<long>")).unionByName(many.join(merged(told), "fp"))
     x, y = (apart.select("sig", "class", *(F.col(c).alias(f"{c}_{side}") for c in ("fp", "n", "at", "root", "largest", "bits", "probes"))) for side in "ab")
     x = x.where("root_a <> largest_a").withColumn("class", F.explode(F.array(*(F.col("class") + k for k in (-1, 0, 1)))))
     # of two sets that are both outside the largest group, the pair is taken once
@@ -225,11 +225,11 @@ def linked(marker: Marker, marked: DataFrame) -> DataFrame:
     fits = (F.col("root_a") != F.col("root_b")) & once & _sizes_fit("n_a", "n_b", least) & _room("n_a", "n_b", "at_a", "at_b", least)
     near = F.col("bits_a").isNull() | (_apart("bits_a", "bits_b") <= _most("n_a", "n_b", least))
     here = F.col("probes_a").isNull() | (F.get(F.array_intersect("probes_a", "probes_b"), F.lit(0)) == x["sig"])
-    cross = x.join(y, (x["sig"] == y["sig"]) & (x["class"] == y["class"]) & fits & F.when(near, here).otherwise(False))
+    cross = x.join(merged(y), (x["sig"] == y["sig"]) & (x["class"] == y["class"]) & fits & F.when(near, here).otherwise(False))
     rest = _close(cross.select(F.greatest("fp_a", "fp_b").alias("hi"), F.least("fp_a", "fp_b").alias("lo")), heads, least)
     more = _links(materialize(rest, "rest"), marker, heads)
     roots = components(links.union(more), rows_of(links) + rows_of(more))
-    return marked.join(roots, F.col("fp") == F.col("node"), "left").select("doc_id", "key", "fp", "check", "n", F.coalesce("root", "fp").alias("root"))
+    return marked.join(merged(roots), F.col("fp") == F.col("node"), "left").select("doc_id", "key", "fp", "check", "n", F.coalesce("root", "fp").alias("root"))
 
 
 def _links(pairs: DataFrame, marker: Marker, heads: DataFrame) -> DataFrame:
@@ -243,5 +243,5 @@ def _alike(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     """Those of distinct pairs(hi, lo) whose Jaccard reaches least."""
     x, y = (sets.select(F.col("fp").alias(c), F.col("sigs").alias(f"sigs_{c}")) for c in ("hi", "lo"))
     common = F.size(F.array_intersect("sigs_hi", "sigs_lo"))
-    met = pairs.join(x, "hi").join(y, "lo").select("hi", "lo", common.alias("common"), (F.size("sigs_hi") + F.size("sigs_lo")).alias("n"))
+    met = pairs.join(merged(x), "hi").join(merged(y), "lo").select("hi", "lo", common.alias("common"), (F.size("sigs_hi") + F.size("sigs_lo")).alias("n"))
     return met.where(F.col("common") >= least * (F.col("n") - F.col("common")) - 1e-9).select("hi", "lo")
