@@ -7,16 +7,19 @@ Sets are partitioned by length, in classes whose bounds grow by 1 / least, so th
 class or of two neighbours. Sets that meet in a probe are compared by their sizes, by where they meet, then by the
 parity of their members in each of one to two times as many places (sets differ in at least as many members as
 parities), and at last member by member.
+
+Lists are built and searched in rounds, each over a share of the probes, so that what is shuffled at once stays a part of the table.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, GroupedData, Window
 from pyspark.sql import functions as F
 
 from frameloom.llm.common import map_batches, materialize, merged, release, rows_of, sample_share
@@ -31,6 +34,8 @@ LIST_ROWS = 1000
 #: In lists of more than SOME sets, pairs are told apart by their parities where they meet; in those of more than MANY,
 #: a pair is also taken in the first list that it shares alone, for which each set brings its probes along.
 SOME, MANY = 16, 64
+#: Sets whose lists are built in one round, rows of lists that are searched in one, and rounds at most.
+ROUND_SETS, ROUND_ROWS, ROUNDS = 1 << 16, 1 << 20, 16
 #: Places of the bit map that says which texts' members are wanted again.
 WANTED = 1 << 24
 
@@ -147,9 +152,9 @@ def _close(pairs: DataFrame, heads: DataFrame, least: float) -> DataFrame:
 
 
 def _sets(marker: Marker, heads: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The table of (fp, sigs) of all sets in pairs, read from the texts again; a bit map keeps most of the others' from being hashed and dealt out."""
+    """The table of (fp, sigs) of all sets in pairs, read from the texts again; a bit map keeps the others' from being hashed and dealt out, but for the few that share a place."""
     named, make, clashes = marker.named, marker.make, marker.clashes
-    ends = pairs.select(F.col("hi").alias("fp")).distinct().union(pairs.select("lo").distinct()).distinct()
+    ends = pairs.select(F.explode(F.array("hi", "lo")).alias("fp")).distinct()
     wanted = heads.join(merged(ends), "fp", "left_semi").select(F.pmod("key", F.lit(WANTED)).alias("at"))
     words = wanted.groupBy(F.expr("at div 64").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(at % 64 as int)))").alias("bits")).toArrow()
     bitmap = np.zeros(WANTED // 64, np.int64)
@@ -163,27 +168,22 @@ def _sets(marker: Marker, heads: DataFrame, pairs: DataFrame) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array([_name(s, clashes)[0] for s in sets], pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["fp", "sigs"])
 
     sets = map_batches(named.select("key", "text"), run, "fp long, sigs array<long>")
-    sets = materialize(sets.join(merged(ends), "fp", "left_semi").groupBy("fp").agg(F.first("sigs").alias("sigs")), "sets", 2 * rows_of(pairs))
+    sets = materialize(sets.groupBy("fp").agg(F.first("sigs").alias("sigs")), "sets", 2 * rows_of(pairs))
     shared.destroy()
     return sets
 
 
-def rooted(docs: DataFrame, make: MakeSet, id_col: str = "doc_id", text_col: str = "text", least: float = LEAST_LIKENESS) -> DataFrame:
-    """(doc_id, key, fp, check, n, root) for each row of docs: key is XXH64 of the text, (fp, check) names its set of n members, root is shared by all rows reachable over links of a likeness of least or more.
+def linked(marker: Marker, marked: DataFrame) -> DataFrame:
+    """(doc_id, key, fp, check, n, root) for each row that the marker has marked: key is XXH64 of the text, (fp, check) names its set of n members, root is shared by all rows reachable over links of a likeness of least or more.
 
     Equal sets are one. Links are sought in two steps, so that a large group of near copies does not meet
     pair by pair: first each set with the first of each of its probes' lists and with the one before it, in an
     order of each list's own, which connects what is alike at large; then, exactly, those that meet and are not
     connected: in each list the sets outside its largest group with all others of like length. In lists of many sets,
     pairs are told apart by their parities where they meet, and taken in the first list that they share alone.
-    Null, empty and blank texts share the empty set. Repeated rows stay; other columns are not read; an empty table gives no rows.
+    Null, empty and blank texts share the empty set. Repeated rows stay; an empty table gives no rows. marked is a table
+    that can be read again and again; the result reads it too.
     """
-    marker = Marker(docs, make, id_col, text_col, least)
-    return linked(marker, materialize(marker.marked(), "marked"))
-
-
-def linked(marker: Marker, marked: DataFrame) -> DataFrame:
-    """rooted() of rows(doc_id, key, fp, check, n, bits, probes, lots) that the marker has marked; marked is a table that can be read again and again."""
     least = marker.least
     while True:
         filled = marked.where("n > 0").groupBy("fp")
@@ -195,23 +195,52 @@ def linked(marker: Marker, marked: DataFrame) -> DataFrame:
         marker.clashes |= found
         marked = materialize(marker.marked(), "marked")
     marker.common.destroy()
-    probes = filled.agg(F.first("n").alias("n"), F.first(F.arrays_zip(F.col("probes").alias("sig"), F.col("lots").alias("lot"))).alias("probes"))
-    beside = Window.partitionBy("sig", "lot").orderBy(F.xxhash64("sig", "fp"), "fp")
-    one = F.struct("fp", "n", "at")
-    lists = probes.select("fp", "n", F.posexplode("probes").alias("at", "p")).select("fp", "n", "at", "p.sig", "p.lot")
-    lists = lists.select("*", F.lag(one).over(beside).alias("before"), F.first(one).over(beside).alias("head"), F.lead("fp").over(beside).alias("after"))
-    met = materialize(lists.where("before is not null or after is not null or lot >= 0").drop("after"), "met")
+    met = _met(filled, _rounds(rows_of(heads), ROUND_SETS))
+    n_met = sum(map(rows_of, met))
+    lists = reduce(DataFrame.union, met)
 
-    first = met.where("before is not null").select("fp", "n", "at", F.explode(F.array("before", "head")).alias("to")).select("fp", "n", "at", F.col("to.fp").alias("to"), F.col("to.n").alias("m"), F.col("to.at").alias("other_at"))
+    first = lists.where("before is not null").select("fp", "n", "at", F.explode(F.array("before", "head")).alias("to")).select("fp", "n", "at", F.col("to.fp").alias("to"), F.col("to.n").alias("m"), F.col("to.at").alias("other_at"))
     first = first.where(_sizes_fit("n", "m", least) & _room("n", "m", "at", "other_at", least)).select(F.greatest("fp", "to").alias("hi"), F.least("fp", "to").alias("lo"))
-    links = _links(materialize(_close(first, heads, least), "beside", 2 * rows_of(met)), marker, heads)
+    beside = materialize(_close(first, heads, least), "beside", 2 * n_met)
+    links = _links(beside, marker, heads)
     size_class = F.floor(F.log(F.col("n")) / F.log(F.lit(1 / least)) + 1e-9).cast("int").alias("class")
-    grouped = materialize(met.join(merged(components(links, rows_of(links))), F.col("fp") == F.col("node"), "left").select("fp", "n", "at", "sig", size_class, F.coalesce("root", "fp").alias("root")), "grouped")
-    release(met)
+    roots = merged(components(links, rows_of(links)))
+    grouped = materialize(lists.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "n", "at", "sig", size_class, F.coalesce("root", "fp").alias("root")), "grouped")
+    release(*met)
+    rounds = _rounds(n_met, ROUND_ROWS)
+    shares = [grouped.where(F.pmod("sig", F.lit(rounds)) == i) for i in range(rounds)] if rounds > 1 else [grouped]
+    crossing = [_crossing(share, marked, heads, least) for share in shares]
+    release(grouped)
+    rest = _close(reduce(DataFrame.union, crossing), heads, least)
+    more = _links(materialize(rest, "rest"), marker, heads)
+    roots = components(links.union(more), rows_of(links) + rows_of(more))
+    return marked.join(merged(roots), F.col("fp") == F.col("node"), "left").select("doc_id", "key", "fp", "check", "n", F.coalesce("root", "fp").alias("root"))
+
 
+def _rounds(rows: int, in_one: int) -> int:
+    return max(1, min(ROUNDS, -(-rows // in_one)))
+
+
+def _met(filled: GroupedData, rounds: int) -> list[DataFrame]:
+    """Tables of (fp, n, at, sig, lot, before, head): each set in each of its probes' lists that others are in too, or that was dealt out; with the one before it there, and the first."""
+    beside = Window.partitionBy("sig", "lot").orderBy(F.xxhash64("sig", "fp"), "fp")
+    one = F.struct("fp", "n", "at")
+    probes = F.arrays_zip(F.col("probes").alias("sig"), F.col("lots").alias("lot"), F.sequence(F.lit(0), F.size("probes") - 1).alias("at"))
+
+    def built(i: int) -> DataFrame:
+        share = F.filter(probes, lambda p: F.pmod(p["sig"], F.lit(rounds)) == i) if rounds > 1 else probes
+        lists = filled.agg(F.first("n").alias("n"), F.first(share).alias("probes")).select("fp", "n", F.inline("probes"))
+        lists = lists.select("fp", "n", "at", "sig", "lot", F.lag(one).over(beside).alias("before"), F.first(one).over(beside).alias("head"), F.lead("fp").over(beside).alias("after"))
+        return materialize(lists.where("before is not null or after is not null or lot >= 0").drop("after"), "met")
+
+    return [built(i) for i in range(rounds)]
+
+
+def _crossing(grouped: DataFrame, marked: DataFrame, heads: DataFrame, least: float) -> DataFrame:
+    """The table of pairs(hi, lo) of sets of two groups that meet in one of these lists and may be alike."""
     sizes = grouped.groupBy("sig", "root").agg(F.count("*").alias("size"))
     largest = sizes.groupBy("sig").agg(F.max_by("root", F.struct("size", "root")).alias("largest"), F.count("*").alias("groups"), F.sum("size").alias("sets")).where("groups > 1").drop("groups")
-    apart = grouped.join(merged(largest), "sig")
+    met = apart = materialize(grouped.join(merged(largest), "sig"), "apart")
     few = apart.where(F.col("sets") <= SOME).withColumn("bits", F.lit(None).cast("array<long>"))
     some = apart.where(F.col("sets") > SOME).join(merged(heads.select("fp", "bits")), "fp")
     apart = few.unionByName(some)
@@ -226,10 +255,9 @@ def linked(marker: Marker, marked: DataFrame) -> DataFrame:
     near = F.col("bits_a").isNull() | (_apart("bits_a", "bits_b") <= _most("n_a", "n_b", least))
     here = F.col("probes_a").isNull() | (F.get(F.array_intersect("probes_a", "probes_b"), F.lit(0)) == x["sig"])
     cross = x.join(merged(y), (x["sig"] == y["sig"]) & (x["class"] == y["class"]) & fits & F.when(near, here).otherwise(False))
-    rest = _close(cross.select(F.greatest("fp_a", "fp_b").alias("hi"), F.least("fp_a", "fp_b").alias("lo")), heads, least)
-    more = _links(materialize(rest, "rest"), marker, heads)
-    roots = components(links.union(more), rows_of(links) + rows_of(more))
-    return marked.join(merged(roots), F.col("fp") == F.col("node"), "left").select("doc_id", "key", "fp", "check", "n", F.coalesce("root", "fp").alias("root"))
+    pairs = materialize(cross.select(F.greatest("fp_a", "fp_b").alias("hi"), F.least("fp_a", "fp_b").alias("lo")).distinct(), "crossing")
+    release(met)
+    return pairs
 
 
 def _links(pairs: DataFrame, marker: Marker, heads: DataFrame) -> DataFrame:

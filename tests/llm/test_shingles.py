@@ -89,3 +89,13 @@ def test_repeated_rows_and_a_chain_of_near_copies(make_docs):
     assert jaccard(brute_set(texts[0]), brute_set(texts[15])) < 0.8 and set(want.values()) == {0}
     rows = shingles.near_duplicates(make_docs([*texts, *texts], [*range(16), *range(16)])).collect()
     assert len(rows) == 32 and {r["component_id"] for r in rows} == {0}
+
+
+def test_lists_are_built_and_searched_in_rounds(make_docs, monkeypatch):
+    texts, tags = corpus()[:90], []
+    materialize = setlinks.materialize
+    monkeypatch.setattr(setlinks, "ROUND_SETS", 30)
+    monkeypatch.setattr(setlinks, "ROUND_ROWS", 40)
+    monkeypatch.setattr(setlinks, "materialize", lambda df, tag, *a: tags.append(tag) or materialize(df, tag, *a))
+    assert dict(shingles.near_duplicates(make_docs(texts)).collect()) == brute(list(enumerate(texts)))
+    assert tags.count("met") > 1 and tags.count("crossing") > 1
