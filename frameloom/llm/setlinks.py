@@ -8,6 +8,9 @@ class or of two neighbours. Sets that meet in a probe are compared by their size
 parity of their members in each of one to two times as many places (sets differ in at least as many members as
 parities), and at last member by member.
 
+Where sets have a SimHash fingerprint, fingerprints within its radius link them first, found by ball hashing (simhash.links)
+and checked like all other pairs; the search above is then for links between sets that these have not connected.
+
 Lists are built and searched in rounds, each over a share of the probes, so that what is shuffled at once stays a part of the table.
 """
 
@@ -22,6 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, GroupedData, Window
 from pyspark.sql import functions as F
 
+from frameloom.llm import simhash
 from frameloom.llm.common import map_batches, materialize, merged, release, rows_of, sample_share
 from frameloom.llm.graph import components
 
@@ -82,12 +86,18 @@ def _common(named: DataFrame, share: float, make: MakeSet) -> tuple[np.ndarray,
 
 
 class Marker:
-    """Marks sets for the search of links: names them, and chooses their probes by what a sample of the texts finds common."""
+    """Marks sets for the search of links: names them, and chooses their probes by what a sample of the texts finds common.
+
+    fingerprint: a set's SimHash, for a further mark, simhash.
+    """
 
     kinds = {"fp": pa.int64(), "check": pa.int64(), "n": pa.int32(), "bits": pa.list_(pa.int64()), "probes": pa.list_(pa.int64()), "lots": pa.list_(pa.int32())}
     ddl = "fp long, check long, n int, bits array<long>, probes array<long>, lots array<int>"
 
-    def __init__(self, docs: DataFrame, make: MakeSet, id_col: str = "doc_id", text_col: str = "text", least: float = LEAST_LIKENESS):
+    def __init__(self, docs: DataFrame, make: MakeSet, id_col: str = "doc_id", text_col: str = "text", least: float = LEAST_LIKENESS, fingerprint: Callable[[np.ndarray], int] | None = None):
+        self.fingerprint = fingerprint
+        if fingerprint:
+            self.kinds, self.ddl = self.kinds | {"simhash": pa.int64()}, f"{self.ddl}, simhash long"
         self.named = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text"), F.xxhash64(F.col(text_col)).alias("key"))
         self.make, self.least = make, least
         share = min(1.0, SAMPLE / max(self.named.count(), 1))
@@ -95,8 +105,8 @@ class Marker:
         self.clashes: frozenset[int] = frozenset()
 
     def mark(self) -> Callable[[np.ndarray], tuple]:
-        """set -> (fp, check, n, bits, probes, lots), to be called on the workers; lot: which part of a long list a set is in, -1 if the list is whole."""
-        common_, least, clashes = self.common, self.least, self.clashes
+        """set -> (fp, check, n, bits, probes, lots) and its fingerprint, if asked for, to be called on the workers; lot: which part of a long list a set is in, -1 if the list is whole."""
+        common_, least, clashes, fingerprint = self.common, self.least, self.clashes, self.fingerprint
 
         def of(sigs: np.ndarray) -> tuple:
             common, often, part = common_.value
@@ -106,12 +116,13 @@ class Marker:
                 times = np.where(common[at] == sigs, often[at], 0)
             order = np.lexsort((sigs, times))[: n_probes(len(sigs), least)]
             parts = np.ceil(times[order] / part).astype(np.int64)
-            return fp, check, len(sigs), parities(sigs), sigs[order].view(np.int64), np.where(parts > 1, fp % np.maximum(parts, 1), -1).astype(np.int32)
+            own = (fingerprint(sigs),) if fingerprint else ()
+            return fp, check, len(sigs), parities(sigs), sigs[order].view(np.int64), np.where(parts > 1, fp % np.maximum(parts, 1), -1).astype(np.int32), *own
 
         return of
 
     def marked(self) -> DataFrame:
-        """(doc_id, key, fp, check, n, bits, probes, lots) for each row."""
+        """(doc_id, key, fp, check, n, bits, probes, lots) and the fingerprint, if asked for, for each row."""
         mark, make, kinds = self.mark(), self.make, self.kinds
 
         def run(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -177,7 +188,7 @@ def linked(marker: Marker, marked: DataFrame) -> DataFrame:
     """(doc_id, key, fp, check, n, root) for each row that the marker has marked: key is XXH64 of the text, (fp, check) names its set of n members, root is shared by all rows reachable over links of a likeness of least or more.
 
     Equal sets are one. Links are sought in two steps, so that a large group of near copies does not meet
-    pair by pair: first each set with the first of each of its probes' lists and with the one before it, in an
+    pair by pair: first between fingerprints that ball hashing links, if there are any, and of each set with the first of each of its probes' lists and with the one before it, in an
     order of each list's own, which connects what is alike at large; then, exactly, those that meet and are not
     connected: in each list the sets outside its largest group with all others of like length. In lists of many sets,
     pairs are told apart by their parities where they meet, and taken in the first list that they share alone.
@@ -187,7 +198,8 @@ def linked(marker: Marker, marked: DataFrame) -> DataFrame:
     least = marker.least
     while True:
         filled = marked.where("n > 0").groupBy("fp")
-        heads = materialize(filled.agg(F.first("key").alias("key"), F.first("n").alias("n"), F.first("bits").alias("bits"), (F.min("check") != F.max("check")).alias("clash")), "heads")
+        own = [F.first("simhash").alias("simhash")] if marker.fingerprint else []
+        heads = materialize(filled.agg(F.first("key").alias("key"), F.first("n").alias("n"), F.first("bits").alias("bits"), (F.min("check") != F.max("check")).alias("clash"), *own), "heads")
         # of n sets about n * n / 2 ** 65
         found = {r["fp"] for r in heads.where("clash").select("fp").collect()}
         if not found:
@@ -201,7 +213,9 @@ def linked(marker: Marker, marked: DataFrame) -> DataFrame:
 
     first = lists.where("before is not null").select("fp", "n", "at", F.explode(F.array("before", "head")).alias("to")).select("fp", "n", "at", F.col("to.fp").alias("to"), F.col("to.n").alias("m"), F.col("to.at").alias("other_at"))
     first = first.where(_sizes_fit("n", "m", least) & _room("n", "m", "at", "other_at", least)).select(F.greatest("fp", "to").alias("hi"), F.least("fp", "to").alias("lo"))
-    beside = materialize(_close(first, heads, least), "beside", 2 * n_met)
+    alike = [_fingerprinted(heads)] if marker.fingerprint else []
+    beside = materialize(_close(reduce(DataFrame.union, alike, first), heads, least), "beside", 2 * n_met + sum(map(rows_of, alike)))
+    release(*alike)
     links = _links(beside, marker, heads)
     size_class = F.floor(F.log(F.col("n")) / F.log(F.lit(1 / least)) + 1e-9).cast("int").alias("class")
     roots = merged(components(links, rows_of(links)))
@@ -236,6 +250,17 @@ def _met(filled: GroupedData, rounds: int) -> list[DataFrame]:
     return [built(i) for i in range(rounds)]
 
 
+def _fingerprinted(heads: DataFrame) -> DataFrame:
+    """The table of pairs(hi, lo) of sets that SimHash finds alike: the least of each fingerprint's sets with its others, and with the least of each that ball hashing links to it."""
+    first = materialize(heads.groupBy("simhash").agg(F.min("fp").alias("first")), "fingerprints")
+    same = heads.join(merged(first), "simhash").select(F.col("fp").alias("a"), F.col("first").alias("b"))
+    x, y = (first.select(F.col("simhash").alias(c), F.col("first").alias(to)) for c, to in (("hi", "a"), ("lo", "b")))
+    near = simhash.links(first.select(F.col("simhash").alias("fp"))).join(merged(x), "hi").join(merged(y), "lo").select("a", "b")
+    pairs = materialize(same.union(near).where("a <> b").select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")), "alike")
+    release(first)
+    return pairs
+
+
 def _crossing(grouped: DataFrame, marked: DataFrame, heads: DataFrame, least: float) -> DataFrame:
     """The table of pairs(hi, lo) of sets of two groups that meet in one of these lists and may be alike."""
     sizes = grouped.groupBy("sig", "root").agg(F.count("*").alias("size"))

@@ -41,12 +41,16 @@ def shingle_hashes(text: bytes, k: int = SHINGLE_WORDS) -> list[int]:
 
 def fingerprint(text: bytes | None, k: int = SHINGLE_WORDS) -> int:
     """Signed 64-bit SimHash; a bit is set in over half the hashes. Null, empty or blank text: 0."""
-    hashes = shingle_hashes(text or b"", k)
-    if not hashes:
+    return majority(np.array(shingle_hashes(text or b"", k), "<u8"))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """Signed 64-bit number of the bits that are set in over half the hashes; of none: 0."""
+    if not len(hashes):
         return 0
     counts = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 1 << 16):  # bounds what unpacked bits of a very long text take
-        part = np.array(hashes[at : at + (1 << 16)], "<u8")
+        part = np.ascontiguousarray(hashes[at : at + (1 << 16)], "<u8")
         counts += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits(counts * 2 > len(hashes), bitorder="little").view("<i8")[0])
 

@@ -4,7 +4,7 @@ import random
 from conftest_llm import odd_texts, prose
 
 import corpus_pipeline
-from frameloom.llm import setlinks, shingles
+from frameloom.llm import common, setlinks, shingles, simhash
 
 
 def brute_set(text, k=5):
@@ -99,3 +99,23 @@ def test_lists_are_built_and_searched_in_rounds(make_docs, monkeypatch):
     monkeypatch.setattr(setlinks, "materialize", lambda df, tag, *a: tags.append(tag) or materialize(df, tag, *a))
     assert dict(shingles.near_duplicates(make_docs(texts)).collect()) == brute(list(enumerate(texts)))
     assert tags.count("met") > 1 and tags.count("crossing") > 1
+
+
+def test_ball_hashing_links_come_first_and_rounds_lose_nothing(make_docs, monkeypatch):
+    base = prose(3, 400)
+    texts = [prose(i, 40) for i in range(20)] + [base, base + " end", edited(base, 1, 1), edited(base, 6, 2)]
+    want = brute(list(enumerate(texts)))
+    tables = []
+    materialize = common.materialize
+    monkeypatch.setattr(setlinks, "materialize", lambda df, tag, *a: tables.append((tag, out := materialize(df, tag, *a))) or out)
+    monkeypatch.setattr(setlinks, "release", lambda *_: None)
+    for per_round in (1 << 16, 8):
+        monkeypatch.setattr(setlinks, "ROUND_SETS", per_round)
+        monkeypatch.setattr(setlinks, "ROUND_ROWS", per_round)
+        tables.clear()
+        assert dict(shingles.near_duplicates(make_docs(texts)).collect()) == want
+        prints = {digest: simhash.majority(shingles.shingle_set(t.encode())) for t in texts for digest in [setlinks.digest(shingles.shingle_set(t.encode()))[1]]}
+        near = {(max(a, b), min(a, b)) for a, b in itertools.combinations(prints, 2) if (prints[a] ^ prints[b]).bit_count() <= simhash.RADIUS}
+        alike = {(r["hi"], r["lo"]) for tag, df in tables if tag == "alike" for r in df.collect()}
+        assert near and alike <= near and {x for p in alike for x in p} == {x for p in near for x in p}
+        assert sum(tag == "met" for tag, _ in tables) == (3 if per_round == 8 else 1)
